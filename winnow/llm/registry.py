@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module that defines it
 _WHERE = {
     "op3_simhash": "simhash",
+    "op7_quality": "quality",
     "op10_decontaminate": "decontaminate",
 }
 
