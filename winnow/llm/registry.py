@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: query -> module that defines it
 _WHERE = {
+    "op2_mixing": "mixing",
     "op3_simhash": "simhash",
+    "op5_sharding": "sharding",
     "op7_quality": "quality",
     "op10_decontaminate": "decontaminate",
 }
