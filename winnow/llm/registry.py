@@ -8,6 +8,7 @@ from importlib import import_module
 _WHERE = {
     "op2_mixing": "mixing",
     "op3_simhash": "simhash",
+    "op4_token_ids": "tokenids",
     "op5_sharding": "sharding",
     "op7_quality": "quality",
     "op10_decontaminate": "decontaminate",
