@@ -10,7 +10,9 @@ _WHERE = {
     "op3_simhash": "simhash",
     "op4_token_ids": "tokenids",
     "op5_sharding": "sharding",
+    "op6_urls": "urls",
     "op7_quality": "quality",
+    "op9_chat": "chat",
     "op10_decontaminate": "decontaminate",
 }
 
