@@ -12,6 +12,7 @@ _WHERE = {
     "op5_sharding": "sharding",
     "op6_urls": "urls",
     "op7_quality": "quality",
+    "op8_html": "html",
     "op9_chat": "chat",
     "op10_decontaminate": "decontaminate",
 }
