@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module that defines it
 _WHERE = {
+    "op1_lm_scores": "lm",
     "op2_mixing": "mixing",
     "op3_simhash": "simhash",
     "op4_token_ids": "tokenids",
