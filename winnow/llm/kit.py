@@ -84,8 +84,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def mix_columns(*cols) -> F.Column:
-    return F.xxhash64(*cols)
+def masked(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(df with all columns but the needed ones under neutral names, the way back to df's columns).
+
+    So columns that happen to be called like those an operator adds pass through it unharmed.
+    """
+    names = [c if c in needed else f"_kept{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
 
 
 # ---------------------------------------------------------------- text of a batch as bytes

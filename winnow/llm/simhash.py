@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kit import drop_scratch, map_batches, scratch, slices, text_bytes, words_of
+from .kit import map_batches, scramble, scratch, slices, text_bytes, words_of
 
 BITS = 64
 FULL = (1 << BITS) - 1
@@ -71,18 +71,42 @@ def simhash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp bigint) per row of docs.  A null, empty or blank text has fingerprint 0; repeated rows stay."""
+def shingle_sets(b: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each document, sorted."""
+    hashes, counts = shingle_hashes(b, off, size)
+    at = np.concatenate(([0], np.cumsum(counts))).tolist()
+    return [np.unique(hashes[x:y]) for x, y in zip(at, at[1:])]
+
+
+def rehash(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th family of hashes; family 0 is the hashes themselves."""
+    return hashes if k == 0 else scramble(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & FULL))
+
+
+def fingerprints(docs: DataFrame, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", shingle: int = 3, distinct: bool = False, families: int = 1) -> DataFrame:
+    """(*key_cols, fps array<bigint>) per row of docs: a fingerprint for each family of hashes.
+
+    A null, empty or blank text has fingerprints 0; repeated rows stay.  A bit is a majority over the text's
+    shingles, repeats included, or over the distinct ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, off = text_bytes(batch.column(1))
-            found = [simhash(*shingle_hashes(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)) for i, j in slices(off)]
-            fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, fp bigint")
+            b, off = text_bytes(batch.column(len(key_cols)))
+            found = []
+            for i, j in slices(off):
+                if distinct:
+                    sets = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                    hashes, counts = np.concatenate(sets), np.array([len(x) for x in sets])
+                else:
+                    hashes, counts = shingle_hashes(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                found.append(np.stack([simhash(rehash(hashes, k), counts) for k in range(families)], axis=1))
+            fps = np.concatenate(found) if found else np.zeros((0, families), np.uint64)
+            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * families, pa.int32()), pa.array(fps.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key_cols)], packed], names=[*batch.schema.names[: len(key_cols)], "fps"])
+
+    slim = docs.select(*key_cols, F.col(text_col).cast("string").alias("_text"))
+    return map_batches(slim, run, ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in key_cols) + ", fps array<bigint>")
 
 
 # ---------------------------------------------------------------- the plan: partitions and thresholds
@@ -146,7 +170,7 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best.get(total, (math.inf, []))
 
 
-def plan_masks(n: int, both: np.ndarray, max_bits: int, row_cost: float = 40.0) -> list[int]:
+def plan_masks(n: int, both: np.ndarray, max_bits: int, row_cost: float = 500.0) -> list[int]:
     """The masks to probe.  row_cost: what a probe row costs, in comparisons of a candidate."""
     p = np.diag(both) / max(n, 1)
     agree = p * p + (1 - p) * (1 - p)
@@ -175,11 +199,22 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(fp: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Links of each row to the first row of its local component."""
-    label = np.arange(len(fp))
+def _near(x: np.ndarray, max_bits: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """All i < j with x[i] and x[j] within max_bits bits, compared in blocks of rows."""
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    for k in range(0, len(x), rows):
+        i, j = np.nonzero(np.bitwise_count(x[k : k + rows, None] ^ x[None, k:]) <= max_bits)
+        found.append(np.stack([i[i < j] + k, j[i < j] + k]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first row of each row's component."""
+    label = np.arange(n)
     while True:
-        new = np.where(near, label[None, :], len(fp)).min(axis=1)
+        new = label.copy()
+        np.minimum.at(new, j, label[i])
+        np.minimum.at(new, i, label[j])
         new = new[new]
         if (new == label).all():
             return label
@@ -201,10 +236,14 @@ def bucket_edges(max_bits: int, every_pair: bool, small: int = 64):
                 yield block[hit, i[which]], block[hit, j[which]]
         for k in np.flatnonzero(size > small).tolist():
             x = np.sort(fp[at[k] : at[k] + size[k]])
-            label = _forest(x, np.bitwise_count(x[:, None] ^ x[None, :]) <= max_bits)
+            i, j = _near(x, max_bits)
+            if every_pair and len(i) <= small * len(x):
+                yield x[i], x[j]
+                continue
+            label = _forest(len(x), i, j)
             own = label != np.arange(len(x))
             yield x[own], x[label[own]]
-            if every_pair:  # besides the forest, each row's nearest rows by value order
+            if every_pair:  # besides the forest, each row's nearest row by value
                 near = np.bitwise_count(x[1:] ^ x[:-1]) <= max_bits
                 yield x[1:][near], x[:-1][near]
 
@@ -241,11 +280,11 @@ def _deal(rows: DataFrame, masks: list[int]) -> DataFrame:
     return rows.select("fp", each).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("val"), "fp")
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int, every_pair: bool = False, bucket_rows: int = 512) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, max_bits: int, every_pair: bool = False, bucket_rows: int = 4096) -> DataFrame:
     """(a, b) edges between fingerprints within max_bits bits, whose components are those of all such links.
 
-    distinct: one bigint column fp without repeats or nulls.  With every_pair, buckets of up to 64 rows give all
-    their pairs, for a later check on the texts.
+    distinct: one bigint column fp without repeats or nulls.  With every_pair, buckets give all their
+    links, for a later check on the texts, unless those are over 64 a row on average.
     """
     n, both = bit_statistics(distinct)
     masks = plan_masks(n, both, max_bits) if n > 1 else [FULL]
@@ -291,7 +330,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     smallest id that links reach.  Ids may repeat or be null; a component of null ids only has a null component.
     An empty table gives an empty result; blank texts share fingerprint 0 and so a component.
     """
-    marked = scratch(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    marked = scratch(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ("id",), "text", shingle).select("id", F.col("fps")[0].alias("fp")), "fingerprints")
     distinct = scratch(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     roots = components(link_fingerprints(distinct.select("fp"), max_bits), "a", "b")
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -299,6 +338,70 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return marked.join(of.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with their similarity, from sets (key, hashes: packed sorted 64-bit hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / max(1, len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+
+    left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"h{k}")) for k in "ab")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb"), run, "a bigint, b bigint, similarity double")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 7, families: int = 4, similarity: float = 0.8, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """docs with `near_group` and `near_first`: groups of near-copies, whose row with the smallest id has near_first.
+
+    Candidates are texts of which one of `families` SimHashes over distinct shingles differs in at most max_bits bits;
+    a link is one with a Jaccard similarity of at least `similarity` over the shingles.  Equal texts are one text from the start; texts of
+    equal fingerprints are compared with the first of them.  near_first is the row with the smallest id of its group
+    (null ids last).  Null texts are a group of their own, as are blank ones.  An empty table gives an empty result.
+    """
+    keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(text_col).cast("string"))).cast("bigint"))
+    marked = fingerprints(keyed.select("near_key", F.col(id_col).alias("id"), F.col(text_col).alias("text")), ("near_key", "id"), "text", shingle, True, families)
+    texts = scratch(marked.groupBy("near_key").agg(F.min("fps").alias("fps"), F.min("id").alias("low")), "texts")
+    none = F.lit((1 << 63) - 1)
+    pairs = None
+    for k in range(families):
+        own = texts.select("near_key", "low", F.col("fps")[k].alias("fp"))
+        first = scratch(own.groupBy("fp").agg(F.min(F.struct(F.coalesce("low", none).alias("low"), "near_key"))["near_key"].alias("rep")), "first")
+        edges = link_fingerprints(first.select("fp"), max_bits, every_pair=True)
+        across = edges.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+        within = own.join(first, "fp").where("near_key != rep").select(F.least("near_key", "rep").alias("a"), F.greatest("near_key", "rep").alias("b"))
+        both = scratch(across.unionByName(within), "candidates")
+        pairs = both if pairs is None else pairs.unionByName(both)
+    pairs = scratch(pairs.distinct(), "pairs")
+    wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("near_key")).distinct(), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, off = text_bytes(batch.column(1))
+            for i, j in slices(off):
+                sets = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"])
+
+    few = wanted.count() <= broadcast_keys
+    held = keyed.select("near_key", F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "near_key", "left_semi")
+    sets = scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    links = jaccard(pairs, sets).where(F.col("similarity") >= similarity)
+    roots = components(links, "a", "b").select(F.col("node").alias("near_key"), "root")
+    grouped = texts.join(roots, "near_key", "left").select("near_key", F.coalesce("root", "near_key").alias("near_group"), F.struct(F.coalesce("low", none).alias("low"), F.col("near_key").alias("key")).alias("at"))
+    best = grouped.groupBy("near_group").agg(F.min("at").alias("best"))
+    chosen = grouped.join(best, "near_group").select("near_key", "near_group", F.when(F.col("at") == F.col("best"), F.col("best.low")).alias("near_low"))
+    out = keyed.join(chosen, "near_key")
+    return out.withColumn("near_first", F.col("near_low").isNotNull() & (F.coalesce(F.col(id_col), none) == F.coalesce("near_low", F.lit(0)))).drop("near_low", "near_key")
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """One row of each group of near-copies: the one with the smallest id, once if it is repeated."""
+    return near_duplicates(docs, **how).where("near_first").dropDuplicates(["near_group"]).select(*docs.columns)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = classes(docs, shingle=3, max_bits=2)
