@@ -19,10 +19,12 @@ document decodes alone, and expansion lengths lead to any token of it without de
 from __future__ import annotations
 
 import math
+import re
 import sys
 import types
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,11 @@ SHARD_BYTES = 4 << 20
 PART_BYTES = 48 << 20
 #: The split of the word-level tokenizers this module has a fast path for, after lower-casing.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of visible ASCII and Latin letters and signs, whose case and class are the same everywhere.
+PLAIN = re.compile("[!-~\xa1-\u022f]{1,2000}")
+#: SPLIT for lower-cased words of that kind: their letters end at U+02AF.
+_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PLAIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
 # ---------------------------------------------------------------- texts to ids
@@ -58,15 +65,14 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size < 60_000 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         spec = json.loads(self.tokenizer.to_str())
-        self.split = regex.compile(SPLIT)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         self.fast = (
             [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
@@ -95,15 +101,16 @@ class Encoder:
         text = word.decode("utf-8", "replace")
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if "<|" in text or len(text) > 2000 or not all(" " < c < "\x7f" or "\xa0" < c < "ɐ" for c in text):
+        if "<|" in text or not PLAIN.fullmatch(text):
             return self.library(text)
-        return b"".join([self.pieces.get(p) or self.piece(p) for p in self.split.findall(text.lower())])
+        pieces = PLAIN_SPLIT.findall(text.lower())
+        return b"".join([self.pieces.get(p) or self.piece(p) for p in pieces])
 
     def piece(self, piece: str) -> bytes:
         if len(self.pieces) >= self.PIECES:
             self.pieces.clear()
-        mapped = "".join([self.byte[x] for x in piece.encode()])
-        ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.dtype).tobytes()
+        mapped = piece if piece.isascii() else "".join([self.byte[x] for x in piece.encode()])
+        ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
         self.pieces[piece] = ids
         return ids
 
