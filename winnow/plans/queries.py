@@ -49,7 +49,7 @@ def _clamp_sql(x: str) -> str:
     return f"least(1.0, greatest(0.0, {x}))"
 
 
-TILT_SQL = f"least(1.0, greatest(abs(tilt) / {c.TILT_MAX}, abs(keystone) / {c.KEYSTONE_MAX}))"
+TILT_SQL = f"CASE WHEN tilt IS NULL THEN NULL ELSE least(1.0, greatest(abs(tilt) / {c.TILT_MAX}, abs(keystone) / {c.KEYSTONE_MAX})) END"
 
 
 def _fuse_sql(w: dict, source: str, topiq: str = "topiq", exposure: str = "exposure", bokeh: str = "is_bokeh", tilt: str = TILT_SQL, reducer: str = "0.0") -> str:
@@ -160,11 +160,11 @@ def saliency(spark, sf_dir):
     f"""WITH {_HEAT_SQL}, {_BOX}, g AS (SELECT id, x, y, x0, y0, x1, y1, {_sum_sql('i % 8 < 4')} AS l, {_sum_sql('i % 8 >= 4')} AS r, {_sum_sql('i < 32')} AS u, {_sum_sql('i >= 32')} AS d FROM b),
 s AS (SELECT id, greatest(0, 1 - least(sqrt((x - 1/3) ** 2 + (y - 1/3) ** 2), sqrt((x - 1/3) ** 2 + (y - 2/3) ** 2), sqrt((x - 2/3) ** 2 + (y - 1/3) ** 2), sqrt((x - 2/3) ** 2 + (y - 2/3) ** 2)) / 0.5) AS thirds,
   {_clamp_sql('least(x0, y0, 1 - x1, 1 - y1) / 0.5')} AS edge, ((1 - abs(l - r) / (l + r)) + (1 - abs(u - d) / (u + d))) / 2 AS balance FROM g)
-SELECT id, round(thirds, 5) AS thirds, round(edge, 5) AS edge, round(balance, 5) AS balance, round(0.35 * thirds + 0.25 * edge + 0.2 * balance + 0.2 * 0.5, 5) AS composition FROM s""",
+SELECT id, round(thirds, 5) AS thirds, round(edge, 5) AS edge, round(balance, 5) AS balance, round(0.35 * thirds + 0.25 * edge + 0.2 * balance + 0.2 * 0.5, 6) AS composition FROM s""",
 )
 def composition_score(spark, sf_dir):
     df = _heatmaps(spark, sf_dir).select("id", m.thirds(F.col("p.x"), F.col("p.y")).alias("thirds"), m.edge_clearance(*[F.col(f"b.{k}") for k in ("x0", "y0", "x1", "y1")]).alias("edge"), m.balance(F.col("h"), 8, 8).alias("balance"))
-    return df.select("id", _r("thirds", 5).alias("thirds"), _r("edge", 5).alias("edge"), _r("balance", 5).alias("balance"), _r(m.composition(F.col("thirds"), F.col("edge"), F.col("balance")), 5).alias("composition"))
+    return df.select("id", _r("thirds", 5).alias("thirds"), _r("edge", 5).alias("edge"), _r("balance", 5).alias("balance"), _r(m.composition(F.col("thirds"), F.col("edge"), F.col("balance")), 6).alias("composition"))
 
 
 @query("line_geometry", f"WITH {ASSETS}, l AS (SELECT id, ((id * 37) % 720) / 2.0 - 180 AS raw FROM a), f AS (SELECT id, ((raw + 90) % 180 + 180) % 180 - 90 AS angle FROM l), v AS (SELECT *, CASE WHEN angle >= 0 THEN angle - 90 ELSE angle + 90 END AS off FROM f) SELECT id, round(angle, 6) AS angle, CASE WHEN abs(angle) <= 30 THEN 'horizontal' WHEN abs(off) <= 30 THEN 'vertical' END AS kind, round(CASE WHEN abs(angle) <= 30 THEN angle WHEN abs(off) <= 30 THEN off END, 6) AS deviation FROM v")
@@ -471,7 +471,7 @@ def reducer_tallies(spark, sf_dir):
     return report.stage2_tallies(fusion.fuse(df).withColumns({k: F.expr(x) for k, x in REDUCERS.items()}))
 
 
-@query("sparkline", f"WITH {ASSETS}, r AS (SELECT exposure, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM a) SELECT p // greatest(n // 40, 1) AS bin, round(avg(exposure), 6) AS mean FROM r GROUP BY ALL HAVING bin < 40")
+@query("sparkline", f"WITH {ASSETS}, r AS (SELECT exposure, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM a) SELECT bin, round(avg(exposure), 6) AS mean FROM (SELECT exposure, p // greatest(n // 40, 1) AS bin FROM r) WHERE bin < 40 GROUP BY bin")
 def sparkline(spark, sf_dir):
     return report.sparkline(events(spark, sf_dir), "exposure", "id").select("bin", _r("mean").alias("mean"))
 
@@ -581,7 +581,7 @@ def route_destination(spark, sf_dir):
     return _decisions(spark, sf_dir).select("id", "decision", decide.destination(F.col("decision"), F.lit("root"), F.col("name")).alias("destination"))
 
 
-@query("move_plan", f"WITH {_DECIDE_SQL}, g AS (SELECT id, decision, CASE WHEN id % 4 = 0 THEN 'root/_review/_rejected/' || name ELSE 'root/' || name END AS source, {_DEST} AS destination FROM d) SELECT *, CASE WHEN decision = 'keeper' THEN 'stay' WHEN source = destination THEN 'skip' ELSE 'move' END AS action FROM g")
+@query("move_plan", f"WITH {_DECIDE_SQL}, g2 AS (SELECT id, decision, CASE WHEN id % 4 = 0 THEN 'root/_review/_rejected/' || name ELSE 'root/' || name END AS source, {_DEST} AS destination FROM d) SELECT *, CASE WHEN decision = 'keeper' THEN 'stay' WHEN source = destination THEN 'skip' ELSE 'move' END AS action FROM g2")
 def move_plan(spark, sf_dir):
     d = _decisions(spark, sf_dir).withColumn("root", F.lit("root"))
     existing = d.where("id % 4 = 0").select("id", F.concat(F.lit("root/_review/_rejected/"), F.col("name")).alias("current"))
@@ -595,7 +595,7 @@ def sidecar_rating(spark, sf_dir):
     return xml.select("id", F.regexp_extract("xml", r'crs:Rating="(\d)"', 1).cast("int").alias("rating"), F.contains("xml", F.lit("crs:StraightenAngle=")).alias("has_angle"))
 
 
-@query("auto_accept", f"WITH {_DECIDE_SQL}, o AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'uncertain' ELSE decision END AS decision, s3_known, confidence, kept FROM d) SELECT id, CASE WHEN decision = 'uncertain' AND confidence > 0.6 THEN CASE WHEN kept THEN 'keeper' ELSE 'rejected' END ELSE decision END AS decision FROM o")
+@query("auto_accept", f"WITH {_DECIDE_SQL}, o2 AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'uncertain' ELSE decision END AS decision, s3_known, confidence, kept FROM d) SELECT id, CASE WHEN decision = 'uncertain' AND confidence > 0.6 THEN CASE WHEN kept THEN 'keeper' ELSE 'rejected' END ELSE decision END AS decision FROM o2")
 def auto_accept(spark, sf_dir):
     opened = _decisions(spark, sf_dir).withColumn("decision", F.when(F.col("id") % 5 == 0, "uncertain").otherwise(F.col("decision")))
     return decide.auto_accept(opened).select("id", "decision")
@@ -674,13 +674,13 @@ def slug(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", t.slug(F.col("url")).alias("slug"))
 
 
-_HINTS = ["CASE WHEN composition IS NOT NULL THEN 'Note: Stage 2 composite score was ' || printf('%.2f', exposure) || '.' END", "CASE WHEN composition IS NOT NULL THEN 'Note: prior composition analysis scored ' || printf('%.2f', composition) || '.' END", "CASE WHEN motion > 3 THEN 'Note: directional frequency analysis suggests possible motion blur.' END", "CASE WHEN is_bokeh THEN 'Note: shallow depth of field may be intentional; judge subject sharpness without rewarding a weak frame overall.' END", "CASE WHEN has_portrait THEN 'Note: a face was detected in the frame.' END", "CASE WHEN id % 7 = 1 THEN 'Note: expression classifier detected ''happy''.' END", "CASE WHEN eyes_closed THEN 'Note: eye closure was detected — verify if subject''s eyes are open.' END", "CASE WHEN occluded THEN 'Note: face occlusion was detected — verify if the subject is obstructed.' END", "CASE WHEN clip_high > 0.03 THEN 'Note: highlight clipping detected in prior exposure analysis.' END", "CASE WHEN clip_low > 0.2 THEN 'Note: shadow clipping detected in prior exposure analysis.' END", "CASE WHEN abs(cast_a) > 8 THEN 'Note: color cast detected in prior exposure analysis.' END"]
+_HINTS = ["CASE WHEN composition IS NOT NULL THEN 'Note: Stage 2 composite score was ' || printf('%.2f', topiq) || '.' END", "CASE WHEN composition IS NOT NULL THEN 'Note: prior composition analysis scored ' || printf('%.2f', composition) || '.' END", "CASE WHEN motion > 3 THEN 'Note: directional frequency analysis suggests possible motion blur.' END", "CASE WHEN is_bokeh THEN 'Note: shallow depth of field may be intentional; judge subject sharpness without rewarding a weak frame overall.' END", "CASE WHEN has_portrait THEN 'Note: a face was detected in the frame.' END", "CASE WHEN id % 7 = 1 THEN 'Note: expression classifier detected ''happy''.' END", "CASE WHEN eyes_closed THEN 'Note: eye closure was detected — verify if subject''s eyes are open.' END", "CASE WHEN occluded THEN 'Note: face occlusion was detected — verify if the subject is obstructed.' END", "CASE WHEN clip_high > 0.03 THEN 'Note: highlight clipping detected in prior exposure analysis.' END", "CASE WHEN clip_low > 0.2 THEN 'Note: shadow clipping detected in prior exposure analysis.' END", "CASE WHEN abs(cast_a) > 8 THEN 'Note: color cast detected in prior exposure analysis.' END"]
 
 
 @query("prompt_hints", f"WITH {ASSETS}, l AS (SELECT id, list_filter([{', '.join(_HINTS)}], lambda x: x IS NOT NULL) AS l FROM a) SELECT id, CASE WHEN len(l) = 0 THEN 'No prior flags.' ELSE array_to_string(l, chr(10)) END AS hints FROM l")
 def prompt_hints(spark, sf_dir):
     k = F.col
-    hints = t.prompt_hints(F.when(k("composition").isNotNull(), k("exposure")), k("composition"), k("motion") > 3, k("is_bokeh"), k("has_portrait"), F.when(k("id") % 7 == 1, "happy"), k("eyes_closed"), k("occluded"), k("clip_high") > c.CLIP_HIGH_MAX, k("clip_low") > c.CLIP_LOW_MAX, F.abs("cast_a") > c.CAST_A)
+    hints = t.prompt_hints(F.when(k("composition").isNotNull(), k("topiq")), k("composition"), k("motion") > 3, k("is_bokeh"), k("has_portrait"), F.when(k("id") % 7 == 1, "happy"), k("eyes_closed"), k("occluded"), k("clip_high") > c.CLIP_HIGH_MAX, k("clip_low") > c.CLIP_LOW_MAX, F.abs("cast_a") > c.CAST_A)
     return events(spark, sf_dir).select("id", hints.alias("hints"))
 
 
