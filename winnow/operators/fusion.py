@@ -52,7 +52,7 @@ def fuse(df: DataFrame, preset: str = "general") -> DataFrame:
     """
     w = c.preset(preset)
     topiq = blended_topiq(F.col("topiq"), _of(df, "subject"), F.coalesce(_of(df, "is_bokeh"), F.lit(False)), w)
-    taste = F.least(_of(df, "taste_labels") / c.TASTE_RAMP, F.lit(1.0)) * w["taste"] * _of(df, "taste")
+    taste = F.least(F.coalesce(_of(df, "taste_labels"), F.lit(0)) / c.TASTE_RAMP, F.lit(1.0)) * w["taste"] * _of(df, "taste")
     reducer = _zero(_of(df, "scene_bonus")) * w["scene"] - _zero(_of(df, "palette_outlier")) * w["palette"] - _zero(_of(df, "exposure_drift")) * w["drift"] - _zero(_of(df, "exif_anomaly")) * w["exif"]
     terms = topiq * w["topiq"] + F.col("laion") * w["laion"] + F.col("clipiqa") * w["clipiqa"] + F.col("exposure") * w["exposure"]
     base = F.round(terms + _zero(_of(df, "composition")) * w["composition"] + _zero(taste) - _zero(_of(df, "tilt_penalty")) * w["tilt"] + reducer, 9)
