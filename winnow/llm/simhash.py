@@ -8,10 +8,12 @@
    w-t bits left after masking some t of them, so all probes are equi-joins on (mask, masked value).
 3. `link_fingerprints`: buckets of equal (mask, value) are verified.  A bucket over `bucket_rows` is never brought
    together: its rows are dealt anew over d+1 masks, each with another part of its free bits, of which one part must
-   agree for any two rows within d bits - or, once no more than d free bits are left, all its rows are linked.
+   agree for any two rows within d bits - or, once no more than d free bits are left, all its rows are linked.  For
+   d over 3, where that would multiply too often, it is cut into blocks instead, and pairs of blocks are compared.
 
-Only distinct fingerprints take part, so copies of a text never make pairs.  A bucket gives the edges of a
-spanning forest of its links (or each pair, where pairs are to be verified on the texts), never more.
+Only distinct fingerprints take part, so copies of a text never make pairs.  A crowded bucket
+gives a star per connected component of its links (and each row's nearest rows, where pairs are to be verified on the
+texts) instead of all links, so what leaves it grows with its rows.
 """
 
 from __future__ import annotations
@@ -221,8 +223,30 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_edges(max_bits: int, every_pair: bool, small: int = 64):
-    """A mapInArrow function over rows (mask, val, fp) sorted by (mask, val), buckets not cut between tasks."""
+def _sparse(x: np.ndarray, i: np.ndarray, j: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star per connected component of the links (i, j) and, for each row, its `nearest` nearest rows before it."""
+    label = _forest(len(x), i, j)
+    own = np.flatnonzero(label != np.arange(len(x)))
+    if not nearest:
+        return x[own], x[label[own]]
+    order = np.lexsort((i, np.bitwise_count(x[i] ^ x[j]), j))
+    i, j = i[order], j[order]
+    place = np.arange(len(j)) - np.searchsorted(j, j)
+    near = place < nearest
+    return np.concatenate((x[own], x[j[near]])), np.concatenate((x[label[own]], x[i[near]]))
+
+
+def bucket_edges(max_bits: int, every_pair: bool, small: int = 64, dense: int = 4):
+    """A mapInArrow function over rows (mask, val, fp) sorted by (mask, val), buckets not cut between tasks.
+
+    A bucket with over `dense` links a row gives a star per component of them (with every_pair, also each row's `dense`
+    nearest rows before it), so what leaves a bucket grows with its rows.
+    """
+
+    def one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.sort(x)
+        i, j = _near(x, max_bits)
+        return (x[i], x[j]) if len(i) <= dense * len(x) else _sparse(x, i, j, dense if every_pair else 0)
 
     def edges(fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = np.cumsum(size) - size
@@ -233,19 +257,13 @@ def bucket_edges(max_bits: int, every_pair: bool, small: int = 64):
             for k in range(0, len(rows), step):
                 block = fp[rows[k : k + step, None] + np.arange(c)]
                 hit, which = np.nonzero(np.bitwise_count(block[:, i] ^ block[:, j]) <= max_bits)
-                yield block[hit, i[which]], block[hit, j[which]]
+                crowded = np.bincount(hit, minlength=len(block)) > dense * c
+                plain = ~crowded[hit]
+                yield block[hit[plain], i[which[plain]]], block[hit[plain], j[which[plain]]]
+                for b in np.flatnonzero(crowded).tolist():
+                    yield one(block[b])
         for k in np.flatnonzero(size > small).tolist():
-            x = np.sort(fp[at[k] : at[k] + size[k]])
-            i, j = _near(x, max_bits)
-            if every_pair and len(i) <= small * len(x):
-                yield x[i], x[j]
-                continue
-            label = _forest(len(x), i, j)
-            own = label != np.arange(len(x))
-            yield x[own], x[label[own]]
-            if every_pair:  # besides the forest, each row's nearest row by value
-                near = np.bitwise_count(x[1:] ^ x[:-1]) <= max_bits
-                yield x[1:][near], x[:-1][near]
+            yield one(fp[at[k] : at[k] + size[k]])
 
     def out(fp: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = list(edges(fp, size))
@@ -280,11 +298,23 @@ def _deal(rows: DataFrame, masks: list[int]) -> DataFrame:
     return rows.select("fp", each).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("val"), "fp")
 
 
+def _block_pairs(hot: DataFrame, rows: int) -> DataFrame:
+    """Oversized buckets cut into blocks of about `rows`; each pair of blocks becomes a bucket of its own.
+
+    Any two rows of a bucket meet in some pair, no task holds more than two blocks, and a pair gives edges in
+    proportion to its rows.
+    """
+    blocks = F.ceil(F.col("n") / rows)
+    dealt = hot.withColumn("i", F.pmod(F.xxhash64("fp"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    key = F.xxhash64("mask", "val", F.least("i", "j"), F.greatest("i", "j"))
+    return dealt.select("mask", key.alias("val"), "fp").repartition("mask", "val").sortWithinPartitions("mask", "val")
+
+
 def link_fingerprints(distinct: DataFrame, max_bits: int, every_pair: bool = False, bucket_rows: int = 4096) -> DataFrame:
-    """(a, b) edges between fingerprints within max_bits bits, whose components are those of all such links.
+    """(a, b) edges whose components are those of all links, that is pairs of fingerprints within max_bits bits.
 
     distinct: one bigint column fp without repeats or nulls.  With every_pair, buckets give all their
-    links, for a later check on the texts, unless those are over 64 a row on average.
+    links, for a later check on the texts; crowded ones a star per component and each row's nearest rows.
     """
     n, both = bit_statistics(distinct)
     masks = plan_masks(n, both, max_bits) if n > 1 else [FULL]
@@ -300,6 +330,9 @@ def link_fingerprints(distinct: DataFrame, max_bits: int, every_pair: bool = Fal
         hot_masks = [r.mask & FULL for r in hot.select("mask").distinct().collect()]  # masks of one level, fixed by the plan
         if not hot_masks:
             break
+        if max_bits > 3:  # finer masks would multiply by max_bits + 1 at each level
+            found.append(map_batches(_block_pairs(hot, bucket_rows // 2), bucket_edges(max_bits, every_pair), "a bigint, b bigint"))
+            break
         split, alike = {}, []
         for mask in hot_masks:
             free = [b for b in order if not mask >> b & 1]
@@ -360,8 +393,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates are texts of which one of `families` SimHashes over distinct shingles differs in at most max_bits bits;
     a link is one with a Jaccard similarity of at least `similarity` over the shingles.  Equal texts are one text from the start; texts of
     equal fingerprints are compared with the first of them.  near_first is the row with the smallest id of its group
-    (null ids last).  Null texts are a group of their own, as are blank ones.  An empty table gives an empty result.
+    (null ids last).  Null texts are a group of their own, as are blank ones.  Columns named near_... as here are replaced.  An empty table gives an empty result.
     """
+    docs = docs.drop("near_key", "near_group", "near_first", "near_low")
     keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(text_col).cast("string"))).cast("bigint"))
     marked = fingerprints(keyed.select("near_key", F.col(id_col).alias("id"), F.col(text_col).alias("text")), ("near_key", "id"), "text", shingle, True, families)
     texts = scratch(marked.groupBy("near_key").agg(F.min("fps").alias("fps"), F.min("id").alias("low")), "texts")
@@ -370,7 +404,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k in range(families):
         own = texts.select("near_key", "low", F.col("fps")[k].alias("fp"))
         first = scratch(own.groupBy("fp").agg(F.min(F.struct(F.coalesce("low", none).alias("low"), "near_key"))["near_key"].alias("rep")), "first")
-        edges = link_fingerprints(first.select("fp"), max_bits, every_pair=True)
+        edges = link_fingerprints(first.select("fp"), max_bits, every_pair=True).distinct()
         across = edges.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
         within = own.join(first, "fp").where("near_key != rep").select(F.least("near_key", "rep").alias("a"), F.greatest("near_key", "rep").alias("b"))
         both = scratch(across.unionByName(within), "candidates")
@@ -399,7 +433,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """One row of each group of near-copies: the one with the smallest id, once if it is repeated."""
-    return near_duplicates(docs, **how).where("near_first").dropDuplicates(["near_group"]).select(*docs.columns)
+    kept = near_duplicates(docs, **how).where("near_first").dropDuplicates(["near_group"])
+    return kept.select(*[c for c in docs.columns if not c.startswith("near_") or c in kept.columns])
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
