@@ -67,8 +67,10 @@ def link_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     messages has conv, turn, role, text, and for tool traffic: call_id and tool and arguments (a call), result_of (a
     result), after (the id it must follow), id.  status: call with a result `linked`, without `unanswered`; result with a
     call `linked`, without `orphan`; else `plain`.  valid is null but for calls.  Rows with null ids stay, as plain
-    or orphan; repeated rows stay; an empty table gives an empty result.
+    or orphan; repeated rows stay; an empty table gives an empty result.  Columns with the
+    name of an added one are replaced.
     """
+    messages = messages.drop("depth", "status", "valid", "line", "has_call", "has_result", "_call", "_result")
     ids = depths(messages.select("id", "after"))
     calls = messages.where("call_id is not null").select("call_id").distinct().withColumn("has_call", F.lit(True))
     results = messages.where("result_of is not null").select("result_of").distinct().withColumn("has_result", F.lit(True))

@@ -1,45 +1,5 @@
-"""Connected components of an edge table by alternating star contractions (large star, small star).
+"""Connected components; see winnow.operators.graph."""
 
-Each round is two aggregations with map-side combine and two equi-joins whose one side is unique per key, so
-a node with any number of neighbours never has to fit in one task.  A round ends in a table in the shared
-folder; only two numbers of it (rows and a checksum, to see that nothing moved) reach the driver.
-"""
+from ..operators.graph import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .kit import drop_scratch, scratch
-
-
-def _mark(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-
-
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge: root is the smallest node id that can be reached.
-
-    Edges may repeat, point either way or be loops; a null end drops the edge.  No edges: no rows.
-    """
-    x, y = F.col(a), F.col(b)
-    pairs = scratch(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
-    before = _mark(pairs)
-    for _ in range(max_rounds if before[0] else 0):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        after = scratch(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
-        mark = _mark(after)
-        drop_scratch(pairs)
-        pairs = after
-        if mark == before:
-            break
-        before = mark
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+__all__ = ["components"]

@@ -198,8 +198,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key_cols: tuple[str, ..
 
     A window is `window` consecutive words of an item (a shorter item that has words is one window).  Null texts
     have no words; an item without words never matches; a null item id counts as the empty id; an id on several
-    rows is one item.  Any other columns of docs are left out unless named in key_cols.
+    rows is one item.  Any other columns of docs are left out unless named in key_cols; those
+    with the name of an added one always are.
     """
+    key_cols = tuple(c for c in key_cols if c not in ("text", "n_words", "spans", "items"))
     df = docs.select(*[F.col(c) for c in key_cols], F.col(text_col).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -367,8 +367,9 @@ def train(pages: Iterable[str] | None = None) -> Model:
 def extract_text(pages: DataFrame, model: Model | None = None, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with out_col in place of html_col: the main text, empty if there is none or html is null or empty.
 
-    Rows keep their other columns; repeated rows stay; an empty table gives an empty result.
+    Rows keep their other columns (one named like out_col is replaced); repeated rows stay; an empty table gives an empty result.
     """
+    pages = pages.drop(*[c for c in pages.columns if c == out_col and c != html_col])
     shared = pages.sparkSession.sparkContext.broadcast(model or train())  # a few hundred potentials
     at = pages.columns.index(html_col)
     schema = ", ".join(f"`{out_col if f.name == html_col else f.name}` {'string' if f.name == html_col else f.dataType.simpleString()}" for f in pages.schema)

@@ -7,17 +7,16 @@ many documents a partition holds.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..tables import drop_scratch, scratch, shared_dir, ship
+
+__all__ = ["SPACES", "Spans", "chain", "drop_scratch", "map_batches", "masked", "per_doc_sum", "scramble", "scratch", "shared_dir", "ship", "slices", "table", "text_bytes", "words_of"]
 SLICE_BYTES = 1 << 21
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, dtype=bool)
@@ -29,58 +28,12 @@ _MASK = (1 << 64) - 1
 # ---------------------------------------------------------------- sessions and scratch tables
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    made = sc._jsc.sc().getCheckpointDir()
-    if not made.isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="winnow-"))
-        made = sc._jsc.sc().getCheckpointDir()
-    return str(made.get()).rstrip("/")
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: the plan starts anew from files
-    that every executor sees, so a lost executor costs no recomputation of what came before."""
-    spark = session_of(df)
-    path = f"{shared_dir(spark)}/winnow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Removes the files of a table made by scratch(), once nothing reads it any more."""
-    spark = session_of(df)
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        if path.getName().startswith("winnow-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(session_of(df))
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -51,8 +51,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """docs with mix_size, mix_source_size, mix_target and mix_copies, a row for every row of docs.
 
     A null text has size 0; a null source is a source of its own; rows with the same id and text draw alike.
-    Other columns stay.  An empty table gives an empty result.
+    Other columns stay, but for those named mix_... as here.  An empty table gives an empty result.
     """
+    docs = docs.drop("mix_size", "mix_source", "mix_source_size", "mix_target", "mix_copies", "mix_of", "mix_salt", "mix_copy")
     sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
     targets = scratch(source_targets(sized.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size")), weights, most), "sources")
     targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
@@ -69,7 +70,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs mix_copies times, with its columns and no others."""
     plan = mix_plan(docs, **how)
-    return plan.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    return plan.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[c for c in docs.columns if c in plan.columns])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -135,8 +135,9 @@ def trusted_ids(labels: DataFrame, sample: int = 20_000) -> DataFrame:
 def assess(docs: DataFrame, labels: DataFrame, sample: int = 20_000, damping: float = 500.0, threshold: float = -0.15, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """docs with STATS, llr, base_failed and kept.  A null text has no words; without labels every llr is 0.
 
-    Rows keep all their columns (which must not have the names added here) and repeated rows stay.
+    Rows keep their other columns (one with the name of an added one is replaced) and repeated rows stay.
     """
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
     table = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted_ids(labels, sample)))
     at = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -83,11 +83,13 @@ def template_verdicts(pages: DataFrame, fan_out: int = 30, smooth: float = 10.0,
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, **how) -> DataFrame:
-    """pages with host, path, rule, verdict, template, purity; one row per row of pages, other columns stay.
+    """pages with host, path, rule, verdict, template, purity; one row per row of pages; other columns
+    stay, but for those with the name of an added one, or raw, ruled and rejected.
 
     Labelled pages are those a rule decides: allow is good, block is bad.  An empty url, or one without ://, has an
     empty host and path and is judged by the root of that host's tree.  An empty table gives an empty result.
     """
+    pages = pages.drop("host", "path", "rule", "verdict", "template", "purity", "raw", "ruled", "rejected")
     host, path = split_url(F.col(url_col))
     parsed = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
