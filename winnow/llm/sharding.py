@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
 Documents are linked by a link key (here: equal texts); a key's documents are a hyperedge.  Each document starts in
-a shard drawn by hash.  In every round each link key names the shard that holds most of its documents, and the
-others propose to move there.  Shards have quotas: a proposal from i to j passes if a hash of the document is under
+a shard drawn by hash.  In every round each link key names the shard with room that holds most of its documents, and
+those in shards that hold fewer propose to move there.  Shards have quotas: a proposal from i to j passes if a hash of the document is under
 the share that is open, which is the room left in j plus what j gives up to i in the same round.  Only counts by
 (link key, shard), and 64 flows, leave the tasks; rounds end when hardly any document moves.
 
@@ -50,9 +50,12 @@ def propagate(state: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     shards = len(quota)
     for k in range(rounds):
         sizes = _counts(state, shards)
-        held = state.groupBy("link", "shard").agg(F.count("*").alias("n"))
-        best = held.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")).alias("b")).select("link", F.col("b.shard").alias("to"))
-        proposed = state.join(best, "link")
+        held = state.groupBy("link", "shard").agg(F.count("*").alias("n")).withColumn("pull", F.struct("n", F.xxhash64("link", "shard").alias("tie")))
+        roomy = [j for j in range(shards) if sizes[j] < quota[j]] or list(range(shards))
+        best = held.where(F.col("shard").isin(roomy)).groupBy("link").agg(F.max(F.struct("pull", "shard")).alias("b")).select("link", F.col("b.pull").alias("there"), F.col("b.shard").alias("best"))
+        # a document goes where more of its link are than where it is; those in a full shard that leads stay
+        proposed = state.join(held.select("link", "shard", "pull"), ["link", "shard"]).join(best, "link", "left")
+        proposed = proposed.withColumn("to", F.when(F.col("there") > F.col("pull"), F.col("best")).otherwise(F.col("shard"))).select(*state.columns, "to")
         flows = {(r.shard, r.to): r.n for r in proposed.where("shard != to").groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # shards squared at most
         shares = {}
         for (i, j), n in flows.items():
@@ -73,7 +76,7 @@ def propagate(state: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     return state
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: F.Column | None = None, shards: int = 8, rounds: int = 4, seed: int = 5) -> DataFrame:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: F.Column | None = None, shards: int = 8, rounds: int = 6, seed: int = 5) -> DataFrame:
     """One row per row of docs: id, size (UTF-8 bytes plus 1), text_crc32, shard, slot.
 
     link: the link key (default: the text, a null text being linked to nulls only); rows with a null key are not
