@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .kit import Spans, chain, map_batches, per_doc_sum, scratch, ship, slices, text_bytes, words_of
 
-SEGMENT_BYTES = 6 << 20
+SEGMENT_BYTES = 4 << 20
+HASH_BYTES = 1 << 19
 BUCKET_BYTES = 8 << 20
 ALPHA = 0.4
 LOWER = np.arange(256, dtype=np.uint8)
@@ -44,14 +45,23 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel()
 
 
+def unpacked(text: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
+
+
 def grams(b: np.ndarray, off: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(for each k in 1..order, hashes of the k-grams that end at each word, first word of each document).
 
     Where a document has fewer than k words up to there, the entry is 0.
     """
-    b = LOWER[b]
-    starts, ends, first = words_of(b, off)
-    h = Spans(b).hashes(starts, ends)
+    parts, counts = [], []
+    for i, j in slices(off, HASH_BYTES):  # a word's hash does not depend on its place
+        x = LOWER[b[off[i] : off[j]]]
+        starts, ends, at = words_of(x, off[i : j + 1] - off[i])
+        parts.append(Spans(x).hashes(starts, ends))
+        counts.append(np.diff(at))
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    first = np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
     place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
     out = []
     for k in range(1, order + 1):
@@ -80,7 +90,7 @@ def segments_of(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int
             off = np.concatenate(([0], np.cumsum(sizes)))
             number += 1
             n_words = len(words_of(text, off)[0])
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([n_words], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([off.astype("<i8").tobytes()]), pa.array([text.tobytes()])], names=["seg", "words", "ids", "off", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([n_words], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([len(text)], pa.int64()), pa.array([squeeze(off)]), pa.array([zstandard.ZstdCompressor(level=3).compress(text.tobytes())])], names=["seg", "words", "ids", "bytes", "off", "text"])
 
         size = 0
         for batch in batches:
@@ -94,14 +104,14 @@ def segments_of(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int
         if held:
             yield out()
 
-    return scratch(map_batches(slim, run, "seg bigint, words bigint, ids array<bigint>, off binary, text binary"), "segments")
+    return scratch(map_batches(slim, run, "seg bigint, words bigint, ids array<bigint>, bytes bigint, off binary, text binary"), "segments")
 
 
 def _requests(segments: DataFrame, bits: int, order: int, counted: bool, answered: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seg, off, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                found, _ = grams(np.frombuffer(text.as_py(), np.uint8), np.frombuffer(off.as_py(), "<i8"), order)
+                found, _ = grams(unpacked(text.as_py()), unsqueeze(off.as_py()).astype(np.int64), order)
                 keys = np.sort(np.concatenate(found))
                 keys = keys[np.searchsorted(keys, 1) :]
                 cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
@@ -142,7 +152,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str
     """
     own = segments_of(docs, id_col, text_col)
     base = own if corpus is None else segments_of(corpus, id_col, text_col)
-    total, size = base.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    total, size = base.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bits = max(3, math.ceil(math.log2(max(1, size / bucket_bytes))))
     asked = _requests(own, bits, order, corpus is None, True)
     if corpus is not None:
@@ -156,7 +166,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str
         known = np.concatenate([[0], *parts]).astype(np.float64)
         ids, n_words, scores, orders = [], [], [], []
         for row_ids, off, text in zip(left["ids"].to_pylist(), left["off"].to_pylist(), left["text"].to_pylist()):
-            found, first = grams(np.frombuffer(text, np.uint8), np.frombuffer(off, "<i8"), order)
+            found, first = grams(unpacked(text), unsqueeze(off).astype(np.int64), order)
             keys, back = np.unique(np.concatenate([np.zeros(1, np.uint64), *found]), return_inverse=True)
             counts = known[back[1:]].reshape(order, -1)  # key 0, no gram, comes first and counts 0
             value = np.log(np.maximum(counts[0], 0.5) / max(total, 1))
