@@ -188,6 +188,73 @@ def test_near_duplicates_are_verified_and_one_of_each_group_stays(spark):
     assert simhash.without_near_duplicates(docs(spark, [])).count() == 0
 
 
+def brute_groups(data, size=5, least=0.8):
+    """The components of all links of Jaccard similarity `least` or more over word shingles, as sets of positions."""
+    sets = []
+    for t in data:
+        w = t.lower().split()
+        sets.append({" ".join(w[k : k + size]) for k in range(max(1, len(w) - size + 1))})
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(data)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= least * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    groups = {}
+    for x in range(len(data)):
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+def edited(r, text, edits):
+    w = text.split()
+    for k in r.sample(range(len(w)), edits):
+        w[k] = f"z{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def near_groups(spark, data, **how):
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string")
+    groups = {}
+    for r in simhash.near_duplicates(df, **how).collect():
+        groups.setdefault(r.near_group, []).append(r.doc_id)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_near_duplicates_find_every_link_in_a_template_family(spark):
+    r = random.Random(8)
+    template = " ".join(f"w{r.randrange(5000)}" for _ in range(200))
+    family = [edited(r, template, 5) for _ in range(300)]  # pairs of them at about 0.65
+    data = family + [edited(r, x, 3) for x in family[:60]]  # copies at about 0.87
+    got = near_groups(spark, data)
+    assert got == brute_groups(data) and sum(len(g) > 1 for g in got) >= 40
+
+
+def test_families_are_compared_whole_in_blocks(spark):
+    r = random.Random(10)
+    template = " ".join(f"w{r.randrange(5000)}" for _ in range(80))
+    data = [edited(r, template, r.randrange(1, 6)) for _ in range(90)]
+    words = [x.split() for x in data]
+    hashes = [sorted({xxhash.xxh64_intdigest(" ".join(w[k : k + 5]), 42) for k in range(76)}) for w in words]
+    sets = spark.createDataFrame([(i, np.array(h, dtype=np.uint64).tobytes()) for i, h in enumerate(hashes)], "key bigint, hashes binary")
+    members = spark.createDataFrame([(i, 0) for i in range(90)], "key bigint, family bigint")
+    for block_bytes in (1 << 20, 9000):
+        found = simhash.family_links(members, sets, 0.8, block_bytes).collect()
+        root = list(range(90))
+        for _ in range(90):
+            for a, b in found:
+                root[a] = root[b] = min(root[a], root[b])
+        groups = sorted(sorted(x for x in range(90) if root[x] == k) for k in set(root))
+        assert groups == brute_groups(data)
+
+
 # ---------------------------------------------------------------- op4
 
 

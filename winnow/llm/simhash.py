@@ -11,9 +11,11 @@
    agree for any two rows within d bits - or, once no more than d free bits are left, all its rows are linked.  For
    d over 3, where that would multiply too often, it is cut into blocks instead, and pairs of blocks are compared.
 
-Only distinct fingerprints take part, so copies of a text never make pairs.  A crowded bucket
-gives a star per connected component of its links (and each row's nearest rows, where pairs are to be verified on the
-texts) instead of all links, so what leaves it grows with its rows.
+Only distinct fingerprints take part, so copies of a text never make pairs.  A crowded bucket gives a star per
+connected component of its links instead of all links, so what leaves it grows with its rows.
+
+Near-copies by Jaccard similarity are not left to SimHash: `near_duplicates` also takes every pair that exact prefix
+filtering leaves (see `prefix_edges`), and compares families of crowded prefixes whole (see `family_edges`).
 """
 
 from __future__ import annotations
@@ -85,30 +87,54 @@ def rehash(hashes: np.ndarray, k: int) -> np.ndarray:
     return hashes if k == 0 else scramble(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & FULL))
 
 
-def fingerprints(docs: DataFrame, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", shingle: int = 3, distinct: bool = False, families: int = 1) -> DataFrame:
+class Prefix:
+    """Of a set of n shingle hashes, the first n - ceil(similarity n) + 1 in an order that all sets share.
+
+    Two sets whose Jaccard similarity is at least `similarity` have a hash in common among these, whatever the order.
+    The order puts hashes in `common` (sorted; `counts` says how common) last, so that they seldom are in a prefix.
+    """
+
+    def __init__(self, similarity: float, common: np.ndarray, counts: np.ndarray):
+        self.similarity, self.common, self.counts = similarity, common, counts
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        size = len(x) - math.ceil(self.similarity * len(x) - 1e-9) + 1 if len(x) else 0
+        if not len(self.common):
+            return x[:size]
+        at = np.minimum(np.searchsorted(self.common, x), len(self.common) - 1)
+        count = np.where(self.common[at] == x, self.counts[at], 0)
+        return x[np.argsort(count, kind="stable")[:size]]
+
+
+def fingerprints(docs: DataFrame, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", shingle: int = 3, distinct: bool = False, families: int = 1, prefix: Prefix | None = None) -> DataFrame:
     """(*key_cols, fps array<bigint>) per row of docs: a fingerprint for each family of hashes.
 
     A null, empty or blank text has fingerprints 0; repeated rows stay.  A bit is a majority over the text's
-    shingles, repeats included, or over the distinct ones.
+    shingles, repeats included, or over the distinct ones.  With prefix (and distinct), also n int, the number of
+    distinct shingles, and prefix binary, those of them that prefix.of() takes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, off = text_bytes(batch.column(len(key_cols)))
-            found = []
+            found, n, heads = [], [], []
             for i, j in slices(off):
                 if distinct:
                     sets = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
                     hashes, counts = np.concatenate(sets), np.array([len(x) for x in sets])
+                    if prefix:
+                        n.extend(len(x) for x in sets)
+                        heads.extend(prefix.of(x).tobytes() for x in sets)
                 else:
                     hashes, counts = shingle_hashes(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
                 found.append(np.stack([simhash(rehash(hashes, k), counts) for k in range(families)], axis=1))
             fps = np.concatenate(found) if found else np.zeros((0, families), np.uint64)
             packed = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * families, pa.int32()), pa.array(fps.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key_cols)], packed], names=[*batch.schema.names[: len(key_cols)], "fps"])
+            more = [pa.array(n, pa.int32()), pa.array(heads, pa.binary())] if prefix else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key_cols)], packed, *more], names=[*batch.schema.names[: len(key_cols)], "fps", *["n", "prefix"][: len(more)]])
 
     slim = docs.select(*key_cols, F.col(text_col).cast("string").alias("_text"))
-    return map_batches(slim, run, ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in key_cols) + ", fps array<bigint>")
+    return map_batches(slim, run, ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in key_cols) + ", fps array<bigint>" + ", n int, prefix binary" * (prefix is not None))
 
 
 # ---------------------------------------------------------------- the plan: partitions and thresholds
@@ -223,30 +249,42 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _sparse(x: np.ndarray, i: np.ndarray, j: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star per connected component of the links (i, j) and, for each row, its `nearest` nearest rows before it."""
+def _star(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star per connected component of the links (i, j)."""
     label = _forest(len(x), i, j)
     own = np.flatnonzero(label != np.arange(len(x)))
-    if not nearest:
-        return x[own], x[label[own]]
-    order = np.lexsort((i, np.bitwise_count(x[i] ^ x[j]), j))
-    i, j = i[order], j[order]
-    place = np.arange(len(j)) - np.searchsorted(j, j)
-    near = place < nearest
-    return np.concatenate((x[own], x[j[near]])), np.concatenate((x[label[own]], x[i[near]]))
-
-
-def bucket_edges(max_bits: int, every_pair: bool, small: int = 64, dense: int = 4):
+    return x[own], x[label[own]]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, sizes of the groups in them) of rows sorted by their first `by` columns, groups never cut."""
+    rest = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            cols = [np.concatenate(z) for z in zip(rest, cols)]
+        if not len(cols[0]):
+            continue
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:by]])) + 1
+        bounds = np.concatenate(([0], cut))
+        whole = bounds[-1]
+        rest = [c[whole:] for c in cols]
+        if whole:
+            yield [c[:whole] for c in cols], np.diff(bounds)
+    if rest is not None and len(rest[0]):
+        yield rest, np.array([len(rest[0])])
+
+
+def bucket_edges(max_bits: int, small: int = 64, dense: int = 4):
     """A mapInArrow function over rows (mask, val, fp) sorted by (mask, val), buckets not cut between tasks.
 
-    A bucket with over `dense` links a row gives a star per component of them (with every_pair, also each row's `dense`
-    nearest rows before it), so what leaves a bucket grows with its rows.
+    A bucket with over `dense` links a row gives a star per component of them, so what leaves a bucket grows with its rows.
     """
 
     def one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.sort(x)
         i, j = _near(x, max_bits)
-        return (x[i], x[j]) if len(i) <= dense * len(x) else _sparse(x, i, j, dense if every_pair else 0)
+        return (x[i], x[j]) if len(i) <= dense * len(x) else _star(x, i, j)
 
     def edges(fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = np.cumsum(size) - size
@@ -273,22 +311,8 @@ def bucket_edges(max_bits: int, every_pair: bool, small: int = 64, dense: int =
             yield pa.record_batch([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if rest is not None:
-                cols = [np.concatenate(z) for z in zip(rest, cols)]
-            mask, val, fp = cols
-            if not len(fp):
-                continue
-            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (val[1:] != val[:-1])) + 1
-            bounds = np.concatenate(([0], cut))
-            whole = bounds[-1]
-            rest = [c[whole:] for c in cols]
-            if whole:
-                yield from out(fp[:whole].view(np.uint64), np.diff(bounds))
-        if rest is not None and len(rest[0]):
-            yield from out(rest[2].view(np.uint64), np.array([len(rest[0])]))
+        for (_, _, fp), size in _groups(batches, 2):
+            yield from out(fp.view(np.uint64), size)
 
     return run
 
@@ -310,11 +334,10 @@ def _block_pairs(hot: DataFrame, rows: int) -> DataFrame:
     return dealt.select("mask", key.alias("val"), "fp").repartition("mask", "val").sortWithinPartitions("mask", "val")
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int, every_pair: bool = False, bucket_rows: int = 4096) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, max_bits: int, bucket_rows: int = 4096) -> DataFrame:
     """(a, b) edges whose components are those of all links, that is pairs of fingerprints within max_bits bits.
 
-    distinct: one bigint column fp without repeats or nulls.  With every_pair, buckets give all their
-    links, for a later check on the texts; crowded ones a star per component and each row's nearest rows.
+    distinct: one bigint column fp without repeats or nulls.
     """
     n, both = bit_statistics(distinct)
     masks = plan_masks(n, both, max_bits) if n > 1 else [FULL]
@@ -325,13 +348,13 @@ def link_fingerprints(distinct: DataFrame, max_bits: int, every_pair: bool = Fal
         sizes = keys.groupBy("mask", "val").agg(F.count("*").alias("n")).where("n > 1")
         shared = scratch(keys.join(sizes, ["mask", "val"]), "buckets")
         ready = shared.where(F.col("n") <= bucket_rows).select("mask", "val", "fp").repartition("mask", "val").sortWithinPartitions("mask", "val")
-        found.append(map_batches(ready, bucket_edges(max_bits, every_pair), "a bigint, b bigint"))
+        found.append(map_batches(ready, bucket_edges(max_bits), "a bigint, b bigint"))
         hot = shared.where(F.col("n") > bucket_rows)
         hot_masks = [r.mask & FULL for r in hot.select("mask").distinct().collect()]  # masks of one level, fixed by the plan
         if not hot_masks:
             break
         if max_bits > 3:  # finer masks would multiply by max_bits + 1 at each level
-            found.append(map_batches(_block_pairs(hot, bucket_rows // 2), bucket_edges(max_bits, every_pair), "a bigint, b bigint"))
+            found.append(map_batches(_block_pairs(hot, bucket_rows // 2), bucket_edges(max_bits), "a bigint, b bigint"))
             break
         split, alike = {}, []
         for mask in hot_masks:
@@ -371,6 +394,180 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return marked.join(of.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+# ---------------------------------------------------------------- exact candidates by prefixes
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 20_000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the shingles that at least `least` of about `sample` texts hold: they only order
+    prefixes, so which texts are looked at changes the cost, never the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, off = text_bytes(batch.column(0))
+            for i, j in slices(off):
+                found, n = np.unique(np.concatenate(shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)), return_counts=True)
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    parts = max(1, texts.count() // sample)
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
+    rows = map_batches(some, run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most).toArrow()
+    hashes = rows["hash"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], rows["n"].to_numpy()[order]
+
+
+def prefix_rows(texts: DataFrame) -> DataFrame:
+    """(hash, key, n, left) for each hash in a text's prefix; left: how many of its n hashes stand from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                b, off = text_bytes(part.column(2))
+                size = np.diff(off) // 8
+                key, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), size) for c in (0, 1))
+                place = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.record_batch([pa.array(np.frombuffer(b.tobytes(), np.int64)), pa.array(key), pa.array(n), pa.array((n - place).astype(np.int32))], names=["hash", "key", "n", "left"])
+
+    return map_batches(texts.select("near_key", "n", "prefix"), run, "hash bigint, key bigint, n int, left int")
+
+
+def prefix_edges(similarity: float, small: int = 64, most: int = 1024, dense: int = 4):
+    """A mapInArrow function over rows of prefix_rows sorted by hash, hashes not cut between tasks: (a, b, family).
+
+    Texts that share a hash are a pair, unless so few hashes stand from it on in one of them that their similarity
+    can't be reached if it is the first they share.  A bucket of one hash with over `dense` pairs a row gives a star
+    per component of its pairs instead, with family set (over `most` rows: one star): its texts are to be compared
+    among each other.
+    """
+
+    def can(n1, left1, n2, left2):
+        return np.minimum(left1, left2) * (1 + similarity) >= similarity * (n1 + n2) - 1e-6
+
+    def edges(key: np.ndarray, n: np.ndarray, left: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        at = np.cumsum(size) - size
+
+        def star(k: int, c: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+            x = key[k : k + c]
+            return (x[i], x[j], False) if len(i) <= dense * c else (*_star(x, i, j), True)
+
+        for c in np.unique(size[(size > 1) & (size <= small)]).tolist():
+            rows = at[size == c]
+            i, j = np.triu_indices(c, 1)
+            step = max(1, (1 << 20) // len(i))
+            for k in range(0, len(rows), step):
+                start = rows[k : k + step, None]
+                hit, which = np.nonzero(can(n[start + i], left[start + i], n[start + j], left[start + j]))
+                crowded = np.bincount(hit, minlength=len(start)) > dense * c
+                plain = ~crowded[hit]
+                first = start[hit[plain], 0]
+                yield key[first + i[which[plain]]], key[first + j[which[plain]]], False
+                for b in np.flatnonzero(crowded).tolist():
+                    mine = which[hit == b]
+                    yield star(int(start[b, 0]), c, i[mine], j[mine])
+        for k in np.flatnonzero(size > small).tolist():
+            a, c = int(at[k]), int(size[k])
+            if c > most:
+                yield key[a + 1 : a + c], np.full(c - 1, key[a]), True
+                continue
+            m, f = n[a : a + c], left[a : a + c]
+            i, j = np.nonzero(np.triu(can(m[:, None], f[:, None], m[None], f[None]), 1))
+            yield star(a, c, i, j)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, key, n, left), size in _groups(batches, 1):
+            found = list(edges(key, n, left, size))
+            if found:
+                a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                family = np.concatenate([np.full(len(x[0]), x[2]) for x in found])
+                for kind in (False, True):
+                    one = family == kind
+                    pair = np.unique(np.stack([np.minimum(a[one], b[one]), np.maximum(a[one], b[one])]), axis=1)
+                    yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(pair.shape[1], kind))], names=["a", "b", "family"])
+
+    return run
+
+
+def overlaps(sets: list[np.ndarray], rare: int = 8, width: int = 2048) -> np.ndarray:
+    """How many hashes each two sets have in common."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    of = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(of, kind="stable")
+    owner, count = owner[order], np.bincount(of)
+    at = np.cumsum(count) - count
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for c in range(2, rare + 1):  # hashes of few sets: their pairs; others: columns of 0 and 1
+        held = owner[at[count == c][:, None] + np.arange(c)]
+        for i, j in combinations(range(c), 2):
+            np.add.at(out, (held[:, i], held[:, j]), 1)
+    out += out.T
+    many = np.flatnonzero(count > rare)
+    for k in range(0, len(many), width):
+        part = many[k : k + width]
+        x = np.zeros((len(sets), len(part)), dtype=np.float32)
+        for col, (a, c) in enumerate(zip(at[part].tolist(), count[part].tolist())):
+            x[owner[a : a + c], col] = 1
+        out += x @ x.T
+    return out
+
+
+def family_edges(similarity: float):
+    """A mapInArrow function over rows (task, key, hashes) sorted by task: a forest (a, b) of the links of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, key, hashes), size in _groups(batches, 1):
+            at = np.cumsum(size) - size
+            for k, c in zip(at.tolist(), size.tolist()):
+                if c == 1:
+                    continue
+                n = np.array([len(x) // 8 for x in hashes[k : k + c]])
+                both, found = overlaps([np.frombuffer(x, dtype=np.uint64) for x in hashes[k : k + c]]), []
+                for r in range(0, c, 256):
+                    some = both[r : r + 256].astype(np.float64)
+                    i, j = np.nonzero(np.triu(some / np.maximum(1, n[r : r + 256, None] + n - some) >= similarity, r + 1))
+                    found.append(np.stack([i + r, j]))
+                a, b = _star(key[k : k + c], *np.concatenate(found, axis=1))
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def family_links(members: DataFrame, sets: DataFrame, similarity: float, block_bytes: int = 1 << 20, block_rows: int = 512) -> DataFrame:
+    """A forest (a, b) of all links within each family, from members (key, family): every two texts of a family meet.
+
+    A family is cut into blocks of at most about `block_bytes` of hashes and `block_rows` rows, a middling one into
+    smaller ones that more tasks share, and each pair of blocks is a task.
+    """
+    held = members.join(sets, "key")
+    blocks = held.groupBy("family").agg(F.ceil(F.greatest(F.sum(F.length("hashes")) / block_bytes, F.count("*") / block_rows, F.sqrt(F.count("*")) / 3)).alias("n"))
+    dealt = held.join(blocks, "family").withColumn("i", F.pmod(F.xxhash64("key"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    # a block alone is compared only where the family has no other: with others, its rows meet in any of its pairs
+    rows = dealt.where("n = 1 or i != j").select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "key", "hashes")
+    return map_batches(rows.repartition("task").sortWithinPartitions("task"), family_edges(similarity), "a bigint, b bigint")
+
+
+def promising(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose prefixes do not rule out the similarity.
+
+    Of the prefix that ends first in the shared order, every hash that the other text has is in the other's prefix: so
+    texts have at most the hashes common to both prefixes and those behind that prefix in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = []
+            for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                x, y = (np.frombuffer(z, dtype=np.uint64) for z in (x, y))
+                most = len(np.intersect1d(x, y, assume_unique=True)) + max(n - len(x), m - len(y))
+                stay.append(most * (1 + similarity) >= similarity * (n + m) - 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    left, right = (texts.select(F.col("near_key").alias(k), F.col("prefix").alias(f"p{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb"), run, "a bigint, b bigint")
+
+
 def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with their similarity, from sets (key, hashes: packed sorted 64-bit hashes)."""
 
@@ -390,27 +587,30 @@ def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 7, families: int = 4, similarity: float = 0.8, broadcast_keys: int = 1_000_000) -> DataFrame:
     """docs with `near_group` and `near_first`: groups of near-copies, whose row with the smallest id has near_first.
 
-    Candidates are texts of which one of `families` SimHashes over distinct shingles differs in at most max_bits bits;
-    a link is one with a Jaccard similarity of at least `similarity` over the shingles.  Equal texts are one text from the start; texts of
-    equal fingerprints are compared with the first of them.  near_first is the row with the smallest id of its group
+    A link is two texts with a Jaccard similarity of at least `similarity` over their shingles, and groups are the
+    components of all links.  Candidates: texts of which one of `families` SimHashes over distinct shingles differs in
+    at most max_bits bits, which finds close copies, and the pairs of prefix_edges, which miss none.  Families of
+    crowded prefixes that these links leave in several parts are compared whole.  Equal texts are one text from the start; of texts of
+    equal fingerprints the first stands for all in its SimHash family.  near_first is the row with the smallest id of its group
     (null ids last).  Null texts are a group of their own, as are blank ones.  Columns named near_... as here are replaced.  An empty table gives an empty result.
     """
     docs = docs.drop("near_key", "near_group", "near_first", "near_low")
     keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(text_col).cast("string"))).cast("bigint"))
-    marked = fingerprints(keyed.select("near_key", F.col(id_col).alias("id"), F.col(text_col).alias("text")), ("near_key", "id"), "text", shingle, True, families)
-    texts = scratch(marked.groupBy("near_key").agg(F.min("fps").alias("fps"), F.min("id").alias("low")), "texts")
+    marked = fingerprints(keyed.select("near_key", F.col(id_col).alias("id"), F.col(text_col).alias("text")), ("near_key", "id"), "text", shingle, True, families, Prefix(similarity, *common_shingles(keyed, text_col, shingle)))
+    texts = scratch(marked.groupBy("near_key").agg(F.min("fps").alias("fps"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
     none = F.lit((1 << 63) - 1)
     pairs = None
     for k in range(families):
         own = texts.select("near_key", "low", F.col("fps")[k].alias("fp"))
         first = scratch(own.groupBy("fp").agg(F.min(F.struct(F.coalesce("low", none).alias("low"), "near_key"))["near_key"].alias("rep")), "first")
-        edges = link_fingerprints(first.select("fp"), max_bits, every_pair=True).distinct()
+        edges = link_fingerprints(first.select("fp"), max_bits).distinct()
         across = edges.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
         within = own.join(first, "fp").where("near_key != rep").select(F.least("near_key", "rep").alias("a"), F.greatest("near_key", "rep").alias("b"))
         both = scratch(across.unionByName(within), "candidates")
         pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = scratch(pairs.distinct(), "pairs")
-    wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("near_key")).distinct(), "wanted")
+    shared = scratch(map_batches(prefix_rows(texts).repartition("hash").sortWithinPartitions("hash"), prefix_edges(similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
+    families_of = scratch(components(shared.where("family"), "a", "b").select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
+    pairs = scratch(promising(pairs.unionByName(shared.where("not family").select("a", "b")).distinct(), texts, similarity), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,10 +619,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"])
 
-    few = wanted.count() <= broadcast_keys
-    held = keyed.select("near_key", F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "near_key", "left_semi")
-    sets = scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
-    links = jaccard(pairs, sets).where(F.col("similarity") >= similarity)
+    def sets_of(keys: DataFrame) -> DataFrame:
+        few = keys.count() <= broadcast_keys
+        held = keyed.select("near_key", F.col(text_col).cast("string").alias("text")).join(F.broadcast(keys) if few else keys, "near_key", "left_semi")
+        return scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+
+    wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("near_key")).distinct(), "wanted")
+    links = scratch(jaccard(pairs, sets_of(wanted)).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    joined = components(links, "a", "b").withColumnRenamed("node", "key")
+    parts = families_of.join(joined, "key", "left").groupBy("family").agg(F.min(F.coalesce("root", "key")).alias("least"), F.max(F.coalesce("root", "key")).alias("most"))
+    split = scratch(families_of.join(parts.where("least != most").select("family"), "family", "left_semi"), "split")
+    links = links.unionByName(family_links(split, sets_of(split.select(F.col("key").alias("near_key"))), similarity))
     roots = components(links, "a", "b").select(F.col("node").alias("near_key"), "root")
     grouped = texts.join(roots, "near_key", "left").select("near_key", F.coalesce("root", "near_key").alias("near_group"), F.struct(F.coalesce("low", none).alias("low"), F.col("near_key").alias("key")).alias("at"))
     best = grouped.groupBy("near_group").agg(F.min("at").alias("best"))
