@@ -237,6 +237,13 @@ def test_near_duplicates_find_every_link_in_a_template_family(spark):
     assert got == brute_groups(data) and sum(len(g) > 1 for g in got) >= 40
 
 
+def test_near_duplicates_find_every_pair_down_to_the_threshold(spark):
+    r = random.Random(9)
+    base = [" ".join(f"w{r.randrange(5000)}" for _ in range(150)) for _ in range(150)]
+    data = base + [edited(r, x, 3) for x in base]  # 0.80 to 0.95
+    assert near_groups(spark, data) == brute_groups(data)
+
+
 def test_families_are_compared_whole_in_blocks(spark):
     r = random.Random(10)
     template = " ".join(f"w{r.randrange(5000)}" for _ in range(80))
