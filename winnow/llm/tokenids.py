@@ -146,7 +146,8 @@ def repair(ids: np.ndarray, doc_first: np.ndarray, base: int, rounds: int = 5, p
     """(sequence, symbols before each document, left sides, right sides).
 
     Each round counts all pairs of neighbours within documents and replaces the commonest ones, from left to right
-    without overlap, by new nonterminals; it ends when no pair occurs `least` times.
+    without overlap, by new nonterminals.  It ends after `rounds`, so a rule stands for 2**rounds ids at most, or before
+    when no pair occurs `least` times; texts that repeat at greater length could be packed further.
     """
     width = 16 if base + rounds * per_round <= 1 << 16 else 32
     kind = np.uint32 if width == 16 else np.uint64
