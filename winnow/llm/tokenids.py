@@ -25,7 +25,7 @@ import types
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,28 +41,52 @@ SHARD_BYTES = 4 << 20
 PART_BYTES = 48 << 20
 #: The split of the word-level tokenizers this module has a fast path for, after lower-casing.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of visible ASCII and Latin letters and signs, whose case and class are the same everywhere.
-PLAIN = re.compile("[!-~\xa1-\u022f]{1,2000}")
-#: SPLIT for lower-cased words of that kind: their letters end at U+02AF.
+#: Texts of visible ASCII, Latin letters and signs and ASCII white space: their case and class are the same everywhere.
+PLAIN = re.compile("[!-~\xa1-\u022f \t-\r]*")
+#: SPLIT for lower-cased texts of that kind: their letters end at U+02AF.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
-PLAIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
+PLAIN_SPLIT = re.compile(f"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^ \t-\r{_LETTER}{_NUMBER}]+")
 
 
 # ---------------------------------------------------------------- texts to ids
 
 
+class Pieces(dict):
+    """Ids by piece, with a bound on the bytes held: over it the cache starts anew.  Long pieces are not kept."""
+
+    #: What an entry takes besides its characters and ids: two objects' heads and a place in the table.
+    ENTRY = 200
+
+    def __init__(self, ids_of: Callable[[str], bytes], most: int, longest: int = 64):
+        super().__init__()
+        self.ids_of, self.most, self.longest, self.held = ids_of, most, longest, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids_of(piece)
+        if len(piece) <= self.longest:
+            self.held += self.ENTRY + 4 * len(piece) + len(ids)
+            if self.held > self.most:
+                self.drop()
+                self.held = self.ENTRY + 4 * len(piece) + len(ids)
+            self[piece] = ids
+        return ids
+
+    def drop(self) -> None:
+        self.clear()
+        self.held = 0
+
+
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizers library.
 
-    A tokenizer of the known kind (NFC, white space to one space, lower case, SPLIT, byte-level BPE) never joins
-    characters over ASCII white space, so ids are looked up by white-space word, then by piece, and only a new piece
-    goes through the BPE model.  Words with characters whose class or case libraries may see differently, or with
-    markup of special tokens, are encoded by the library as they are; so are whole texts, with other tokenizers.
+    A tokenizer of the known kind (NFC, white space to one space, lower case, SPLIT, byte-level BPE) encodes each piece
+    of SPLIT on its own, so ids are looked up by piece, and only a new piece goes through the library's BPE model.  Texts
+    with characters whose class or case libraries may see differently, or with markup of special tokens, are cut at
+    ASCII white space, which no piece spans, and such words are encoded by the library as they are; so are whole
+    texts, with other tokenizers.
     """
 
-    WORDS, PIECES = 500_000, 400_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = 96 << 20):
         import json
 
         from tokenizers import Tokenizer
@@ -82,46 +106,40 @@ class Encoder:
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level BPE writes other bytes as U+0100...
         extra = iter(range(0x100, 0x200))
         self.byte = {k: chr(k if k in keep else next(extra)) for k in range(256)}
-        self.pieces: dict[str, bytes] = {}
-        encoder = self
-
-        class Words(dict):
-            def __missing__(self, word: bytes) -> bytes:
-                if len(self) >= encoder.WORDS:
-                    self.clear()
-                self[word] = ids = encoder.word(word)
-                return ids
-
-        self.words = Words()
+        self.pieces = Pieces(self.piece, cache_bytes)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.library(text)
-        pieces = PLAIN_SPLIT.findall(text.lower())
-        return b"".join([self.pieces.get(p) or self.piece(p) for p in pieces])
-
     def piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= self.PIECES:
-            self.pieces.clear()
         mapped = piece if piece.isascii() else "".join([self.byte[x] for x in piece.encode()])
-        ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        self.pieces[piece] = ids
-        return ids
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def plain(self, text: str) -> bytes | None:
+        """The ids, if the text has plain characters only."""
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, PLAIN_SPLIT.findall(text.lower())))
+        return None
+
+    def word(self, word: bytes) -> bytes:
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+        ids = self.plain(text)
+        return self.library(text) if ids is None else ids
 
     def __call__(self, text: bytes) -> bytes:
+        whole = text.decode("utf-8", "replace")
         if not self.fast:
-            return self.library(text.decode("utf-8", "replace"))
-        return b"".join(map(self.words.__getitem__, text.split()))
+            return self.library(whole)
+        ids = self.plain(whole)
+        return b"".join(map(self.word, text.split())) if ids is None else ids
+
+    def rest(self) -> None:
+        """Gives the caches back, at the end of a task."""
+        self.pieces.drop()
 
 
 def encoder_for(path: str) -> Encoder:
-    """One encoder, with its caches, for each Python worker and tokenizer file."""
+    """One encoder for each Python worker and tokenizer file; its caches last for a task."""
     kept = sys.modules.setdefault("_winnow_encoders", types.ModuleType("_winnow_encoders")).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
@@ -142,23 +160,24 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     return np.sort(keys[at[pick]])
 
 
-def repair(ids: np.ndarray, doc_first: np.ndarray, base: int, rounds: int = 5, per_round: int = 2048, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, doc_first: np.ndarray, base: int, per_round: int = 4096, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, symbols before each document, left sides, right sides).
 
-    Each round counts all pairs of neighbours within documents and replaces the commonest ones, from left to right
-    without overlap, by new nonterminals.  It ends after `rounds`, so a rule stands for 2**rounds ids at most, or before
-    when no pair occurs `least` times; texts that repeat at greater length could be packed further.
+    Each round counts all pairs of neighbours within documents and replaces the `per_round` commonest of them, from left
+    to right without overlap, by new nonterminals.  Rounds go on until no pair occurs `least` times: a rule takes
+    12 bytes or more in the file and each use saves one symbol of 2 or 4, so rarer pairs hardly pay.  A rule can stand for
+    any number of ids.
     """
-    width = 16 if base + rounds * per_round <= 1 << 16 else 32
-    kind = np.uint32 if width == 16 else np.uint64
+    width, kind = 16, np.uint32
     seq = ids.astype(kind)
     last = np.zeros(len(seq), dtype=bool)
     ends = doc_first[1:][np.diff(doc_first) > 0]
     last[ends - 1] = True
-    lefts, rights = [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    lefts, rights, rules = [], [], 0
+    while len(seq) > 1:
+        if width == 16 and base + rules + per_round > 1 << 16:
+            width, kind = 32, np.uint64
+            seq = seq.astype(kind)
         keys = (seq[:-1] << kind(width)) | seq[1:]
         inside = ~last[:-1]
         chosen = _frequent(keys[inside], least, per_round)
@@ -173,13 +192,14 @@ def repair(ids: np.ndarray, doc_first: np.ndarray, base: int, rounds: int = 5, p
         at, rule = at[ok], rule[ok]
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.concatenate(([True], at[1:] != at[:-1] + 1)), np.arange(len(at)), 0))
         at, rule = at[run % 2 == 0], rule[run % 2 == 0]
-        seq[at] = (base + sum(map(len, lefts)) + rule).astype(kind)
+        seq[at] = (base + rules + rule).astype(kind)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         last[at] |= last[at + 1]
         seq, last = seq[keep], last[keep]
         lefts.append((chosen >> kind(width)).astype(np.int64))
         rights.append((chosen & kind((1 << width) - 1)).astype(np.int64))
+        rules += len(chosen)
     full = np.diff(doc_first) > 0
     counts = np.zeros(len(full), dtype=np.int64)
     counts[full] = np.diff(np.concatenate(([0], np.flatnonzero(last) + 1)))
@@ -281,7 +301,9 @@ def default_tokenizer() -> str:
 def encode_shards(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows (part, shard, first_token, tokens, payload) of all texts, in ascending order of an integer id (null first).
 
-    A null text is empty; rows with equal ids stay, in order of a hash of their texts.  No rows: no shards.
+    A null text is empty; rows with equal ids stay, in order of a hash of their texts; other columns, whatever their
+    names, are not read.  A document of any length is encoded whole, one over `shard_bytes` in a shard of its own.  No
+    rows: no shards.
     """
     path = tokenizer or default_tokenizer()
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -297,14 +319,13 @@ def encode_shards(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
         for batch in batches:
             b, off = text_bytes(batch.column(1))
             for i, j in slices(off, shard_bytes):
-                text = b[off[i] : off[j]].tobytes()
-                at = (off[i : j + 1] - off[i]).tolist()
-                found = [encode(text[x:y]) + end for x, y in zip(at, at[1:])]
+                found = [encode(b[off[x] : off[x + 1]].tobytes()) + end for x in range(i, j)]
                 first = np.concatenate(([0], np.cumsum([len(x) for x in found]))) // encode.dtype.itemsize
                 ids = np.frombuffer(b"".join(found), dtype=encode.dtype)
                 payload = pack(batch.column(0).slice(i, j - i), ids, first, encode.size)
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], names=["part", "shard", "first_token", "tokens", "payload"])
                 shard, before = shard + 1, before + len(ids)
+        encode.rest()
 
     return map_batches(dealt, run, "part bigint, shard bigint, first_token bigint, tokens bigint, payload binary")
 
@@ -327,5 +348,7 @@ def read_documents(shards: DataFrame, broadcast_parts: int = 200_000) -> DataFra
 
 
 def op4_token_ids(spark, sf_dir: str) -> DataFrame:
+    """Every document written as token ids and read back.  A null or empty text has its end id only; equal ids keep all
+    their rows, in order of a hash of their texts; an empty table gives no rows; other columns are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_documents(scratch(encode_shards(docs), "tokens"))
