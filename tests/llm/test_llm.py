@@ -251,10 +251,13 @@ def test_families_are_compared_whole_in_blocks(spark):
     words = [x.split() for x in data]
     hashes = [sorted({xxhash.xxh64_intdigest(" ".join(w[k : k + 5]), 42) for k in range(76)}) for w in words]
     sets = spark.createDataFrame([(i, np.array(h, dtype=np.uint64).tobytes()) for i, h in enumerate(hashes)], "key bigint, hashes binary")
-    members = spark.createDataFrame([(i, 0) for i in range(90)], "key bigint, family bigint")
-    for block_bytes in (1 << 20, 9000):
-        found = simhash.family_links(members, sets, 0.8, block_bytes).collect()
+    for block_bytes, joined in ((1 << 20, []), (9000, []), (9000, brute_groups(data)[0][:2]), (9000, max(brute_groups(data), key=len)[:-1])):
         root = list(range(90))
+        for k in joined:  # linked before: one root
+            root[k] = joined[0]
+        members = spark.createDataFrame([(i, 0, root[i]) for i in range(90)], "key bigint, family bigint, root bigint")
+        found = simhash.family_links(members, sets, 0.8, block_bytes).collect()
+        found += [(k, joined[0]) for k in joined]
         for _ in range(90):
             for a, b in found:
                 root[a] = root[b] = min(root[a], root[b])
@@ -301,6 +304,35 @@ def test_documents_read_back_from_files(spark, tmp_path, part_bytes):
     assert tokenids.read_documents(tokenids.encode_shards(docs(spark, []))).count() == 0
 
 
+def test_re_pair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(3)
+    text = rng.integers(2, 49000, 500)
+    ids = np.concatenate([*[text] * 200, np.full(5000, 7)]).astype(np.uint16)
+    first = np.append(np.arange(0, 100_001, 500), 105_000)
+    seq, at, left, right = tokenids.repair(ids, first, 49408, least=12)
+    assert np.diff(at)[:200].tolist() == [1] * 200  # each copy is one symbol at the end
+    inside = np.ones(len(seq), dtype=bool)
+    inside[at[1:] - 1] = False
+    pairs = collections.Counter(zip(seq[:-1][inside[:-1]].tolist(), seq[1:][inside[:-1]].tolist()))
+    assert max(pairs.values(), default=0) < 24  # runs of one id overlap with themselves
+    assert (tokenids.Shard(tokenids.pack(pa.array(range(201)), ids, first, 49408)).ids() == ids).all()
+    wide = rng.integers(0, 3000, 400_000).astype(np.uint16)  # many rules: symbols grow to 32 bits on the way
+    shard = tokenids.Shard(tokenids.pack(pa.array([1]), wide, np.array([0, len(wide)]), 65_000))
+    assert (shard.ids() == wide).all()
+
+
+def test_every_document_encodes_as_by_the_library():
+    import pyarrow.parquet as pq
+
+    encode = tokenids.Encoder(tokenids.default_tokenizer(), cache_bytes=1 << 20)  # the cache starts anew many times
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    want = encode.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert all(np.frombuffer(encode((t or "").encode()), encode.dtype).tolist() == w.ids for t, w in zip(texts, want))
+    assert encode.pieces.held <= 1 << 20
+    encode.rest()
+    assert not encode.pieces
+
+
 # ---------------------------------------------------------------- op5
 
 

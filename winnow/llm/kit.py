@@ -7,16 +7,18 @@ many documents a partition holds.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import drop_scratch, scratch, shared_dir, ship
 
-__all__ = ["SPACES", "Spans", "chain", "drop_scratch", "map_batches", "masked", "per_doc_sum", "scramble", "scratch", "shared_dir", "ship", "slices", "table", "text_bytes", "words_of"]
+__all__ = ["SPACES", "Spans", "chain", "drop_scratch", "hot_values", "lookup", "map_batches", "masked", "per_doc_sum", "release", "scramble", "scratch", "shared_dir", "ship", "slices", "spread", "squeeze", "table", "text_bytes", "unsqueeze", "words_of"]
 SLICE_BYTES = 1 << 21
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, dtype=bool)
@@ -37,6 +39,37 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more, between the steps of a long operator."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def spread(df: DataFrame, name: str, salts: int = 64) -> DataFrame:
+    """df with a column of numbers under `salts` that even equal rows differ in.  df should come straight from files, whose
+    rows a retry reads in the same order."""
+    return df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+
+
+def hot_values(df: DataFrame, key: str, share: int = 1000) -> list:
+    """The values that hold over one in `share` rows of df: `share` of them at most."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    total = df.count()
+    return [r[0] for r in counts.where((F.col("_n") * share > total) & (F.col("_n") > share) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def lookup(df: DataFrame, key: str, table: DataFrame, hot: list, spread_col: str, salts: int = 64) -> DataFrame:
+    """df left-joined with table, which has one row per value of its column `key`.
+
+    Rows with a null key, which find nothing, and with one of the `hot` values are dealt over `salts` tasks by
+    spread_col (see spread and hot_values).
+    """
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    dealt = df.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, F.col(spread_col)).otherwise(F.lit(0)))
+    salted = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 def masked(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """(df with all columns but the needed ones under neutral names, the way back to df's columns).
 
@@ -46,6 +79,21 @@ def masked(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame]
     return df.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
 
 
+# ---------------------------------------------------------------- packed arrays
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes; the first byte says how wide they are."""
+    x = np.ascontiguousarray(values if values.dtype.kind == "u" else values.astype(np.uint64))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return bytes([x.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), dtype=np.uint8)
+    return np.ascontiguousarray(x.reshape(data[0], -1).T).view(f"<u{data[0]}").ravel()
+
+
 # ---------------------------------------------------------------- text of a batch as bytes
 
 

@@ -14,8 +14,10 @@
 Only distinct fingerprints take part, so copies of a text never make pairs.  A crowded bucket gives a star per
 connected component of its links instead of all links, so what leaves it grows with its rows.
 
-Near-copies by Jaccard similarity are not left to SimHash: `near_duplicates` also takes every pair that exact prefix
-filtering leaves (see `prefix_edges`), and compares families of crowded prefixes whole (see `family_edges`).
+Near-copies by Jaccard similarity are not left to SimHash alone, which misses many at 0.8 (such texts differ in about 10
+of 64 bits): `near_duplicates` links close copies by SimHash, verifies them, and then takes every pair of texts not linked
+yet that exact prefix filtering leaves (see `prefix_edges`).  Families of crowded prefixes whose texts are still in
+several groups are compared whole, but for texts of one group (see `family_links`).
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .kit import map_batches, scramble, scratch, slices, text_bytes, words_of
+from ..operators.graph import components
+from .kit import drop_scratch, map_batches, scramble, scratch, slices, text_bytes, words_of
 
 BITS = 64
 FULL = (1 << BITS) - 1
@@ -418,34 +420,34 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int =
 
 
 def prefix_rows(texts: DataFrame) -> DataFrame:
-    """(hash, key, n, left) for each hash in a text's prefix; left: how many of its n hashes stand from there on."""
+    """(hash, key, root, n, left) for each hash in a text's prefix; left: how many of its n hashes stand from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
-                b, off = text_bytes(part.column(2))
+                b, off = text_bytes(part.column(3))
                 size = np.diff(off) // 8
-                key, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), size) for c in (0, 1))
+                key, root, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), size) for c in (0, 1, 2))
                 place = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.record_batch([pa.array(np.frombuffer(b.tobytes(), np.int64)), pa.array(key), pa.array(n), pa.array((n - place).astype(np.int32))], names=["hash", "key", "n", "left"])
+                yield pa.record_batch([pa.array(np.frombuffer(b.tobytes(), np.int64)), pa.array(key), pa.array(root), pa.array(n), pa.array((n - place).astype(np.int32))], names=["hash", "key", "root", "n", "left"])
 
-    return map_batches(texts.select("near_key", "n", "prefix"), run, "hash bigint, key bigint, n int, left int")
+    return map_batches(texts.select("near_key", "root", "n", "prefix"), run, "hash bigint, key bigint, root bigint, n int, left int")
 
 
-def prefix_edges(similarity: float, small: int = 64, most: int = 1024, dense: int = 4):
+def prefix_edges(similarity: float, small: int = 64, most: int = 1024, dense: int = 2):
     """A mapInArrow function over rows of prefix_rows sorted by hash, hashes not cut between tasks: (a, b, family).
 
-    Texts that share a hash are a pair, unless so few hashes stand from it on in one of them that their similarity
-    can't be reached if it is the first they share.  A bucket of one hash with over `dense` pairs a row gives a star
-    per component of its pairs instead, with family set (over `most` rows: one star): its texts are to be compared
-    among each other.
+    Texts of different roots that share a hash are a pair, unless so few hashes stand from it on in one of them that
+    their similarity can't be reached if it is the first they share.  A bucket of one hash with over `dense` pairs a row
+    gives a star per component of its pairs instead, with family set (over `most` rows: one star): its texts are to
+    be compared among each other.  So what leaves a bucket grows with its rows, and no pair is lost.
     """
 
-    def can(n1, left1, n2, left2):
-        return np.minimum(left1, left2) * (1 + similarity) >= similarity * (n1 + n2) - 1e-6
+    def can(root1, n1, left1, root2, n2, left2):
+        return (root1 != root2) & (np.minimum(left1, left2) * (1 + similarity) >= similarity * (n1 + n2) - 1e-6)
 
-    def edges(key: np.ndarray, n: np.ndarray, left: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def edges(key: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         at = np.cumsum(size) - size
 
         def star(k: int, c: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -458,7 +460,8 @@ def prefix_edges(similarity: float, small: int = 64, most: int = 1024, dense: in
             step = max(1, (1 << 20) // len(i))
             for k in range(0, len(rows), step):
                 start = rows[k : k + step, None]
-                hit, which = np.nonzero(can(n[start + i], left[start + i], n[start + j], left[start + j]))
+                x, y = start + i, start + j
+                hit, which = np.nonzero(can(root[x], n[x], left[x], root[y], n[y], left[y]))
                 crowded = np.bincount(hit, minlength=len(start)) > dense * c
                 plain = ~crowded[hit]
                 first = start[hit[plain], 0]
@@ -468,16 +471,18 @@ def prefix_edges(similarity: float, small: int = 64, most: int = 1024, dense: in
                     yield star(int(start[b, 0]), c, i[mine], j[mine])
         for k in np.flatnonzero(size > small).tolist():
             a, c = int(at[k]), int(size[k])
+            r, m, f = root[a : a + c], n[a : a + c], left[a : a + c]
+            if (r == r[0]).all():
+                continue
             if c > most:
                 yield key[a + 1 : a + c], np.full(c - 1, key[a]), True
                 continue
-            m, f = n[a : a + c], left[a : a + c]
-            i, j = np.nonzero(np.triu(can(m[:, None], f[:, None], m[None], f[None]), 1))
+            i, j = np.nonzero(np.triu(can(r[:, None], m[:, None], f[:, None], r[None], m[None], f[None]), 1))
             yield star(a, c, i, j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, key, n, left), size in _groups(batches, 1):
-            found = list(edges(key, n, left, size))
+        for (_, *cols), size in _groups(batches, 1):
+            found = list(edges(*cols, size))
             if found:
                 a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
                 family = np.concatenate([np.full(len(x[0]), x[2]) for x in found])
@@ -514,19 +519,22 @@ def overlaps(sets: list[np.ndarray], rare: int = 8, width: int = 2048) -> np.nda
 
 
 def family_edges(similarity: float):
-    """A mapInArrow function over rows (task, key, hashes) sorted by task: a forest (a, b) of the links of each task."""
+    """A mapInArrow function over rows (task, key, root, hashes) sorted by task: a forest (a, b) of the links of each
+    task between texts of different roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, key, hashes), size in _groups(batches, 1):
+        for (_, key, root, hashes), size in _groups(batches, 1):
             at = np.cumsum(size) - size
             for k, c in zip(at.tolist(), size.tolist()):
-                if c == 1:
+                own = root[k : k + c]
+                if (own == own[0]).all():
                     continue
                 n = np.array([len(x) // 8 for x in hashes[k : k + c]])
                 both, found = overlaps([np.frombuffer(x, dtype=np.uint64) for x in hashes[k : k + c]]), []
                 for r in range(0, c, 256):
                     some = both[r : r + 256].astype(np.float64)
-                    i, j = np.nonzero(np.triu(some / np.maximum(1, n[r : r + 256, None] + n - some) >= similarity, r + 1))
+                    near = some / np.maximum(1, n[r : r + 256, None] + n - some) >= similarity
+                    i, j = np.nonzero(np.triu(near & (own[r : r + 256, None] != own), r + 1))
                     found.append(np.stack([i + r, j]))
                 a, b = _star(key[k : k + c], *np.concatenate(found, axis=1))
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -535,16 +543,32 @@ def family_edges(similarity: float):
 
 
 def family_links(members: DataFrame, sets: DataFrame, similarity: float, block_bytes: int = 1 << 20, block_rows: int = 512) -> DataFrame:
-    """A forest (a, b) of all links within each family, from members (key, family): every two texts of a family meet.
+    """A forest (a, b) of all links within each family between texts of different roots, from members (key, family, root).
 
-    A family is cut into blocks of at most about `block_bytes` of hashes and `block_rows` rows, a middling one into
-    smaller ones that more tasks share, and each pair of blocks is a task.
+    A root over a block's size (`block_bytes` of hashes, `block_rows` rows) is cut into blocks of its own; the others of
+    a family share blocks.  Each pair of blocks is a task, but for two of one root: so a large group whose texts are
+    linked already meets the few other texts of its family, not itself.
     """
     held = members.join(sets, "key")
-    blocks = held.groupBy("family").agg(F.ceil(F.greatest(F.sum(F.length("hashes")) / block_bytes, F.count("*") / block_rows, F.sqrt(F.count("*")) / 3)).alias("n"))
-    dealt = held.join(blocks, "family").withColumn("i", F.pmod(F.xxhash64("key"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    # a block alone is compared only where the family has no other: with others, its rows meet in any of its pairs
-    rows = dealt.where("n = 1 or i != j").select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "key", "hashes")
+    size = F.greatest(F.sum(F.length("hashes")) / F.lit(float(block_bytes)), F.count("*") / F.lit(float(block_rows)))
+    own = scratch(held.groupBy("family", "root").agg(size.alias("size")), "roots")
+    shared = own.where("size <= 1").groupBy("family").agg(F.ceil(F.sum("size")).alias("n"))
+    large = own.where("size > 1").select("family", "root", F.ceil("size").alias("n"))
+    number = lambda root, k: F.xxhash64("family", root, k)
+    blocks = scratch(
+        large.select("family", F.col("root").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select("family", "of", number("of", "k").alias("block"))
+        .unionByName(shared.select("family", F.lit(None).cast("bigint").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select("family", "of", number("of", "k").alias("block"))),
+        "blocks",
+    )
+    other = blocks.select("family", F.col("of").alias("of2"), F.col("block").alias("block2"))
+    tasks = blocks.join(other, "family").where("block <= block2 and coalesce(of != of2, true)").select(F.xxhash64("block", "block2").alias("task"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    placed = (
+        held.join(large, ["family", "root"], "left").join(shared.withColumnRenamed("n", "m"), "family", "left")
+        .withColumn("of", F.when(F.col("n").isNotNull(), F.col("root")))
+        .withColumn("k", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("key"), "n")).otherwise(F.pmod(F.xxhash64("root"), "m")))
+        .select(number("of", "k").alias("block"), "key", "root", "hashes")
+    )
+    rows = placed.join(tasks, "block").select("task", "key", "root", "hashes")
     return map_batches(rows.repartition("task").sortWithinPartitions("task"), family_edges(similarity), "a bigint, b bigint")
 
 
@@ -584,67 +608,123 @@ def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb"), run, "a bigint, b bigint, similarity double")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 7, families: int = 4, similarity: float = 0.8, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """docs with `near_group` and `near_first`: groups of near-copies, whose row with the smallest id has near_first.
+_NONE = (1 << 63) - 1
 
-    A link is two texts with a Jaccard similarity of at least `similarity` over their shingles, and groups are the
-    components of all links.  Candidates: texts of which one of `families` SimHashes over distinct shingles differs in
-    at most max_bits bits, which finds close copies, and the pairs of prefix_edges, which miss none.  Families of
-    crowded prefixes that these links leave in several parts are compared whole.  Equal texts are one text from the start; of texts of
-    equal fingerprints the first stands for all in its SimHash family.  near_first is the row with the smallest id of its group
-    (null ids last).  Null texts are a group of their own, as are blank ones.  Columns named near_... as here are replaced.  An empty table gives an empty result.
-    """
-    docs = docs.drop("near_key", "near_group", "near_first", "near_low")
-    keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(text_col).cast("string"))).cast("bigint"))
-    marked = fingerprints(keyed.select("near_key", F.col(id_col).alias("id"), F.col(text_col).alias("text")), ("near_key", "id"), "text", shingle, True, families, Prefix(similarity, *common_shingles(keyed, text_col, shingle)))
-    texts = scratch(marked.groupBy("near_key").agg(F.min("fps").alias("fps"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
-    none = F.lit((1 << 63) - 1)
-    pairs = None
-    for k in range(families):
-        own = texts.select("near_key", "low", F.col("fps")[k].alias("fp"))
-        first = scratch(own.groupBy("fp").agg(F.min(F.struct(F.coalesce("low", none).alias("low"), "near_key"))["near_key"].alias("rep")), "first")
-        edges = link_fingerprints(first.select("fp"), max_bits).distinct()
-        across = edges.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-        within = own.join(first, "fp").where("near_key != rep").select(F.least("near_key", "rep").alias("a"), F.greatest("near_key", "rep").alias("b"))
-        both = scratch(across.unionByName(within), "candidates")
-        pairs = both if pairs is None else pairs.unionByName(both)
-    shared = scratch(map_batches(prefix_rows(texts).repartition("hash").sortWithinPartitions("hash"), prefix_edges(similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
-    families_of = scratch(components(shared.where("family"), "a", "b").select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
-    pairs = scratch(promising(pairs.unionByName(shared.where("not family").select("a", "b")).distinct(), texts, similarity), "pairs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b, off = text_bytes(batch.column(1))
-            for i, j in slices(off):
-                sets = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"])
+class _Near:
+    """The texts of a table and the links between them."""
 
-    def sets_of(keys: DataFrame) -> DataFrame:
-        few = keys.count() <= broadcast_keys
-        held = keyed.select("near_key", F.col(text_col).cast("string").alias("text")).join(F.broadcast(keys) if few else keys, "near_key", "left_semi")
-        return scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: float, broadcast_keys: int):
+        self.text_col, self.shingle, self.max_bits, self.similarity, self.broadcast_keys = text_col, shingle, max_bits, similarity, broadcast_keys
+        text = F.col(text_col).cast("string")
+        self.keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("bigint"))
+        slim = self.keyed.select("near_key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NONE)).alias("id"), text.alias("text"))
+        marked = fingerprints(slim, ("near_key", "id"), "text", shingle, True, 1, Prefix(similarity, *common_shingles(self.keyed, text_col, shingle)))
+        self.texts = scratch(marked.groupBy("near_key").agg(F.min("fps")[0].alias("fp"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+
+    def sets_of(self, keys: DataFrame) -> DataFrame:
+        """(key, hashes: packed sorted distinct shingle hashes) of the texts with these keys."""
+        size = self.shingle
 
-    wanted = scratch(pairs.select(F.explode(F.array("a", "b")).alias("near_key")).distinct(), "wanted")
-    links = scratch(jaccard(pairs, sets_of(wanted)).where(F.col("similarity") >= similarity).select("a", "b"), "links")
-    joined = components(links, "a", "b").withColumnRenamed("node", "key")
-    parts = families_of.join(joined, "key", "left").groupBy("family").agg(F.min(F.coalesce("root", "key")).alias("least"), F.max(F.coalesce("root", "key")).alias("most"))
-    split = scratch(families_of.join(parts.where("least != most").select("family"), "family", "left_semi"), "split")
-    links = links.unionByName(family_links(split, sets_of(split.select(F.col("key").alias("near_key"))), similarity))
-    roots = components(links, "a", "b").select(F.col("node").alias("near_key"), "root")
-    grouped = texts.join(roots, "near_key", "left").select("near_key", F.coalesce("root", "near_key").alias("near_group"), F.struct(F.coalesce("low", none).alias("low"), F.col("near_key").alias("key")).alias("at"))
-    best = grouped.groupBy("near_group").agg(F.min("at").alias("best"))
-    chosen = grouped.join(best, "near_group").select("near_key", "near_group", F.when(F.col("at") == F.col("best"), F.col("best.low")).alias("near_low"))
-    out = keyed.join(chosen, "near_key")
-    return out.withColumn("near_first", F.col("near_low").isNotNull() & (F.coalesce(F.col(id_col), none) == F.coalesce("near_low", F.lit(0)))).drop("near_low", "near_key")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b, off = text_bytes(batch.column(1))
+                for i, j in slices(off):
+                    sets = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"])
+
+        wanted = scratch(keys.distinct(), "wanted")
+        few = wanted.count() <= self.broadcast_keys
+        held = self.keyed.select("near_key", F.col(self.text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "near_key", "left_semi")
+        return scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
 
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose similarity is high enough, by their whole sets."""
+        pairs = scratch(promising(pairs.distinct(), self.texts, self.similarity), "pairs")
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("near_key")))
+        links = scratch(jaccard(pairs, sets).where(F.col("similarity") >= self.similarity).select("a", "b"), "links")
+        drop_scratch(sets)
+        return links
+
+    def close(self) -> DataFrame:
+        """Verified links among texts whose fingerprints are within max_bits."""
+        first = scratch(self.texts.groupBy("fp").agg(F.min(F.struct("low", "near_key"))["near_key"].alias("rep")), "first")
+        edges = link_fingerprints(first.select("fp"), self.max_bits).distinct()
+        across = edges.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+        within = self.texts.join(first, "fp").where("near_key != rep").select(F.least("near_key", "rep").alias("a"), F.greatest("near_key", "rep").alias("b"))
+        return self.verified(across.unionByName(within))
+
+    def rooted(self, links: DataFrame) -> DataFrame:
+        """(near_key, root) of the texts in links."""
+        return scratch(components(links, "a", "b").select(F.col("node").alias("near_key"), "root"), "roots")
+
+    def roots(self) -> DataFrame:
+        """(near_key, root) of the texts with a link; root: one text of the group."""
+        roots = self.rooted(self.close())
+        marked = self.texts.join(roots, "near_key", "left").withColumn("root", F.coalesce("root", "near_key"))
+        shared = scratch(map_batches(prefix_rows(marked).repartition("hash").sortWithinPartitions("hash"), prefix_edges(self.similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
+        known = roots.where("near_key != root").select(F.col("near_key").alias("a"), F.col("root").alias("b"))
+        links = known.unionByName(self.verified(shared.where("not family").select("a", "b")))
+        roots = self.rooted(links)
+        stars = shared.where("family")
+        if stars.isEmpty():
+            return roots
+        families = scratch(components(stars, "a", "b").select(F.col("node").alias("near_key"), F.col("root").alias("family")), "families")
+        members = families.join(roots, "near_key", "left").select("near_key", "family", F.coalesce("root", "near_key").alias("root"))
+        several = members.groupBy("family").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("family")
+        split = scratch(members.join(several, "family", "left_semi"), "split")
+        if split.isEmpty():
+            return roots
+        more = family_links(split.withColumnRenamed("near_key", "key"), self.sets_of(split.select("near_key")), self.similarity)
+        known = roots.where("near_key != root").select(F.col("near_key").alias("a"), F.col("root").alias("b"))
+        return self.rooted(known.unionByName(more))
+
+    def grouped(self) -> tuple[DataFrame, DataFrame]:
+        """(near_key, near_group, copies) of every text; (near_key, low) of the text and the smallest id that stand for each group."""
+        grouped = scratch(self.texts.join(self.roots(), "near_key", "left").select("near_key", F.coalesce("root", "near_key").alias("near_group"), "low", "copies"), "grouped")
+        return grouped, grouped.groupBy("near_group").agg(F.min(F.struct("low", "near_key")).alias("at")).select("at.near_key", "at.low")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, similarity: float = 0.8, broadcast_keys: int = 1_000_000, salts: int = 64) -> DataFrame:
+    """docs with `near_group` and `near_first`: groups of near-copies, whose row with the smallest id has near_first.
 
-def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One row of each group of near-copies: the one with the smallest id, once if it is repeated."""
-    kept = near_duplicates(docs, **how).where("near_first").dropDuplicates(["near_group"])
-    return kept.select(*[c for c in docs.columns if not c.startswith("near_") or c in kept.columns])
+    A link is two texts with a Jaccard similarity of at least `similarity` over their sets of word shingles (a text of
+    fewer words is one shingle), and groups are the components of all links.  Equal texts are one text from the start.
+    Ids are integers; of equal smallest ids in a group the text with the smaller hash stands for it, and repeated rows
+    of it all have near_first.  Null ids come last.  Null texts are a group of their own, as are blank ones.  Texts of any
+    length take part whole.  Columns named near_... as here are replaced.  An empty table gives an empty result.
+    """
+    docs = docs.drop("near_key", "near_group", "near_first", "near_salt", "near_low")
+    near = _Near(docs, id_col, text_col, shingle, max_bits, similarity, broadcast_keys)
+    grouped, best = near.grouped()
+    chosen = grouped.join(best.select("near_key", F.col("low").alias("near_low")), "near_key", "left").select("near_key", "near_group", "copies", "near_low")
+    # a text with over a thousandth of all rows is salted; there can be a thousand of them at most
+    total = grouped.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = [r.near_key for r in grouped.where(F.col("copies") * 1000 > total).where("copies > 1000").select("near_key").collect()]
+    is_hot = F.col("near_key").isin(hot) if hot else F.lit(False)
+    salted = chosen.withColumn("near_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("copies")
+    dealt = near.keyed.withColumn("near_salt", F.when(is_hot, F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    out = dealt.join(salted, ["near_key", "near_salt"])
+    first = F.coalesce(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NONE)) == F.col("near_low"), F.lit(False))
+    return out.withColumn("near_first", first).select(*docs.columns, "near_group", "near_first")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, similarity: float = 0.8, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """One row of each group of near_duplicates: the one with the smallest id, once if it is repeated.
+
+    Rows are joined by text and id together, so copies of a text, however many, are spread over tasks.
+    """
+    own = docs.drop("near_key", "near_low")
+    near = _Near(own, id_col, text_col, shingle, max_bits, similarity, broadcast_keys)
+    _, best = near.grouped()
+    keyed = near.keyed.withColumn("near_low", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NONE)))
+    kept = keyed.join(best.withColumnRenamed("low", "near_low"), ["near_key", "near_low"], "left_semi")
+    return kept.dropDuplicates(["near_key", "near_low"]).select(*own.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document.  Null, empty and blank texts share fingerprint 0; texts of any length
+    count whole; equal and repeated rows share a component and all stay; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = classes(docs, shingle=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
