@@ -4,6 +4,10 @@ Tokens are summed per source (map-side combined, so a hot source costs one row a
 filling over the sources, and each document gets floor(rate) copies plus one more with probability equal to the
 rate's fraction, decided by a seeded hash of the document: reruns agree, and no order of rows matters.
 
+Draws alone leave a source of few, uneven documents far from its target.  So every source makes its Bernoulli draws with
+`tries` seeds and keeps those whose words come nearest its target (rejective sampling).  The words that each seed would
+take are sums like the others: one row a source and task, whatever the source's size.
+
 The table of sources is broadcast only if it has at most `broadcast_sources` rows; beyond that it is joined by
 source and salt, each source's row repeated per salt, so a hot source is spread over `salts` tasks.
 """
@@ -47,33 +51,54 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return ranked.withColumn("at", level).select("source", "source_size", "weight", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("at"))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = 17, broadcast_sources: int = 50_000, salts: int = 64) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies, a row for every row of docs.
+def _of_source(df: DataFrame, source: str, hashed: str, table: DataFrame, few: bool, salts: int) -> DataFrame:
+    """df with the columns of table, which has one row per mix_source (nulls match)."""
+    same = F.col(source).eqNullSafe(F.col("mix_source"))
+    if few:
+        return df.join(F.broadcast(table), same)
+    salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("mix_of", F.pmod(F.col(hashed), F.lit(salts)).cast("int")).join(salted, same & (F.col("mix_of") == F.col("mix_salt"))).drop("mix_of", "mix_salt")
+
+
+def draw(hashed: F.Column, k: F.Column) -> F.Column:
+    """The k-th draw of a document, evenly spread over 0..1."""
+    return F.shiftrightunsigned(F.xxhash64(hashed, k), 11) / F.lit(float(1 << 53))
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = 17, tries: int = 64, broadcast_sources: int = 50_000, salts: int = 64) -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target, mix_copies and mix_draw (the seed of the source's draws), a row
+    for every row of docs.
 
-    A null text has size 0; a null source is a source of its own; rows with the same id and text draw alike.
-    Other columns stay, but for those named mix_... as here.  An empty table gives an empty result.
+    A null or empty text has size 0; texts of any length count whole; a null source is a source of its own; rows with
+    the same id and text draw alike; of seeds that come equally near the first is taken.  Other columns stay, but for
+    those named mix_... as here, which are replaced.  An empty table gives an empty result.
     """
-    docs = docs.drop("mix_size", "mix_source", "mix_source_size", "mix_target", "mix_copies", "mix_of", "mix_salt", "mix_copy")
-    sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
-    targets = scratch(source_targets(sized.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size")), weights, most), "sources")
-    targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    if targets.count() <= broadcast_sources:
-        joined = sized.join(F.broadcast(targets), F.col(source_col).eqNullSafe(F.col("mix_source")))
-    else:
-        salted = targets.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = sized.withColumn("mix_of", F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(salts)).cast("int")).join(salted, F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("mix_of") == F.col("mix_salt"))).drop("mix_of", "mix_salt")
-    rate = F.when(F.col("mix_source_size") > 0, F.least(F.lit(most), F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0.0))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, F.xxhash64(text_col)), 11) / F.lit(float(1 << 53))
-    return joined.withColumn("mix_copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")).drop("mix_source")
+    docs = docs.drop("mix_size", "mix_hash", "mix_source", "mix_source_size", "mix_target", "mix_rate", "mix_draw", "mix_copies", "mix_of", "mix_salt", "mix_copy")
+    sized = docs.withColumn("mix_size", word_count(F.col(text_col))).withColumn("mix_hash", F.xxhash64(F.lit(seed), id_col, F.xxhash64(text_col)))
+    slim = scratch(sized.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size"), F.col("mix_hash").alias("hash")), "sized")
+    targets = scratch(source_targets(slim, weights, most), "sources")
+    few = targets.count() <= broadcast_sources
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+    rates = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), rate.alias("mix_rate"))
+    fraction = F.col("mix_rate") - F.floor("mix_rate")
+    drawn = _of_source(slim.where("size > 0"), "source", "hash", rates, few, salts)
+    taken = drawn.groupBy("mix_source").agg(*[F.sum(F.when(draw(F.col("hash"), F.lit(k)) < fraction, F.col("size")).otherwise(0)).alias(f"t{k}") for k in range(tries)])
+    off = lambda k: F.abs(F.floor("mix_rate") * F.col("mix_source_size") + F.coalesce(F.col(f"t{k}"), F.lit(0)) - F.col("mix_target"))
+    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(tries)]))["k"]
+    plan = rates.alias("r").join(taken.withColumnRenamed("mix_source", "of"), F.col("mix_source").eqNullSafe(F.col("of")), "left").select("mix_source", "mix_source_size", "mix_target", "mix_rate", best.alias("mix_draw"))
+    joined = _of_source(sized, source_col, "mix_hash", scratch(plan, "draws"), few, salts)
+    copies = F.floor("mix_rate") + F.when(draw(F.col("mix_hash"), F.col("mix_draw")) < fraction, 1).otherwise(0)
+    return joined.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "mix_hash", "mix_rate")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs mix_copies times, with its columns and no others."""
+    """The mix itself: each row of docs mix_copies times, with its columns and no others; nulls and repeats as in mix_plan."""
     plan = mix_plan(docs, **how)
     return plan.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[c for c in docs.columns if c in plan.columns])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document; nulls, blanks, long texts, repeats and empty tables as in mix_plan."""
     plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return plan.select(
         "doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
