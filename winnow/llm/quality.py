@@ -24,6 +24,8 @@ from .kit import SPACES, Spans, chain, map_batches, per_doc_sum, scramble, slice
 BUCKETS = 1 << 16
 CHUNK = 1 << 12
 GRAM = 4
+#: Log ratios are summed in units of 2**-SCALE.
+SCALE = 32
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
@@ -133,12 +135,16 @@ def trusted_ids(labels: DataFrame, sample: int = 20_000) -> DataFrame:
 
 
 def assess(docs: DataFrame, labels: DataFrame, sample: int = 20_000, damping: float = 500.0, threshold: float = -0.15, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """docs with STATS, llr, base_failed and kept.  A null text has no words; without labels every llr is 0.
+    """docs with STATS, llr, base_failed and kept.  A null, empty or blank text has no words; without labels every llr is 0.
 
-    Rows keep their other columns (one with the name of an added one is replaced) and repeated rows stay.
+    Texts of any length count whole.  Rows keep their other columns (one with the name of an added one is replaced) and
+    repeated rows stay and count.  Ids with a label of either kind, or null ones, are not trusted.  An llr at the
+    threshold is kept.  An empty table gives an empty result.
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
-    table = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted_ids(labels, sample)))
+    unit = float(1 << SCALE)
+    # whole numbers, so that a document's sum does not depend on its neighbours
+    table = docs.sparkSession.sparkContext.broadcast(np.rint(log_ratios(docs, trusted_ids(labels, sample)) * unit).astype(np.int64))
     at = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -150,7 +156,7 @@ def assess(docs: DataFrame, labels: DataFrame, sample: int = 20_000, damping: fl
             for i, j in slices(off):
                 x, o = b[off[i] : off[j]], off[i : j + 1] - off[i]
                 bucket, first = gram_buckets(x, o)
-                found.append([*text_stats(x, o), per_doc_sum(llr[bucket], first) / (np.diff(first) + damping)])
+                found.append([*text_stats(x, o), per_doc_sum(llr[bucket], first) / unit / (np.diff(first) + damping)])
             cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 6
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.float64())], names=[*batch.schema.names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
 
@@ -160,6 +166,7 @@ def assess(docs: DataFrame, labels: DataFrame, sample: int = 20_000, damping: fl
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """The counts, score and verdict of every document; nulls, blanks, long texts, repeats and empty tables as in assess."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = assess(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
