@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import drop_scratch, scratch
+from .kit import drop_scratch, hot_values, lookup, scratch, spread
 
 #: tool -> argument -> type, as schema_of_variant names it; a trailing ? marks an optional argument.
 Schemas = dict[str, dict[str, str]]
@@ -67,18 +67,17 @@ def link_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     messages has conv, turn, role, text, and for tool traffic: call_id and tool and arguments (a call), result_of (a
     result), after (the id it must follow), id.  status: call with a result `linked`, without `unanswered`; result with a
     call `linked`, without `orphan`; else `plain`.  valid is null but for calls.  Rows with null ids stay, as plain
-    or orphan; repeated rows stay; an empty table gives an empty result.  Columns with the
-    name of an added one are replaced.
+    or orphan; repeated rows stay, and several results of a call are all linked; a null text is written as empty; texts
+    of any length are written whole; an empty table gives an empty result.  Columns with the name of an added one are replaced.
+    Identifiers that many rows share, and the nulls of rows that are not calls or results, are dealt over many tasks.
     """
-    messages = messages.drop("depth", "status", "valid", "line", "has_call", "has_result", "_call", "_result")
+    messages = messages.drop("depth", "status", "valid", "line", "has_call", "has_result", "_spread", "_salt")
     ids = depths(messages.select("id", "after"))
-    calls = messages.where("call_id is not null").select("call_id").distinct().withColumn("has_call", F.lit(True))
-    results = messages.where("result_of is not null").select("result_of").distinct().withColumn("has_result", F.lit(True))
-    linked = (
-        messages.join(ids, "id", "left")
-        .join(calls.withColumnRenamed("call_id", "_call"), F.col("result_of") == F.col("_call"), "left")
-        .join(results.withColumnRenamed("result_of", "_result"), F.col("call_id") == F.col("_result"), "left")
-    )
+    calls = messages.where("call_id is not null").select(F.col("call_id").alias("result_of")).distinct().withColumn("has_call", F.lit(True))
+    results = messages.where("result_of is not null").select(F.col("result_of").alias("call_id")).distinct().withColumn("has_result", F.lit(True))
+    linked = spread(messages, "_spread")
+    for key, table in (("id", ids), ("result_of", calls), ("call_id", results)):
+        linked = lookup(linked, key, table, hot_values(messages, key), "_spread")
     status = (
         F.when(F.col("call_id").isNotNull(), F.when(F.col("has_result"), "linked").otherwise("unanswered"))
         .when(F.col("result_of").isNotNull(), F.when(F.col("has_call"), "linked").otherwise("orphan"))
@@ -98,6 +97,17 @@ def link_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     return linked.withColumn("status", status).withColumn("valid", valid).withColumn("line", line).select(*messages.columns, "depth", "status", "valid", "line")
 
 
+def in_order(linked: DataFrame) -> DataFrame:
+    """(conv, position, line) of every row of link_calls, in topological order within conversations: by depth (cycles
+    last), turn and line.
+
+    Rows are dealt by ranges of that order, so one huge conversation is spread over tasks too; position increases along
+    the order and may skip numbers.
+    """
+    order = [F.col("conv").asc_nulls_last(), F.col("depth").asc_nulls_last(), F.col("turn").asc_nulls_last(), "line"]
+    return linked.select("conv", "depth", "turn", "line").repartitionByRange(*order).sortWithinPartitions(*order).select("conv", F.monotonically_increasing_id().alias("position"), "line")
+
+
 def from_turns(conversations: DataFrame) -> DataFrame:
     """Plain turns as tool traffic: a user's turn calls `reply` with its text, the assistant's next turn is the result.
 
@@ -118,6 +128,8 @@ def from_turns(conversations: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
+    """Every turn as a line of canonical JSON, linked and placed; nulls, empty and long texts, repeats and empty tables as in
+    link_calls.  The conversations hold no tool calls of their own; see from_turns."""
     found = link_calls(from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), REPLY)
     return found.select("conv_id", "turn", "role", F.coalesce("call_id", "result_of").alias("call_id"), "status", "valid", "depth", "line")
 
