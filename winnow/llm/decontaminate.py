@@ -1,12 +1,17 @@
-"""Benchmark decontamination on a positional inverted index.
-
-The corpus index is distributed by document: every slice of a partition (a few MB of text) gets postings - for
-each benchmark term the sorted word positions where it occurs.  A phrase starts from the shortest postings list
-among its terms (the rarest term of that slice), shifts those positions by the term's place in the phrase, and
-intersects them with the other terms' lists.  Nothing of the corpus is shuffled or leaves its task but the matches.
-
-The benchmark is what is sent to every task, so its size is checked: it is cut into blocks of at most
-`block_bytes` of text, and the blocks are matched one after another over the same documents.
+"""Benchmark decontamination on a stored, distributed positional inverted index.
+
+1. `build_index`: texts are dealt in segments of a few MB.  The row of a segment holds its distinct terms (64-bit hashes,
+   sorted), how often each occurs, and postings: the sorted word positions of each term.  All tokens of the corpus are
+   in it.  The table lies in the shared folder and is dealt by document, so a phrase is matched where its
+   document is and postings never move; build it once, search it as often as wanted.
+2. `search`: the benchmark is taken in blocks of at most `block_bytes` of text, one after another, each with its result
+   written before the next begins.  First the index gives the corpus frequency of each of the block's terms.
+   Each window then starts from the postings of its rarest term, shifted by the term's place in the window, and
+   intersects them with the lists of its other terms, from rare to common, each shifted by its own place.
+   What leaves a segment is the matches.
+
+Only a block's windows are sent to all tasks, and a block's size is bounded.  Results belong to texts (by a 128-bit hash), so
+copies share them; they are joined back to documents by that hash.
 """
 
 from __future__ import annotations
@@ -15,19 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Spans, map_batches, slices, text_bytes, words_of
+from .kit import Spans, drop_scratch, hot_values, lookup, map_batches, scratch, slices, spread, squeeze, text_bytes, unsqueeze, words_of
 
+SEGMENT_BYTES = 4 << 20
 #: Word bytes: 0-9, a-z (after lower-casing A-Z) and all bytes beyond ASCII.
 GAPS = np.zeros(256, dtype=bool)
 GAPS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: The same rule as a pattern over lower-cased text.
+#: The same rule as a pattern over lower-cased text, and over text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPANS = "array<struct<first:bigint,past:bigint>>"
+INDEX = "seg bigint, texts binary, first binary, terms binary, counts binary, positions binary"
 
 
 def term_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +46,45 @@ def term_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return Spans(b).hashes(starts, ends), first
 
 
+def text_key(text: F.Column) -> F.Column:
+    """16 bytes that stand for a text; null for a null one."""
+    return F.unhex(F.md5(text.cast("string")))
+
+
+# ---------------------------------------------------------------- the index
+
+
+def postings(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct terms, how often each occurs, word positions by term and place)."""
+    order = np.argsort(h, kind="stable")
+    found = h[order]
+    cut = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+    return found[cut[:-1]], np.diff(cut), order
+
+
+def build_index(docs: DataFrame, text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The index of all texts of docs, written to the shared folder: a row for each segment of at most about segment_bytes
+    (a longer text is a segment of its own).  Texts without words are in it, with no postings; a null text is not."""
+    slim = docs.where(F.col(text_col).isNotNull()).select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            keys = batch.column(0)
+            b, off = text_bytes(batch.column(1))
+            for i, j in slices(off, segment_bytes):
+                h, first = term_hashes(b[off[i] : off[j]], off[i : j + 1] - off[i])
+                terms, counts, places = postings(h)
+                seg += 1
+                row = [seg, b"".join(keys.slice(i, j - i).to_pylist()), squeeze(np.diff(first)), squeeze(np.diff(terms, prepend=np.uint64(0))), squeeze(counts), squeeze(np.diff(places.astype(np.uint32), prepend=np.uint32(0)))]
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=["seg", "texts", "first", "terms", "counts", "positions"])
+
+    return scratch(map_batches(slim, run, INDEX), "index")
+
+
+# ---------------------------------------------------------------- the benchmark
+
+
 class Phrases:
     """The windows of a block of benchmark items, by length, over a sorted vocabulary of term hashes."""
 
@@ -57,83 +105,139 @@ class Phrases:
             phrases = [x for x in rows if len(x) == n]
             items = [sorted(rows[x]) for x in phrases]
             self.by_length.append((np.array(phrases, dtype=np.int64), np.array([len(x) for x in items]), np.array([y for x in items for y in x], dtype=np.int64)))
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
+    def order(self, frequency: np.ndarray) -> None:
+        """Drops windows with a term the corpus has not got; self.rare: the places of each window's terms, rarest first."""
+        self.rare = []
+        for k, (windows, n_items, items) in enumerate(self.by_length):
+            alive = (frequency[windows] > 0).all(axis=1)
+            of = np.repeat(np.arange(len(windows)), n_items)
+            self.by_length[k] = windows[alive], n_items[alive], items[alive[of]]
+            self.rare.append(np.argsort(frequency[windows[alive]], axis=1, kind="stable"))
 
-def terms_of(phrases: Phrases, h: np.ndarray) -> np.ndarray:
-    """The term of each word, or -1."""
-    term = np.full(len(h), -1, dtype=np.int64)
-    if len(phrases.vocabulary):
-        may = np.flatnonzero(phrases.filter[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(phrases.vocabulary, h[may]), len(phrases.vocabulary) - 1)
-        ok = phrases.vocabulary[at] == h[may]
-        term[may[ok]] = at[ok]
-    return term
 
+def frequencies(index: DataFrame, phrases: Phrases) -> np.ndarray:
+    """How often the corpus has each term of the block."""
+    shared = index.sparkSession.sparkContext.broadcast(phrases.vocabulary)
 
-def match(phrases: Phrases, term: np.ndarray, first: np.ndarray, slop: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hit words as a mask, and pairs document - item) of one slice.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros(len(own), dtype=np.int64)
+        for batch in batches:
+            for terms, counts in zip(batch.column(0), batch.column(1)):
+                has, n = np.cumsum(unsqueeze(terms.as_py()), dtype=np.uint64), unsqueeze(counts.as_py())
+                if len(has):
+                    at = np.minimum(np.searchsorted(has, own), len(has) - 1)
+                    total += np.where(has[at] == own, n[at], 0).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+    out = np.zeros(len(phrases.vocabulary), dtype=np.int64)
+    found = map_batches(index.select("terms", "counts"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the block at most
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
+    shared.destroy()
+    return out
 
-    With slop, a phrase also matches where all its terms lie within slop more words than it has, in any order.
-    """
-    n = len(term)
-    known = np.flatnonzero(term >= 0)
-    order = np.argsort(term[known], kind="stable")
-    postings = known[order]
-    length = np.bincount(term[known], minlength=len(phrases.vocabulary))
-    begin = np.cumsum(length) - length
-    keys = term[postings] * (n + 1) + postings
-    doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    edge = np.zeros(n + 1, dtype=np.int64)
-    pairs = []
-    for windows, n_items, items in phrases.by_length:
+
+# ---------------------------------------------------------------- matching in a segment
+
+
+class Lists:
+    """The postings of a block's vocabulary in one segment."""
+
+    def __init__(self, vocabulary: np.ndarray, terms: np.ndarray, counts: np.ndarray, places: np.ndarray, first: np.ndarray):
+        self.first, self.n = first, int(first[-1])
+        at = np.minimum(np.searchsorted(terms, vocabulary), max(len(terms) - 1, 0))
+        has = terms[at] == vocabulary if len(terms) else np.zeros(len(vocabulary), dtype=bool)
+        before = np.cumsum(counts) - counts
+        self.length = np.where(has, counts[at], 0) if len(terms) else np.zeros(len(vocabulary), np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        pick = np.repeat((before[at] if len(terms) else self.begin) - self.begin, self.length) + np.arange(int(self.length.sum()))
+        self.places = places[pick].astype(np.int64)
+        #: term and place in one sorted number
+        self.keys = np.repeat(np.arange(len(vocabulary)), self.length) * (self.n + 1) + self.places
+        self.doc_of = lambda word: np.searchsorted(first, word, side="right") - 1
+
+    def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(term), dtype=bool)
+        wanted = term * (self.n + 1) + place
+        return self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted
+
+    def seeds(self, windows: np.ndarray, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) of each occurrence of a window's rarest term, where the segment has all of its terms."""
+        alive = np.flatnonzero((self.length[windows] > 0).all(axis=1))
+        term = windows[alive, rarest[alive]]
+        n = self.length[term]
+        return np.repeat(alive, n), self.places[np.repeat(self.begin[term] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+    def exact(self, windows: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, first word, past word) of every occurrence."""
         size = windows.shape[1]
-        counts = length[windows]
-        rarest = counts.argmin(axis=1)
-        alive = np.flatnonzero(counts.min(axis=1) > 0)
-        seeds = counts[alive, rarest[alive]]
-        which = np.repeat(alive, seeds)
-        at = np.repeat(begin[windows[alive, rarest[alive]]] - np.cumsum(seeds) + seeds, seeds) + np.arange(int(seeds.sum()))
-        seed = postings[at]
-        if slop is None:
-            start = seed - rarest[which]
-            ok = (start >= 0) & (start + size <= n)
-            start, which = start[ok], which[ok]
-            for k in np.argsort(counts.sum(axis=0), kind="stable").tolist():
-                ok = term[start + k] == windows[which, k]
-                start, which = start[ok], which[ok]
-            ok = doc_of[start] == doc_of[start + size - 1]
-            start, which = start[ok], which[ok]
-            past = start + size
-        else:
-            reach = size - 1 + slop
-            start = np.maximum(seed - reach, first[doc_of[seed]])
-            limit = np.minimum(seed + reach, first[doc_of[seed] + 1] - 1)
-            low, high = seed.copy(), seed.copy()
-            ok = np.ones(len(seed), dtype=bool)
-            for k in range(size):
-                t = windows[which, k]
-                base = t * (n + 1)
-                right = np.searchsorted(keys, base + seed)
-                near_r = np.where((right < len(keys)) & (keys[np.minimum(right, len(keys) - 1)] <= base + limit), keys[np.minimum(right, len(keys) - 1)] - base, -1)
-                left = right - 1
-                near_l = np.where((left >= 0) & (keys[np.maximum(left, 0)] >= base + start), keys[np.maximum(left, 0)] - base, -1)
-                pick = np.where((near_r >= 0) & ((near_l < 0) | (near_r - seed <= seed - near_l)), near_r, near_l)
-                ok &= pick >= 0
-                low, high = np.minimum(low, np.where(pick >= 0, pick, low)), np.maximum(high, pick)
-            ok &= high - low <= reach
-            start, past, which = low[ok], high[ok] + 1, which[ok]
+        which, seed = self.seeds(windows, rare[:, 0])
+        start = seed - rare[which, 0]
+        ok = (start >= 0) & (start + size <= self.n)
+        which, start = which[ok], start[ok]
+        ok = self.doc_of(start) == self.doc_of(start + size - 1)
+        which, start = which[ok], start[ok]
+        for k in range(1, size):
+            place = rare[which, k]
+            ok = self.has(windows[which, place], start + place)
+            which, start = which[ok], start[ok]
+        return which, start, start + size
+
+    def near(self, windows: np.ndarray, rare: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, first word, past word) of the smallest runs of at most slop more words than the window has, within a
+        document, that hold all its words, as often as it has them, in any order."""
+        out = []
+        reach = windows.shape[1] + slop
+        which, seed = self.seeds(windows, rare[:, 0])
+        for w in np.unique(which).tolist():
+            need = dict(zip(*(x.tolist() for x in np.unique(windows[w], return_counts=True))))
+            own = np.sort(seed[which == w])
+            # stretches of words around the rarest term, within documents, overlapping ones as one
+            doc = self.doc_of(own)
+            low, high = np.maximum(own - reach + 1, self.first[doc]), np.minimum(own + reach, self.first[doc + 1])
+            new = np.flatnonzero(np.concatenate(([True], (low[1:] >= high[:-1]) | (doc[1:] != doc[:-1]))))
+            for x, y in zip(low[new].tolist(), high[np.append(new[1:], len(high)) - 1].tolist()):
+                found = []
+                for t in need:
+                    i, j = np.searchsorted(self.keys, [t * (self.n + 1) + x, t * (self.n + 1) + y])
+                    found += [(p, t) for p in (self.keys[i:j] - t * (self.n + 1)).tolist()]
+                found.sort()
+                have, left, ends = dict.fromkeys(need, 0), 0, []
+                lacking = len(need)
+                for k, (p, t) in enumerate(found):
+                    have[t] += 1
+                    lacking -= have[t] == need[t]
+                    while not lacking:
+                        q, u = found[left]
+                        if have[u] == need[u]:
+                            break
+                        have[u] -= 1
+                        left += 1
+                    if not lacking:
+                        q, u = found[left]
+                        if p + 1 - q <= reach and (not ends or ends[-1][0] != q):
+                            ends.append((q, p + 1))
+                out += [(w, q, e) for q, e in ends]
+        cols = np.array(out, dtype=np.int64).reshape(-1, 3)
+        return cols[:, 0], cols[:, 1], cols[:, 2]
+
+
+def match(lists: Lists, phrases: Phrases, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hit words as a mask, and pairs document - item) of one segment."""
+    edge, pairs = np.zeros(lists.n + 1, dtype=np.int64), [np.zeros((2, 0), dtype=np.int64)]
+    for (windows, n_items, items), rare in zip(phrases.by_length, phrases.rare):
+        which, start, past = lists.exact(windows, rare) if slop is None else lists.near(windows, rare, slop)
         np.add.at(edge, start, 1)
         np.add.at(edge, past, -1)
-        if len(start):
-            k = n_items[which]
-            item_at = (np.cumsum(n_items) - n_items)[which]
-            found = items[np.repeat(item_at - np.cumsum(k) + k, k) + np.arange(int(k.sum()))]
-            pairs.append(np.unique(np.stack([np.repeat(doc_of[start], k), found]), axis=1))
-    hit = np.cumsum(edge)[:n] > 0
-    both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
-    return hit, both[0], both[1]
+        k = n_items[which]
+        item_at = (np.cumsum(n_items) - n_items)[which]
+        found = items[np.repeat(item_at - np.cumsum(k) + k, k) + np.arange(int(k.sum()))]
+        pairs.append(np.stack([np.repeat(lists.doc_of(start), k), found]))
+    both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return np.cumsum(edge)[: lists.n] > 0, both[0], both[1]
 
 
 def _spans(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,70 +253,105 @@ def _spans(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return d, a - first[d], z - first[d]
 
 
-def _joined(old: pa.Array, d: np.ndarray, values: list[np.ndarray], n: int) -> list[list[tuple]]:
-    out = [[tuple(x.values()) if isinstance(x, dict) else (x,) for x in (o or [])] for o in old.to_pylist()] if old is not None else [[] for _ in range(n)]
-    for k, *v in zip(d.tolist(), *[x.tolist() for x in values]):
-        out[k].append(tuple(v))
-    return out
+# ---------------------------------------------------------------- search
 
 
-def _one_block(df: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
-    """df has key columns, text, n_words, spans and items; the last two get this block's matches."""
-    shared = df.sparkSession.sparkContext.broadcast(phrases)
-    at = df.columns.index("text")
+def _search_block(index: DataFrame, phrases: Phrases, slop: int | None) -> DataFrame:
+    phrases.order(frequencies(index, phrases))
+    shared = index.sparkSession.sparkContext.broadcast(phrases)
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            b, off = text_bytes(batch.column(at))
-            n_words, spans, items = [], [], []
-            old = [batch.column(at + 2), batch.column(at + 3)]
-            for i, j in slices(off):
-                h, first = term_hashes(b[off[i] : off[j]], off[i : j + 1] - off[i])
-                hit, doc, item = match(own, terms_of(own, h), first, slop)
-                n_words.append(np.diff(first))
-                found = _joined(old[0].slice(i, j - i), *(lambda d, a, z: (d, [a, z]))(*_spans(hit, first)), j - i)
-                spans += [[{"first": a, "past": z} for a, z in merge(x)] for x in found]
-                names = _joined(old[1].slice(i, j - i), doc, [np.array(own.names, dtype=object)[item]], j - i)
-                items += [sorted({x[0] for x in y}) for y in names]
-            counts = pa.array(np.concatenate(n_words) if n_words else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], counts, pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
-
-    return map_batches(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+            for row in range(batch.num_rows):
+                texts, first, terms, counts, places = (batch.column(c)[row].as_py() for c in range(1, 6))
+                first = np.concatenate(([0], np.cumsum(unsqueeze(first).astype(np.int64))))
+                lists = Lists(own.vocabulary, np.cumsum(unsqueeze(terms), dtype=np.uint64), unsqueeze(counts).astype(np.int64), np.cumsum(unsqueeze(places), dtype=np.uint32), first)
+                hit, doc, item = match(lists, own, slop)
+                spans: dict[int, list] = {}
+                for d, a, z in zip(*(x.tolist() for x in _spans(hit, first))):
+                    spans.setdefault(d, []).append({"first": a, "past": z})
+                items: dict[int, list] = {}
+                for d, k in zip(doc.tolist(), item.tolist()):
+                    items.setdefault(d, []).append(own.names[k])
+                docs = sorted(items)
+                if docs:
+                    yield pa.record_batch([pa.array([texts[16 * d : 16 * d + 16] for d in docs], pa.binary()), pa.array([spans[d] for d in docs], span_type), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.string()))], names=["key", "spans", "items"])
+
+    found = map_batches(index.select("seg", "texts", "first", "terms", "counts", "positions"), run, f"key binary, spans {SPANS}, items array<string>")
+    out = scratch(found.dropDuplicates(["key"]), "matches")
+    shared.destroy()
+    return out
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(spans: F.Column) -> F.Column:
     """Spans in order, those that touch or overlap made one."""
-    out: list[tuple[int, int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
-    return out
 
+    def add(out: F.Column, x: F.Column) -> F.Column:
+        last = F.element_at(out, -1)
+        grown = F.struct(last["first"].alias("first"), F.greatest(last["past"], x["past"]).alias("past"))
+        return F.when((F.size(out) > 0) & (x["first"] <= F.try_element_at(out, F.lit(-1))["past"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.expr(f"cast(array() as {SPANS})"), add)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per row of docs: the key columns, text, n_words, spans (runs of hit words) and items (sorted ids).
 
-    A window is `window` consecutive words of an item (a shorter item that has words is one window).  Null texts
-    have no words; an item without words never matches; a null item id counts as the empty id; an id on several
-    rows is one item.  Any other columns of docs are left out unless named in key_cols; those
-    with the name of an added one always are.
+def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int | None = None, block_bytes: int = 4 << 20) -> DataFrame:
+    """(key, spans, items) of each text of the index with a match: runs of hit words, and sorted ids of the items.
+
+    A window is `window` consecutive words of an item (a shorter item that has words is one window).  With slop, a window also
+    matches a run of at most that many more words that holds all its words, as often, in any order.  An item
+    without words never matches; a null item id counts as the empty id; an id on several rows is one item.
     """
-    key_cols = tuple(c for c in key_cols if c not in ("text", "n_words", "spans", "items"))
-    df = docs.select(*[F.col(c) for c in key_cols], F.col(text_col).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")).distinct()
+    items = scratch(benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
+    found = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # a block's size is bounded by block_bytes
-        df = _one_block(df, Phrases([r.id for r in rows], [r.text for r in rows], window), slop)
-    return df
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # about block_bytes of text
+        one = _search_block(index, Phrases([r.id for r in rows], [r.text for r in rows], window), slop)
+        found = one if found is None else found.unionByName(one)
+    if blocks == 1:
+        return found
+    sums = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return scratch(sums.select("key", merged(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")), "matches")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", broadcast_texts: int = 100_000, **how) -> DataFrame:
+    """One row per row of docs: the key columns, text, n_words, spans (runs of hit words) and items (sorted ids).
+
+    Null, empty and blank texts have no words and no matches; texts of any length take part whole; repeated rows all
+    stay; an empty table, or an empty benchmark, gives no matches.  Other columns of docs are left out unless named
+    in key_cols; those with the name of an added one always are.  For items, windows and slop see `search`.
+    """
+    key_cols = tuple(c for c in key_cols if c not in ("text", "n_words", "spans", "items", "key"))
+    own = docs.select(*[F.col(c) for c in key_cols], F.col(text_col).cast("string").alias("text"))
+    index = build_index(own)
+    found = search(index, benchmark, **how)
+    drop_scratch(index)
+    marked = own.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("bigint")).withColumn("key", text_key(F.col("text")))
+    if found.count() <= broadcast_texts:
+        joined = marked.join(F.broadcast(found), "key", "left")
+    else:
+        joined = lookup(spread(marked, "_spread"), "key", found, hot_values(own.select(text_key(F.col("text")).alias("key")), "key"), "_spread")
+    none = [F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")]
+    return joined.select(*key_cols, "text", "n_words", *none)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", broadcast_texts: int = 1_000_000, **how) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs; null texts stay."""
+    index = build_index(docs, text_col)
+    found = search(index, benchmark, **how).select(F.col("key").alias("_key"))
+    drop_scratch(index)
+    marked = docs.withColumn("_key", text_key(F.col(text_col)))
+    if found.count() <= broadcast_texts:
+        return marked.join(F.broadcast(found), "_key", "left_anti").drop("_key")
+    hot = hot_values(docs.select(text_key(F.col(text_col)).alias("_key")), "_key")
+    return lookup(spread(marked, "_spread"), "_key", found.withColumn("_hit", F.lit(True)), hot, "_spread").where("_hit is null").drop("_key", "_hit", "_spread")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document; nulls, blanks, long texts, repeats and empty tables as in contamination."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["past"] - x["first"])
     return found.select(
