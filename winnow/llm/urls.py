@@ -1,23 +1,25 @@
-"""URL filters: explicit rules, then a path-template tree, in DataFrame operations only.
+"""URL filters: explicit rules, then path-template trees, in DataFrame operations only.
 
 Where no rule fits a url, its path is generalised into a template of its host's tree: a segment is a wildcard if it
 looks variable (digits, long hexadecimal) or if its node has more than `fan_out` different children.  Every node
-(host, template prefix) counts good and bad labelled pages.  Branches with the same prefix on different hosts are
-merged when they are statistically alike (no significant difference from the pooled share of bad pages by a z test,
-which a branch without labels never shows); a branch that differs keeps its own counts.  A template's purity is
-smoothed down its branch: each node's share of good pages, plus `smooth` pseudo-pages of its parent's purity, with
-the share over all labelled pages above the root.  A template under `least_purity` is rejected.
-
-Pages are first collapsed to templates per host with map-side sums, and the tree works on those; the verdicts are
-joined back by (host, template), a plain equi-join with one row per key on the tree's side, so a hot host is split.
+(host, template prefix) counts good and bad labelled pages below it.  Sibling branches of a host are merged when they are
+statistically alike: those whose share of bad pages differs by no significant amount (z test) from the share over
+all labelled siblings become one branch with their counts summed; a branch that differs keeps its own.  Branches
+without labels have nothing to compare.  A template's purity is smoothed down its branch: each node's share of good
+pages, plus `smooth` pseudo-pages of a prior.  The prior is the purity of the same prefix over all hosts, where that
+has labels, and else that of the node's parent.  A template under `least_purity` is rejected.
+
+Pages are first collapsed to templates per host with map-side sums, and the tree works on those.  A node is known by a
+hash of its prefix, made by running xor over a path's segments, so the work is in proportion to the segments, however
+long a path is.  Joins by node or template deal the values that many rows share over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kit import scratch
+from .kit import hot_values, lookup, scratch, spread
 
 #: (verdict, host, path)
 RULES = (
@@ -29,7 +31,6 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VARIABLE = r"^[0-9]+([^0-9a-zA-Z].*)?$|[0-9]{3,}|^[0-9a-fA-F-]{8,}$"
-SEPARATOR = "\x1f"
 
 
 def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -53,54 +54,83 @@ def segments(path: F.Column) -> F.Column:
     return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.when(x.rlike(VARIABLE), "*").otherwise(x))
 
 
-def _prefixes(segs: F.Column) -> F.Column:
-    return F.transform(F.sequence(F.lit(0), F.size(segs)), lambda k: F.array_join(F.slice(segs, F.lit(1), k), SEPARATOR))
+def template_id(host: F.Column, raw: F.Column) -> F.Column:
+    """16 bytes for a host and a path's segments joined by /; a host has no / in it."""
+    return F.unhex(F.md5(F.concat(host, F.lit("/"), raw)))
+
+
+def _dealt(df: DataFrame, key: str, table: DataFrame, using: DataFrame) -> DataFrame:
+    return lookup(df, key, table, hot_values(using, key), "_spread")
+
+
+def _nodes(steps: DataFrame, segment: str) -> DataFrame:
+    """steps (tid, hid, k from 1, segment) with place, a hash of the prefix that ends there, node (with the host) and up, the node above."""
+    own = F.xxhash64("k", segment)
+    so_far = F.bit_xor(own).over(Window.partitionBy("tid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    placed = steps.withColumn("place", so_far)
+    return placed.withColumn("node", F.xxhash64("hid", "place")).withColumn("up", F.xxhash64("hid", F.col("place").bitwiseXOR(own)))
 
 
 def template_verdicts(pages: DataFrame, fan_out: int = 30, smooth: float = 10.0, z: float = 2.0, least_purity: float = 0.5) -> DataFrame:
-    """(host, raw, template, purity, rejected) for each generalised path.  pages: host, raw (segments joined), good, bad (0 or 1)."""
-    seen = scratch(pages.groupBy("host", "raw").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "templates")
-    segs = F.when(F.col("raw") == "", F.array().cast("array<string>")).otherwise(F.split("raw", SEPARATOR))
-    steps = seen.select("host", "raw", F.posexplode(segs).alias("k", "child")).withColumn("parent", F.array_join(F.slice(F.split("raw", SEPARATOR), F.lit(1), F.col("k")), SEPARATOR))
-    wide = steps.select("host", "parent", "child").distinct().groupBy("host", "parent").agg(F.count("*").alias("n")).where(F.col("n") > fan_out).select("host", "parent", F.lit(True).alias("wide"))
-    made = steps.join(wide, ["host", "parent"], "left").groupBy("host", "raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.when(F.col("wide"), "*").otherwise(F.col("child")).alias("s")))), lambda x: x["s"]), SEPARATOR).alias("template"))
-    named = scratch(seen.join(made, ["host", "raw"], "left").withColumn("template", F.coalesce("template", F.lit(""))), "named")
-
-    segs = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.split("template", SEPARATOR))
-    nodes = named.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select("host", "template", "good", "bad", F.posexplode(_prefixes(segs)).alias("depth", "prefix"))
-    own = nodes.groupBy("host", "prefix").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    pooled = own.groupBy("prefix").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))
-    n, pn = F.col("g") + F.col("b"), F.col("pg") + F.col("pb")
-    share = (F.col("pb") + 0.5) / (pn + 1.0)
-    differs = (n > 0) & (F.abs(F.col("b") / F.greatest(n, F.lit(1)) - share) > z * F.sqrt(share * (1 - share) / F.greatest(n, F.lit(1))))
-    merged = own.join(pooled, "prefix").select("host", "prefix", F.when(differs, F.col("g")).otherwise(F.col("pg")).alias("g"), F.when(differs, n).otherwise(pn).alias("n"))
-    total = own.where("prefix = ''").agg(F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    """(tid, template, purity, rejected) for each host and generalised path.  pages: host, raw (segments joined by /), good, bad (0 or 1)."""
+    seen = scratch(pages.groupBy("host", "raw").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select(template_id(F.col("host"), F.col("raw")).alias("tid"), F.xxhash64("host").alias("hid"), "raw", "good", "bad"), "templates")
+    steps = spread(seen, "_spread").where("raw != ''").select("tid", "hid", "good", "bad", "_spread", F.posexplode(F.split("raw", "/")).alias("k", "child")).withColumn("k", F.col("k") + 1)
+    steps = scratch(_nodes(steps, "child").drop("place", "node"), "steps")
+    wide = steps.select("up", "child").distinct().groupBy("up").agg(F.count("*").alias("n")).where(F.col("n") > fan_out).select("up", F.lit(True).alias("wide"))
+    named = _dealt(steps, "up", wide, steps).select("tid", "hid", "k", "good", "bad", "_spread", F.when(F.col("wide"), "*").otherwise(F.col("child")).alias("step"))
+    roots = spread(seen, "_spread").select("tid", "hid", F.lit(0).alias("k"), "good", "bad", "_spread", F.lit("").alias("step"), F.lit(0).cast("bigint").alias("place"), F.xxhash64("hid", F.lit(0).cast("bigint")).alias("node"), F.lit(None).cast("bigint").alias("up"))
+    nodes = scratch(_nodes(named, "step").unionByName(roots), "nodes")
+
+    own = scratch(nodes.groupBy("node").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("up", True).alias("up")).where("g + b > 0"), "counts")
+    siblings = own.where("up is not null").groupBy("up").agg(F.sum("g").alias("sg"), F.sum("b").alias("sb"))
+    n, share = F.col("g") + F.col("b"), (F.col("sb") + 0.5) / (F.col("sg") + F.col("sb") + 1.0)
+    differs = F.abs(F.col("b") / n - share) > z * F.sqrt(share * (1 - share) / n)
+    tested = scratch(_dealt(spread(own, "_spread"), "up", siblings, own).select("node", "up", "g", "b", "_spread", F.when(F.col("up").isNull() | differs, False).otherwise(True).alias("alike")), "tested")
+    merged = tested.where("alike").groupBy("up").agg(F.sum("g").alias("mg"), F.sum("b").alias("mb"))
+    alone = tested.where("not alike").select("node", "g", (F.col("g") + F.col("b")).alias("n"))
+    counts = alone.unionByName(_dealt(tested.where("alike"), "up", merged, tested.where("alike")).select("node", F.col("mg").alias("g"), (F.col("mg") + F.col("mb")).alias("n")))
+    everywhere = nodes.groupBy("place").agg(F.sum("good").alias("pg"), F.sum(F.col("good") + F.col("bad")).alias("pn")).where("pn > 0")
+    total = nodes.where("k = 0").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     prior = (total.g + 1.0) / (total.g + total.b + 2.0)
-    branch = nodes.select("host", "template", "depth", "prefix").join(merged, ["host", "prefix"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "g", "n"))).alias("branch"))
-    purity = F.aggregate("branch", F.lit(prior), lambda p, x: (x["g"] + smooth * p) / (x["n"] + smooth))
-    judged = branch.select("host", "template", purity.alias("purity")).withColumn("rejected", F.col("purity") < least_purity)
-    return named.select("host", "raw", "template").join(judged, ["host", "template"])
+
+    zero = F.lit(0).cast("bigint")
+    known = _dealt(_dealt(nodes.select("tid", "k", "step", "node", "place", "_spread"), "node", scratch(counts, "merged"), nodes), "place", everywhere, nodes)
+    branch = known.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("g", zero).alias("g"), F.coalesce("n", zero).alias("n"), F.coalesce("pg", zero).alias("pg"), F.coalesce("pn", zero).alias("pn"), "step"))).alias("branch"))
+
+    def down(s: F.Column, x: F.Column) -> F.Column:
+        q = (x["pg"] + smooth * s["q"]) / (x["pn"] + smooth)
+        p = (x["g"] + smooth * F.when(x["pn"] > 0, q).otherwise(s["p"])) / (x["n"] + smooth)
+        return F.struct(p.alias("p"), q.alias("q"))
+
+    purity = F.aggregate("branch", F.struct(F.lit(prior).alias("p"), F.lit(prior).alias("q")), down)["p"]
+    template = F.concat(F.lit("/"), F.array_join(F.transform(F.slice("branch", F.lit(2), F.size("branch")), lambda x: x["step"]), "/"))
+    return scratch(branch.select("tid", template.alias("template"), purity.alias("purity")).withColumn("rejected", F.col("purity") < least_purity), "judged")
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, **how) -> DataFrame:
     """pages with host, path, rule, verdict, template, purity; one row per row of pages; other columns
-    stay, but for those with the name of an added one, or raw, ruled and rejected.
+    stay, but for those with the name of an added one, or tid, ruled and rejected.
 
-    Labelled pages are those a rule decides: allow is good, block is bad.  An empty url, or one without ://, has an
-    empty host and path and is judged by the root of that host's tree.  An empty table gives an empty result.
+    Labelled pages are those a rule decides: allow is good, block is bad.  A null or empty url, or one without ://, has an
+    empty host and path and is judged by the root of that host's tree.  Urls of any length are judged whole; repeated
+    rows all stay and count; of rules of equal length the later by verdict, host and path wins; a purity at the
+    threshold is allowed.  An empty table gives an empty result.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "template", "purity", "raw", "ruled", "rejected")
+    pages = pages.drop("host", "path", "rule", "verdict", "template", "purity", "tid", "ruled", "rejected", "_spread", "_salt")
     host, path = split_url(F.col(url_col))
-    parsed = pages.withColumn("host", host).withColumn("path", path)
+    parsed = spread(pages, "_spread").withColumn("host", host).withColumn("path", path)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("raw", F.array_join(segments(F.col("path")), SEPARATOR))
-    labelled = parsed.select("host", "raw", F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("good"), F.when(F.col("ruled") == "block", 1).otherwise(0).alias("bad"))
+    parsed = parsed.withColumn("rule", rule).withColumn("ruled", verdict)
+    raw = F.array_join(segments(F.col("path")), "/")
+    labelled = parsed.select("host", raw.alias("raw"), F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("good"), F.when(F.col("ruled") == "block", 1).otherwise(0).alias("bad"))
     found = template_verdicts(labelled, **how)
-    out = parsed.join(found, ["host", "raw"], "left")
-    return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))).withColumn("template", F.concat(F.lit("/"), F.regexp_replace("template", SEPARATOR, "/"))).drop("raw", "ruled", "rejected")
+    parsed = parsed.withColumn("tid", template_id(F.col("host"), raw))
+    out = _dealt(parsed, "tid", found, parsed)
+    return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))).select(*pages.columns, "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op6_urls(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; nulls, empty and very long urls, ties, repeats and empty tables as in judge_urls."""
     found = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
@@ -122,13 +152,17 @@ m AS (SELECT e.host, e.raw, list(CASE WHEN w.host IS NOT NULL THEN '*' ELSE e.ra
 n AS (SELECT s.host, s.raw, coalesce(m.template, []) AS template, good, bad FROM s LEFT JOIN m ON s.host = m.host AND s.raw = m.raw),
 t AS (SELECT host, template, sum(good) AS good, sum(bad) AS bad FROM n GROUP BY ALL),
 d AS (SELECT host, template, good, bad, depth, template[1 : depth] AS prefix FROM (SELECT *, unnest(range(0, len(template) + 1)) AS depth FROM t)),
-o AS (SELECT host, prefix, sum(good)::DOUBLE AS g, sum(bad)::DOUBLE AS b FROM d GROUP BY ALL),
-p AS (SELECT prefix, sum(g) AS pg, sum(b) AS pb, (sum(b) + 0.5) / (sum(g) + sum(b) + 1.0) AS share FROM o GROUP BY ALL),
-x AS (SELECT o.host, o.prefix, g + b > 0 AND abs(b / greatest(g + b, 1) - share) > 2.0 * sqrt(share * (1 - share) / greatest(g + b, 1)) AS differs, g, b, pg, pb FROM o JOIN p USING (prefix)),
-y AS (SELECT host, prefix, CASE WHEN differs THEN g ELSE pg END AS g, CASE WHEN differs THEN g + b ELSE pg + pb END AS n FROM x),
-q AS (SELECT (sum(g) + 1.0) / (sum(g) + sum(b) + 2.0) AS prior FROM o WHERE len(prefix) = 0),
-z AS (SELECT d.host, d.template, list((g + 0.0, n + 0.0) ORDER BY depth) AS l FROM d JOIN y ON d.host = y.host AND d.prefix = y.prefix GROUP BY ALL),
-u AS (SELECT host, template, list_reduce(list_prepend((prior, 0.0), l), lambda i, j: ((j[1] + 10.0 * i[1]) / (j[2] + 10.0), 0.0))[1] AS purity FROM z, q)
+o AS (SELECT host, prefix, sum(good)::DOUBLE AS g, sum(bad)::DOUBLE AS b FROM d GROUP BY ALL HAVING sum(good) + sum(bad) > 0),
+i AS (SELECT host, prefix[1 : len(prefix) - 1] AS up, (sum(b) + 0.5) / (sum(g) + sum(b) + 1.0) AS share FROM o WHERE len(prefix) > 0 GROUP BY ALL),
+x AS (SELECT o.host, o.prefix, i.up, g, b, i.up IS NOT NULL AND NOT abs(b / (g + b) - share) > 2.0 * sqrt(share * (1 - share) / (g + b)) AS alike
+  FROM o LEFT JOIN i ON o.host = i.host AND len(o.prefix) > 0 AND o.prefix[1 : len(o.prefix) - 1] = i.up),
+y AS (SELECT host, prefix, CASE WHEN alike THEN sum(g) OVER same ELSE g END AS g, CASE WHEN alike THEN sum(g + b) OVER same ELSE g + b END AS n
+  FROM x WINDOW same AS (PARTITION BY host, up, alike)),
+p AS (SELECT prefix, sum(good)::DOUBLE AS pg, (sum(good) + sum(bad))::DOUBLE AS pn FROM d GROUP BY ALL),
+q AS (SELECT (coalesce(sum(good), 0) + 1.0) / (coalesce(sum(good), 0) + coalesce(sum(bad), 0) + 2.0) AS prior FROM t),
+z AS (SELECT d.host, d.template, list((coalesce(g, 0.0), coalesce(n, 0.0), pg, pn) ORDER BY depth) AS l FROM d JOIN p USING (prefix) LEFT JOIN y ON d.host = y.host AND d.prefix = y.prefix GROUP BY ALL),
+u AS (SELECT host, template, list_reduce(list_prepend((prior, prior, 0.0, 0.0), l), lambda s, v:
+  ((v[1] + 10.0 * CASE WHEN v[4] > 0 THEN (v[3] + 10.0 * s[2]) / (v[4] + 10.0) ELSE s[1] END) / (v[2] + 10.0), (v[3] + 10.0 * s[2]) / (v[4] + 10.0), 0.0, 0.0))[1] AS purity FROM z, q)
 SELECT page_id, c.host, path, rule, coalesce(ruled, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
   '/' || array_to_string(n.template, '/') AS template, round(purity, 6) AS purity
 FROM c JOIN n ON c.host = n.host AND c.raw = n.raw JOIN u ON n.host = u.host AND n.template = u.template
