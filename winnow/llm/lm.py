@@ -1,14 +1,18 @@
-"""Stupid-backoff language-model scores as a partitioned count table joined to exploded n-grams.
-
-1. Documents are packed into segments of a few MB.  A segment explodes its texts into n-grams of orders 1..n and keeps
-   the distinct ones (64-bit hashes, sorted) with their counts.
-2. The count table is partitioned by hash: hash range b of every segment goes to bucket b, where counts are summed
-   over segments and each segment gets the totals of its own n-grams back, in its own order.
-3. Segments are joined with their totals; scores follow per word by backoff and are summed per document.
-
-Rows of both joins are packed arrays rather than single n-grams: an n-gram travels once per segment however often it
+"""Stupid-backoff language-model scores as partitioned count tables joined to exploded n-grams.
+
+1. Documents are packed into segments of a few MB.  A segment explodes its texts into n-grams and asks for the counts of
+   the distinct ones (64-bit hashes, sorted).
+2. The count table of an order is partitioned by hash: hash range b of every segment goes to bucket b, where counts are
+   summed over segments and each segment gets the totals of its own n-grams back, in its own order.
+3. Orders are counted level by level: words and pairs at once; from then on an n-gram is asked for only if both
+   (n-1)-grams in it reach the cutoff, for only then can it reach it.  This is exact, and most n-grams never move.
+4. Segments are joined with their totals; scores follow per word by backoff and are summed per document, in whole
+   numbers, so a document's score does not depend on its neighbours.
+
+Rows of the joins are packed arrays rather than single n-grams: an n-gram travels once per segment however often it
 occurs, so very common ones cost no more than others, and buckets are even because hashes are.  The number of
-buckets follows the size of the corpus, so a bucket's arrays stay within a worker's memory.
+buckets follows the size of the corpus, so a bucket's arrays stay within a worker's memory; a row for each
+segment and bucket that have n-grams in common, so there are never more rows than distinct n-grams of segments.
 """
 
 from __future__ import annotations
@@ -23,28 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Spans, chain, map_batches, per_doc_sum, scratch, ship, slices, text_bytes, words_of
+from .kit import Spans, chain, map_batches, per_doc_sum, release, scratch, ship, slices, squeeze, text_bytes, unsqueeze, words_of
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 8 << 20
 HASH_BYTES = 1 << 19
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
+#: Scores are summed in units of 2**-SCALE.
+SCALE = 28
 ALPHA = 0.4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SEEDS = [np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x2545F4914F6CDD1D)]
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes."""
-    x = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-
-
-def unsqueeze(data: bytes) -> np.ndarray:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel()
-
-
 def unpacked(text: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
 
@@ -107,23 +102,47 @@ def segments_of(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int
     return scratch(map_batches(slim, run, "seg bigint, words bigint, ids array<bigint>, bytes bigint, off binary, text binary"), "segments")
 
 
-def _requests(segments: DataFrame, bits: int, order: int, counted: bool, answered: bool) -> DataFrame:
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys but 0, how often each occurs)."""
+    keys = np.sort(keys)
+    keys = keys[np.searchsorted(keys, 1) :]
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    return keys[cut[:-1]], np.diff(cut)
+
+
+def _asked(seg: int | None, keys: np.ndarray, n: np.ndarray, bits: int, counted: bool) -> Iterator[tuple]:
+    """Rows (bucket, seg, keys, counts) for sorted distinct keys."""
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+    bounds = np.concatenate(([0], edges, [len(keys)])).tolist()
+    for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
+        if y > x:
+            yield k, seg, squeeze(np.diff(keys[x:y], prepend=np.uint64(0))), squeeze(n[x:y]) if counted else None
+
+
+def _request_table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [[], [], [], []]
+    kinds = [("bucket", pa.int64()), ("seg", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
+    return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(cols, kinds)})
+
+
+REQUEST = "bucket bigint, seg bigint, keys binary, counts binary"
+
+
+def _texts(off: bytes, text: bytes, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    return grams(unpacked(text), unsqueeze(off).astype(np.int64), order)
+
+
+def _first_requests(segments: DataFrame, bits: int, counted: bool, answered: bool) -> DataFrame:
+    """What segments ask for words and pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seg, off, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                found, _ = grams(unpacked(text.as_py()), unsqueeze(off.as_py()).astype(np.int64), order)
-                keys = np.sort(np.concatenate(found))
-                keys = keys[np.searchsorted(keys, 1) :]
-                cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-                keys, n = keys[cut[:-1]], np.diff(cut)
-                edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-                bounds = np.concatenate(([0], edges, [len(keys)])).tolist()
-                for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
-                    if y > x:
-                        step = np.diff(keys[x:y], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([seg if answered else None], pa.int64()), pa.array([squeeze(step)]), pa.array([squeeze(n[x:y]) if counted else None], pa.binary())], names=["bucket", "seg", "keys", "counts"])
+                keys, n = _distinct(np.concatenate(_texts(off.as_py(), text.as_py(), 2)[0]))
+                for row in _asked(seg if answered else None, keys, n, bits, counted):
+                    yield from _request_table([row]).to_batches()
 
-    return map_batches(segments.select("seg", "off", "text"), run, "bucket bigint, seg bigint, keys binary, counts binary")
+    return map_batches(segments.select("seg", "off", "text"), run, REQUEST)
 
 
 def _totals(group: pa.Table) -> pa.Table:
@@ -142,35 +161,99 @@ def _totals(group: pa.Table) -> pa.Table:
     return pa.table({"seg": pa.array(cols[0], pa.int64()), "bucket": pa.array(cols[1], pa.int64()), "totals": pa.array(cols[2], pa.binary())})
 
 
-def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = ALPHA, cutoff: int = 2, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _counted(asked: DataFrame, level: int) -> DataFrame:
+    """(seg, level, bucket, totals) for requests of one level, written and read again."""
+    found = asked.groupBy("bucket").applyInArrow(_totals, "seg bigint, bucket bigint, totals binary")
+    return scratch(found.select("seg", F.lit(level).cast("bigint").alias("level"), "bucket", "totals"), "totals")
+
+
+class _Known:
+    """The counts of a segment's n-grams, from the answers so far."""
+
+    def __init__(self, answers: pa.Table):
+        self.parts: dict[int, list[tuple[int, bytes]]] = {}
+        for level, bucket, totals in zip(answers["level"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist()):
+            self.parts.setdefault(level, []).append((bucket, totals))
+
+    def _spread(self, level: int, asked: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Counts of wanted, given the distinct keys `asked` at that level; 0 for others."""
+        known = np.concatenate([np.zeros(0, np.uint64), *[unsqueeze(x) for _, x in sorted(self.parts.get(level, []))]])
+        if not len(asked):
+            return np.zeros(len(wanted), dtype=np.int64)
+        at = np.minimum(np.searchsorted(asked, wanted), len(asked) - 1)
+        return np.where(asked[at] == wanted, known[at], 0).astype(np.int64)
+
+    def counts(self, found: list[np.ndarray], order: int, cutoff: int) -> list[np.ndarray]:
+        """Of each order up to `order`, the count of the gram that ends at each word (0 where it was not asked for)."""
+        asked = _distinct(np.concatenate(found[:2]))[0]
+        out = [self._spread(2, asked, x) for x in found[:2]]
+        for k in range(3, order + 1):
+            may = hopeful(found[k - 1], out[k - 2], cutoff)
+            out.append(np.where(may, self._spread(k, _distinct(found[k - 1][may])[0], found[k - 1]), 0))
+        return out
+
+
+def hopeful(grams_here: np.ndarray, shorter: np.ndarray, cutoff: int) -> np.ndarray:
+    """Where an n-gram can reach the cutoff: both (n-1)-grams in it do."""
+    reach = shorter >= cutoff
+    return (grams_here != 0) & reach & np.concatenate(([False], reach[:-1]))
+
+
+def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = ALPHA, cutoff: int = 2, segment_bytes: int = SEGMENT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of docs: id, n_words, log_score, and n_by_order (words scored by each order, from 1).
 
     Words are runs without ASCII white space, A-Z lower-cased; n-grams stay within a document.  A word scores
     c(gram)/c(context) by the longest gram ending there with c >= cutoff, times alpha for each order it fell back; the
-    unigram scores max(c, 1/2)/N.  Counts are over all of corpus (default: docs itself).  Without words the score is
-    0.  Ids may repeat or be null; an empty table gives an empty result.
+    unigram scores max(c, 1/2)/N.  Counts are over all of corpus (default: docs itself).  A null, empty or blank text has no
+    words and score 0; texts of any length count whole; ids may repeat or be null, and repeated rows all stay (and
+    count); other columns, whatever their names, are not read; an empty table gives an empty result.
     """
-    own = segments_of(docs, id_col, text_col)
-    base = own if corpus is None else segments_of(corpus, id_col, text_col)
+    spark = docs.sparkSession
+    ship(spark)
+    own = segments_of(docs, id_col, text_col, segment_bytes)
+    base = own if corpus is None else segments_of(corpus, id_col, text_col, segment_bytes)
     total, size = base.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bits = max(3, math.ceil(math.log2(max(1, size / bucket_bytes))))
-    asked = _requests(own, bits, order, corpus is None, True)
-    if corpus is not None:
-        asked = asked.unionByName(_requests(base, bits, order, True, False))
-    ship(docs.sparkSession)
-    totals = asked.groupBy("bucket").applyInArrow(_totals, "seg bigint, bucket bigint, totals binary")
-    logs = math.log(alpha)
+    logs, unit = math.log(alpha), float(1 << SCALE)
+
+    def ask(level: int, counted: bool, answered: bool):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = []
+            for seg, off, text in zip(left["seg"].to_pylist(), left["off"].to_pylist(), left["text"].to_pylist()):
+                found = _texts(off, text, level)[0]
+                counts = _Known(right).counts(found[: level - 1], level - 1, cutoff)
+                keys, n = _distinct(found[level - 1][hopeful(found[level - 1], counts[-1], cutoff)])
+                rows += _asked(seg if answered else None, keys, n, bits, counted)
+            return _request_table(rows)
+
+        return run
+
+    #: (segments, whether their n-grams count, whether they need the totals of the last level)
+    sides = [(own, True, True)]
+    if corpus is not None:  # the corpus asks too, to know which of its longer n-grams to count
+        own = own.withColumn("seg", -F.col("seg"))
+        sides = [(own, False, True), (base, True, False)]
+    asked = None
+    for segments, counted, needed in sides:
+        one = _first_requests(segments, bits, counted, needed or order > 2)
+        asked = one if asked is None else asked.unionByName(one)
+    answers = _counted(asked, 2)
+    for level in range(3, order + 1):
+        release(spark)
+        asked = None
+        for segments, counted, needed in sides:
+            one = segments.select("seg", "off", "text").groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(ask(level, counted, needed or level < order), REQUEST)
+            asked = one if asked is None else asked.unionByName(one)
+        answers = answers.unionByName(_counted(asked, level))
+    release(spark)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [unsqueeze(x) for _, x in sorted(zip(right["bucket"].to_pylist(), right["totals"].to_pylist()))]
-        known = np.concatenate([[0], *parts]).astype(np.float64)
         ids, n_words, scores, orders = [], [], [], []
         for row_ids, off, text in zip(left["ids"].to_pylist(), left["off"].to_pylist(), left["text"].to_pylist()):
-            found, first = grams(unpacked(text), unsqueeze(off).astype(np.int64), order)
-            keys, back = np.unique(np.concatenate([np.zeros(1, np.uint64), *found]), return_inverse=True)
-            counts = known[back[1:]].reshape(order, -1)  # key 0, no gram, comes first and counts 0
+            found, first = _texts(off, text, order)
+            counts = _Known(right).counts(found, order, cutoff)
             value = np.log(np.maximum(counts[0], 0.5) / max(total, 1))
-            level = np.ones(counts.shape[1], dtype=np.int64)
+            level = np.ones(len(value), dtype=np.int64)
             for k in range(1, order):
                 context = np.concatenate(([0], counts[k - 1][:-1]))
                 seen = (counts[k] >= cutoff) & (context > 0)
@@ -179,14 +262,17 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str
                 level[seen] = k + 1
             ids += row_ids
             n_words.append(np.diff(first))
-            scores.append(per_doc_sum(value, first))
+            scores.append(per_doc_sum(np.rint(value * unit).astype(np.int64), first) / unit)
             orders.append(np.stack([per_doc_sum((level == k).astype(np.int64), first) for k in range(1, order + 1)], axis=1))
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(np.concatenate(n_words), pa.int64()), "log_score": pa.array(np.concatenate(scores), pa.float64()), "n_by_order": pa.array(np.concatenate(orders).tolist(), pa.list_(pa.int64()))})
+        none = np.zeros(0)
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(np.concatenate([none, *n_words]), pa.int64()), "log_score": pa.array(np.concatenate([none, *scores]), pa.float64()), "n_by_order": pa.array(np.concatenate(orders).tolist() if orders else [], pa.list_(pa.int64()))})
 
-    return own.select("seg", "ids", "off", "text").groupBy("seg").cogroup(totals.groupBy("seg")).applyInArrow(score, "id bigint, n_words bigint, log_score double, n_by_order array<bigint>")
+    return own.select("seg", "ids", "off", "text").groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(score, "id bigint, n_words bigint, log_score double, n_by_order array<bigint>")
 
 
 def op1_lm_scores(spark, sf_dir: str) -> DataFrame:
+    """The score of every document against counts over all of them; nulls, blanks, long texts, repeats and empty tables as
+    stupid_backoff says."""
     found = stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"),
