@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from test_llm import collected, docs, lower, texts, words
-from winnow.llm import chat, decontaminate, kit, lm, mixing, quality, urls
+from winnow.llm import chat, decontaminate, html, kit, lm, mixing, quality, urls
 
 DATA = "/root/testdata/sf0.01"
 
@@ -307,3 +307,52 @@ def test_counts_of_op7_match_sql(spark):
     want = sorted(con.sql(sql).fetchall())
     assert sorted(x[:4] for x in got) == want
     assert all(x[4] for x in got if x[1] < 50)
+
+
+# ---------------------------------------------------------------- op8
+
+
+def test_marginals_match_enumeration():
+    model = html.train(html.labelled_pages(60))
+    page = html.Page('<div class="menu"><a href="/">x</a></div><section><h1>A head</h1><div>some words here</div><div>and more words</div></section><footer>end</footer>')
+    n = len(page.tag)
+    seen = page.surroundings()
+    own = []
+    for k in range(n):
+        marks = model.marked(page, k) + model.filled(page.text_chars[k], page.link_chars[k], page.controls[k]) + [("alike", seen[k])]
+        own.append([sum(model.odds[x][y] for x in marks if x in model.odds) for y in range(3)])
+    weight, content = 0.0, [0.0] * n
+    for labels in np.ndindex(*[3] * (n - 1)):
+        y = (html.FRAME, *labels)
+        w = math.exp(sum(own[k][y[k]] + model.log_pairs[y[page.parent[k]]][y[k]] for k in range(1, n)))
+        weight += w
+        for k in range(1, n):
+            content[k] += w * (y[k] == html.CONTENT)
+    got = model.marginals(page)
+    assert 5 < n < 12 and all(abs(got[k] - content[k] / weight) < 1e-9 for k in range(1, n))
+
+
+#: Layouts that the grammar does not make: (markup, main text).
+LAYOUTS = [
+    ('<div class="c-3f"><div class="q1">Start</div><div class="q1">Wetter</div></div><div class="hx"><h1>Der Fund</h1><p>Am Morgen fanden Arbeiter unter dem Platz eine alte Mauer aus Stein.</p><p>Sie ist nach ersten Messungen wohl achthundert Jahre alt.</p></div><div class="kommentare"><div class="k">Toll!</div><div class="k">Endlich mal etwas Neues hier.</div><div class="k">Wann wird das gezeigt?</div></div>', "Der Fund Am Morgen fanden Arbeiter unter dem Platz eine alte Mauer aus Stein. Sie ist nach ersten Messungen wohl achthundert Jahre alt."),
+    ("<table><tr><td><a href=/a>Home</a> <a href=/b>News</a></td></tr></table><article><h2>Short note</h2><p>One line of text that says it all and then ends.</p></article><p><a href=/c>Older</a> <a href=/d>Newer</a></p>", "Short note One line of text that says it all and then ends."),
+    ('<ul id="u1"><li><a href="/1">Un</a></li><li><a href="/2">Deux</a></li></ul><main><h1>Le marché</h1><p>Le marché ouvre chaque samedi à huit heures, au bord de la rivière, sous les arbres.</p><ul><li>des pommes de la vallée</li><li>du pain cuit au bois</li></ul></main><aside><h3>Voir aussi</h3><a href="/x">Autre page</a></aside>', "Le marché Le marché ouvre chaque samedi à huit heures, au bord de la rivière, sous les arbres. des pommes de la vallée du pain cuit au bois"),
+    ("<p>A page with nothing but two paragraphs of text in its body, as people wrote them long ago.</p><p>The second one is as long as the first one, or nearly so, and closes it.</p>", "A page with nothing but two paragraphs of text in its body, as people wrote them long ago. The second one is as long as the first one, or nearly so, and closes it."),
+]
+
+
+def test_layouts_that_the_grammar_did_not_make():
+    model, tp, fp, fn = html.train(), 0, 0, 0
+    for source, want in LAYOUTS:
+        got, want = collections.Counter(model.extract(f"<html><body>{source}</body></html>").split()), collections.Counter(want.split())
+        tp, fp, fn = tp + sum((got & want).values()), fp + sum((got - want).values()), fn + sum((want - got).values())
+    assert tp / (tp + fn) > 0.9 and tp / (tp + fp) > 0.9
+
+
+def test_every_article_of_the_pages_comes_out_whole(spark):
+    got = {r.page_id: r.text for r in html.op8_html(spark, DATA).collect()}
+    for r in pq.read_table(f"{DATA}/pages.parquet").to_pylist():
+        inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)
+        if inside:
+            blocks = re.split(r"</?(?:p|h\d|article|div|section|ul|li)\b[^>]*>", inside[1])
+            assert got[r["page_id"]] == " ".join(" ".join(html.html.unescape(re.sub(r"<br>", "\n", re.sub(r"</?[bi]>", "", b))).split()) for b in blocks if b.strip()).strip()

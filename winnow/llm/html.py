@@ -1,8 +1,10 @@
 """Main text of web pages from a tree-structured graphical model.
 
 The DOM's block elements are nodes with a hidden label: content, boilerplate, or a frame around both.  Potentials: one for each parent-child pair of
-labels, and one for each observation of a node (tag, words of class, id and role, amount of text, share of it in links,
-form controls) given its label.  Messages run from the leaves to the root and back (sum-product, exact on a tree); a
+labels, and one for each observation of a node given its label.  Observations are what a node says of itself (tag, words
+of class, id and role, amount of text, share of it in links, form controls) and what its surroundings say: how many siblings
+look like it, and where they stand to the element with the most running text.  So lists of comments are told where names
+mean nothing.  Messages run from the leaves to the root and back (sum-product, exact on a tree); a
 block's own text is kept if its marginal of being content is over one half.
 
 The potentials are smoothed counts over labelled pages: markup with data-label="1" or "0" on elements, inherited
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .kit import map_batches
 
 # Fixed values of the HTML standard.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+ITEMS = frozenset("li dd dt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr br img".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -135,6 +139,36 @@ class Page:
             stack.append((tag, node))
         text(source[at:])
 
+    def surroundings(self) -> list[str]:
+        """Of each node that has siblings of the same tag and attributes: how many, what kind of element it is, and where it
+        stands to the element with the most running text in its own paragraphs (main, in, up around it, before, after)."""
+        n = len(self.tag)
+        total, links, running = self.text_chars[:], self.link_chars[:], [0] * n
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            total[up] += total[k]
+            links[up] += links[k]
+            if self.tag[k] in RUNNING and 2 * links[k] <= total[k]:
+                running[up] += total[k]
+        main = max(range(1, n), key=running.__getitem__) if n > 1 else 0
+        around, at = {main}, main
+        while at > 0:
+            at = self.parent[at]
+            around.add(at)
+        inside = [False] * n
+        inside[main] = True
+        looks: dict[tuple, int] = {}
+        for k in range(1, n):
+            inside[k] = inside[k] or inside[self.parent[k]]
+            key = (self.parent[k], self.tag[k], self.attrs[k])
+            looks[key] = looks.get(key, 0) + 1
+        out = [""]
+        for k in range(1, n):
+            same = min(3, looks[self.parent[k], self.tag[k], self.attrs[k]])
+            place = "main" if k == main else "in" if inside[k] else "up" if k in around else "before" if k < main else "after"
+            out.append(f"{place} {'li' if self.tag[k] in ITEMS else 'box'}{same}" if same > 1 and self.tag[k] not in RUNNING else "")
+        return out
+
     def _break(self) -> None:
         """What follows belongs to another block, even if to the same node."""
         if self.runs and self.runs[-1][1]:
@@ -163,7 +197,7 @@ BOILERPLATE, CONTENT, FRAME = range(3)  # a frame (body, wrapper) holds parts of
 class Model:
     """log potentials of label pairs and of observations given a label."""
 
-    KINDS = ("tag", "name", "size", "links", "form")
+    KINDS = ("tag", "name", "size", "links", "form", "alike")
 
     def __init__(self, smooth: float = 0.5):
         self.smooth = smooth
@@ -184,13 +218,13 @@ class Model:
         nodes = [0.0] * 3
         for source in pages:
             page = Page(source)
-            label = [FRAME] * len(page.tag)
+            label, seen = [FRAME] * len(page.tag), page.surroundings()
             for k in range(1, len(page.tag)):
                 own = re.search(r'data-label="([01])"', page.attrs[k])
                 label[k] = int(own[1]) if own else label[page.parent[k]]
                 pairs[label[page.parent[k]]][label[k]] += 1
                 nodes[label[k]] += 1
-                for kind, value in self.marked(page, k) + self.filled(page.text_chars[k], page.link_chars[k], page.controls[k]):
+                for kind, value in self.marked(page, k) + self.filled(page.text_chars[k], page.link_chars[k], page.controls[k]) + [("alike", seen[k])] * bool(seen[k]):
                     counts[kind][value][label[k]] += 1
         self.log_pairs = [[math.log(x / sum(row)) for x in row] for row in pairs]
         self.odds: dict[tuple[str, str], tuple[float, ...]] = {}
@@ -215,10 +249,11 @@ class Model:
         n, cache = len(page.tag), self.cache
         (t00, t01, t02), (t10, t11, t12), (t20, t21, t22) = self.log_pairs
         score = []
-        for k in range(n):
+        for k, seen in enumerate(page.surroundings()):
             a = cache.get(key := (page.tag[k], page.attrs[k])) or self._sum(key, self.marked(page, k))
             b = cache.get(key := (page.text_chars[k], page.link_chars[k], page.controls[k])) or self._sum(key, self.filled(*key))
-            score.append([a[0] + b[0], a[1] + b[1], a[2] + b[2]])
+            c = self.odds.get(("alike", seen), (0.0, 0.0, 0.0)) if seen else (0.0, 0.0, 0.0)
+            score.append([a[0] + b[0] + c[0], a[1] + b[1] + c[1], a[2] + b[2] + c[2]])
         up = [(0.0, 0.0, 0.0)] * n
         for k in range(n - 1, 0, -1):  # children come after their parents
             a, b, c = score[k]
@@ -276,17 +311,39 @@ PARTS = {
 }
 
 
-def labelled_pages(count: int = 800, seed: int = 11) -> list[str]:
-    """Pages of random layouts with known labels."""
+#: Names of parts in other languages than those above.
+FOREIGN = {
+    "content": "artikel beitrag inhalt texte contenu corps articulo contenido cuerpo noticia".split(),
+    "menu": "navigation menue hauptmenue navegacion menu-principal fil-ariane".split(), "header": "kopf kopfzeile entete cabecera encabezado".split(),
+    "footer": "fuss fusszeile impressum pied pied-de-page pie pie-de-pagina".split(), "sidebar": "seitenleiste randspalte colonne barra-lateral lateral".split(),
+    "notice": "hinweis meldung avis aviso bandeau".split(), "advert": "werbung anzeige publicite pub anuncio publicidad".split(),
+    "form": "suche anmeldung recherche inscription buscar formulario".split(), "comments": "leserbriefe antworten commentaires comentarios respuestas".split(),
+}
+
+
+def labelled_pages(count: int = 1200, seed: int = 11) -> list[str]:
+    """Pages of random layouts with known labels.
+
+    In a third of them parts have their usual names; in the others names are random or generated, in another language, or
+    there are none at all and every part is a div: there only structure tells.
+    """
     r = random.Random(seed)
+    style = "plain"
+
+    def named(names: list[str], kind: str) -> str:
+        if style == "foreign" and kind in FOREIGN:
+            return r.choice(FOREIGN[kind])
+        if style in ("random", "none"):
+            return "".join(r.choice("abcdefghjkmnpqrstuvwxyz") for _ in range(r.randint(3, 8))) + r.choice(["", f"-{r.randrange(99)}", f"_{r.randrange(16**4):x}"])
+        return r.choice(names)
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(r.choice("aeioulnrstdmk") for _ in range(r.randint(2, 9))) for _ in range(r.randint(low, high)))
 
-    def attrs(names: list[str], chance: float = 0.85) -> str:
-        if r.random() > chance:
+    def attrs(names: list[str], chance: float = 0.85, kind: str = "") -> str:
+        if r.random() > chance or style == "none":
             return ""
-        name = r.choice(names)
+        name = named(names, kind)
         return r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {r.choice(["wide", "clearfix", "left", "row", "box", "inner", "container"])}"'])
 
     def link() -> str:
@@ -302,9 +359,9 @@ def labelled_pages(count: int = 800, seed: int = 11) -> list[str]:
 
     def part(kind: str) -> str:
         tags, names = PARTS[kind]
-        tag = r.choice(tags)
+        tag = r.choice(tags) if style == "plain" or r.random() < 0.4 else "div"
         sure = tag in ("nav", "header", "footer", "aside", "form", "ins") and r.random() < 0.4
-        a = "" if sure else attrs(names, 1.0)
+        a = "" if sure else attrs(names, 1.0, kind)
         if kind == "menu":
             body = "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 9)))
             body = body if tag == "ul" else f"<ul>{body}</ul>"
@@ -315,14 +372,14 @@ def labelled_pages(count: int = 800, seed: int = 11) -> list[str]:
         elif kind == "sidebar":
             body = r.choice([f"<h3>{words(1, 3)}</h3><ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8))) + "</ul>", paragraph(3, 40), f"<h4>{words(1, 3)}</h4>{paragraph(3, 30)}", words(3, 20)])
         elif kind == "notice":
-            body = r.choice([words(4, 30), f"<p>{words(4, 40)}</p>"]) + r.choice(["", f"<button>{words(1, 2)}</button>", link()])
+            body = r.choice([words(4, 30), f"<p>{words(4, 40)}</p>"]) + r.choice(["" if style == "plain" else f"<button>{words(1, 2)}</button>", f"<button>{words(1, 2)}</button>", link()])
         elif kind == "advert":
             body = r.choice([words(3, 30), f"<p>{words(3, 30)}</p>", link(), f'<img src="/x.png"><p>{words(2, 10)}</p>'])
         elif kind == "form":
             body = f"<label>{words(1, 3)}</label><input type=text>" + r.choice([f"<p>{words(3, 20)}</p>", ""]) + f"<button>{words(1, 2)}</button>"
         else:
-            item = r.choice(["li", "div", "div", "p"])
-            body = r.choice([f"<h3>{words(1, 3)}</h3>", f"<h2>{words(1, 2)}</h2>", ""]) + "".join(f"<{item}{attrs(['comment', 'reply', 'comment-body', 'response', 'review'])}>" + (words(3, 60) if item == "p" else paragraph()) + f"</{item}>" for _ in range(r.randint(1, 6)))
+            item, same = r.choice(["li", "div", "div", "p"] if style == "plain" else ["li", "div", "div", "div"]), attrs(["comment", "reply", "comment-body", "response", "review"], 0.85, "comment")
+            body = r.choice([f"<h3>{words(1, 3)}</h3>", f"<h2>{words(1, 2)}</h2>", ""]) + "".join(f"<{item}{same}>" + (words(3, 60) if item == "p" else r.choice(["", f"<b>{words(1, 2)}</b> ", f"<h4>{words(1, 2)}</h4>", f"<span>{words(1, 2)}</span>"]) + r.choice([paragraph(), paragraph(3, 60), words(3, 40)])) + f"</{item}>" for _ in range(r.randint(1, 6) if style == "plain" else r.randint(2, 8)))
         return f'<{tag}{a} data-label="0">{body}</{tag}>'
 
     def story() -> str:
@@ -340,12 +397,13 @@ def labelled_pages(count: int = 800, seed: int = 11) -> list[str]:
         if r.random() < 0.12:  # no element of its own around the story
             return "".join(x if "data-label" in x[:99] else re.sub(r"^<(\w+)", r'<\1 data-label="1"', x) for x in items)
         body = "".join(items)
-        tag = r.choice(["article", "article", "main", "div", "div", "section"])
-        a = "" if tag in ("article", "main") and r.random() < 0.6 else attrs(CONTENT_NAMES, 0.85 if tag == "div" else 1.0)
+        tag = r.choice(["article", "article", "main", "div", "div", "section"] if style == "plain" else ["article", "div", "div", "div", "section"])
+        a = "" if tag in ("article", "main") and r.random() < 0.6 else attrs(CONTENT_NAMES, 0.85 if tag == "div" else 1.0, "content")
         return f'<{tag}{a} data-label="1">{body}</{tag}>'
 
     out = []
     for _ in range(count):
+        style = r.choice(["plain", "plain", "foreign", "random", "random", "none"])
         before = [part(k) for k in ("header", "menu", "notice", "advert", "sidebar", "form") if r.random() < 0.45]
         after = [part(k) for k in ("comments", "sidebar", "advert", "form", "menu", "footer", "notice") if r.random() < 0.4]
         r.shuffle(before)
@@ -367,7 +425,8 @@ def train(pages: Iterable[str] | None = None) -> Model:
 def extract_text(pages: DataFrame, model: Model | None = None, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with out_col in place of html_col: the main text, empty if there is none or html is null or empty.
 
-    Rows keep their other columns (one named like out_col is replaced); repeated rows stay; an empty table gives an empty result.
+    Pages of any length are taken whole.  Rows keep their other columns (one named like out_col is replaced); repeated rows
+    stay; a node as likely content as not is left out; an empty table gives an empty result.
     """
     pages = pages.drop(*[c for c in pages.columns if c == out_col and c != html_col])
     shared = pages.sparkSession.sparkContext.broadcast(model or train())  # a few hundred potentials
@@ -386,5 +445,6 @@ def extract_text(pages: DataFrame, model: Model | None = None, html_col: str = "
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page; nulls, empty and long pages, repeats and empty tables as in extract_text."""
     found = extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
