@@ -404,11 +404,20 @@ def test_junk_scores_lower_than_what_it_was_trained_on(spark):
     junk = [re.sub(r"(\w) ", r"\1*** ", t) for t in texts(60, 8)[:60]]
     df = docs(spark, clean + junk)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id bigint, quality int, toxic int")
-    got = {r.doc_id: r.llr for r in quality.assess(df, labels, damping=0.001).collect()}
+    got = {r.doc_id: r.llr for r in quality.assess(df, labels).collect()}
     held_out = [got[i] for i in range(1, 300, 2) if len(clean[i]) > 60]
     assert np.median(held_out) > max(got[300 + i] for i in range(60) if len(junk[i]) > 60)
 
 
+def test_verdicts_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.assess(spark.read.parquet(f"{d}/documents.parquet"), labels.where("doc_id % 2 = 0")).where("not base_failed")
+    got = rows.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "kept").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad) and len(bad) > 10
+
+
 # ---------------------------------------------------------------- op8
 
 
