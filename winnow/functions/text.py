@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,20 +14,28 @@ NO_FLAGS = "No prior flags."
 FAST_MOTION = "Note: directional frequency analysis suggests possible motion blur."
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often use mentions it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def balanced_object(text: Column) -> Column:
-    """The first balanced {...} of a text, braces in strings counting too; null if there is none."""
+    """The first balanced {...} of a text, braces in strings counting too; null if there is none.
+
+    The fold runs over braces, not characters: each step takes the text up to the next brace.
+    """
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(0).alias("pos"), F.lit(0).alias("end"))
 
-    def step(s: Column, ch: Column) -> Column:
-        opens, closes, done = ch == "{", (ch == "}") & (s["depth"] > 0), s["end"] > 0
-        pos = s["pos"] + 1
+    def step(s: Column, piece: Column) -> Column:
+        opens, done, pos = F.endswith(piece, F.lit("{")), s["end"] > 0, s["pos"] + F.length(piece)
+        closes = ~opens & (s["depth"] > 0)
         depth = F.when(done, s["depth"]).when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"])
         begin = F.when(~done & opens & (s["depth"] == 0), pos).otherwise(s["start"])
         end = F.when(~done & closes & (s["depth"] == 1), pos).otherwise(s["end"])
         return F.struct(depth.alias("depth"), begin.alias("start"), pos.alias("pos"), end.alias("end"))
 
-    span = F.aggregate(F.split(text, ""), start, step)
-    return F.when(span["end"] > 0, F.substring(text, span["start"], span["end"] - span["start"] + 1))
+    span = F.aggregate(F.regexp_extract_all(text, F.lit("[^{}]*[{}]"), F.lit(0)), start, step)
+    return bound(span, lambda x: F.when(x["end"] > 0, F.substring(text, x["start"], x["end"] - x["start"] + 1)))
 
 
 def cleaned_json(text: Column) -> Column:
@@ -39,14 +49,24 @@ def parse_answer(text: Column) -> Column:
     The answer must hold an object with a boolean keeper and all scores within 0..1 (numbers, numeric strings or
     booleans); anything else is a parse error with nulls.
     """
-    data = F.try_parse_json(cleaned_json(balanced_object(text)))
-    keeper = F.when(F.schema_of_variant(F.try_variant_get(data, "$.keeper", "variant")) == "BOOLEAN", F.try_variant_get(data, "$.keeper", "boolean"))
-    raw = {k: F.coalesce(F.try_variant_get(data, f"$.{k}", "double"), F.try_variant_get(data, f"$.{k}", "boolean").cast("double")) for k in SCORES}
-    ok = F.coalesce(keeper.isNotNull() & F.lit(True), F.lit(False))
-    for x in raw.values():
-        ok = ok & F.coalesce(x.between(0.0, 1.0), F.lit(False))
-    flags = F.coalesce(F.try_variant_get(data, "$.flags", "array<string>"), F.array().cast("array<string>"))
-    return F.struct((~ok).alias("is_parse_error"), F.when(ok, keeper).alias("is_keeper"), F.when(ok, flags).alias("flags"), *[F.when(ok, x).alias(k) for k, x in raw.items()])
+
+    def fields(data: Column) -> Column:
+        keeper = F.when(F.schema_of_variant(F.try_variant_get(data, "$.keeper", "variant")) == "BOOLEAN", F.try_variant_get(data, "$.keeper", "boolean"))
+        raw = {k: F.coalesce(F.try_variant_get(data, f"$.{k}", "double"), F.try_variant_get(data, f"$.{k}", "boolean").cast("double")) for k in SCORES}
+        flags = F.coalesce(F.try_variant_get(data, "$.flags", "array<string>"), F.array().cast("array<string>"))
+        return F.struct(keeper.alias("keeper"), flags.alias("flags"), *[x.alias(k) for k, x in raw.items()])
+
+    def judged(x: Column) -> Column:
+        ok = x["keeper"].isNotNull()
+        for k in SCORES:
+            ok = ok & F.coalesce(x[k].between(0.0, 1.0), F.lit(False))
+        return F.struct(ok.alias("ok"), x.alias("x"))
+
+    def answer(y: Column) -> Column:
+        ok, x = y["ok"], y["x"]
+        return F.struct((~ok).alias("is_parse_error"), F.when(ok, x["keeper"]).alias("is_keeper"), F.when(ok, x["flags"]).alias("flags"), *[F.when(ok, x[k]).alias(k) for k in SCORES])
+
+    return bound(F.try_parse_json(cleaned_json(balanced_object(text))), lambda data: bound(fields(data), lambda x: bound(judged(x), answer)))
 
 
 def parse_explanation(text: Column) -> Column:
@@ -137,6 +157,16 @@ def outlier_flags(palette: Column, exposure: Column, exif: Column) -> Column:
     return F.when(F.coalesce(palette, exposure, exif).isNull(), "—").when(F.size(shown) == 0, "none").otherwise(F.array_join(shown, ", "))
 
 
+# The mark of each label in a strip of decisions.
+MARKS = {"keeper": "\u25cf", "rejected": "\u25cb", "uncertain": "\u25d0", "duplicate": "\u25cc", "select": "\u2605", "KEEPER": "\u25cf", "REJECT": "\u25cb", "AMBIGUOUS": "\u25d0"}
+
+
+def film_strip(labels: Column) -> Column:
+    """One mark per label of an array, in order; unknown labels are marked as uncertain."""
+    marks = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
+    return F.array_join(F.transform(labels, lambda x: F.coalesce(marks[x], F.lit(MARKS["uncertain"]))), "")
+
+
 def byte_text(n: Column) -> Column:
     kb, mb, gb = float(1 << 10), float(1 << 20), float(1 << 30)
     return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.0f KB", n / kb)).when(n < gb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.2f GB", n / gb))

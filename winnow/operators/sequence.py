@@ -6,12 +6,16 @@ table with one row per slice.  So a shoot of any length is spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
+from ..tables import ship
 
 SLICE_SECONDS = 86_400.0
 
@@ -66,26 +70,51 @@ def leader_groups(grouped: DataFrame, keys: list[str], ts: str, id_col: str, bit
     """Visual confirmation within bursts: a row joins the first subgroup whose first row is within `most` bits.
 
     Adds subgroup (numbered by time within its burst); rows alone in theirs are dropped.  Greedy by definition, so a
-    burst's rows meet in one task; bursts are bounded by the gap rule.
+    burst's rows meet in one task; bursts are bounded by the gap rule.  One pass of Arrow batches over rows sorted by
+    burst and time does all bursts of a task.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in grouped.schema}
     at = [*keys, "burst"]
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, id_col], kind="stable")
-        own = pdf[bits].to_numpy(dtype=np.int64).view(np.uint64)
-        leaders, label = [], np.zeros(len(own), dtype=np.int64)
-        for i, x in enumerate(own):
-            near = np.flatnonzero(np.bitwise_count(np.array(leaders, dtype=np.uint64) ^ x) <= most) if leaders else []
-            label[i] = near[0] if len(near) else len(leaders)
-            if not len(near):
-                leaders.append(x)
-        keep = np.bincount(label)[label] > 1
-        return pdf.assign(subgroup=label)[keep][[*at, id_col, "subgroup"]]
-
-    slim = grouped.select(*at, id_col, ts, bits)
-    found = slim.groupBy(*at).applyInPandas(split, ", ".join(f"`{k}` {kinds[k]}" for k in [*at, id_col]) + ", subgroup bigint")
-    return grouped.join(found, [*at, id_col])
+    dealt = grouped.repartition(*at).sortWithinPartitions(*at, ts, id_col)
+    names = dealt.columns
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches cut between bursts."""
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            changes = np.zeros(batch.num_rows - 1, dtype=bool)
+            for k in at:
+                col = batch.column(names.index(k))
+                changes |= pc.fill_null(pc.not_equal(col[1:], col[:-1]), True).to_numpy(zero_copy_only=False) & ~(col[1:].is_null().to_numpy(zero_copy_only=False) & col[:-1].is_null().to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(changes)
+            cut = int(cuts[-1]) + 1 if len(cuts) else 0
+            rest = batch.slice(cut)
+            if cut:
+                yield batch.slice(0, cut), np.append(cuts[:-1] + 1, cut)
+        if rest is not None and rest.num_rows:
+            yield rest, np.array([rest.num_rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ends in whole(batches):
+            own = pc.fill_null(batch.column(names.index(bits)), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).tolist()
+            label, keep, begin = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool), 0
+            for end in ends.tolist():
+                leaders: list[int] = []
+                for i in range(begin, end):
+                    near = next((k for k, x in enumerate(leaders) if (x ^ own[i]).bit_count() <= most), len(leaders))
+                    if near == len(leaders):
+                        leaders.append(own[i])
+                    label[i] = near
+                keep[begin:end] = np.bincount(label[begin:end])[label[begin:end]] > 1
+                begin = end
+            kept = pa.Table.from_batches([batch]).append_column("subgroup", pa.array(label)).filter(pa.array(keep))
+            yield from kept.combine_chunks().to_batches()
+
+    ship(grouped.sparkSession)
+    return dealt.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", subgroup bigint")
 
 
 def motion_peak(pairs: DataFrame, group: str, pos: str, magnitude: str, window: int = c.MOTION_WINDOW) -> DataFrame:
