@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
+from .ranking import ranked
 
 REVIEW = {"rejected": "_review/_rejected", "duplicate": "_review/_duplicates", "uncertain": "_review/_uncertain"}
 
@@ -96,9 +97,18 @@ def auto_accept(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("decision", F.when(sure, F.when(F.col("kept"), "keeper").otherwise("rejected")).otherwise(F.col("decision")))
 
 
+def _review_order(taste: str, pos: str) -> list[Column]:
+    return [F.coalesce(F.abs(F.col(taste) - 0.5), F.lit(-1.0)).desc(), F.col(pos).asc()]
+
+
 def review_queue(df: DataFrame, taste: str, pos: str) -> DataFrame:
     """df in review order: by |taste - 0.5| descending, rows without taste after, if any row has taste; else by pos."""
-    return df.withColumn("_key", F.coalesce(F.abs(F.col(taste) - 0.5), F.lit(-1.0))).orderBy(F.col("_key").desc(), F.col(pos)).drop("_key")
+    return df.orderBy(*_review_order(taste, pos))
+
+
+def review_places(df: DataFrame, taste: str, pos: str) -> DataFrame:
+    """df with place, from 1, in review order."""
+    return ranked(df, _review_order(taste, pos), "place").withColumn("place", F.col("place") + 1)
 
 
 def latest(df: DataFrame, order: str, k: int = c.LOG_TAIL, id_col: str = "id") -> DataFrame:
@@ -107,5 +117,5 @@ def latest(df: DataFrame, order: str, k: int = c.LOG_TAIL, id_col: str = "id") -
 
 def sample(df: DataFrame, by: str, id_col: str, k: int = c.EXIF_SAMPLE, seed: int = 7) -> DataFrame:
     """k rows of each class, by hash: the same rows every time."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
+    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col)
     return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

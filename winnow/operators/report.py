@@ -136,10 +136,11 @@ def divergence(current: DataFrame, expected: DataFrame, id_col: str, value: str,
 def fingerprint(files: DataFrame, name: str, digest: str) -> DataFrame:
     """One row: a hash over all files that no order of rows changes.
 
-    Files are hashed per bucket of names, then the buckets' hashes: no task gathers all lines.
+    Files are hashed in 65,536 buckets by the first four digits of their digest, then the buckets' hashes: no task gathers
+    all lines.
     """
-    lines = files.select(F.concat(F.col(name), F.lit("\t"), F.col(digest)).alias("line"))
-    parts = lines.groupBy(F.pmod(F.xxhash64("line"), F.lit(256)).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("part"))
+    lines = files.select(F.substring(digest, 1, 4).alias("bucket"), F.concat(F.col(name), F.lit("\t"), F.col(digest)).alias("line"))
+    parts = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("part"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]), "\n"), 256).alias("fingerprint"))
 
 

@@ -13,6 +13,7 @@ from .. import config as c
 from ..functions import vectors as v
 from ..functions.metrics import portrait_moment
 from ..tables import scratch, ship
+from .ranking import ranked
 from .similarity import clusters
 
 #: compare(a, b): whether the row a (a dict) beats the row b.
@@ -78,30 +79,41 @@ def mmr(pool: DataFrame, id_col: str, embedding: str, score: str, target: int, w
     return slim.groupBy("g").applyInPandas(pick, f"id {kind}, pick bigint").withColumnRenamed("id", id_col)
 
 
-def tournament(entries: DataFrame, id_col: str, score: str, beats: Comparator = higher_score) -> DataFrame:
+def tournament(entries: DataFrame, id_col: str, score: str, beats: Comparator = higher_score, bits: int = 12) -> DataFrame:
     """(id, place): single elimination over the entries, seeded by score; the champion, then losers round by round.
 
-    Entries are a curated set, so the bracket is played in one task; an odd last entry gets a bye.
+    Neighbours in the order meet; an odd last entry gets a bye.  Blocks of 2**bits neighbours play their first `bits` rounds
+    in a task each, then the blocks' winners go on in the same way, so a bracket of any size is spread over tasks.
     """
     ship(entries.sparkSession)
     kind = entries.schema[id_col].dataType.simpleString()
-
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(score=pdf["score"].fillna(0.0)).sort_values(["score", "id"], ascending=[False, True], kind="stable").to_dict("records")
-        out = []
-        while len(rows) > 1:
-            winners = []
-            for k in range(0, len(rows) - 1, 2):
-                a, b = rows[k], rows[k + 1]
-                win, lose = (a, b) if beats(a, b) else (b, a)
-                winners.append(win)
-                out.append(lose["id"])
-            rows = winners + rows[len(rows) - len(rows) % 2 :]
-        ids = [rows[0]["id"], *out] if rows else []
-        return pd.DataFrame({"id": ids, "place": range(1, len(ids) + 1)})
-
-    slim = entries.select(F.col(id_col).alias("id"), F.col(score).cast("double").alias("score"), F.lit(0).alias("g"))
-    return slim.groupBy("g").applyInPandas(play, f"id {kind}, place bigint").withColumnRenamed("id", id_col)
+    slim = entries.select(F.col(id_col).alias("id"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("score"))
+    state = ranked(slim, [F.col("score").desc(), F.col("id").asc()], "pos")
+    n, done, lost = state.count(), 0, []
+
+    def rounds(done: int):
+        def play(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows, out = pdf.sort_values("pos").to_dict("records"), []
+            for k in range(bits):
+                winners = []
+                for a, b in zip(rows[::2], rows[1::2]):
+                    win, lose = (a, b) if beats(a, b) else (b, a)
+                    out.append({**lose, "pos": a["pos"] // 2, "round": done + k + 1})
+                    winners.append({**win, "pos": a["pos"] // 2})
+                rows = winners + [{**x, "pos": x["pos"] // 2} for x in rows[len(rows) - len(rows) % 2 :]]
+            return pd.DataFrame([*out, *[{**x, "round": 0} for x in rows]])[["id", "score", "pos", "round"]]
+
+        return play
+
+    while n > 1:
+        played = state.groupBy(F.floor(F.col("pos") / (1 << bits)).alias("block")).applyInPandas(rounds(done), f"id {kind}, score double, pos bigint, round int")
+        played = scratch(played, "played")
+        lost.append(played.where("round > 0"))
+        state, n, done = played.where("round = 0").drop("round"), -(-n >> bits), done + bits
+    out = state.withColumn("round", F.lit(0))
+    for x in lost:
+        out = out.unionByName(x)
+    return ranked(out.select(F.col("id").alias(id_col), "round", "pos"), ["round", "pos"], "place").select(id_col, (F.col("place") + 1).alias("place"))
 
 
 def match_budget(n: int) -> int:
@@ -139,8 +151,10 @@ def variety_swap(selection: DataFrame, candidates: DataFrame, id_col: str, pos:
     goes = selection.where(F.col(shot) == dominant).orderBy(F.col(pos).desc(), F.col(id_col).desc()).limit(1)
     if not raised:
         return selection.withColumn("is_swapped", F.lit(False))
-    new = found.select(id_col, shot).join(goes.select(pos)).select(id_col, pos, shot)
-    kept = selection.select(id_col, pos, shot).join(goes.join(F.broadcast(found.select(F.lit(1).alias("_1")))).select(id_col), id_col, "left_anti")
+    one = F.lit(1).alias("_1")  # at most one row comes and one goes
+    swap = found.select(id_col, shot, one).join(goes.select(F.col(id_col).alias("_goes"), pos, one), "_1")
+    new = swap.select(id_col, pos, shot)
+    kept = selection.select(id_col, pos, shot).join(swap.select(F.col("_goes").alias(id_col)), id_col, "left_anti")
     return kept.withColumn("is_swapped", F.lit(False)).unionByName(new.withColumn("is_swapped", F.lit(True)))
 
 

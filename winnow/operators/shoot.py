@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as c
+from .ranking import ranked
 
 
 def _outlier(d: Column, scale: Column, sigma: float) -> Column:
@@ -45,4 +46,5 @@ def anomalies(df: DataFrame, keys: list[str], columns: list[str], pos: str, sigm
 
 
 def first_position(df: DataFrame, keys: list[str], order: list[str], name: str = "pos") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    """df with each row's position in its shoot, from 0."""
+    return ranked(df, order, name, keys)

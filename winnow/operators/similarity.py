@@ -13,6 +13,7 @@ from .. import config as c
 from ..functions import vectors as v
 from ..tables import scratch, ship
 from .graph import components, first_independent_set
+from .ranking import ranked
 
 
 def search(corpus: DataFrame, query: list[float], id_col: str, embedding: str, k: int = c.TOP_K) -> DataFrame:
@@ -32,16 +33,26 @@ def similar_to(corpus: DataFrame, example: object, id_col: str, embedding: str,
     return search(corpus, list(row[0]), id_col, embedding, k)
 
 
-def near_pairs(df: DataFrame, id_col: str, embedding: str, least: float = c.DUPLICATE_COSINE, method: str = "exact", block: int = 4096, tables: int = 24, bits: int = 16, seed: int = 42) -> DataFrame:
+def hash_tables(least: float, bits: int, recall: float) -> int:
+    """How many tables of `bits` random directions find a pair at similarity `least` with probability `recall`."""
+    share = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return 1 if share >= recall else math.ceil(math.log1p(-recall) / math.log1p(-share))
+
+
+def near_pairs(df: DataFrame, id_col: str, embedding: str, least: float = c.DUPLICATE_COSINE, method: str = "auto", block: int = 4096, bits: int = 16, recall: float = 0.999, exact_rows: int = 50_000, seed: int = 42) -> DataFrame:
     """(a, b, similarity) with a < b and dot product >= least; vectors are taken as normalised.
 
     exact: the theta join in blocks of at most about `block` rows, each pair of blocks one task-sized matrix product.
-    lsh: candidates share the signs against `bits` random directions in one of `tables` tables (equi-joins only, and a
-    recheck); for high thresholds at scale.  A pair at .98 shares 16 signs with probability .35 a table.
+    lsh: candidates share the signs against `bits` random directions in one of as many tables as a pair at `least` needs
+    to be found with probability `recall` (equi-joins only, and a recheck); pairs above are found more surely.
+    auto: lsh for more than exact_rows rows if 64 tables are enough, else exact.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(embedding).alias("e")).where("id is not null and e is not null")
     kind = slim.schema["id"].dataType.simpleString()
     ship(df.sparkSession)
+    tables = hash_tables(least, bits, recall)
+    if method == "auto":
+        method = "lsh" if tables <= 64 and slim.count() > exact_rows else "exact"
     if method == "lsh":
         size = slim.select(F.max(F.size("e"))).first()[0] or 1
         planes = np.random.default_rng(seed).normal(size=(tables, bits, size))
@@ -91,27 +102,43 @@ def duplicate_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def average_linkage(m: np.ndarray, most: float) -> np.ndarray:
-    """Flat labels (by first member) of average-linkage clusters of rows, cut at cosine distance `most`."""
+    """Flat labels (by first member) of average-linkage clusters of rows, cut at cosine distance `most`.
+
+    Chains of nearest neighbours end in pairs that are each other's nearest; those merge.  A pair further apart than
+    `most` is final, as no later merge brings anything nearer.  Quadratic in the rows.
+    """
     n = len(m)
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, alive, label = np.ones(n), np.ones(n, dtype=bool), np.arange(n)
-    while alive.sum() > 1:
-        i, j = divmod(int(d.argmin()), n)
-        if d[i, j] > most + 1e-12:
-            break
+    size, label, todo, chain = np.ones(n), np.arange(n), np.ones(n, dtype=bool), []
+    while todo.any() or chain:
+        if not chain:
+            chain = [int(todo.argmax())]
+        i = chain[-1]
+        j = int(d[i].argmin())
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+        if d[i, j] > most + 1e-12:  # nothing is near enough any more
+            todo[i] = False
+            chain.pop()
+            continue
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        del chain[-2:]
         i, j = min(i, j), max(i, j)
         row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
         d[i], d[:, i] = row, row
-        d[i, i], alive[j] = np.inf, False
+        d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
+        todo[j] = False
         label[label == j] = i
     return label
 
 
-def clusters(df: DataFrame, id_col: str, embedding: str, most: float, method: str = "exact") -> DataFrame:
+def clusters(df: DataFrame, id_col: str, embedding: str, most: float, method: str = "auto") -> DataFrame:
     """(id, cluster, cluster_size): average linkage over cosine distance, cut at `most`; clusters are numbered by
     their smallest id.  Rows without an embedding are dropped.
 
@@ -132,7 +159,7 @@ def clusters(df: DataFrame, id_col: str, embedding: str, most: float, method: st
     linked = slim.join(roots, slim.id == roots.node).groupBy("root").applyInPandas(link, f"id {kind}, head {kind}")
     heads = scratch(slim.select("id").join(linked, "id", "left").select("id", F.coalesce("head", "id").alias("head")), "heads")
     sizes = heads.groupBy("head").agg(F.count("*").alias("cluster_size"))
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy("head")) - 1)
+    numbered = ranked(sizes, ["head"], "cluster")
     return heads.join(numbered, "head").select("id", "cluster", "cluster_size")
 
 
@@ -143,3 +170,12 @@ def cache_is_valid(cached: DataFrame, live: DataFrame, model_id: str) -> bool:
         return False
     stale = live.join(cached, "path", "full_outer").where("embedding is null or modified is null or modified > built_at")
     return stale.isEmpty() and cached.count() == live.count()
+
+
+def usable_cache(cached: DataFrame | None, model_id: str) -> DataFrame | None:
+    """An embedding table (path, embedding, model_id), if a run may use it: made by that model alone, with rows, and all
+    embeddings of one size over 0; else None."""
+    if cached is None:
+        return None
+    found = cached.agg(F.count("*").alias("n"), F.count_if(~F.col("model_id").eqNullSafe(F.lit(model_id))).alias("other"), F.min(F.coalesce(F.size("embedding"), F.lit(0))).alias("least"), F.max(F.coalesce(F.size("embedding"), F.lit(0))).alias("most")).first()
+    return cached if found.n and not found.other and 0 < found.least == found.most else None

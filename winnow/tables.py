@@ -19,12 +19,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     made = sc._jsc.sc().getCheckpointDir()
     if not made.isDefined():
         if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="winnow-")
@@ -42,10 +44,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Removes the files of a table made by scratch(), once nothing reads it any more."""
     spark = df.sparkSession
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        if path.getName().startswith("winnow-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if os.path.basename(f).startswith("winnow-"):
+            drop_folder(spark, f)
