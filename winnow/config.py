@@ -38,7 +38,7 @@ EXIF_SAMPLE = 15
 AUTO_ACCEPT = 0.60
 MMR_LAMBDA = 0.5
 EYE_OPEN_MIN, SMILE_MIN = 0.25, 0.40
-EAR_CLOSED, VISIBILITY_MIN, FACE_LANDMARKS = 0.20, 0.70, 468
+EAR_CLOSED, VISIBILITY_MIN, FACE_LANDMARKS, FACE_VISIBLE_MIN = 0.20, 0.70, 468, 0.70
 CLOSE_UP_MIN, MEDIUM_MIN, SALIENT_WIDE_MIN = 0.15, 0.03, 0.50
 VARIETY_MIN = 0.60
 MOTION_WINDOW = 5
@@ -84,7 +84,11 @@ def fast_weights(name: str) -> dict[str, float]:
 
 @dataclass(frozen=True)
 class RunConfig:
-    """What a run is asked for.  threshold and pair_threshold are accepted and change nothing."""
+    """What a run is asked for.  threshold and pair_threshold are accepted and change nothing.
+
+    is_shoot_a_folder: bursts, scenes and shoot statistics are those of each folder, not of the whole run; runs over many
+    shoots need it, to spread them over tasks.
+    """
 
     preset: str = "general"
     burst_gap: float = BURST_GAP
@@ -94,6 +98,7 @@ class RunConfig:
     is_sidecars: bool = False
     is_fast: bool = False
     refuse_mode: str = "compat"
+    is_shoot_a_folder: bool = False
     curate_target: int | None = None
     near_cosine: float = DUPLICATE_COSINE
     model: str | None = None

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as c
-from .vectors import clamp
+from .vectors import clamp, dot
 
 
 def tilt_penalty(tilt: Column, keystone: Column) -> Column:
@@ -88,6 +89,17 @@ def eye_aspect(v1: Column, v2: Column, h: Column) -> Column:
     return F.when(h < 1e-6, F.lit(0.0)).otherwise((v1 + v2) / (2 * h))
 
 
+def linear_head(embedding: Column, layers: list[tuple[list[list[float]], list[float]]]) -> Column:
+    """The output of a stack of linear layers (weights by row, bias), the last with one row, over an embedding.
+
+    Layers without a bend between them are one layer: they are multiplied out once, so a row costs one dot product.
+    """
+    w, b = np.eye(len(layers[0][0][0])), np.zeros(len(layers[0][0][0]))
+    for weight, bias in layers:
+        w, b = np.asarray(weight, dtype=np.float64) @ w, np.asarray(weight, dtype=np.float64) @ b + np.asarray(bias, dtype=np.float64)
+    return dot(embedding, F.array(*[F.lit(float(x)) for x in w[0]])) + F.lit(float(b[0]))
+
+
 def aesthetic(raw: Column) -> Column:
     """A 1..10 score as 0..1."""
     return (clamp(raw, 1.0, 10.0) - 1) / 9

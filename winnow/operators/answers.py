@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, ExitStack
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,15 +15,19 @@ from ..functions.vectors import clamp
 from ..tables import ship
 
 
-def ask(df: DataFrame, prompt: str, generate: Callable[[str], str], good: Callable[[str], bool] = lambda _: True, attempts: int = 3, backoff: float = 1.0) -> DataFrame:
+def ask(df: DataFrame, prompt: str, generate: Callable[[str], str] | None = None, good: Callable[[str], bool] = lambda _: True, attempts: int = 3, backoff: float = 1.0, session: Callable[[], AbstractContextManager[Callable[[str], str]]] | None = None) -> DataFrame:
     """df with answer: generate(prompt), again up to `attempts` times while it raises or is not good, waiting in between.
 
-    One call at a time in each task; after the last attempt the last answer, or null, stays.
+    One call at a time in each task; after the last attempt the last answer, or null, stays.  A model that must be
+    loaded comes as a session: a context manager that gives generate, entered once a task, when its first row
+    comes, and left when its rows end or fail, so that what it loaded is given back.
     """
+    if (generate is None) == (session is None):
+        raise ValueError("either generate or session is needed")
     ship(df.sparkSession)
     at = df.columns.index(prompt)
 
-    def once(text: str | None) -> str | None:
+    def once(generate: Callable[[str], str], text: str | None) -> str | None:
         answer = None
         for k in range(attempts if text is not None else 0):
             if k:
@@ -36,8 +41,12 @@ def ask(df: DataFrame, prompt: str, generate: Callable[[str], str], good: Callab
         return answer
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(answer=[once(x) for x in pdf.iloc[:, at]])
+        with ExitStack() as held:
+            call = generate
+            for pdf in batches:
+                if call is None and len(pdf):
+                    call = held.enter_context(session())
+                yield pdf.assign(answer=[once(call, x) for x in pdf.iloc[:, at]])
 
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", answer string")
 

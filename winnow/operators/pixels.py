@@ -154,6 +154,89 @@ def image_metrics(images: DataFrame, id_col: str, image: str = "image") -> DataF
     return slim.mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} double" for k in FIELDS) + ", dhash bigint, error string")
 
 
+def _bgr(h: int, w: int, n: int, data: bytes) -> np.ndarray:
+    px = np.frombuffer(data, np.uint8).reshape(h, w, n)
+    return (np.repeat(px, 3, axis=2) if n == 1 else px[..., :3]).astype(np.float64)
+
+
+def region_sharpness(images: DataFrame, id_col: str, regions: str, image: str = "image") -> DataFrame:
+    """(id, name, tenengrad) of each region of each image, from one decode.  regions: array of struct(name, box); boxes are
+    cut to the frame, an empty one scores 0; a broken image gives nulls."""
+    ship(images.sparkSession)
+    kind = images.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, names, scores = [], [], []
+            for key, h, w, n, data, wanted in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+                try:
+                    gray = gray_of(_bgr(h, w, n, data))
+                except Exception:
+                    gray = None
+                for r in wanted or []:
+                    x0, y0 = (max(0, min(r["box"][k], most)) for k, most in (("x0", w or 0), ("y0", h or 0)))
+                    x1, y1 = max(x0, min(r["box"]["x1"], w or 0)), max(y0, min(r["box"]["y1"], h or 0))
+                    score = None
+                    if gray is not None:
+                        part = gray[y0:y1, x0:x1]
+                        gx, gy, _ = gradients(part) if part.size else (np.zeros(1), np.zeros(1), None)
+                        score = float((gx * gx + gy * gy).mean())
+                    ids.append(key)
+                    names.append(r["name"])
+                    scores.append(score)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "name", "tenengrad"])
+
+    slim = images.select(F.col(id_col).alias("id"), *[F.col(f"{image}.{k}") for k in ("height", "width", "nChannels", "data")], regions)
+    return slim.mapInArrow(run, f"id {kind}, name string, tenengrad double")
+
+
+def resample(bgr: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Any size: area means down, then straight lines up."""
+    h, w = bgr.shape[:2]
+    out = bgr.astype(np.float64)
+    for axis, n, size in ((0, height, h), (1, width, w)):
+        if n < size:
+            at = np.linspace(0, size, n + 1)
+            sums = np.concatenate((np.zeros_like(out.take([0], axis)), np.cumsum(out, axis=axis)), axis=axis)
+            low = np.minimum(at.astype(int), size - 1)
+            part = (at - low).reshape([-1 if k == axis else 1 for k in range(out.ndim)])
+            out = np.diff(sums.take(low, axis) + out.take(low, axis) * part, axis=axis) / (size / n)
+        elif n > size:
+            at = np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1)
+            low = np.minimum(at.astype(int), max(size - 2, 0))
+            part = (at - low).reshape([-1 if k == axis else 1 for k in range(out.ndim)])
+            out = out.take(low, axis) * (1 - part) + out.take(np.minimum(low + 1, size - 1), axis) * part
+    return np.rint(out).astype(np.uint8)
+
+
+def two_sizes(images: DataFrame, id_col: str, image: str = "image", long_edge: int = LONG_EDGE, square: int = 224) -> DataFrame:
+    """(id, height, width, pixels, crop) from one decode: the image with a long edge of at most long_edge, and the middle
+    square of the image whose short edge is `square`; BGR bytes."""
+    ship(images.sparkSession)
+    kind = images.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                h, w, n, data = (batch.column(k)[row].as_py() for k in range(1, 5))
+                large = crop = None
+                try:
+                    bgr = _bgr(h, w, n, data)
+                    scale = min(1.0, long_edge / max(h, w))
+                    large = resample(bgr, max(1, round(h * scale)), max(1, round(w * scale)))
+                    scale = square / min(h, w)
+                    small = resample(bgr, max(1, round(h * scale)), max(1, round(w * scale)))
+                    top, left = (small.shape[0] - square) // 2, (small.shape[1] - square) // 2
+                    crop = small[top : top + square, left : left + square]
+                except Exception:
+                    large = crop = None
+                known = large is not None
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([large.shape[0] if known else None], pa.int32()), pa.array([large.shape[1] if known else None], pa.int32()), pa.array([large.tobytes() if known else None], pa.binary()), pa.array([crop.tobytes() if known else None], pa.binary())], names=["id", "height", "width", "pixels", "crop"])
+
+    slim = images.select(F.col(id_col).alias("id"), *[F.col(f"{image}.{k}") for k in ("height", "width", "nChannels", "data")])
+    return slim.mapInArrow(run, f"id {kind}, height int, width int, pixels binary, crop binary")
+
+
 def first_stage(measured: DataFrame, subject: str | None = None, background: str | None = None) -> DataFrame:
     """Adds exposure flags, blur tier, passed and reject_reason.  Only blur and noise reject; blur is named first.
 

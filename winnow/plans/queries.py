@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import metrics as m
+from ..functions import prompts, regions
 from ..functions import text as t
 from ..functions import vectors as v
 from ..operators import decide, fusion, report, select, sequence, shoot, similarity
@@ -519,18 +520,18 @@ def cluster_winners(spark, sf_dir):
     return select.cluster_winners(_members(spark, sf_dir), "label", "id", "score", "has_face", "is_motion", "shapes", "motion")
 
 
-_POOL_SQL = f"{_VEC}, q AS (SELECT id, v, cast((id * 37) % 997 as double) / 997 AS s FROM e ORDER BY s DESC, id LIMIT 24), z AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS i FROM q)"
+_POOL_SQL = f"{_VEC}, q AS (SELECT id, v, cast((id * 37) % 997 as double) / 997 AS s FROM e ORDER BY s DESC, id LIMIT {2 * c.CURATE_TARGET}), z AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS i FROM q)"
 
 
 @query(
     "mmr_select",
     f"""WITH RECURSIVE {_POOL_SQL}, r AS (SELECT 1::BIGINT AS pick, [i] AS chosen FROM z WHERE i = 1
-UNION ALL SELECT pick + 1, list_append(chosen, n) FROM (SELECT r.pick, r.chosen, (SELECT z.i FROM z WHERE NOT list_contains(r.chosen, z.i) ORDER BY 0.5 * s - 0.5 * (SELECT max(list_dot_product(z.v, y.v)) FROM z y WHERE list_contains(r.chosen, y.i)) DESC, z.i LIMIT 1) AS n FROM r WHERE r.pick < 12)),
-l AS (SELECT chosen FROM r WHERE pick = 12) SELECT z.id, list_position(chosen, z.i)::BIGINT AS pick FROM l, z WHERE list_contains(chosen, z.i)""",
+UNION ALL SELECT pick + 1, list_append(chosen, n) FROM (SELECT r.pick, r.chosen, (SELECT z.i FROM z WHERE NOT list_contains(r.chosen, z.i) ORDER BY 0.5 * s - 0.5 * (SELECT max(list_dot_product(z.v, y.v)) FROM z y WHERE list_contains(r.chosen, y.i)) DESC, z.i LIMIT 1) AS n FROM r WHERE r.pick < {c.CURATE_TARGET})),
+l AS (SELECT chosen FROM r WHERE pick = {c.CURATE_TARGET}) SELECT z.id, list_position(chosen, z.i)::BIGINT AS pick FROM l, z WHERE list_contains(chosen, z.i)""",
 )
 def mmr_select(spark, sf_dir):
-    pool = select.trim(_vectors(spark, sf_dir).withColumn("score", (F.col("id") * 37) % 997 / 997), "score", "id", 24)
-    return select.mmr(pool, "id", "embedding", "score", 12)
+    pool = select.trim(_vectors(spark, sf_dir).withColumn("score", (F.col("id") * 37) % 997 / 997), "score", "id", 2 * c.CURATE_TARGET)
+    return select.mmr(pool, "id", "embedding", "score", c.CURATE_TARGET)
 
 
 @query("tournament_order", "WITH RECURSIVE s AS (SELECT vec_id AS id, row_number() OVER (ORDER BY (vec_id * 37) % 997 DESC, vec_id) - 1 AS pos FROM embeddings), r AS (SELECT 0::BIGINT AS round, id, pos, (SELECT count(*) FROM s) AS n, false AS lost FROM s UNION ALL SELECT round + 1, id, pos // 2, (n + 1) // 2, pos % 2 = 1 FROM r WHERE NOT lost AND n > 1), l AS (SELECT round, id, pos FROM r WHERE lost), a AS (SELECT 0 AS round, id, 0 AS pos FROM s WHERE pos = 0 UNION ALL SELECT * FROM l) SELECT id, row_number() OVER (ORDER BY round, pos) AS place FROM a")
@@ -626,12 +627,10 @@ def override_group(spark, sf_dir):
     return decide.override_group(grouped, "g", a.where("id % 97 = 0").select("id"), "id", "rejected")
 
 
-@query("review_queue", f"WITH {ASSETS}, r AS (SELECT id, row_number() OVER (ORDER BY coalesce(abs(taste - 0.5), -1) DESC, id) AS place FROM a) SELECT * FROM r WHERE place <= 200")
+@query("review_queue", f"WITH {ASSETS} SELECT id, row_number() OVER (ORDER BY coalesce(abs(taste - 0.5), -1) DESC, id) AS place FROM a")
 def review_queue(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = decide.review_queue(events(spark, sf_dir).select("id", "taste"), "taste", "id").limit(200)
-    return top.select("id", F.row_number().over(Window.orderBy(F.coalesce(F.abs(F.col("taste") - 0.5), F.lit(-1.0)).desc(), "id")).alias("place"))
+    placed = decide.review_places(events(spark, sf_dir).select("id", "taste"), "taste", "id")
+    return placed.select("id", "place")
 
 
 @query("queue_counts", f"WITH {_DECIDE_SQL} SELECT decision, count(*) AS n FROM d GROUP BY decision")
@@ -644,7 +643,7 @@ def log_tail(spark, sf_dir):
     return decide.latest(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts"), "ts")
 
 
-@query("class_sample")
+@query("class_sample", f"WITH {_DECIDE_SQL}, r AS (SELECT id, decision, row_number() OVER (PARTITION BY decision ORDER BY md5('7:' || id), id) AS r FROM d) SELECT id, decision FROM r WHERE r <= {c.EXIF_SAMPLE}")
 def class_sample(spark, sf_dir):
     return decide.sample(_decisions(spark, sf_dir), "decision", "id").select("id", "decision")
 
@@ -684,6 +683,68 @@ def prompt_hints(spark, sf_dir):
     return events(spark, sf_dir).select("id", hints.alias("hints"))
 
 
+_FRAME_W, _FRAME_H = "(640 + event_id % 4000)", "(480 + (event_id * 7) % 3000)"
+_SALIENT = {"x0": "(event_id % 50) / 100.0", "y0": "((event_id * 3) % 40) / 100.0", "x1": "(0.5 + (event_id % 45) / 100.0)", "y1": "(0.4 + ((event_id * 3) % 55) / 100.0)"}
+_FRAME_SQL = f"f AS (SELECT event_id AS id, {_FRAME_W} AS w, {_FRAME_H} AS h, {', '.join(f'{v} AS {k}' for k, v in _SALIENT.items())} FROM events)"
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """Frames with a salient box in shares; every fifth has a face, every fourth a proposed crop, every seventh nothing salient."""
+    id_ = F.col("event_id")
+    box = F.struct(*[F.expr(v).cast("double").alias(k) for k, v in _SALIENT.items()])
+    face = F.struct(F.lit(10).alias("x0"), F.lit(20).alias("y0"), (id_ % 300 + 30).cast("int").alias("x1"), (id_ % 200 + 40).cast("int").alias("y1"))
+    crop = F.struct((id_ % 100).cast("int").alias("x"), (id_ % 90).cast("int").alias("y"), F.lit(300).alias("width"), F.lit(200).alias("height"))
+    return _table(spark, sf_dir, "events").select(id_.alias("id"), F.expr(_FRAME_W).cast("int").alias("w"), F.expr(_FRAME_H).cast("int").alias("h"), F.when(id_ % 7 != 0, box).alias("salient"), (id_ % 5 == 0).alias("has_face"), face.alias("face"), F.when(id_ % 4 == 0, crop).alias("crop"))
+
+
+@query("subject_region", f"WITH {_FRAME_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'face' WHEN id % 7 <> 0 THEN 'saliency_peak' ELSE 'global' END AS source, id % 5 = 0 OR id % 7 <> 0 AS has_subject, CASE WHEN id % 5 = 0 THEN 10 WHEN id % 7 <> 0 THEN floor(x0 * w) ELSE 0 END::INT AS x0, CASE WHEN id % 5 = 0 THEN id % 200 + 40 WHEN id % 7 <> 0 THEN greatest(floor(y1 * h), floor(y0 * h) + 1) ELSE h END::INT AS y1 FROM f")
+def subject_region(spark, sf_dir):
+    k = F.col
+    found = _frames(spark, sf_dir).select("id", regions.subject_region(k("has_face"), k("face"), k("salient"), k("w"), k("h")).alias("r"))
+    return found.select("id", "r.source", "r.has_subject", "r.box.x0", "r.box.y1")
+
+
+_FIT = "greatest(0, least({m}, round_even({x} * greatest(greatest(w, h) / 512.0, 1.0), 0)))::INT"
+_EDGES = {"top": ("id % 90", "h", "y0"), "left": ("id % 100", "w", "x0"), "bottom": ("(id % 90 + 200)", "h", "y1"), "right": ("(id % 100 + 300)", "w", "x1")}
+
+
+@query("crop_proposal", f"WITH {_FRAME_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'smartcrop' ELSE 'saliency_thirds' END AS source, {', '.join(f'CASE WHEN id % 4 = 0 THEN {_FIT.format(m=m_, x=x)} ELSE CASE WHEN id % 7 <> 0 THEN floor({s} * {m_})::INT END END AS {e}' for e, (x, m_, s) in _EDGES.items())} FROM f")
+def crop_proposal(spark, sf_dir):
+    k = F.col
+    found = _frames(spark, sf_dir).select("id", regions.crop_proposal(k("crop"), k("salient"), k("w"), k("h")).alias("c"))
+    return found.select("id", "c.*")
+
+
+@query("visible_share", "SELECT vec_id AS id, (SELECT count(*) FROM (SELECT unnest(embedding::DOUBLE[]) AS v) WHERE v > 0.7) / 468.0 AS share FROM embeddings")
+def visible_share(spark, sf_dir):
+    points = F.transform("embedding", lambda x: F.struct(x.cast("double").alias("visibility")))
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), regions.visible_share(points).alias("share"))
+
+
+_HEAD = [([[((i * j) % 7 - 3) / 10 for j in range(64)] for i in range(4)], [0.1, -0.2, 0.3, 0.0]), ([[0.5, -1.0, 2.0, 0.25]], [0.05])]
+_HEAD_W = [sum(_HEAD[1][0][0][i] * _HEAD[0][0][i][j] for i in range(4)) for j in range(64)]
+_HEAD_B = sum(a * b for a, b in zip(_HEAD[1][0][0], _HEAD[0][1])) + _HEAD[1][1][0]
+
+
+@query("linear_head", f"SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], {_HEAD_W}::DOUBLE[]) + {_HEAD_B!r}, 6) AS score FROM embeddings")
+def linear_head(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _r(m.linear_head(F.col("embedding"), _HEAD)).alias("score"))
+
+
+@query("film_strip", f"WITH {_DECIDE_SQL} SELECT id % 100 AS strip, string_agg(CASE decision WHEN 'keeper' THEN '●' WHEN 'rejected' THEN '○' WHEN 'duplicate' THEN '◌' WHEN 'select' THEN '★' ELSE '◐' END, '' ORDER BY id) AS marks FROM d GROUP BY 1")
+def film_strip(spark, sf_dir):
+    rolls = _decisions(spark, sf_dir).groupBy((F.col("id") % 100).alias("strip")).agg(F.array_sort(F.collect_list(F.struct("id", "decision"))).alias("d"))
+    return rolls.select("strip", t.film_strip(F.transform("d", lambda x: x["decision"])).alias("marks"))
+
+
+@query("scoring_prompt", f"""WITH {ASSETS}, i(k, v) AS (VALUES {', '.join(f"({n}, '{v}')" for n, v in enumerate(prompts.INTENT.values()))}) SELECT id, v AS intent, CASE WHEN is_bokeh THEN 'soft' ELSE 'No prior flags.' END AS hints, {len(prompts.FLAGS)} AS flags FROM a JOIN i ON k = id % 7""")
+def scoring_prompt(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(x) for x in prompts.INTENT]), (F.col("id") % 7 + 1).cast("int"))
+    asked = events(spark, sf_dir).select("id", prompts.scoring_prompt(name, F.when(F.col("is_bokeh"), "soft").otherwise("No prior flags.")).alias("p"))
+    named = F.size(F.filter(F.array(*[F.lit(x) for x in prompts.FLAGS]), lambda x: F.contains(F.col("p"), x)))
+    return asked.select("id", F.regexp_extract("p", "Intent:\n([^\n]*)\n", 1).alias("intent"), F.regexp_extract("p", "Known so far:\n([^\n]*)\n", 1).alias("hints"), named.alias("flags"))
+
+
 @query("outlier_flags", f"WITH {ASSETS}, r AS (SELECT id, {_RED_COLUMNS} FROM a), l AS (SELECT id, list_filter([CASE WHEN palette_outlier > 0.5 THEN 'palette' END, CASE WHEN exposure_drift > 0.5 THEN 'exposure' END, CASE WHEN exif_anomaly > 0.5 THEN 'exif' END], lambda x: x IS NOT NULL) AS l FROM r) SELECT id, CASE WHEN len(l) = 0 THEN 'none' ELSE array_to_string(l, ', ') END AS flags FROM l")
 def outlier_flags(spark, sf_dir):
     df = events(spark, sf_dir).withColumns({k: F.expr(x) for k, x in REDUCERS.items()})
@@ -720,6 +781,12 @@ def fingerprint(spark, sf_dir):
     return report.corpus_fingerprint(f, "name", "sha256")
 
 
+@query("fingerprint_parts", "WITH l AS (SELECT 'doc_' || doc_id || chr(9) || sha256(text) AS l, substr(sha256(text), 1, 4) AS b FROM documents), p AS (SELECT b, sha256(string_agg(l, chr(10) ORDER BY l)) AS p FROM l GROUP BY b) SELECT sha256(string_agg(p, chr(10) ORDER BY b)) AS fingerprint FROM p")
+def fingerprint_parts(spark, sf_dir):
+    f = file_digests(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("id").cast("string")).alias("name"), "sha256")
+    return report.fingerprint(f, "name", "sha256")
+
+
 @query("baseline_divergence", f"WITH {ASSETS}, x AS (SELECT id, event_type AS k, topiq AS v FROM a JOIN events ON id = event_id WHERE id % 31 <> 0), y AS (SELECT id, event_type AS k, CASE WHEN id % 10 = 0 THEN topiq + 0.001 * (id % 7) ELSE topiq END AS v FROM a JOIN events ON id = event_id WHERE id % 37 <> 0), j AS (SELECT coalesce(x.k, y.k) AS category, abs(x.v - y.v) AS g FROM x FULL JOIN y ON x.id = y.id) SELECT category, count(*) AS diverged, round(max(g), 9) AS worst FROM j WHERE g IS NULL OR g > 1e-5 GROUP BY category")
 def baseline_divergence(spark, sf_dir):
     kinds = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category"))
@@ -736,13 +803,13 @@ def set_operations(spark, sf_dir):
     return both.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"))
 
 
-@query("override_stream_counts")
+@query("override_stream_counts", f"SELECT label AS user_decision, count(*) AS n FROM ({_LOG}) GROUP BY label")
 def override_stream_counts(spark, sf_dir):
     """The override log read as a stream, tallied to the end of what is there."""
     import uuid
 
     from ..streaming.overrides import label_counts, read
-    from ..tables import shared_dir
+    from ..tables import drop_folder, scratch, shared_dir
 
     folder = f"{shared_dir(spark)}/winnow-log-{uuid.uuid4().hex}"
     entries = _log(spark, sf_dir).select(F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), F.col("label").alias("user_decision"))
@@ -750,4 +817,7 @@ def override_stream_counts(spark, sf_dir):
     name = f"winnow_{uuid.uuid4().hex}"
     stream = label_counts(read(spark, folder)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name)
+    found = scratch(spark.table(name), "tallies")
+    spark.catalog.dropTempView(name)
+    drop_folder(spark, folder)
+    return found

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as c
 from ..config import RunConfig, preset
 from ..functions import metrics as m
+from ..functions.prompts import scoring_prompt
+from ..functions.text import prompt_hints
 from ..operators import answers, decide, fusion, pixels, report, sequence, shoot, similarity
 from ..operators.select import curate
 from ..sources import images
@@ -23,6 +26,15 @@ PROVIDERS = {
 }
 
 
+def shoot_of(path: Column, config: RunConfig) -> Column:
+    """The shoot a photograph belongs to: the whole run, or its folder."""
+    return F.regexp_replace(path, "/[^/]*$", "") if config.is_shoot_a_folder else F.lit("")
+
+
+def add_missing(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    return df.withColumns({k: F.lit(None).cast(v) for k, v in kinds.items() if k not in df.columns})
+
+
 @dataclass
 class Run:
     decisions: DataFrame
@@ -51,7 +63,7 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
     if "embeddings" in providers:
         pairs = similarity.near_pairs(providers["embeddings"], "path", "embedding", config.near_cosine)
         duplicates = similarity.duplicate_groups(pairs).where("not is_source").select(F.col("id").alias("path"))
-    timed = shots.select("path", "taken_at").join(first.where("passed").select("path", "dhash", "tenengrad"), "path").withColumn("shoot", F.lit(0))
+    timed = shots.select("path", "taken_at").join(first.where("passed").select("path", "dhash", "tenengrad"), "path").withColumn("shoot", shoot_of(F.col("path"), config))
     grouped = sequence.leader_groups(sequence.bursts(timed, ["shoot"], "taken_at", "path", config.burst_gap), ["shoot"], "taken_at", "path", "dhash")
     ranked = scratch(sequence.rank_bursts(grouped.withColumn("burst", F.concat_ws("/", F.col("burst").cast("string"), F.col("subgroup").cast("string"))), ["shoot"], "taken_at", "path", "tenengrad"), "bursts")
     losers = ranked.where("not is_burst_winner").select("path")
@@ -68,7 +80,7 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
         if config.is_fast:
             fused = fusion.fuse_fast(alive, config.preset)
         else:
-            once = fusion.fuse(alive.withColumn("exposure", F.coalesce("exposure", F.lit(1.0))).withColumn("topiq_raw", F.col("topiq")), config.preset).withColumn("shoot", F.lit(0))
+            once = fusion.fuse(alive.withColumn("exposure", F.coalesce("exposure", F.lit(1.0))).withColumn("topiq_raw", F.col("topiq")), config.preset).withColumn("shoot", shoot_of(F.col("path"), config))
             keys = [k for k in ("iso", "shutter", "aperture", "focal_length_mm") if k in once.columns]
             stats = sequence.scenes(scratch(once, "fused"), ["shoot"], "taken_at", "path")
             lab = [k if k in stats.columns else None for k in ("palette_l", "palette_a", "palette_b")]
@@ -80,7 +92,10 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
         fused = scratch(fused, "stage2")
         s2 = fused.select("path", "routing", "composite")
         if 3 in config.stages and generate is not None:
-            asked = answers.ask(fused.where("routing = 'AMBIGUOUS'").select("path", F.format_string("Stage 2 composite score was %.2f.", "composite").alias("prompt")), "prompt", generate)
+            open_ = add_missing(fused.where("routing = 'AMBIGUOUS'").join(first.select("path", "motion_ratio", "exposure_flags"), "path"), {"composition": "double", "emotion": "string", "has_face": "boolean", "eyes_closed": "boolean", "occluded": "boolean", "is_bokeh": "boolean"})
+            flag = lambda k: F.col(f"exposure_flags.{k}")
+            hints = prompt_hints(F.col("composite"), F.col("composition"), F.col("motion_ratio") > c.MOTION_RATIO, F.col("is_bokeh"), F.col("has_face"), F.col("emotion"), F.col("eyes_closed"), F.col("occluded"), flag("highlight_clip"), flag("shadow_clip"), flag("color_cast"))
+            asked = answers.ask(open_.select("path", scoring_prompt(config.preset, hints).alias("prompt")), "prompt", generate)
             s3 = scratch(answers.scored(asked).select("path", F.col("stage3.is_keeper").alias("kept"), F.col("stage3.confidence").alias("confidence")), "stage3")
 
     decisions = scratch(decide.assemble(scan, first.select("path", "passed", "reject_reason", "exposure_flags"), s2, s3, losers, duplicates, "path").join(ranked.select("path", "burst", "burst_rank", "burst_size", "is_burst_winner"), "path", "left"), "decisions")
@@ -90,7 +105,7 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
         for name in ("embeddings", "portraits"):
             keepers = add(keepers, name)
         missing = {"embedding": "array<float>", "has_face": "boolean", "is_motion": "boolean", "shapes": "map<string,double>", "motion": "double"}
-        keepers = keepers.withColumns({k: F.lit(None).cast(v) for k, v in missing.items() if k not in keepers.columns})
+        keepers = add_missing(keepers, missing)
         selection = scratch(curate(keepers, "path", "composite", "embedding", config.curate_target, preset(config.preset)["cluster"]), "selection")
         decisions = decide.mark_selected(decisions, selection, "path")
     return Run(decisions, selection, report.summary(decisions))

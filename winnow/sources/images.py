@@ -15,10 +15,10 @@ JPEG = r"\.jpe?g$"
 
 
 def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, name, modified, bytes) of JPEG files, suffix in any case.  Contents are not read."""
+    """(path, name, modified, bytes) of JPEG files, suffix in any case, in order of path.  Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     found = files.where(F.lower("path").rlike(JPEG)).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
-    return found
+    return found.orderBy("path")
 
 
 def scan_strict(spark: SparkSession, root: str) -> DataFrame:
@@ -30,9 +30,10 @@ def scan_strict(spark: SparkSession, root: str) -> DataFrame:
 
 
 def decode(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, image): BGR pixels, decoded on the JVM."""
+    """(path, image): BGR pixels, decoded on the JVM; paths are those of scan()."""
     files = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false").load(root)
-    return files.select(F.col("image.origin").alias("path"), "image").where(F.lower("path").rlike(JPEG))
+    path = F.regexp_replace("image.origin", "^([a-z0-9]+):///", "$1:/")  # as other sources write it
+    return files.select(path.alias("path"), "image").where(F.lower("path").rlike(JPEG))
 
 
 def gigabytes(files: DataFrame) -> DataFrame:
