@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kit import drop_scratch, scratch
+from .kit import drop_scratch, hot_values, lookup, scratch, spread
 
 CELL_ROWS = 4096
 
@@ -45,17 +45,21 @@ def _counts(df: DataFrame, shards: int) -> list[int]:
     return [got.get(k, 0) for k in range(shards)]
 
 
-def propagate(state: DataFrame, quota: list[int], rounds: int) -> DataFrame:
-    """state: link, draw (a hash), shard; only linked rows.  Moves rows towards their link's shard under quotas."""
+def propagate(state: DataFrame, quota: list[int], rounds: int, hot: list = ()) -> DataFrame:
+    """state: link, draw (a hash), shard, _spread; only linked rows.  Moves rows towards their link's shard under quotas.
+
+    hot: links that many rows share; their rows are dealt over many tasks.
+    """
     shards = len(quota)
     for k in range(rounds):
         sizes = _counts(state, shards)
         held = state.groupBy("link", "shard").agg(F.count("*").alias("n")).withColumn("pull", F.struct("n", F.xxhash64("link", "shard").alias("tie")))
         roomy = [j for j in range(shards) if sizes[j] < quota[j]] or list(range(shards))
-        best = held.where(F.col("shard").isin(roomy)).groupBy("link").agg(F.max(F.struct("pull", "shard")).alias("b")).select("link", F.col("b.pull").alias("there"), F.col("b.shard").alias("best"))
+        best = F.max(F.when(F.col("shard").isin(roomy), F.struct("pull", "shard")))
+        links = held.groupBy("link").agg(best.alias("best"), F.collect_list(F.struct("shard", "pull")).alias("pulls"))  # a pull for each shard at most
         # a document goes where more of its link are than where it is; those in a full shard that leads stay
-        proposed = state.join(held.select("link", "shard", "pull"), ["link", "shard"]).join(best, "link", "left")
-        proposed = proposed.withColumn("to", F.when(F.col("there") > F.col("pull"), F.col("best")).otherwise(F.col("shard"))).select(*state.columns, "to")
+        goal = F.map_from_entries(F.transform("pulls", lambda x: F.struct(x["shard"], F.when(F.col("best.pull") > x["pull"], F.col("best.shard")).otherwise(x["shard"]))))
+        proposed = lookup(state, "link", links.select("link", goal.alias("goal")), hot, "_spread").withColumn("to", F.element_at("goal", F.col("shard"))).select(*state.columns, "to")
         flows = {(r.shard, r.to): r.n for r in proposed.where("shard != to").groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # shards squared at most
         shares = {}
         for (i, j), n in flows.items():
@@ -80,8 +84,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, size (UTF-8 bytes plus 1), text_crc32, shard, slot.
 
     link: the link key (default: the text, a null text being linked to nulls only); rows with a null key are not
-    linked.  Ids may repeat or be null.  Shard counts are at most one apart; slots are gapless from 0 in each shard.
-    An empty table gives an empty result.
+    linked.  Ids may repeat or be null; repeated rows all get slots.  A null text has size 1, and texts of any length
+    count whole; other columns are not read.  Shard counts are at most one apart; slots are gapless from 0 in each shard.
+    Propagation ends when under a thousandth of the linked rows would still move, after `rounds` rounds at the latest: what
+    it then leaves apart is cut, but every row has its shard.  An empty table gives an empty result.
     """
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     key = F.sha2(F.concat(F.when(F.col(text_col).isNull(), F.lit(b"0")).otherwise(F.lit(b"1")), raw), 256) if link is None else link.cast("string")
@@ -89,9 +95,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = slim.count()
     quota = [total // shards + (k < total % shards) for k in range(shards)]
     groups = slim.where("link is not null").groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link", F.lit(True).alias("linked"))
-    drawn = slim.join(groups, "link", "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("draw", F.xxhash64(F.lit(seed), "id", "text_crc32", "size"))
+    hot = hot_values(slim, "link")
+    drawn = lookup(spread(slim, "_spread"), "link", groups, hot, "_spread").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("draw", F.xxhash64(F.lit(seed), "id", "text_crc32", "size"))
     drawn = scratch(drawn.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int")), "drawn")
-    tied = propagate(drawn.where("linked"), quota, rounds)
+    tied = propagate(drawn.where("linked"), quota, rounds, hot)
     placed = scratch(tied.unionByName(drawn.where("not linked")), "placed")
     # ballast first, then linked rows of a shard, are beyond its quota: those go to the shards that lack rows
     free = {r.shard: r.n for r in placed.where("not linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -113,6 +120,14 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gapless_rank(final, ["shard"], "draw", ["id"], "slot", total).select("id", "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"), "link")
 
 
+def cut_links(placed: DataFrame) -> DataFrame:
+    """One row over the result of shard_documents: linked rows, and those outside the shard that holds most of their link."""
+    held = placed.where("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n")).groupBy("link").agg(F.sum("n").alias("rows"), F.max("n").alias("most")).where("rows > 1")
+    return held.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("linked"), F.coalesce(F.sum(F.col("rows") - F.col("most")), F.lit(0)).alias("cut"))
+
+
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document by law `rows`; nulls, blanks, long texts, repeats and empty tables as in
+    shard_documents."""
     found = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
