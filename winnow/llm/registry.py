@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import chat, decontaminate, html, lm, mixing, quality, sharding, simhash, tokenids, urls
 
-#: query -> module that defines it
-_WHERE = {
-    "op1_lm_scores": "lm",
-    "op2_mixing": "mixing",
-    "op3_simhash": "simhash",
-    "op4_token_ids": "tokenids",
-    "op5_sharding": "sharding",
-    "op6_urls": "urls",
-    "op7_quality": "quality",
-    "op8_html": "html",
-    "op9_chat": "chat",
-    "op10_decontaminate": "decontaminate",
-}
+MODULES = (lm, mixing, simhash, tokenids, sharding, urls, quality, html, chat, decontaminate)
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
+    return {name: getattr(module, name) for module in MODULES for name in vars(module) if name.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    out = {}
-    for module in dict.fromkeys(_WHERE.values()):
-        out |= getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", {})
-    return out
+    return {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}

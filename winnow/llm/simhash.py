@@ -201,7 +201,11 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 
 def plan_masks(n: int, both: np.ndarray, max_bits: int, row_cost: float = 500.0) -> list[int]:
-    """The masks to probe.  row_cost: what a probe row costs, in comparisons of a candidate."""
+    """The masks to probe.  row_cost: what a probe row costs, in comparisons of a candidate.
+
+    Partitions with thresholds over 3, or with over 2,000 masks, are not weighed; if max_bits allows no other plan, the one
+    mask is 0, a bucket of all rows, which link_fingerprints cuts into blocks like any other that is too large.
+    """
     p = np.diag(both) / max(n, 1)
     agree = p * p + (1 - p) * (1 - p)
     best, masks = math.inf, [0]
