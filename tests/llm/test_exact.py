@@ -309,6 +309,27 @@ def test_counts_of_op7_match_sql(spark):
     assert all(x[4] for x in got if x[1] < 50)
 
 
+def test_scores_and_verdicts_of_op7_match_brute_force(spark):
+    data = [t for t in texts(200, 3)] + ["the " * 60 + f"end{i}" for i in range(3)] + [" ".join(f"w{i}{j}" for j in range(70)) for i in range(20)]
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(len(data)) if i % 2] + [(5, 0, 0)]
+    trusted = {i for i, q, t in labels if q and not t and i != 5}
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    raw, good, grams = np.full(1 << 16, 0.0), np.full(1 << 16, 0.0), []
+    for i, t in enumerate(data):
+        b = (t or "").encode()
+        keys = [int.from_bytes(b[k : k + 4], "big") for k in range(len(b) - 3)]
+        grams.append([((k ^ k >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for k in keys])
+        for g in grams[-1]:
+            raw[g] += 1
+            good[g] += i in trusted
+    p = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
+    ratio = np.log((good + len(raw) * p) / (good.sum() + len(raw)) / p)
+    for i, g in enumerate(grams):
+        want = float(ratio[g].mean()) if g else 0.0
+        assert abs(got[i].llr - want) < 1e-8 and (abs(want + 0.5) < 1e-6 or got[i].kept == (not got[i].base_failed and want >= -0.5))
+    assert any(r.kept for r in got.values())
+
+
 # ---------------------------------------------------------------- op8
 
 
