@@ -104,6 +104,8 @@ def test_curation_takes_a_winner_of_each_cluster_and_ranks_them(spark):
     assert len(got) == 5 and {x.id for x in got} <= set(best.values()) and sorted(x.place for x in got) == [1, 2, 3, 4, 5]
     assert all(x.cluster_size == 5 and x.reason == "composite" for x in got)
     assert next(x for x in got if x.place == 1).id == max(got, key=lambda x: rows[x.id][2]).id
+    alone = spark.createDataFrame([(i, np.eye(50)[i].tolist(), i / 50) for i in range(50)], "id int, embedding array<double>, score double").withColumns({k: F.lit(None).cast(v) for k, v in (("has_face", "boolean"), ("is_motion", "boolean"), ("shapes", "map<string,double>"), ("motion", "double"))})
+    assert sorted(x.id for x in select.curate(alone, "id", "score", "embedding", 30, 0.15).collect()) == list(range(20, 50))
     few = select.curate(df.limit(3), "id", "score", "embedding", 5, 0.15).collect()
     assert len(few) == 3 and all(x.reason is None for x in few)
     with pytest.raises(ValueError):
