@@ -188,6 +188,17 @@ def test_sharpness_of_regions_and_two_sizes(spark):
     assert (pixels.resample(flat, 3, 20) == 77).all() and pixels.resample(flat, 11, 4).shape == (11, 4, 3)
 
 
+def test_bokeh_is_a_sharp_middle_on_soft_ground():
+    rng = np.random.default_rng(5)
+    busy = rng.integers(0, 256, (160, 240)).astype(float)
+    soft = sum(np.roll(np.roll(busy, dy, 0), dx, 1) for dy in range(-4, 5) for dx in range(-4, 5)) / 81
+    mixed = soft.copy()
+    mixed[48:112, 72:168] = busy[48:112, 72:168]
+    bokeh = lambda g: (lambda a, b: a > c.BOKEH_RATIO * b)(*pixels.centre_and_rest(pixels.blur_map(g)))
+    assert bokeh(mixed) and not bokeh(busy) and not bokeh(soft) and not bokeh(np.full((50, 50), 9.0)) and pixels.blur_map(np.zeros((2, 2))).shape == (1, 1)
+    assert pixels.centre_and_rest(np.arange(100.0).reshape(10, 10)) == (49.5, 49.5)
+
+
 # ---------------------------------------------------------------- models and caches
 
 
@@ -227,6 +238,7 @@ def test_online_steps_profiles_and_caches(spark, tmp_path):
     assert feedback.load_profile(spark, str(tmp_path / "none")) is None
     cache = spark.createDataFrame([("a", [1.0, 0.0], "m"), ("b", [0.0, 1.0], "m")], "path string, embedding array<double>, model_id string")
     assert similarity.usable_cache(cache, "m") is cache and similarity.usable_cache(cache, "n") is None and similarity.usable_cache(cache.limit(0), "m") is None and similarity.usable_cache(None, "m") is None
+    assert similarity.gather_all(cache, cache.select("path").limit(1)).count() == 1 and similarity.gather_all(cache, cache.select(F.lit("zz").alias("path"))) is None and similarity.gather_all(None, cache) is None
     assert similarity.usable_cache(cache.unionByName(cache.limit(1).withColumn("embedding", F.array(F.lit(1.0)))), "m") is None
 
 
@@ -360,6 +372,15 @@ def test_review_places_and_group_positions(spark):
     assert sorted((r.id, r.pos) for r in placed.collect()) == [(k, k) for k in range(4)]
 
 
+def test_undo_restores_what_was_there_before(spark):
+    d = spark.createDataFrame([(1, "keeper"), (2, "rejected"), (3, "keeper")], "id int, decision string")
+    log = spark.createDataFrame([(1, "select", 1), (2, "keeper", 2), (1, "rejected", 3)], "id int, label string, seq int")
+    back = decide.restore(d, log, "id")
+    assert sorted((r.id, r.label, r.seq) for r in back.collect()) == [(1, "select", 4), (2, "rejected", 4)]
+    again = decide.override(d, log.unionByName(back), "id")
+    assert sorted((r.id, r.decision) for r in again.collect()) == [(1, "select"), (2, "rejected"), (3, "keeper")]
+
+
 def test_leader_groups_pass_all_columns_on(spark):
     rows = [(i, i // 3, "s" if i % 2 else None, float(i), [0, 0, 1 << 40 | 255][i % 3]) for i in range(30)]
     df = spark.createDataFrame(rows, "id int, burst int, tag string, ts double, bits bigint").withColumn("shoot", F.lit(None).cast("string"))

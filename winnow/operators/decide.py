@@ -83,6 +83,17 @@ def undo(overrides: DataFrame, id_col: str, order: str = "seq") -> DataFrame:
     return overrides.join(last, id_col).where(F.col(order) < F.col("_last")).drop("_last")
 
 
+def restore(decisions: DataFrame, overrides: DataFrame, id_col: str, order: str = "seq") -> DataFrame:
+    """The entries (id, label, order) that undo each id's last override: the label it had before, from the override before or
+    else the decision, as an override of its own after the last one."""
+    last = Window.partitionBy(id_col).orderBy(F.col(order).desc())
+    # lead in descending order is the override before; an id has as many as its user made
+    ranked_ = overrides.select(id_col, "label", order).withColumn("_r", F.row_number().over(last)).withColumn("_before", F.lead("label").over(last)).where("_r = 1")
+    newest = overrides.agg(F.max(order)).first()[0]  # one number
+    joined = ranked_.join(decisions.select(id_col, "decision"), id_col)
+    return joined.select(id_col, F.coalesce("_before", "decision").alias("label"), (F.lit(newest) + 1).cast(overrides.schema[order].dataType).alias(order))
+
+
 def override_group(decisions: DataFrame, group: str, chosen: DataFrame, id_col: str, label: str) -> DataFrame:
     """Overrides for all rows that share the group of a chosen row; without a group, for the chosen row itself."""
     hit = decisions.join(chosen.select(id_col).distinct(), id_col, "left_semi")

@@ -17,7 +17,7 @@ from .. import config as c
 from ..functions import metrics as m
 from ..tables import ship
 
-FIELDS = ("tenengrad", "fft_ratio", "motion_ratio", "clip_high", "clip_low", "range_score", "midtone", "cast_a", "cast_b", "cast", "noise")
+FIELDS = ("tenengrad", "fft_ratio", "motion_ratio", "clip_high", "clip_low", "range_score", "midtone", "cast_a", "cast_b", "cast", "noise", "subject_sharpness", "background_sharpness")
 LONG_EDGE = 1280
 
 
@@ -104,6 +104,39 @@ def noise(gray: np.ndarray) -> float:
     return float(min(calm.mean() / c.NOISE_SCALE, 1.0))
 
 
+def blur_map(gray: np.ndarray, sizes: tuple[int, ...] = (7, 15, 31), step: int = 16) -> np.ndarray:
+    """Sharpness in 0..1 on a grid of every step-th pixel: after sorted transform coefficients of gradient magnitudes.
+
+    Around each place and at each size, the high-frequency cosine coefficients of the gradient magnitudes are sorted; each
+    rank is scaled over the image, and ranks and sizes are averaged.
+    """
+    gx, gy, _ = gradients(gray)
+    steep, layers = np.hypot(gx, gy), []
+    for n in sizes:
+        if min(gray.shape) <= n // 2:
+            continue
+        k = np.arange(n)
+        cosine = np.sqrt(2 / n) * np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
+        cosine[0] /= np.sqrt(2)
+        places = np.lib.stride_tricks.sliding_window_view(np.pad(steep, n // 2, mode="reflect"), (n, n))[::step, ::step]
+        high = k[:, None] + k[None, :] >= n - 1
+        ranks = np.stack([np.sort(np.abs(cosine @ row @ cosine.T)[:, high], axis=-1) for row in places])
+        low, wide = ranks.min(axis=(0, 1)), np.ptp(ranks, axis=(0, 1))
+        layers.append((np.where(wide > 1e-9, (ranks - low) / np.maximum(wide, 1e-9), 0.0)).mean(axis=-1))
+    if not layers:
+        return np.zeros((1, 1))
+    out = np.mean(layers, axis=0)
+    return (out - out.min()) / max(np.ptp(out), 1e-9) if np.ptp(out) > 1e-9 else np.zeros_like(out)
+
+
+def centre_and_rest(sharpness: np.ndarray) -> tuple[float, float]:
+    """Means over the middle of a map (a fixed share of each side) and over what is around it."""
+    middle = np.zeros(sharpness.shape, dtype=bool)
+    cut = tuple(slice(int(n * (1 - c.CENTRE_FRACTION) / 2), max(int(n * (1 + c.CENTRE_FRACTION) / 2), int(n * (1 - c.CENTRE_FRACTION) / 2) + 1)) for n in sharpness.shape)
+    middle[cut] = True
+    return float(sharpness[middle].mean()), float(sharpness[~middle].mean()) if (~middle).any() else float(sharpness.mean())
+
+
 def measure(bgr: np.ndarray) -> dict[str, float]:
     small = shrink(bgr)
     gray = gray_of(small)
@@ -112,11 +145,13 @@ def measure(bgr: np.ndarray) -> dict[str, float]:
     a, b = float((lab[..., 1] - 128).mean()), float((lab[..., 2] - 128).mean())
     low, high = np.percentile(lab[..., 0], [1, 99])
     flat = small.reshape(-1, 3)
+    centre, rest = centre_and_rest(blur_map(gray))
     return {
         "tenengrad": float((gx * gx + gy * gy).mean()), "fft_ratio": fft_ratio(gray), "motion_ratio": motion_ratio(gray),
         "clip_high": float((flat >= c.CLIP_HIGH).mean(axis=0).max()), "clip_low": float((flat <= c.CLIP_LOW).mean(axis=0).max()),
         "range_score": float((high - low) / 254.0), "midtone": float(((lab[..., 0] >= c.MIDTONE_LOW) & (lab[..., 0] <= c.MIDTONE_HIGH)).mean()),
         "cast_a": a, "cast_b": b, "cast": float(np.hypot(a, b)), "noise": noise(gray),
+        "subject_sharpness": centre, "background_sharpness": rest,
     }
 
 
@@ -237,12 +272,13 @@ def two_sizes(images: DataFrame, id_col: str, image: str = "image", long_edge: i
     return slim.mapInArrow(run, f"id {kind}, height int, width int, pixels binary, crop binary")
 
 
-def first_stage(measured: DataFrame, subject: str | None = None, background: str | None = None) -> DataFrame:
+def first_stage(measured: DataFrame, subject: str | None = "subject_sharpness", background: str | None = "background_sharpness") -> DataFrame:
     """Adds exposure flags, blur tier, passed and reject_reason.  Only blur and noise reject; blur is named first.
 
-    subject and background: sharpness columns of a blur-map provider, for bokeh.
+    subject and background: sharpness of the middle and of the rest, for bokeh (by image_metrics, or of a provider).
     """
-    soft = m.bokeh(F.col(subject), F.col(background)) if subject and background else F.lit(False)
+    known = {subject, background} <= set(measured.columns)
+    soft = m.bokeh(F.col(subject), F.col(background)) if known else F.lit(False)
     out = measured.withColumn("is_bokeh", F.coalesce(soft, F.lit(False)))
     out = out.withColumn("exposure_flags", m.exposure_flags(*[F.col(k) for k in ("clip_high", "clip_low", "cast_a", "cast_b", "cast", "range_score")]))
     out = out.withColumn("blur", m.blur_tier(F.col("tenengrad"), F.col("fft_ratio"), F.col("is_bokeh"), F.col("motion_ratio") > c.MOTION_RATIO))

@@ -179,3 +179,10 @@ def usable_cache(cached: DataFrame | None, model_id: str) -> DataFrame | None:
         return None
     found = cached.agg(F.count("*").alias("n"), F.count_if(~F.col("model_id").eqNullSafe(F.lit(model_id))).alias("other"), F.min(F.coalesce(F.size("embedding"), F.lit(0))).alias("least"), F.max(F.coalesce(F.size("embedding"), F.lit(0))).alias("most")).first()
     return cached if found.n and not found.other and 0 < found.least == found.most else None
+
+
+def gather_all(cached: DataFrame | None, wanted: DataFrame) -> DataFrame | None:
+    """The embeddings (path, embedding) of all wanted paths, or None if the cache lacks any."""
+    if cached is None or not wanted.join(cached, "path", "left_anti").isEmpty():
+        return None
+    return cached.join(wanted.select("path").distinct(), "path", "left_semi").select("path", "embedding")

@@ -620,6 +620,11 @@ def override_undo(spark, sf_dir):
     return decide.undo(_log(spark, sf_dir), "id").select("id", "seq", "label")
 
 
+@query("override_restore", f"WITH {_DECIDE_SQL}, l AS ({_LOG}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r, lead(label) OVER (PARTITION BY id ORDER BY seq DESC) AS b FROM l) SELECT r.id, coalesce(b, decision) AS label, (SELECT max(seq) + 1 FROM l) AS seq FROM r JOIN d ON r.id = d.id WHERE r = 1")
+def override_restore(spark, sf_dir):
+    return decide.restore(_decisions(spark, sf_dir), _log(spark, sf_dir), "id").select("id", "label", "seq")
+
+
 @query("override_group", f"WITH {STAGES}, {_LOSERS_SQL}, b AS (SELECT a.id, shoot || '/' || burst AS g FROM a LEFT JOIN w USING (id)), h AS (SELECT * FROM b WHERE id % 97 = 0) SELECT id, 'rejected' AS label FROM b WHERE g IN (SELECT g FROM h WHERE g IS NOT NULL) OR id IN (SELECT id FROM h WHERE g IS NULL)")
 def override_group(spark, sf_dir):
     a = events(spark, sf_dir, EVENT_STAGE)

@@ -54,9 +54,9 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
         return df.join(table.select("path", *[k for k in PROVIDERS[name] if k in table.columns and k not in df.columns]), "path", "left")
 
     measured = pixels.image_metrics(images.decode(spark, root), "path").withColumnRenamed("id", "path")
-    measured = add(measured, "sharpness")
-    sharp = {"subject_sharpness", "background_sharpness"} <= set(measured.columns)
-    first = scratch(pixels.first_stage(measured, *(("subject_sharpness", "background_sharpness") if sharp else ())), "stage1")
+    if "sharpness" in providers:
+        measured = add(measured.drop(*PROVIDERS["sharpness"]), "sharpness")
+    first = scratch(pixels.first_stage(measured), "stage1")
 
     empty = scan.select("path").limit(0)
     duplicates = empty
