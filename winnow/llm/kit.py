@@ -8,6 +8,7 @@ many documents a partition holds.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..tables import drop_scratch, scratch, shared_dir, ship
 
-__all__ = ["SPACES", "Spans", "chain", "drop_scratch", "hot_values", "lookup", "map_batches", "masked", "per_doc_sum", "release", "scramble", "scratch", "shared_dir", "ship", "slices", "spread", "squeeze", "table", "text_bytes", "unsqueeze", "words_of"]
+__all__ = ["SPACES", "Spans", "chain", "drop_scratch", "exact_sums", "hot_values", "lookup", "map_batches", "masked", "per_doc_sum", "release", "scramble", "scratch", "shared_dir", "ship", "slices", "spread", "squeeze", "table", "text_bytes", "unsqueeze", "words_of"]
 SLICE_BYTES = 1 << 21
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, dtype=bool)
@@ -40,9 +41,14 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more, between the steps of a long operator."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more, between the steps of a long operator.
+
+    Python's references reach the JVM a moment after they are given up, so this looks twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
 
 
 def spread(df: DataFrame, name: str, salts: int = 64) -> DataFrame:
@@ -194,3 +200,10 @@ def per_doc_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def exact_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values[first[i]:first[i+1]] that do not depend on what stands around them: taken in whole numbers, in two parts."""
+    high = np.rint(values * float(1 << 20))
+    low = np.rint((values - high / float(1 << 20)) * float(1 << 52))
+    return per_doc_sum(high.astype(np.int64), first) / float(1 << 20) + per_doc_sum(low.astype(np.int64), first) / float(1 << 52)

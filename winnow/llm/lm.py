@@ -27,13 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import Spans, chain, map_batches, per_doc_sum, release, scratch, ship, slices, squeeze, text_bytes, unsqueeze, words_of
+from .kit import Spans, chain, exact_sums, map_batches, per_doc_sum, release, scratch, ship, slices, squeeze, text_bytes, unsqueeze, words_of
 
 SEGMENT_BYTES = 8 << 20
 HASH_BYTES = 1 << 19
 BUCKET_BYTES = 32 << 20
-#: Scores are summed in units of 2**-SCALE.
-SCALE = 28
 ALPHA = 0.4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -214,7 +212,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str
     base = own if corpus is None else segments_of(corpus, id_col, text_col, segment_bytes)
     total, size = base.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bits = max(3, math.ceil(math.log2(max(1, size / bucket_bytes))))
-    logs, unit = math.log(alpha), float(1 << SCALE)
+    logs = math.log(alpha)
 
     def ask(level: int, counted: bool, answered: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -239,12 +237,13 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str
         asked = one if asked is None else asked.unionByName(one)
     answers = _counted(asked, 2)
     for level in range(3, order + 1):
+        asked = one = None  # what they were shuffled by can go
         release(spark)
-        asked = None
         for segments, counted, needed in sides:
             one = segments.select("seg", "off", "text").groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(ask(level, counted, needed or level < order), REQUEST)
             asked = one if asked is None else asked.unionByName(one)
         answers = answers.unionByName(_counted(asked, level))
+    asked = one = None
     release(spark)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -262,7 +261,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_col: str
                 level[seen] = k + 1
             ids += row_ids
             n_words.append(np.diff(first))
-            scores.append(per_doc_sum(np.rint(value * unit).astype(np.int64), first) / unit)
+            scores.append(exact_sums(value, first))
             orders.append(np.stack([per_doc_sum((level == k).astype(np.int64), first) for k in range(1, order + 1)], axis=1))
         none = np.zeros(0)
         return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(np.concatenate([none, *n_words]), pa.int64()), "log_score": pa.array(np.concatenate([none, *scores]), pa.float64()), "n_by_order": pa.array(np.concatenate(orders).tolist() if orders else [], pa.list_(pa.int64()))})
