@@ -311,6 +311,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", it
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # about block_bytes of text
         one = _search_block(index, Phrases([r.id for r in rows], [r.text for r in rows], window), slop)
         found = one if found is None else found.unionByName(one)
+    drop_scratch(items)
     if blocks == 1:
         return found
     sums = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kit import scratch
+from .kit import drop_scratch, scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 MOST = 3.0
@@ -86,7 +86,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     off = lambda k: F.abs(F.floor("mix_rate") * F.col("mix_source_size") + F.coalesce(F.col(f"t{k}"), F.lit(0)) - F.col("mix_target"))
     best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(tries)]))["k"]
     plan = rates.alias("r").join(taken.withColumnRenamed("mix_source", "of"), F.col("mix_source").eqNullSafe(F.col("of")), "left").select("mix_source", "mix_source_size", "mix_target", "mix_rate", best.alias("mix_draw"))
-    joined = _of_source(sized, source_col, "mix_hash", scratch(plan, "draws"), few, salts)
+    plan = scratch(plan, "draws")
+    for done in (slim, targets):
+        drop_scratch(done)
+    joined = _of_source(sized, source_col, "mix_hash", plan, few, salts)
     copies = F.floor("mix_rate") + F.when(draw(F.col("mix_hash"), F.col("mix_draw")) < fraction, 1).otherwise(0)
     return joined.withColumn("mix_copies", copies.cast("int")).drop("mix_source", "mix_hash", "mix_rate")
 

@@ -117,6 +117,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         goal, at = F.when((F.col("rank") >= at - lack) & (F.col("rank") < at), k).otherwise(goal), at - lack
     moved = spare.withColumn("shard", goal.cast("int")).drop("rank", "all")
     final = scratch(ranked.where("not spare").unionByName(moved), "final")
+    for done in (slim, drawn, tied, placed, ranked):
+        drop_scratch(done)
     return gapless_rank(final, ["shard"], "draw", ["id"], "slot", total).select("id", "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"), "link")
 
 

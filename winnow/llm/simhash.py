@@ -616,15 +616,20 @@ _NONE = (1 << 63) - 1
 
 
 class _Near:
-    """The texts of a table and the links between them."""
+    """The texts of a table and the links between them.  Tables it pauses at are removed when the groups are written."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: float, broadcast_keys: int):
+        self.tables: list[DataFrame] = []
         self.text_col, self.shingle, self.max_bits, self.similarity, self.broadcast_keys = text_col, shingle, max_bits, similarity, broadcast_keys
         text = F.col(text_col).cast("string")
         self.keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("bigint"))
         slim = self.keyed.select("near_key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NONE)).alias("id"), text.alias("text"))
         marked = fingerprints(slim, ("near_key", "id"), "text", shingle, True, 1, Prefix(similarity, *common_shingles(self.keyed, text_col, shingle)))
-        self.texts = scratch(marked.groupBy("near_key").agg(F.min("fps")[0].alias("fp"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+        self.texts = self.held(marked.groupBy("near_key").agg(F.min("fps")[0].alias("fp"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+
+    def held(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(scratch(df, name))
+        return self.tables[-1]
 
     def sets_of(self, keys: DataFrame) -> DataFrame:
         """(key, hashes: packed sorted distinct shingle hashes) of the texts with these keys."""
@@ -637,22 +642,22 @@ class _Near:
                     sets = shingle_sets(b[off[i] : off[j]], off[i : j + 1] - off[i], size)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "hashes"])
 
-        wanted = scratch(keys.distinct(), "wanted")
+        wanted = self.held(keys.distinct(), "wanted")
         few = wanted.count() <= self.broadcast_keys
         held = self.keyed.select("near_key", F.col(self.text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "near_key", "left_semi")
         return scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose similarity is high enough, by their whole sets."""
-        pairs = scratch(promising(pairs.distinct(), self.texts, self.similarity), "pairs")
+        pairs = self.held(promising(pairs.distinct(), self.texts, self.similarity), "pairs")
         sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("near_key")))
-        links = scratch(jaccard(pairs, sets).where(F.col("similarity") >= self.similarity).select("a", "b"), "links")
-        drop_scratch(sets)
+        links = self.held(jaccard(pairs, sets).where(F.col("similarity") >= self.similarity).select("a", "b"), "links")
+        drop_scratch(sets)  # the largest of the tables
         return links
 
     def close(self) -> DataFrame:
         """Verified links among texts whose fingerprints are within max_bits."""
-        first = scratch(self.texts.groupBy("fp").agg(F.min(F.struct("low", "near_key"))["near_key"].alias("rep")), "first")
+        first = self.held(self.texts.groupBy("fp").agg(F.min(F.struct("low", "near_key"))["near_key"].alias("rep")), "first")
         edges = link_fingerprints(first.select("fp"), self.max_bits).distinct()
         across = edges.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
         within = self.texts.join(first, "fp").where("near_key != rep").select(F.least("near_key", "rep").alias("a"), F.greatest("near_key", "rep").alias("b"))
@@ -660,32 +665,37 @@ class _Near:
 
     def rooted(self, links: DataFrame) -> DataFrame:
         """(near_key, root) of the texts in links."""
-        return scratch(components(links, "a", "b").select(F.col("node").alias("near_key"), "root"), "roots")
+        return self.held(components(links, "a", "b").select(F.col("node").alias("near_key"), "root"), "roots")
 
     def roots(self) -> DataFrame:
         """(near_key, root) of the texts with a link; root: one text of the group."""
         roots = self.rooted(self.close())
         marked = self.texts.join(roots, "near_key", "left").withColumn("root", F.coalesce("root", "near_key"))
-        shared = scratch(map_batches(prefix_rows(marked).repartition("hash").sortWithinPartitions("hash"), prefix_edges(self.similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
+        shared = self.held(map_batches(prefix_rows(marked).repartition("hash").sortWithinPartitions("hash"), prefix_edges(self.similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
         known = roots.where("near_key != root").select(F.col("near_key").alias("a"), F.col("root").alias("b"))
         links = known.unionByName(self.verified(shared.where("not family").select("a", "b")))
         roots = self.rooted(links)
         stars = shared.where("family")
         if stars.isEmpty():
             return roots
-        families = scratch(components(stars, "a", "b").select(F.col("node").alias("near_key"), F.col("root").alias("family")), "families")
+        families = self.held(components(stars, "a", "b").select(F.col("node").alias("near_key"), F.col("root").alias("family")), "families")
         members = families.join(roots, "near_key", "left").select("near_key", "family", F.coalesce("root", "near_key").alias("root"))
         several = members.groupBy("family").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("family")
-        split = scratch(members.join(several, "family", "left_semi"), "split")
+        split = self.held(members.join(several, "family", "left_semi"), "split")
         if split.isEmpty():
             return roots
-        more = family_links(split.withColumnRenamed("near_key", "key"), self.sets_of(split.select("near_key")), self.similarity)
+        sets = self.sets_of(split.select("near_key"))
+        more = family_links(split.withColumnRenamed("near_key", "key"), sets, self.similarity)
         known = roots.where("near_key != root").select(F.col("near_key").alias("a"), F.col("root").alias("b"))
-        return self.rooted(known.unionByName(more))
+        roots = self.rooted(known.unionByName(more))
+        drop_scratch(sets)
+        return roots
 
     def grouped(self) -> tuple[DataFrame, DataFrame]:
         """(near_key, near_group, copies) of every text; (near_key, low) of the text and the smallest id that stand for each group."""
         grouped = scratch(self.texts.join(self.roots(), "near_key", "left").select("near_key", F.coalesce("root", "near_key").alias("near_group"), "low", "copies"), "grouped")
+        for table in self.tables:
+            drop_scratch(table)
         return grouped, grouped.groupBy("near_group").agg(F.min(F.struct("low", "near_key")).alias("at")).select("at.near_key", "at.low")
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kit import hot_values, lookup, scratch, spread
+from .kit import drop_scratch, hot_values, lookup, scratch, spread
 
 #: (verdict, host, path)
 RULES = (
@@ -94,7 +94,8 @@ def template_verdicts(pages: DataFrame, fan_out: int = 30, smooth: float = 10.0,
     prior = (total.g + 1.0) / (total.g + total.b + 2.0)
 
     zero = F.lit(0).cast("bigint")
-    known = _dealt(_dealt(nodes.select("tid", "k", "step", "node", "place", "_spread"), "node", scratch(counts, "merged"), nodes), "place", everywhere, nodes)
+    counts = scratch(counts, "merged")
+    known = _dealt(_dealt(nodes.select("tid", "k", "step", "node", "place", "_spread"), "node", counts, nodes), "place", everywhere, nodes)
     branch = known.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("g", zero).alias("g"), F.coalesce("n", zero).alias("n"), F.coalesce("pg", zero).alias("pg"), F.coalesce("pn", zero).alias("pn"), "step"))).alias("branch"))
 
     def down(s: F.Column, x: F.Column) -> F.Column:
@@ -104,7 +105,10 @@ def template_verdicts(pages: DataFrame, fan_out: int = 30, smooth: float = 10.0,
 
     purity = F.aggregate("branch", F.struct(F.lit(prior).alias("p"), F.lit(prior).alias("q")), down)["p"]
     template = F.concat(F.lit("/"), F.array_join(F.transform(F.slice("branch", F.lit(2), F.size("branch")), lambda x: x["step"]), "/"))
-    return scratch(branch.select("tid", template.alias("template"), purity.alias("purity")).withColumn("rejected", F.col("purity") < least_purity), "judged")
+    judged = scratch(branch.select("tid", template.alias("template"), purity.alias("purity")).withColumn("rejected", F.col("purity") < least_purity), "judged")
+    for done in (seen, steps, nodes, own, tested, counts):
+        drop_scratch(done)
+    return judged
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, **how) -> DataFrame:
