@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, lm, mixing, quality, sharding, simhash, tokenids, urls
+from . import chat, decontaminate, html, lexical, lm, mixing, negatives, pieces, quality, sharding, simhash, tokenids, urls
 
-MODULES = (lm, mixing, simhash, tokenids, sharding, urls, quality, html, chat, decontaminate)
+MODULES = (lm, mixing, simhash, tokenids, sharding, urls, quality, html, chat, decontaminate, pieces, lexical, negatives)
 
 
 def queries() -> dict:
