@@ -18,7 +18,8 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from .kit import map_batches, slices, text_bytes
 
 MARK = "▁"
+CACHE_BYTES = 128 << 20
 #: Types of pieces in a model file: fixed values of its format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+LOST = float("-inf")
 ENCODED = "ids array<int>, starts array<int>, ends array<int>"
 
 
@@ -124,6 +127,11 @@ class Model:
                 self.surface[k] = trainer.get(44, b" \xe2\x81\x87 ")
         self.marked = [p.startswith(MARK) and t == NORMAL for p, _, t in pieces]
         self.byte_of = {k: v for v, k in self.byte_ids.items()}
+        self.dtype, self.code = (np.dtype("<u2"), "H") if len(pieces) < 1 << 16 else (np.dtype("<u4"), "I")
+        #: How many characters of the normalised text a piece takes; of byte pieces the first of a character takes it.
+        self.chars = np.array([len(p) if t == NORMAL else 0 for p, _, t in pieces], dtype=np.int64)
+        self.chars[[k for k, x in self.byte_of.items() if x & 0xC0 != 0x80]] = 1
+        self.is_byte = np.array([t == BYTE for _, _, t in pieces], dtype=bool)
         self.end_id = next((k for k, (p, _, t) in enumerate(pieces) if t == CONTROL and p == trainer.get(47, b"</s>").decode()), None)
 
     # ------------------------------------------------------------ normalising
@@ -178,17 +186,22 @@ class Model:
     def merge(self, segment: str) -> list[str]:
         """The symbols a segment ends as."""
         parts, score = list(segment), self.score
-        if len(parts) > 48:
+        if len(parts) > 64:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        get = score.get
+        gain = [get(a + b, LOST) for a, b in zip(parts, parts[1:])]
+        while gain:
+            best = max(gain)
+            if best == LOST:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = gain.index(best)
+            one = parts[i] + parts[i + 1]
+            parts[i] = one
+            del parts[i + 1], gain[i]
+            if i:
+                gain[i - 1] = get(parts[i - 1] + one, LOST)
+            if i < len(gain):
+                gain[i] = get(one + parts[i + 1], LOST)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -217,23 +230,16 @@ class Model:
                 offer(before[i], i)
         return [p for p in parts if p]
 
-    def encode_segment(self, segment: str) -> tuple[list[int], list[int], list[int]]:
-        """(ids, and for each the first and the past character of the segment; byte pieces have their character's)."""
-        ids, first, past, at = [], [], [], 0
+    def segment_ids(self, segment: str) -> bytes:
+        """The ids of a segment, in the type `dtype`."""
+        get, ids = self.id_of.get, []
         for p in self.merge(segment):
-            k = self.id_of.get(p)
+            k = get(p)
             if k is not None:
                 ids.append(k)
-                first.append(at)
-                past.append(at + len(p))
             else:
-                for c in p:
-                    for byte in c.encode("utf-8", "surrogatepass"):
-                        ids.append(self.byte_ids[byte])
-                        first.append(at)
-                        past.append(at + 1)
-            at += len(p)
-        return ids, first, past
+                ids += [self.byte_ids[x] for x in p.encode("utf-8", "surrogatepass")]
+        return array(self.code, ids).tobytes()
 
     # ------------------------------------------------------------ decoding
 
@@ -294,27 +300,34 @@ def whole_characters(b: bytes) -> bytes:
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+class Kept(dict):
+    """Ids by segment, in two generations that hold at most `most` bytes together: when the younger has half of them the
+    older goes, but for what was asked for meanwhile.  Long segments are not kept."""
+
+    #: What an entry takes besides its characters and ids: two objects' heads and a place in the table.
+    ENTRY = 210
+
+    def __init__(self, ids_of: Callable[[str], bytes], most: int, longest: int = 64):
+        super().__init__()
+        self.ids_of, self.most, self.longest, self.held, self.older = ids_of, most, longest, 0, {}
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = self.older.get(segment) or self.ids_of(segment)
+        if len(segment) <= self.longest:
+            self.held += self.ENTRY + 2 * len(segment) + len(ids)
+            if 2 * self.held > self.most:
+                self.older = dict(self)
+                self.clear()
+                self.held = self.ENTRY + 2 * len(segment) + len(ids)
+            self[segment] = ids
+        return ids
+
+
 class Encoder:
-    """Ids and source spans of whole texts.  Segments are kept up to `cache_bytes`; over that the cache starts anew."""
-
-    #: What an entry takes besides its characters and numbers: the heads of its objects and a place in the table.
-    ENTRY = 360
-
-    def __init__(self, model: Model, cache_bytes: int = 96 << 20, longest: int = 64):
-        self.model, self.most, self.longest = model, cache_bytes, longest
-        self.cache: dict[str, tuple[bytes, bytes, bytes, int]] = {}
-        self.held = 0
-
-    def _segment(self, s: str) -> tuple[bytes, bytes, bytes, int]:
-        ids, first, past = self.model.encode_segment(s)
-        row = np.array(ids, "<i4").tobytes(), np.array(first, "<i4").tobytes(), np.array(past, "<i4").tobytes(), len(ids)
-        if len(s) <= self.longest:
-            self.held += self.ENTRY + 4 * len(s) + 12 * len(ids)
-            if self.held > self.most:
-                self.cache.clear()
-                self.held = self.ENTRY + 4 * len(s) + 12 * len(ids)
-            self.cache[s] = row
-        return row
+    """Ids and source spans of whole texts."""
+
+    def __init__(self, model: Model, cache_bytes: int = CACHE_BYTES):
+        self.model, self.cache = model, Kept(model.segment_ids, cache_bytes)
 
     def encode(self, text: str, end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first byte, past byte) of the pieces of a text, with an end id of no bytes if asked for.
@@ -324,39 +337,23 @@ class Encoder:
         """
         m = self.model
         norm, at = m.normalise(text)
-        segments, cache, make = SEGMENT.findall(norm), self.cache, self._segment
-        rows = [cache.get(s) or make(s) for s in segments]
-        ids = np.frombuffer(b"".join([r[0] for r in rows]), "<i4")
-        counts = np.array([r[3] for r in rows], dtype=np.int64)
-        lengths = np.array([len(s) for s in segments], dtype=np.int64)
-        base = np.repeat(np.cumsum(lengths) - lengths, counts)
-        a = base + np.frombuffer(b"".join([r[1] for r in rows]), "<i4")
-        z = base + np.frombuffer(b"".join([r[2] for r in rows]), "<i4")
-        starts, ends = at[a], at[z]
-        starts, ends = self._bytes(ids, a, starts, ends)
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, SEGMENT.findall(norm))), m.dtype).astype(np.int32)
+        taken = m.chars[ids]
+        past = np.cumsum(taken)
+        first = past - np.maximum(taken, 1)
+        starts, ends = at[first], at[past]
+        byte = np.flatnonzero(m.is_byte[ids])
+        if len(byte):
+            lead = np.flatnonzero(np.append(True, (first[byte][1:] != first[byte][:-1]) | (np.diff(byte) != 1)))
+            size = np.diff(np.append(lead, len(byte)))
+            place = np.arange(len(byte)) - np.repeat(lead, size)
+            one = np.flatnonzero(ends[byte] - starts[byte] == np.repeat(size, size))
+            starts[byte[one]] += place[one]
+            ends[byte[one]] = starts[byte[one]] + 1
         if end and m.end_id is not None:
-            past = ends[-1] if len(ends) else at[-1]
-            ids, starts, ends = np.append(ids, np.int32(m.end_id)), np.append(starts, past), np.append(ends, past)
-        return ids.astype(np.int32), starts.astype(np.int32), ends.astype(np.int32)
-
-    def _bytes(self, ids: np.ndarray, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The spans with those of byte pieces narrowed to single bytes where the character's size is that of its pieces."""
-        table = np.zeros(len(self.model.surface), dtype=bool)
-        table[list(self.model.byte_of)] = True
-        at = np.flatnonzero(table[ids])
-        if not len(at):
-            return starts, ends
-        edge = np.concatenate(([True], (a[at][1:] != a[at][:-1]) | (np.diff(at) != 1)))
-        run = np.cumsum(edge) - 1
-        first = np.flatnonzero(edge)
-        place = np.arange(len(at)) - first[run]
-        size = np.diff(np.append(first, len(at)))[run]
-        same = ends[at] - starts[at] == size
-        starts, ends = starts.copy(), ends.copy()
-        lo = starts[at]
-        starts[at] = np.where(same, lo + place, lo)
-        ends[at] = np.where(same, lo + place + 1, ends[at])
-        return starts, ends
+            last = at[-1]
+            ids, starts, ends = np.append(ids, np.int32(m.end_id)), np.append(starts, last), np.append(ends, last)
+        return ids, starts.astype(np.int32), ends.astype(np.int32)
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -382,7 +379,7 @@ def _kept(batch: pa.RecordBatch, left_out: str, i: int, j: int) -> list[pa.Array
     return [batch.column(k).slice(i, j - i) for k in range(batch.num_columns) if batch.schema.field(k).name != left_out]
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", end: bool = True, cache_bytes: int = 96 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", end: bool = True, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """docs without text_col, with ids, starts and ends: of each piece its id and the span of bytes of the text's UTF-8 it
     stands for, in order.
 
@@ -424,23 +421,24 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
             ids = batch.column(batch.schema.get_field_index(ids_col))
             sizes = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
             for i, j in slices(sizes, 1 << 18):
-                texts = [model.decode(x or []) for x in ids.slice(i, j - i).to_pylist()]
+                flat, cut = ids.slice(i, j - i).flatten().to_numpy(), (sizes[i : j + 1] - sizes[i]).tolist()
+                texts = [model.decode(flat[a:z].tolist()) for a, z in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([*_kept(batch, "", i, j), pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
     return map_batches(rows, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"`{text_col}` string"]))
 
 
 def op11_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded; nulls, blanks, long texts, repeats and empty tables as in encode.  n_bytes: the
-    bytes of the text that the spans of the pieces cover."""
+    """Every document encoded and decoded; nulls, blanks, long texts, repeats and empty tables as in encode.  n_bytes: where
+    the span of the last piece ends."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path), path)
-    covered = F.aggregate(F.zip_with("starts", "ends", lambda a, z: z - a), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
+    rows = decode(encoded.select("doc_id", "ids", F.element_at("ends", -1).cast("bigint").alias("n_bytes")), path)
     return rows.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), covered.alias("n_bytes"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "n_bytes",
     )
 
 
