@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .kit import map_batches, slices, text_bytes
 
 MARK = "▁"
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 192 << 20
 #: Types of pieces in a model file: fixed values of its format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LOST = float("-inf")
@@ -359,15 +359,15 @@ class Encoder:
 # ---------------------------------------------------------------- DataFrames
 
 
-_models: dict[str, Model] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _model(key: str, data: bytes) -> Model:
-    """One model a worker: tasks of the same worker share it."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(data)
-    return _models[key]
+def _encoder(key: str, data: bytes, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    """One encoder a worker: tasks that follow one another in it share the model and what is kept, which has a bound."""
+    if (key, cache_bytes) not in _encoders:
+        _encoders.clear()
+        _encoders[key, cache_bytes] = Encoder(Model(data), cache_bytes)
+    return _encoders[key, cache_bytes]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -395,7 +395,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", end: bool =
     shared = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_model(key, shared.value), cache_bytes)
+        encoder = _encoder(key, shared.value, cache_bytes)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             _, off = text_bytes(texts)
@@ -416,7 +416,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     shared = rows.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(key, shared.value)
+        model = _encoder(key, shared.value).model
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
             sizes = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
