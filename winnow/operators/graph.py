@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import drop_scratch, scratch
+from ..tables import drop_scratch, scratch, ship
 
 
 def _mark(pairs: DataFrame) -> tuple:
@@ -43,34 +46,88 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def first_independent_set(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
+_STATES = "v {kind}, u {kind}, state int"
+#: What a row of a node says: it has an undecided neighbour u below it; u is a source; it is decided so itself.
+OPEN, HEAD, COVERED, SOURCE = 0, 1, 2, 3
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over rows (v, u, state) in order of v: a decided node's one row (v, null, COVERED or SOURCE), and the rows
+    that an undecided one still waits for.
+
+    u is a neighbour below v, or null in the row that every undecided node has.  A node is covered if a neighbour below
+    is a source, and a source if all of them are covered; rows of the nodes before it in this task are decided first.
+    """
+    known: dict = {}  # of the nodes of this task
+    node, rows, covered = None, [], False
+
+    def close() -> list[tuple]:
+        if node is None:
+            return []
+        waits = [u for u in rows if known.get(u) != COVERED]
+        if covered or any(known.get(u) == SOURCE for u in waits):
+            known[node] = COVERED
+        elif not waits:
+            known[node] = SOURCE
+        else:
+            return [(node, None, OPEN), *((node, u, OPEN) for u in waits)]
+        return [(node, None, known[node])]
+
+    def table(out: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), like.schema)], schema=like.schema)
+
+    batch = None
+    for batch in batches:
+        out = []
+        for v, u, state in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if v != node:
+                out += close()
+                node, rows, covered = v, [], False
+            covered |= state == HEAD
+            if u is not None and not covered:
+                rows.append(u)
+        if out:
+            yield table(out, batch)
+    if batch is not None:
+        out = close()
+        if out:
+            yield table(out, batch)
+
+
+def first_independent_set(edges: DataFrame, a: str, b: str, block_rows: int = 1 << 20) -> DataFrame:
     """(node, is_source) for every node of an edge: sources are what a greedy pass over ids in order would take.
 
-    Each round decides all nodes at once whose smaller neighbours are decided: a node without an undecided or source
-    neighbour below it is a source, and neighbours of sources are not.  Rounds follow the longest chain of descending
-    ids that matters, usually a handful.
+    Block-sequential: nodes are dealt by ranges of id into blocks of about `block_rows` rows, each node with its
+    neighbours below it.  A round is one pass over every block in order of id, which decides all nodes that depend only on
+    decided ones and on each other; the decisions are then carried across edges to later blocks.  The first block that
+    has undecided nodes decides all of them, so rounds end, at the latest after one a block; chains inside a
+    block, however long, take no rounds of their own.  Edges may repeat, point either way or be loops; a null end
+    drops the edge.  No edges: no rows.
     """
     x, y = F.col(a), F.col(b)
-    pairs = edges.where(x != y).select(x.alias("u"), y.alias("v"))
-    both = scratch(pairs.union(pairs.select("v", "u")).distinct(), "links")
-    decided = None
-    left = both
-    for _ in range(max_rounds):
-        low = left.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        sources = scratch(low.where("u < m").select(F.col("u").alias("node"), F.lit(True).alias("is_source")), "sources")
-        if sources.isEmpty():
-            break
-        near = both.join(sources.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("v").alias("node")).distinct().withColumn("is_source", F.lit(False))
-        new = scratch(sources.unionByName(near), "decided") if decided is None else scratch(sources.unionByName(near.join(decided, "node", "left_anti")), "decided")
-        decided = new if decided is None else decided.unionByName(new)
-        done = new.select("node")
-        after = left.join(done.withColumnRenamed("node", "u"), "u", "left_anti").join(done.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")
-        # undecided nodes whose neighbours are all decided have no source among them: they are sources themselves
-        rest = left.select("u").distinct().join(after.select("u").distinct(), "u", "left_anti").join(done.withColumnRenamed("node", "u"), "u", "left_anti")
-        alone = scratch(rest.select(F.col("u").alias("node"), F.lit(True).alias("is_source")), "alone")
-        decided = decided.unionByName(alone)
-        left = scratch(after, "links")
-        if left.isEmpty():
+    spark = edges.sparkSession
+    ship(spark)
+    linked = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("v"), F.least(x, y).alias("u"))
+    none = F.lit(None).cast(linked.schema["u"].dataType)
+    rows = scratch(linked.select(F.explode(F.array(F.struct("v", "u"), F.struct("v", none.alias("u")), F.struct(F.col("u").alias("v"), none.alias("u")))).alias("r")).select("r.*").distinct(), "below")
+    kind, total = rows.schema["v"].dataType.simpleString(), rows.count()
+    blocks = max(1, -(-total // block_rows))
+    schema = _STATES.format(kind=kind)
+    dealt = rows.withColumn("state", F.lit(OPEN)).repartitionByRange(blocks, "v").sortWithinPartitions("v", "u")
+    decided = []
+    for _ in range(blocks + 1):
+        done = scratch(dealt.mapInArrow(_decide, schema).withColumn("block", F.spark_partition_id()), "decided")
+        decided.append(done.where(F.col("state").isin(COVERED, SOURCE)).select(F.col("v").alias("node"), (F.col("state") == SOURCE).alias("is_source")))
+        left = done.where(F.col("state") == OPEN).select("v", "u", "block")
+        if blocks == 1 or left.isEmpty():
             break
-    empty = both.select(F.col("u").alias("node"), F.lit(True).alias("is_source")).limit(0)
-    return empty if decided is None else decided.distinct()
+        # what this round decided of the neighbours below that lie in other blocks
+        told = left.join(decided[-1].withColumnRenamed("node", "u"), "u", "left").where("is_source is null or is_source")
+        told = told.select("v", "u", F.when(F.col("is_source"), F.lit(HEAD)).otherwise(F.lit(OPEN)).alias("state"), "block")
+        dealt = told.repartition(blocks, "block").sortWithinPartitions("v", F.col("state").desc(), "u").drop("block")
+    else:
+        raise RuntimeError("first_independent_set did not settle")
+    out = decided[0]
+    for one in decided[1:]:
+        out = out.unionByName(one)
+    return out
