@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import vectors as v
-from ..tables import scratch, ship
+from ..tables import drop_scratch, scratch, ship
 from .graph import components, first_independent_set
 from .ranking import ranked
 
@@ -104,12 +106,14 @@ def duplicate_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def average_linkage(m: np.ndarray, most: float) -> np.ndarray:
     """Flat labels (by first member) of average-linkage clusters of rows, cut at cosine distance `most`.
 
-    Chains of nearest neighbours end in pairs that are each other's nearest; those merge.  A pair further apart than
-    `most` is final, as no later merge brings anything nearer.  Quadratic in the rows.
+    Chains of nearest neighbours end in pairs that are each other's nearest; those merge.  Of equally near pairs the one with
+    the earlier rows comes first.  A pair further apart than `most` is final, as no later merge brings anything
+    nearer.  Quadratic in the rows.
     """
     n = len(m)
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     d = 1 - unit @ unit.T
+    d = (d + d.T) / 2
     np.fill_diagonal(d, np.inf)
     size, label, todo, chain = np.ones(n), np.arange(n), np.ones(n, dtype=bool), []
     while todo.any() or chain:
@@ -117,8 +121,6 @@ def average_linkage(m: np.ndarray, most: float) -> np.ndarray:
             chain = [int(todo.argmax())]
         i = chain[-1]
         j = int(d[i].argmin())
-        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
-            j = chain[-2]
         if d[i, j] > most + 1e-12:  # nothing is near enough any more
             todo[i] = False
             chain.pop()
@@ -138,17 +140,84 @@ def average_linkage(m: np.ndarray, most: float) -> np.ndarray:
     return label
 
 
-def clusters(df: DataFrame, id_col: str, embedding: str, most: float, method: str = "auto") -> DataFrame:
+def _nearness(edges: DataFrame, kind: str) -> DataFrame:
+    """edges (lo, hi, and n and total, the size and vector sum, of each side) with near: the mean cosine of two members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(batch.schema.get_field_index(f"total_{k}")) for k in ("lo", "hi"))
+            sizes = x.value_lengths().to_numpy()
+            dots = np.multiply(x.flatten().to_numpy(), y.flatten().to_numpy())
+            sums = np.add.reduceat(dots, np.cumsum(sizes) - sizes) if len(dots) else np.zeros(len(sizes))
+            n = [batch.column(batch.schema.get_field_index(f"n_{k}")).to_numpy() for k in ("lo", "hi")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums / (n[0] * n[1]))], names=[*batch.schema.names, "near"])
+
+    ship(edges.sparkSession)
+    return edges.mapInArrow(run, f"lo {kind}, hi {kind}, n_lo bigint, total_lo array<double>, n_hi bigint, total_hi array<double>, near double")
+
+
+def merged_neighbours(points: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
+    """(id, head) of the points (id, e: unit vectors) of average-linkage clusters cut at cosine distance `most`; head is the
+    cluster's smallest id.  pairs (a, b): all pairs of points within `most`.
+
+    Each round merges all pairs of clusters that are each other's nearest and within `most`; average linkage allows that in any
+    order, and of equally near pairs the one with the smaller ids counts as nearer, so the nearest pair of all always
+    merges.  The mean cosine of two clusters is the product of their vector sums over the product of their sizes: a
+    round joins edges with sums, and no members meet in a task.  Clusters without a neighbour within `most` are final (no
+    merge of others brings one nearer) and leave with their edges.
+    """
+    kind = points.schema["id"].dataType.simpleString()
+    edges = scratch(pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo != hi").distinct(), "edges")
+    ends = edges.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
+    sums = scratch(points.join(ends, "id", "left_semi").select("id", F.lit(1).cast("bigint").alias("n"), F.col("e").cast("array<double>").alias("total")), "sums")
+    moves = []
+    while True:
+        side = lambda k: sums.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("total").alias(f"total_{k}"))
+        weighed = edges.join(side("lo"), "lo").join(side("hi"), "hi").select("lo", "hi", "n_lo", "total_lo", "n_hi", "total_hi")
+        weighed = scratch(_nearness(weighed, kind), "weighed")
+        close = weighed.where(F.col("near") >= 1 - most - 1e-12)
+        rank = F.struct((-F.col("near")).alias("far"), "lo", "hi")
+        nearest = close.select(F.explode(F.array("lo", "hi")).alias("id"), rank.alias("best")).groupBy("id").agg(F.min("best").alias("best"))
+        nearest = scratch(nearest.select("id", F.col("best.lo").alias("lo"), F.col("best.hi").alias("hi")), "nearest")
+        pairs_ = nearest.groupBy("lo", "hi").agg(F.count("*").alias("k")).where("k = 2").drop("k")
+        merged = scratch(weighed.join(pairs_, ["lo", "hi"]).select("lo", "hi", (F.col("n_lo") + F.col("n_hi")).alias("n"), F.zip_with("total_lo", "total_hi", lambda x, y: x + y).alias("total")), "merged")
+        if merged.isEmpty():
+            break
+        moves.append(merged.select("hi", "lo"))
+        alive = nearest.select("id")
+        to = merged.select(F.col("hi").alias("was"), F.col("lo").alias("now"))
+        # only edges between clusters that have a near neighbour stay, under their clusters' new names
+        left = weighed.select("lo", "hi").join(alive.withColumnRenamed("id", "lo"), "lo", "left_semi").join(alive.withColumnRenamed("id", "hi"), "hi", "left_semi")
+        for k in ("lo", "hi"):
+            left = left.join(to.withColumnRenamed("was", k), k, "left").withColumn(k, F.coalesce("now", F.col(k))).drop("now")
+        new_edges = scratch(left.where("lo != hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "edges")
+        gone = merged.select(F.explode(F.array("lo", "hi")).alias("id"))
+        kept = sums.join(alive, "id", "left_semi").join(gone, "id", "left_anti")
+        new_sums = scratch(kept.unionByName(merged.select(F.col("lo").alias("id"), "n", "total")), "sums")
+        for done in (edges, sums, weighed, nearest):
+            drop_scratch(done)
+        edges, sums = new_edges, new_sums
+    if not moves:
+        return points.select("id", F.col("id").alias("head")).limit(0)
+    every = moves[0]
+    for one in moves[1:]:
+        every = every.unionByName(one)
+    return components(every, "hi", "lo").select(F.col("node").alias("id"), F.col("root").alias("head"))
+
+
+def clusters(df: DataFrame, id_col: str, embedding: str, most: float, method: str = "auto", task_rows: int = 4096) -> DataFrame:
     """(id, cluster, cluster_size): average linkage over cosine distance, cut at `most`; clusters are numbered by
     their smallest id.  Rows without an embedding are dropped.
 
-    No merge at a height up to `most` leaves a connected component of the pairs within `most`, so linkage runs on
-    components, each in one task; a component must fit there.
+    No merge at a height up to `most` leaves a connected component of the pairs within `most`.  Components of at most
+    `task_rows` rows are linked in a task each; larger ones by rounds of joins (`merged_neighbours`).  Both
+    merge the same pairs.
     """
-    slim = df.select(F.col(id_col).alias("id"), v.unit(F.col(embedding)).alias("e")).where("e is not null")
+    slim = scratch(df.select(F.col(id_col).alias("id"), v.unit(F.col(embedding)).alias("e")).where("e is not null"), "unit")
     kind = slim.schema["id"].dataType.simpleString()
-    pairs = near_pairs(slim, "id", "e", 1 - most, method)
-    roots = components(pairs, "a", "b")
+    pairs = scratch(near_pairs(slim, "id", "e", 1 - most, method).select("a", "b"), "pairs")
+    roots = scratch(components(pairs, "a", "b"), "roots")
+    large = scratch(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select("root"), "large")
     ship(df.sparkSession)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,8 +225,15 @@ def clusters(df: DataFrame, id_col: str, embedding: str, most: float, method: st
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"id": ids, "head": ids[average_linkage(np.stack(pdf["e"].to_numpy()), most)]})
 
-    linked = slim.join(roots, slim.id == roots.node).groupBy("root").applyInPandas(link, f"id {kind}, head {kind}")
+    small = slim.join(roots.join(large, "root", "left_anti"), F.col("id") == F.col("node")).select("id", "e", "root")
+    linked = small.groupBy("root").applyInPandas(link, f"id {kind}, head {kind}")
+    if not large.isEmpty():
+        wide = roots.join(large, "root").select(F.col("node").alias("id"))
+        own = pairs.join(wide.withColumnRenamed("id", "a"), "a", "left_semi")
+        linked = linked.unionByName(merged_neighbours(slim.join(wide, "id", "left_semi"), own, most))
     heads = scratch(slim.select("id").join(linked, "id", "left").select("id", F.coalesce("head", "id").alias("head")), "heads")
+    for done in (pairs, roots, large, slim):
+        drop_scratch(done)
     sizes = heads.groupBy("head").agg(F.count("*").alias("cluster_size"))
     numbered = ranked(sizes, ["head"], "cluster")
     return heads.join(numbered, "head").select("id", "cluster", "cluster_size")
