@@ -58,16 +58,16 @@ def shots(spark, offsets):
     return spark.createDataFrame([(i, "s", None if o is None else float(o)) for i, o in enumerate(offsets)], "id int, shoot string, o double").select("id", "shoot", F.timestamp_micros((F.col("o") * 1e6).cast("bigint")).alias("ts"))
 
 
-@pytest.mark.parametrize("slice_seconds", [86400.0, 1.0])
-def test_bursts_join_up_to_the_gap(spark, slice_seconds):
-    got = sequence.bursts(shots(spark, [0, 0.3, 0.8, 5, 5.5, 9, None]), ["shoot"], "ts", "id", 0.5, slice_seconds)
+@pytest.mark.parametrize("ranges", [None, 1, 5])
+def test_bursts_join_up_to_the_gap(spark, ranges):
+    got = sequence.bursts(shots(spark, [0, 0.3, 0.8, 5, 5.5, 9, None]), ["shoot"], "ts", "id", 0.5, ranges)
     assert [(a, n) for a, _, n in rows(got, "id", "burst", "burst_size")] == [(0, 3), (1, 3), (2, 3), (3, 2), (4, 2)]
     assert len({b for _, b in rows(got, "id", "burst")}) == 2
 
 
-@pytest.mark.parametrize("slice_seconds", [86400.0, 1.5])
-def test_scenes_count_gaps_but_not_the_first_row(spark, slice_seconds):
-    got = sequence.scenes(shots(spark, [0, 2.0, 4.1, 4.2, 10]), ["shoot"], "ts", "id", 2.0, slice_seconds)
+@pytest.mark.parametrize("ranges", [None, 1, 4])
+def test_scenes_count_gaps_but_not_the_first_row(spark, ranges):
+    got = sequence.scenes(shots(spark, [0, 2.0, 4.1, 4.2, 10]), ["shoot"], "ts", "id", 2.0, ranges)
     assert rows(got, "id", "scene", "is_scene_start", "scene_bonus") == [(0, 0, True, 0.0), (1, 0, False, 0.0), (2, 1, True, 1.0), (3, 1, False, 0.0), (4, 2, True, 1.0)]
 
 

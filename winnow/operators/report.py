@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
+from .medians import medians
 
 LABELS = ("keeper", "rejected", "duplicate", "uncertain", "select")
 REASONS = ("blur", "exposure", "noise", "burst", "duplicate", "vlm")
@@ -59,7 +60,9 @@ def portrait_stats(decisions: DataFrame, left: str, right: str, closed: str, lab
     own = (F.coalesce(F.col(left), F.lit(0.0)) + F.coalesce(F.col(right), F.lit(0.0))) / F.nullif(n, F.lit(0))
     keepers = decisions.where(_is(label, c.KEEP_LABELS)).select(own.alias("sharp"), F.coalesce(F.col(closed), F.lit(False)).alias("closed"))
     some = F.count("sharp") > 0
-    return keepers.agg(F.when(some, F.count("*")).alias("unique_subjects"), F.median("sharp").alias("eye_sharpness_median"), F.when(some, F.count_if("closed") / F.count("*")).alias("eyes_closed_rate"))
+    counts = keepers.agg(F.when(some, F.count("*")).alias("unique_subjects"), F.when(some, F.count_if("closed") / F.count("*")).alias("eyes_closed_rate"))
+    middle = medians(keepers, [], {"eye_sharpness_median": F.col("sharp")}).withColumn("_1", F.lit(1))
+    return counts.withColumn("_1", F.lit(1)).join(middle, "_1").select("unique_subjects", "eye_sharpness_median", "eyes_closed_rate")
 
 
 def timing(decisions: DataFrame, taken: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sequences in capture time: bursts, scenes, leader groups.
 
-Windows run within (shoot, time slice), never over a whole shoot: a slice's rows look back over its edge through a
-table with one row per slice.  So a shoot of any length is spread over tasks.
+Windows run within ranges of rows, never over a whole shoot: a range's rows look back over its edge through a table with
+one row per range.  So a shoot of any length, and a day of any density, is spread over tasks.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
-from ..tables import ship
-
-SLICE_SECONDS = 86_400.0
+from ..tables import scratch, ship
 
 
 def seconds(ts: Column) -> Column:
@@ -25,25 +23,43 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
-def _running(df: DataFrame, keys: list[str], ts: str, id_col: str, breaks, slice_seconds: float) -> DataFrame:
-    """df with _sec, _prev (the time before, over slice edges), _new and _run (count of _new up to the row)."""
-    timed = df.withColumn("_sec", seconds(F.col(ts))).withColumn("_slice", F.coalesce(F.floor(F.col("_sec") / slice_seconds), F.lit(-(1 << 62))))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(F.col("_sec").asc_nulls_first(), id_col)
-    over = Window.partitionBy(*keys).orderBy("_slice")
-    edges = timed.groupBy(*keys, "_slice").agg(F.max("_sec").alias("_last")).withColumn("_edge", F.lag("_last").over(over)).drop("_last")
-    near = timed.join(edges, [*keys, "_slice"]).withColumn("_prev", F.when(F.row_number().over(inside) == 1, F.col("_edge")).otherwise(F.lag("_sec").over(inside)))
+def _running(df: DataFrame, keys: list[str], ts: str, id_col: str, breaks, ranges: int | None) -> DataFrame:
+    """df with _sec, _prev (the time before), _new and _run (count of _new up to the row): a prefix scan by key.
+
+    Rows are dealt by ranges of key, time and id, so that a key of any length is spread over tasks.  Each range is scanned on
+    its own; what it carries on to the next ranges of a key is one row, its last time and its breaks.
+    """
+    order = [F.col("_sec").asc_nulls_first(), F.col(id_col)]
+    timed = df.withColumn("_sec", seconds(F.col(ts)))
+    dealt = timed.repartitionByRange(ranges, *keys, *order) if ranges else timed.repartitionByRange(*keys, *order)
+    timed = scratch(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    over = Window.partitionBy(*keys).orderBy("_range")  # one row for each range of a key
+    # times rise within a range, nulls first: the last is the largest, null if all are
+    edges = timed.groupBy(*keys, "_range").agg(F.max("_sec").alias("_last")).withColumn("_edge", F.lag("_last").over(over)).drop("_last")
+    near = _by_range(timed, edges, keys).withColumn("_prev", F.when(F.row_number().over(inside) == 1, F.col("_edge")).otherwise(F.lag("_sec").over(inside)))
     marked = near.withColumn("_new", breaks(F.col("_sec"), F.col("_prev")).cast("bigint"))
-    sums = marked.groupBy(*keys, "_slice").agg(F.sum("_new").alias("_n"))
+    sums = marked.groupBy(*keys, "_range").agg(F.sum("_new").alias("_n"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return marked.join(before, [*keys, "_slice"]).withColumn("_run", F.col("_before") + F.sum("_new").over(inside))
+    return _by_range(marked, before, keys).withColumn("_run", F.col("_before") + F.sum("_new").over(inside)).drop("_range", "_edge", "_before")
+
+
+def _by_range(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what was carried to their key and range; null keys match."""
+    own = carry.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), *[c for c in carry.columns if c not in (*keys, "_range")])
+    same = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_of{i}"))
+    return rows.join(own, same).drop("_at", *[f"_of{i}" for i in range(len(keys))])
 
 
-def bursts(df: DataFrame, keys: list[str], ts: str, id_col: str, gap: float = c.BURST_GAP, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
+def bursts(df: DataFrame, keys: list[str], ts: str, id_col: str, gap: float = c.BURST_GAP, ranges: int | None = None) -> DataFrame:
     """Rows of df in bursts of two or more, with burst (numbered by time within keys) and burst_size.
 
-    A row joins the one before it at a gap of at most `gap` seconds; a null time never joins.
+    A row joins the one before it at a gap of at most `gap` seconds; a null time never joins.  ranges: how many ranges
+    of rows to deal; by default as many as the session shuffles to.
     """
-    run = _running(df, keys, ts, id_col, lambda now, before: before.isNull() | now.isNull() | (F.abs(now - before) > gap), slice_seconds)
+    run = _running(df, keys, ts, id_col, lambda now, before: before.isNull() | now.isNull() | (F.abs(now - before) > gap), ranges)
     sizes = run.groupBy(*keys, "_run").agg(F.count("*").alias("burst_size")).where("burst_size > 1")
     return run.join(sizes, [*keys, "_run"]).select(*df.columns, F.col("_run").alias("burst"), "burst_size")
 
@@ -55,12 +71,12 @@ def rank_bursts(grouped: DataFrame, keys: list[str], ts: str, id_col: str, score
     return ranked.withColumn("is_burst_winner", F.col("burst_rank") == 1)
 
 
-def scenes(df: DataFrame, keys: list[str], ts: str, id_col: str, gap: float = c.SCENE_GAP, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
+def scenes(df: DataFrame, keys: list[str], ts: str, id_col: str, gap: float = c.SCENE_GAP, ranges: int | None = None) -> DataFrame:
     """df with scene (from 0), is_scene_start and scene_bonus; rows are taken in order of time and id.
 
     The first row starts a scene without a bonus; a later one does, with bonus 1, after more than gap seconds.
     """
-    run = _running(df, keys, ts, id_col, lambda now, before: F.coalesce(now - before > gap, F.lit(False)), slice_seconds)
+    run = _running(df, keys, ts, id_col, lambda now, before: F.coalesce(now - before > gap, F.lit(False)), ranges)
     first = run.groupBy(*keys).agg(F.min(F.struct(F.coalesce("_sec", F.lit(float("-inf"))).alias("s"), id_col)).alias("_first"))
     run = run.join(first, keys).withColumn("_is_first", F.struct(F.coalesce("_sec", F.lit(float("-inf"))).alias("s"), id_col) == F.col("_first"))
     return run.select(*df.columns, F.col("_run").alias("scene"), ((F.col("_new") == 1) | F.col("_is_first")).alias("is_scene_start"), F.col("_new").cast("double").alias("scene_bonus"))

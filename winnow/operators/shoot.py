@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as c
+from .medians import medians
 from .ranking import ranked
 
 
@@ -16,11 +17,12 @@ def _outlier(d: Column, scale: Column, sigma: float) -> Column:
 def outliers(df: DataFrame, keys: list[str], palette: tuple[str, str, str], exposure: str) -> DataFrame:
     """df with palette_outlier and exposure_drift: distance from the shoot's median over the largest, times sigma.
 
-    A null palette counts as the zero vector.  Medians and scales are one row per shoot, joined back by key.
+    A null palette counts as the zero vector.  Medians and scales are one row per shoot, joined back by key; no task holds
+    the values of a large shoot.
     """
     lab = [F.coalesce(F.col(p), F.lit(0.0)) for p in palette]
-    medians = df.groupBy(*keys).agg(*[F.median(x).alias(f"_m{i}") for i, x in enumerate(lab)], F.median(exposure).alias("_me"))
-    near = df.join(medians, keys).withColumns({
+    middle = medians(df, keys, {f"_m{i}": x for i, x in enumerate(lab)} | {"_me": F.col(exposure)})
+    near = df.join(middle, keys).withColumns({
         "_dp": F.sqrt(sum((x - F.col(f"_m{i}")) * (x - F.col(f"_m{i}")) for i, x in enumerate(lab))),
         "_de": F.abs(F.col(exposure) - F.col("_me")),
     })

@@ -14,6 +14,7 @@ from ..functions import text as t
 from ..functions import vectors as v
 from ..operators import decide, fusion, report, select, sequence, shoot, similarity
 from ..operators.graph import components
+from ..operators.medians import medians
 from ..sources import files
 from .assets import EVENT_STAGE, events, events_sql
 
@@ -198,6 +199,21 @@ def burst_groups(spark, sf_dir):
     return _bursts(spark, sf_dir).select("id", "shoot", "burst", "burst_size")
 
 
+# One shoot of one day: every line of an order is a capture at a quarter of a second of it.
+_DAY = "l_orderkey * 8 + l_linenumber AS id, ((l_orderkey * 8 + l_linenumber) * 7919) % 345601 AS quarter"
+
+
+@query("dense_day", f"""
+WITH r AS (SELECT {_DAY} FROM lineitem),
+n AS (SELECT *, coalesce((quarter - lag(quarter) OVER (ORDER BY quarter, id) > 2)::INT, 1) AS fresh FROM r),
+g AS (SELECT *, sum(fresh) OVER (ORDER BY quarter, id ROWS UNBOUNDED PRECEDING) AS burst FROM n),
+b AS (SELECT id, burst, count(*) OVER (PARTITION BY burst) AS burst_size FROM g)
+SELECT id, burst::BIGINT AS burst, burst_size FROM b WHERE burst_size > 1""")
+def dense_day(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*_DAY.split(", ")).select("id", F.lit("one").alias("shoot"), F.timestamp_micros((F.col("quarter") * 250_000).cast("bigint")).alias("ts"))
+    return sequence.bursts(rows, ["shoot"], "ts", "id", 0.5).select("id", "burst", "burst_size")
+
+
 @query("burst_winners", f"WITH {ASSETS}, {_BURST_SQL} SELECT id, shoot, burst, row_number() OVER (PARTITION BY shoot, burst ORDER BY coalesce(tenengrad, 0) DESC, ts, id) AS burst_rank, row_number() OVER (PARTITION BY shoot, burst ORDER BY coalesce(tenengrad, 0) DESC, ts, id) = 1 AS is_burst_winner FROM k WHERE burst_size > 1")
 def burst_winners(spark, sf_dir):
     return sequence.rank_bursts(_bursts(spark, sf_dir), ["shoot"], "ts", "id", "tenengrad").select("id", "shoot", "burst", "burst_rank", "is_burst_winner")
@@ -480,7 +496,16 @@ def sparkline(spark, sf_dir):
 @query("composite_median", f"WITH {ASSETS} SELECT shoot, round(median(score), 6) AS median FROM ({_fuse_sql(_W, 'a')}) GROUP BY shoot")
 def composite_median(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("tilt_penalty", m.tilt_penalty(F.col("tilt"), F.col("keystone")))
-    return fusion.fuse(df).groupBy("shoot").agg(_r(F.median("composite")).alias("median"))
+    return medians(fusion.fuse(df), ["shoot"], {"median": F.col("composite")}).select("shoot", _r("median").alias("median"))
+
+
+@query("hot_medians", """
+SELECT l_returnflag, median(l_extendedprice::DOUBLE) AS price, median(l_quantity::DOUBLE) AS quantity, median(l_orderkey::DOUBLE) AS orderkey
+FROM lineitem GROUP BY l_returnflag""")
+def hot_medians(spark, sf_dir):
+    """Medians of few keys with many rows each, selected by counts over ranges."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return medians(rows, ["l_returnflag"], {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity"), "orderkey": F.col("l_orderkey")}, task_rows=1000)
 
 
 # ---------------------------------------------------------------- curation
