@@ -245,7 +245,7 @@ def test_online_steps_profiles_and_caches(spark, tmp_path):
 def test_an_embedding_cache_serves_until_something_changes(spark, tmp_path):
     live = spark.createDataFrame([("a",), ("b",)], "path string").withColumn("modified", F.to_timestamp(F.lit("2020-01-01 00:00:00")))
     files.write_embeddings(live.withColumn("embedding", F.array(F.lit(1.0))), str(tmp_path / "c"), "m")
-    cached = spark.read.parquet(str(tmp_path / "c"))
+    cached = files.read_embeddings(spark, str(tmp_path / "c"))
     assert similarity.cache_is_valid(cached, live, "m") and not similarity.cache_is_valid(cached, live, "other")
     assert not similarity.cache_is_valid(cached, live.unionByName(live.limit(1).withColumn("path", F.lit("new"))), "m")
     assert not similarity.cache_is_valid(cached, live.withColumn("modified", F.to_timestamp(F.lit("2100-01-01 00:00:00"))), "m")

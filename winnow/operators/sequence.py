@@ -82,6 +82,18 @@ def scenes(df: DataFrame, keys: list[str], ts: str, id_col: str, gap: float = c.
     return run.select(*df.columns, F.col("_run").alias("scene"), ((F.col("_new") == 1) | F.col("_is_first")).alias("is_scene_start"), F.col("_new").cast("double").alias("scene_bonus"))
 
 
+def subgroups(bits: list[int], most: int) -> list[int]:
+    """For each hash in order the number of the first subgroup whose first hash is within `most` bits, or of a new one."""
+    leaders: list[int] = []
+    out = []
+    for own in bits:
+        near = next((k for k, x in enumerate(leaders) if (x ^ own).bit_count() <= most), len(leaders))
+        if near == len(leaders):
+            leaders.append(own)
+        out.append(near)
+    return out
+
+
 def leader_groups(grouped: DataFrame, keys: list[str], ts: str, id_col: str, bits: str, most: int = c.HAMMING_MAX) -> DataFrame:
     """Visual confirmation within bursts: a row joins the first subgroup whose first row is within `most` bits.
 
@@ -118,12 +130,7 @@ def leader_groups(grouped: DataFrame, keys: list[str], ts: str, id_col: str, bit
             own = pc.fill_null(batch.column(names.index(bits)), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).tolist()
             label, keep, begin = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool), 0
             for end in ends.tolist():
-                leaders: list[int] = []
-                for i in range(begin, end):
-                    near = next((k for k, x in enumerate(leaders) if (x ^ own[i]).bit_count() <= most), len(leaders))
-                    if near == len(leaders):
-                        leaders.append(own[i])
-                    label[i] = near
+                label[begin:end] = subgroups(own[begin:end], most)
                 keep[begin:end] = np.bincount(label[begin:end])[label[begin:end]] > 1
                 begin = end
             kept = pa.Table.from_batches([batch]).append_column("subgroup", pa.array(label)).filter(pa.array(keep))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as c
 from ..functions.text import slug
 from ..operators.decide import rating
 from ..operators.report import manifest_category
+from . import versions
 
 OVERRIDE = "timestamp timestamp, path string, filename string, from_label string, user_decision string, stage1_scores map<string,double>, stage2 string, stage3 string, session_source string, origin string, tilt_degrees double, keystone_degrees double"
 
@@ -32,8 +36,8 @@ def append_overrides(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
-def read_overrides(spark: SparkSession, path: str, schema: str = OVERRIDE) -> DataFrame:
-    """The log's entries; blank and malformed lines are skipped."""
+def read_overrides(spark: SparkSession, path: str | list[str], schema: str = OVERRIDE) -> DataFrame:
+    """The entries of a log, or of files of one; blank and malformed lines are skipped."""
     rows = spark.read.text(path).where(F.trim("value") != "")
     parsed = rows.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("e"))
     return parsed.where("e is not null and e._bad is null").select("e.*").drop("_bad")
@@ -70,17 +74,27 @@ def sidecar_path(path: Column) -> Column:
 def write_sidecars(documents: DataFrame, path: str = "path", body: str = "sidecar") -> int:
     """Writes each document beside its file, from the executors; returns how many.  For folders that all executors mount."""
 
-    def write(rows) -> None:
-        for r in rows:
-            with open(r[path], "w", encoding="utf-8") as f:
-                f.write(r[body])
+    def write(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for at, text in zip(pdf[path], pdf[body]):
+                with open(at, "w", encoding="utf-8") as f:
+                    f.write(text)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return documents.select(path, body).mapInPandas(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
 
-    documents.foreachPartition(write)
-    return documents.count()
+def sidecars(decisions: DataFrame, tilt: Column, keystone: Column, crop: Column, path: str = "path", label: str = "decision") -> DataFrame:
+    """(path, sidecar) of the decisions that get one: keepers and selects.  path is where the sidecar goes."""
+    wanted = decisions.where(F.col(label).isin(*c.KEEP_LABELS))
+    return wanted.select(sidecar_path(F.col(path)).alias("path"), sidecar(F.col(label), tilt, keystone, crop).alias("sidecar"))
 
 
 def apply_moves(plan: DataFrame, dry_run: bool = True) -> DataFrame:
-    """One row: total, moved, skipped, errors.  Files are moved by the executors, sidecars with them, unless dry_run."""
+    """One row: total, moved, skipped, errors.  Files are moved by the executors, sidecars with them, unless dry_run.  The plan
+    runs once, here; the row holds its counts."""
 
     def move(batches):
         import os
@@ -109,7 +123,8 @@ def apply_moves(plan: DataFrame, dry_run: bool = True) -> DataFrame:
             yield pd.DataFrame({"outcome": done})
 
     outcome = plan.select("source", "destination", "action").mapInPandas(move, "outcome string")
-    return outcome.agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == k).alias(k) for k in ("moved", "skipped", "errors")])
+    counts = outcome.agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == k).alias(k) for k in ("moved", "skipped", "errors")])
+    return plan.sparkSession.createDataFrame([counts.first()], counts.schema)
 
 
 def manifest(files: DataFrame, bursts: DataFrame) -> DataFrame:
@@ -135,6 +150,36 @@ def model_registry(folders: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return keep.unionByName(rest).select("alias", F.element_at(F.split("directory", "/"), -1).alias("name"), "directory")
 
 
-def write_embeddings(rows: DataFrame, path: str, model_id: str) -> None:
-    """The cache table (path, embedding, model_id, built_at)."""
-    rows.select("path", "embedding", F.lit(model_id).alias("model_id"), F.current_timestamp().alias("built_at")).write.mode("overwrite").parquet(path)
+def write_embeddings(rows: DataFrame, root: str, model_id: str) -> int:
+    """Commits (path, embedding, model_id, built_at) as a new version of the cache in root; returns its number.  A writer that
+    dies leaves the version before as it was."""
+    return versions.commit(rows.select("path", "embedding", F.lit(model_id).alias("model_id"), F.current_timestamp().alias("built_at")), root)
+
+
+def read_embeddings(spark: SparkSession, root: str) -> DataFrame | None:
+    """The cache's latest version; None if there is none."""
+    return versions.read(spark, root)
+
+
+def refresh_embeddings(live: DataFrame, root: str, model_id: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The embeddings (path, embedding) of all live files (path, modified), of which only those that the cache in root has not
+    got, or that changed since, go through embed: (path, modified) -> (path, embedding).
+
+    Rows of another model and of files that are gone leave the cache.  The new version appears whole; if nothing changed
+    there is none.
+    """
+    spark = live.sparkSession
+    after = max(versions.versions(spark, root), default=0)
+    cached = versions.read(spark, root, after).where(F.col("model_id") == model_id) if after else None
+    if cached is None:
+        kept, stale = None, live
+    else:
+        known = live.join(cached, "path").where("modified <= built_at and embedding is not null")
+        kept = known.select("path", "embedding", "model_id", "built_at")
+        stale = live.join(known.select("path"), "path", "left_anti")
+        if stale.isEmpty() and versions.read(spark, root, after).count() == kept.count():
+            return kept.select("path", "embedding")
+    began = spark.sql("select current_timestamp()").first()[0]  # a file that changes while it is embedded is stale again
+    new = embed(stale).select("path", "embedding", F.lit(model_id).alias("model_id"), F.lit(began).alias("built_at"))
+    number = versions.commit(new if kept is None else kept.unionByName(new), root, after)
+    return versions.read(spark, root, number).select("path", "embedding")
