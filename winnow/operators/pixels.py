@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..functions import metrics as m
 from ..tables import ship
+from .frames import resize
 
 FIELDS = ("tenengrad", "fft_ratio", "motion_ratio", "clip_high", "clip_low", "range_score", "midtone", "cast_a", "cast_b", "cast", "noise", "subject_sharpness", "background_sharpness")
 LONG_EDGE = 1280
@@ -246,7 +247,7 @@ def resample(bgr: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def two_sizes(images: DataFrame, id_col: str, image: str = "image", long_edge: int = LONG_EDGE, square: int = 224) -> DataFrame:
     """(id, height, width, pixels, crop) from one decode: the image with a long edge of at most long_edge, and the middle
-    square of the image whose short edge is `square`; BGR bytes."""
+    square of the image whose short edge is `square`; BGR bytes.  Filters: windowed sinc, cubic."""
     ship(images.sparkSession)
     kind = images.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
@@ -258,9 +259,9 @@ def two_sizes(images: DataFrame, id_col: str, image: str = "image", long_edge: i
                 try:
                     bgr = _bgr(h, w, n, data)
                     scale = min(1.0, long_edge / max(h, w))
-                    large = resample(bgr, max(1, round(h * scale)), max(1, round(w * scale)))
+                    large = resize(bgr, max(1, round(h * scale)), max(1, round(w * scale)), "sinc")
                     scale = square / min(h, w)
-                    small = resample(bgr, max(1, round(h * scale)), max(1, round(w * scale)))
+                    small = resize(bgr, max(1, round(h * scale)), max(1, round(w * scale)), "cubic")
                     top, left = (small.shape[0] - square) // 2, (small.shape[1] - square) // 2
                     crop = small[top : top + square, left : left + square]
                 except Exception:
