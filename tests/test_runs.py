@@ -365,6 +365,49 @@ def test_a_whole_run(spark, folder):
     assert alone.selection is None and {r.decision for r in alone.decisions.collect()} <= {"uncertain", "rejected"}
 
 
+def test_a_run_measures_what_no_provider_gives(spark, folder, tmp_path):
+    scan = images.scan(spark, str(folder))
+    paths = {r.name: r.path for r in scan.collect()}
+    scores = spark.createDataFrame([(paths[f"p{k}.jpg"], 0.5, 0.5, 0.5) for k in range(6)], "path string, topiq double, laion double, clipiqa double")
+    faces = spark.createDataFrame([(paths["p2.jpg"], (10, 10, 40, 40))], "path string, face struct<x0:int,y0:int,x1:int,y1:int>")
+    sharp = {r.path: r.subject for r in triage.subject_sharpness(images.decode(spark, str(folder)), faces).collect()}
+    whole = {r.id: r.tenengrad for r in pixels.image_metrics(images.decode(spark, str(folder)), "path").collect()}
+    assert sharp[paths["p2.jpg"]] != whole[paths["p2.jpg"]] and abs(sharp[paths["p3.jpg"]] - whole[paths["p3.jpg"]]) < 1e-6
+    rows = spark.createDataFrame([(float(k % 2), [float(k % 2 * 100 + j) for j in range(10)]) for k in range(40)], "label double, f array<double>").select("label", feedback.array_to_vector("f").alias("features"))
+    feedback.save_profile(feedback.train(rows), 40, str(tmp_path / "profile"))
+    embedded = []
+
+    def embed(df):
+        embedded.append(df.count())
+        return df.select("path", F.array(*[(F.pmod(F.xxhash64("path", F.lit(k)), F.lit(1000)) / 500.0 - 1).cast("float") for k in range(8)]).alias("embedding"))
+
+    def explain(prompt):
+        assert "judged: rejected" in prompt
+        return '{"explanation": "flat", "weaknesses": ["no detail"], "strengths": [], "confidence": 0.5}'
+
+    how = dict(profile=str(tmp_path / "profile"), explain=explain, cache=(str(tmp_path / "cache"), "m", embed))
+    found = triage.run(spark, str(folder), c.RunConfig(stages=(1, 2)), {"scores": scores, "regions": faces}, **how)
+    rejected = {r.path for r in found.decisions.where("decision = 'rejected'").collect()}
+    said = found.explanations.collect()
+    assert {r.path for r in said} == rejected - {paths["p8.jpg"]} or {r.path for r in said} == rejected
+    assert all(r.explanation == "flat" and r.weaknesses == ["no detail"] and not r.is_parse_error for r in said)
+    card = found.card.first()
+    assert card.photos == 9 and card.advice and abs(card.keep_rate - found.decisions.where("decision in ('keeper', 'select')").count() / max(1, found.decisions.where("decision not in ('uncertain')").count())) < 1e-9
+    assert embedded == [9] and files.read_embeddings(spark, str(tmp_path / "cache")).count() == 9
+
+
+def test_keepers_get_a_sidecar_before_files_move(spark, tmp_path):
+    for k in "abc":
+        (tmp_path / f"{k}.jpg").write_text(k)
+    decided = spark.createDataFrame([(str(tmp_path / f"{k}.jpg"), d) for k, d in zip("abc", ("select", "keeper", "rejected"))], "path string, decision string")
+    lines = spark.createDataFrame([(str(tmp_path / "a.jpg"), 1.5, -2.0)], "path string, tilt double, keystone double")
+    assert tuple(triage.deliver(decided, str(tmp_path), sidecars=True, geometry=lines).first()) == (3, 2, 1, 0, 2)
+    assert sorted(os.listdir(tmp_path)) == ["a.jpg", "b.jpg", "c.jpg"]
+    assert tuple(triage.deliver(decided, str(tmp_path), sidecars=True, geometry=lines, dry_run=False).first()) == (3, 2, 1, 0, 2)
+    assert (tmp_path / "_curated/_selects/a.jpg").exists() and 'StraightenAngle="1.5"' in (tmp_path / "_curated/_selects/a.xmp").read_text()
+    assert (tmp_path / "b.xmp").exists() and not (tmp_path / "c.xmp").exists() and (tmp_path / "_review/_rejected/c.jpg").exists() and not (tmp_path / "_review/_rejected/c.xmp").exists()
+
+
 def test_review_places_and_group_positions(spark):
     df = spark.createDataFrame([(0, 0.5), (1, None), (2, 0.9), (3, 0.1)], "id int, taste double")
     assert [r.id for r in decide.review_queue(df, "taste", "id").collect()] == [2, 3, 0, 1] == [r.id for r in decide.review_places(df, "taste", "id").orderBy("place").collect()]

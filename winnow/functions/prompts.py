@@ -35,3 +35,14 @@ def scoring_prompt(preset: Column | str, hints: Column) -> Column:
         'For instance: {"sharpness": 0.9, "exposure": 0.8, "composition": 0.75, "expression": 0.5, "keeper": true, "confidence": 0.85, "flags": []}'
     )
     return F.concat(F.lit("You judge the quality of a photograph.\n\nIntent:\n"), intent, F.lit("\n\nKnown so far:\n"), hints, F.lit("\n\n" + ask))
+
+
+def explain_prompt(label: Column, hints: Column) -> Column:
+    """The whole prompt for why a photograph was judged as it was: the label, hints, and what to answer."""
+    ask = (
+        "Answer with one JSON object and nothing else, from { to }, with all of these keys:\n"
+        '"explanation": two or three sentences\n'
+        '"weaknesses", "strengths": lists of short phrases, empty if there are none\n'
+        '"confidence": a number from 0.0 to 1.0'
+    )
+    return F.concat(F.lit("You explain the quality of a photograph that was judged: "), label, F.lit(".\n\nKnown so far:\n"), F.coalesce(hints, F.lit("")), F.lit("\n\n" + ask))

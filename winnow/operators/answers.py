@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import balanced_object, cleaned_json, parse_answer
+from ..functions.text import balanced_object, cleaned_json, parse_answer, parse_explanation
 from ..functions.vectors import clamp
 from ..tables import ship
 
@@ -56,6 +56,11 @@ def scored(df: DataFrame, answer: str = "answer") -> DataFrame:
     return df.withColumn("stage3", parse_answer(F.coalesce(F.col(answer), F.lit(""))))
 
 
+def explained(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """df with the parsed explanation; a null answer is a parse error."""
+    return df.withColumn("explained", parse_explanation(F.coalesce(F.col(answer), F.lit(""))))
+
+
 def picked(df: DataFrame, answer: str = "answer") -> DataFrame:
     """df with winner (A or B, any case) and confidence of a comparison; unreadable: A with confidence 0."""
     data = F.try_parse_json(cleaned_json(balanced_object(F.coalesce(F.col(answer), F.lit("")))))

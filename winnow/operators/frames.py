@@ -63,6 +63,7 @@ def resize(image: np.ndarray, height: int, width: int, kind: str = "sinc") -> np
 # ---------------------------------------------------------------- straight lines
 
 
+ENDS = ("x1", "y1", "x2", "y2")
 SECTORS = 8
 #: Half the width of a sector of angles, and the chance that a random gradient lies so near a direction.
 TOLERANCE = math.pi / SECTORS
@@ -311,7 +312,7 @@ def frame_facts(images: DataFrame, id_col: str, image: str = "image", line_edge:
     """
     ship(images.sparkSession)
     kind = images.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    point = pa.struct([(k, pa.float64()) for k in ("x1", "y1", "x2", "y2")])
+    point = pa.struct([(k, pa.float64()) for k in ENDS])
     window = pa.struct([(k, pa.int32()) for k in ("x", "y", "width", "height")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +322,7 @@ def frame_facts(images: DataFrame, id_col: str, image: str = "image", line_edge:
                 lines = crop = gray = None
                 try:
                     bgr = _pixels(h, w, n, data)
-                    lines = [dict(zip(("x1", "y1", "x2", "y2"), s)) for s in line_segments(_gray(_down(bgr, line_edge))).tolist()]
+                    lines = [dict(zip(ENDS, s)) for s in line_segments(_gray(_down(bgr, line_edge))).tolist()]
                     crop = dict(zip(("x", "y", "width", "height"), best_crop(importance(_down(bgr, CROP_EDGE)))))
                     gray = _gray(_down(bgr, motion_edge))
                 except (ValueError, TypeError):  # bytes that are no image of that size
@@ -333,9 +334,9 @@ def frame_facts(images: DataFrame, id_col: str, image: str = "image", line_edge:
     return slim.mapInArrow(run, f"id {kind}, lines array<struct<x1:double,y1:double,x2:double,y2:double>>, crop struct<x:int,y:int,width:int,height:int>, gray_height int, gray_width int, gray binary")
 
 
-def segments(facts: DataFrame) -> DataFrame:
+def segments(facts: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, x1, y1, x2, y2): a row for each line, as geometry() takes them."""
-    return facts.select("id", F.explode("lines").alias("s")).select("id", "s.*")
+    return facts.select(id_col, F.explode("lines").alias("s")).select(id_col, "s.*")
 
 
 def motion_pairs(frames: DataFrame, group: str, order: list[str], facts: DataFrame, id_col: str = "id") -> DataFrame:

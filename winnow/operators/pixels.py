@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..functions import metrics as m
 from ..tables import ship
-from .frames import resize
+from .frames import ENDS, line_segments, resize
 
 FIELDS = ("tenengrad", "fft_ratio", "motion_ratio", "clip_high", "clip_low", "range_score", "midtone", "cast_a", "cast_b", "cast", "noise", "subject_sharpness", "background_sharpness")
 LONG_EDGE = 1280
@@ -167,8 +167,9 @@ def difference_hash(gray: np.ndarray) -> int:
     return int(np.packbits(bits.ravel()).view(">u8")[0])
 
 
-def image_metrics(images: DataFrame, id_col: str, image: str = "image") -> DataFrame:
-    """(id, FIELDS, dhash, error) from one decode per image."""
+def image_metrics(images: DataFrame, id_col: str, image: str = "image", lines: bool = False) -> DataFrame:
+    """(id, FIELDS, dhash, error) from one decode per image; with lines also the straight lines in it, as geometry takes them
+    after segments()."""
     ship(images.sparkSession)
     kind = images.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
@@ -180,14 +181,19 @@ def image_metrics(images: DataFrame, id_col: str, image: str = "image") -> DataF
                     px = np.frombuffer(data, np.uint8).reshape(h, w, n)
                     bgr = (np.repeat(px, 3, axis=2) if n == 1 else px[..., :3]).astype(np.float64)
                     bits = difference_hash(gray_of(bgr))
-                    rows.append(measure(bgr) | {"dhash": bits - (1 << 64) if bits >> 63 else bits, "error": None})
+                    found = [dict(zip(ENDS, x)) for x in line_segments(gray_of(shrink(bgr))).tolist()] if lines else None
+                    rows.append(measure(bgr) | {"dhash": bits - (1 << 64) if bits >> 63 else bits, "error": None, "lines": found})
                 except Exception as e:
-                    rows.append(dict.fromkeys(FIELDS) | {"dhash": None, "error": f"{type(e).__name__}: {e}"})
+                    rows.append(dict.fromkeys(FIELDS) | {"dhash": None, "error": f"{type(e).__name__}: {e}", "lines": None})
             cols = [pa.array([r[k] for r in rows], pa.float64()) for k in FIELDS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([r["dhash"] for r in rows], pa.int64()), pa.array([r["error"] for r in rows], pa.string())], names=["id", *FIELDS, "dhash", "error"])
+            out = [batch.column(0), *cols, pa.array([r["dhash"] for r in rows], pa.int64()), pa.array([r["error"] for r in rows], pa.string())]
+            if lines:
+                out.append(pa.array([r["lines"] for r in rows], pa.list_(pa.struct([(k, pa.float64()) for k in ENDS]))))
+            yield pa.RecordBatch.from_arrays(out, names=["id", *FIELDS, "dhash", "error", *["lines"] * lines])
 
     slim = images.select(F.col(id_col).alias("id"), *[F.col(f"{image}.{k}") for k in ("height", "width", "nChannels", "data")])
-    return slim.mapInArrow(run, f"id {kind}, " + ", ".join(f"{k} double" for k in FIELDS) + ", dhash bigint, error string")
+    schema = f"id {kind}, " + ", ".join(f"{k} double" for k in FIELDS) + ", dhash bigint, error string"
+    return slim.mapInArrow(run, schema + f", lines array<struct<{', '.join(f'{k}: double' for k in ENDS)}>>" * lines)
 
 
 def _bgr(h: int, w: int, n: int, data: bytes) -> np.ndarray:

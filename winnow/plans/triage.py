@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..config import RunConfig, preset
 from ..functions import metrics as m
-from ..functions.prompts import scoring_prompt
-from ..functions.text import prompt_hints
-from ..operators import answers, decide, fusion, pixels, report, sequence, shoot, similarity
+from ..functions import regions
+from ..functions.prompts import explain_prompt, scoring_prompt
+from ..functions.text import explain_hints, prompt_hints
+from ..operators import answers, decide, feedback, frames, fusion, pixels, report, sequence, shoot, similarity
 from ..operators.select import curate
-from ..sources import images
+from ..sources import files, images
 from ..tables import scratch
 
 #: What models would say; each table has path and the columns named, and any may be missing.
@@ -23,6 +24,7 @@ PROVIDERS = {
     "embeddings": ("embedding",), "scores": ("topiq", "laion", "clipiqa", "composition", "taste", "taste_labels", "subject"),
     "portraits": ("has_portrait", "eye_left", "eye_right", "eyes_closed", "occluded", "has_face", "shapes"), "geometry": ("tilt", "keystone"),
     "capture": ("iso", "shutter", "aperture", "focal_length_mm", "palette_l", "palette_a", "palette_b"), "sharpness": ("subject_sharpness", "background_sharpness"),
+    "regions": ("face", "salient"),
 }
 
 
@@ -40,10 +42,43 @@ class Run:
     decisions: DataFrame
     selection: DataFrame | None
     summary: DataFrame
-
-
-def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str, DataFrame], generate: Callable[[str], str] | None = None) -> Run:
-    """Stage 1 always runs; stage 2 needs scores; stage 3 needs stage 2 and generate, and sees AMBIGUOUS rows only."""
+    #: One row with shares, times and advice.
+    card: DataFrame | None = None
+    #: (path, explanation, weaknesses, strengths, confidence, is_parse_error) of what was rejected, if a model was asked.
+    explanations: DataFrame | None = None
+
+
+def subject_sharpness(images_: DataFrame, regions_: DataFrame) -> DataFrame:
+    """(path, subject): sharpness of the face, else of what is salient, else of the frame.  regions_: (path, face, salient), a
+    box in pixels and one in shares of the frame; either may be null or missing."""
+    known = add_missing(regions_, {"face": "struct<x0:int,y0:int,x1:int,y1:int>", "salient": "struct<x0:double,y0:double,x1:double,y1:double>"})
+    sized = images_.join(known.select("path", "face", "salient"), "path", "left")
+    region = regions.subject_region(F.col("face").isNotNull(), F.col("face"), F.col("salient"), F.col("image.width"), F.col("image.height"))
+    wanted = sized.withColumn("wanted", F.array(F.struct(F.lit("subject").alias("name"), region["box"].alias("box"))))
+    return pixels.region_sharpness(wanted, "path", "wanted").select(F.col("id").alias("path"), F.col("tenengrad").alias("subject"))
+
+
+def by_profile(alive: DataFrame, profile: str) -> DataFrame:
+    """alive with taste and taste_labels by the profile kept in a folder, from the scores that overrides log, sorted by name;
+    neutral if there is no profile or it has seen few labels."""
+    found = feedback.load_profile(alive.sparkSession, profile)
+    keys = sorted(files.SCORE_KEYS)
+    own = alive.withColumn("_features", F.array(*[F.coalesce(F.col(k).cast("double"), F.lit(0.0)) if k in alive.columns else F.lit(0.0) for k in keys]))
+    own = feedback.score(own.drop("taste", "taste_labels"), "_features", found[0] if found else None, found[1] if found else 0)
+    return own.drop("_features", "taste_weight", "taste_source")
+
+
+def run(
+    spark: SparkSession, root: str, config: RunConfig, providers: dict[str, DataFrame], generate: Callable[[str], str] | None = None,
+    profile: str | None = None, explain: Callable[[str], str] | None = None, cache: tuple[str, str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> Run:
+    """Stage 1 always runs; stage 2 needs scores; stage 3 needs stage 2 and generate, and sees AMBIGUOUS rows only.
+
+    What no provider gives is measured where it can be: tilt and keystone from straight lines, a subject's sharpness from its
+    region (provider regions).  profile: a folder with a taste profile, for assets without a taste.  explain: a
+    model that says why rejected photographs were.  cache: (folder, model id, embed) of embeddings, of which only
+    those of changed files are made anew.
+    """
     scan = scratch(images.scan(spark, root), "scan")
     shots = scan.join(images.exif(spark, root), "path", "left").withColumn("taken_at", images.capture_time(F.col("taken"), F.col("modified")))
 
@@ -53,7 +88,11 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
             return df
         return df.join(table.select("path", *[k for k in PROVIDERS[name] if k in table.columns and k not in df.columns]), "path", "left")
 
-    measured = pixels.image_metrics(images.decode(spark, root), "path").withColumnRenamed("id", "path")
+    second = 2 in config.stages and "scores" in providers
+    own_lines = second and "geometry" not in providers and not config.is_fast
+    if cache is not None and "embeddings" not in providers:
+        providers = providers | {"embeddings": files.refresh_embeddings(scan.select("path", "modified"), *cache)}
+    measured = pixels.image_metrics(images.decode(spark, root), "path", lines=own_lines).withColumnRenamed("id", "path")
     if "sharpness" in providers:
         measured = add(measured.drop(*PROVIDERS["sharpness"]), "sharpness")
     first = scratch(pixels.first_stage(measured), "stage1")
@@ -70,11 +109,18 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
 
     s2 = spark.createDataFrame([], "path string, routing string, composite double")
     s3 = spark.createDataFrame([], "path string, kept boolean, confidence double")
-    if 2 in config.stages and "scores" in providers:
+    if second:
         alive = decide.survivors(first.where("passed").select("path", F.col("range_score").alias("exposure"), "is_bokeh"), losers, duplicates, "path")
         alive = alive.join(shots.select("path", "taken_at"), "path")
         for name in ("scores", "portraits", "geometry", "capture"):
             alive = add(alive, name)
+        if own_lines:
+            alive = alive.join(pixels.geometry(frames.segments(first, "path"), "path").select("path", "tilt", "keystone"), "path", "left")
+        if "regions" in providers and "subject" not in alive.columns:
+            alive = alive.join(subject_sharpness(images.decode(spark, root).join(alive.select("path"), "path", "left_semi"), providers["regions"]), "path", "left")
+        if profile is not None and "taste" not in alive.columns:
+            logged = first.select("path", *[F.col(k).alias(v) for k, v in files.SCORE_KEYS_OF.items()])
+            alive = by_profile(alive.join(logged, "path", "left"), profile).drop(*[k for k in files.SCORE_KEYS_OF.values() if k not in alive.columns])
         if {"tilt", "keystone"} <= set(alive.columns):
             alive = alive.withColumn("tilt_penalty", m.tilt_penalty(F.col("tilt"), F.col("keystone")))
         if config.is_fast:
@@ -108,4 +154,37 @@ def run(spark: SparkSession, root: str, config: RunConfig, providers: dict[str,
         keepers = add_missing(keepers, missing)
         selection = scratch(curate(keepers, "path", "composite", "embedding", config.curate_target, preset(config.preset)["cluster"]), "selection")
         decisions = decide.mark_selected(decisions, selection, "path")
-    return Run(decisions, selection, report.summary(decisions))
+        decisions = scratch(decisions, "decisions")
+    facts = add_missing(add(decisions.select("path", "decision", "reject_reason", "burst", "passed", "exposure_flags", "kept").join(shots.select("path", "taken_at", "exposure_n", "exposure_d"), "path", "left"), "portraits"), {"eye_left": "double", "eye_right": "double", "eyes_closed": "boolean"})
+    flag = lambda k: F.coalesce(F.col(f"exposure_flags.{k}"), F.lit(False))
+    why = report.reject_reason(F.col("decision"), F.col("reject_reason"), F.col("burst"), F.col("passed"), flag("highlight_clip") | flag("shadow_clip"), F.col("kept"))
+    facts = facts.withColumn("_seconds", F.try_divide(F.col("exposure_n"), F.col("exposure_d")))
+    card = report.report_card(facts, why, F.col("taken_at"), "_seconds", "eye_left", "eye_right", "eyes_closed")
+    explanations = None
+    if explain is not None:
+        asked = decisions.where("decision = 'rejected'").select("path", "decision", "composite").join(first.select("path", "motion_ratio", "is_bokeh", "exposure_flags", "noise"), "path")
+        hints = explain_hints(F.col("motion_ratio") > c.MOTION_RATIO, F.col("is_bokeh"), flag("highlight_clip"), flag("shadow_clip"), flag("color_cast"), F.col("noise"), F.col("composite"))
+        said = answers.explained(answers.ask(asked.select("path", explain_prompt(F.col("decision"), hints).alias("prompt")), "prompt", explain))
+        explanations = scratch(said.select("path", "explained.*"), "explained")
+    return Run(decisions, selection, report.summary(decisions), card, explanations)
+
+
+def deliver(decisions: DataFrame, root: str, existing: DataFrame | None = None, sidecars: bool = False, geometry: DataFrame | None = None, dry_run: bool = True) -> DataFrame:
+    """Moves what a run decided: one row with total, moved, skipped, errors and sidecars.
+
+    With sidecars, keepers and selects first get an XMP document beside where they are now (with tilt and keystone of geometry:
+    path, tilt, keystone), and files then take it along.  existing: (path, current) of files moved before.  In a dry
+    run nothing is written.
+    """
+    spark = decisions.sparkSession
+    named = decisions.select("path", "decision", F.lit(root).alias("root"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    moved = existing if existing is not None else spark.createDataFrame([], "path string, current string")
+    plan = scratch(decide.move_plan(named, moved, "path"), "plan")
+    written = 0
+    if sidecars:
+        lines = add_missing(geometry if geometry is not None else named.select("path").limit(0), {"tilt": "double", "keystone": "double"})
+        wanted = plan.select("path", "decision", F.col("source").alias("at")).join(lines.select("path", "tilt", "keystone"), "path", "left")
+        none = F.lit(None).cast("struct<top:int,left:int,bottom:int,right:int>")
+        documents = files.sidecars(wanted, F.col("tilt"), F.col("keystone"), none, "at")
+        written = documents.count() if dry_run else files.write_sidecars(documents)
+    return files.apply_moves(plan, dry_run).withColumn("sidecars", F.lit(written).cast("bigint"))

@@ -15,6 +15,10 @@ from . import versions
 
 OVERRIDE = "timestamp timestamp, path string, filename string, from_label string, user_decision string, stage1_scores map<string,double>, stage2 string, stage3 string, session_source string, origin string, tilt_degrees double, keystone_degrees double"
 
+#: Scores that the log keeps of a decision, and those that the first stage measures, by the name it gives them.
+SCORE_KEYS = ["tenengrad", "fft_ratio", "dr_score", "clipping_highlight", "clipping_shadow", "midtone_pct", "color_cast_score", "noise_score", "tilt_degrees", "keystone_degrees"]
+SCORE_KEYS_OF = {"tenengrad": "tenengrad", "fft_ratio": "fft_ratio", "range_score": "dr_score", "clip_high": "clipping_highlight", "clip_low": "clipping_shadow", "midtone": "midtone_pct", "cast": "color_cast_score", "noise": "noise_score"}
+
 
 def write_report(report: DataFrame, path: str, overwrite: bool = False) -> str:
     """Writes a report as JSON lines; an existing one stays unless asked, and the new one goes beside it."""
@@ -45,7 +49,7 @@ def read_overrides(spark: SparkSession, path: str | list[str], schema: str = OVE
 
 def override_entries(decisions: DataFrame, label: Column, source: str, origin: str) -> DataFrame:
     """Decisions flattened to log entries; scores that are null are left out of the map."""
-    keys = ["tenengrad", "fft_ratio", "dr_score", "clipping_highlight", "clipping_shadow", "midtone_pct", "color_cast_score", "noise_score", "tilt_degrees", "keystone_degrees"]
+    keys = SCORE_KEYS
     get = lambda k, kind: F.col(k).cast(kind) if k in decisions.columns else F.lit(None).cast(kind)
     scores = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), get(k, "double").alias("value")) for k in keys]), lambda e: e["value"].isNotNull()))
     return decisions.select(
