@@ -227,6 +227,29 @@ def test_generated_calls_are_validated_and_ordered(spark):
     assert placed == sorted(placed)
 
 
+def test_positions_are_a_topological_order_of_each_conversation(spark):
+    """Over long and repeated rows, a result before its call by turn, a cycle, nulls, and a conversation of many turns."""
+    r = random.Random(8)
+    rows = [("a", 5, "user", "x" * 20_000, "c1", None, "c1", None, "t", "{}"), ("a", 1, "tool", "y", "r1", "c1", None, "c1", None, None)]
+    rows += [("a", 2, "user", "same", None, None, None, None, None, None)] * 3 + [("a", None, "user", None, None, None, None, None, None, None)]
+    rows += [("b", 0, "user", "p", "p", "q", None, None, None, None), ("b", 1, "user", "q", "q", "p", None, None, None, None), ("b", 2, "user", "late", "z", None, None, None, None, None)]
+    rows += [(None, k, "user", str(k), None, None, None, None, None, None) for k in range(3)]
+    rows += [("long", k, "user", f"w{k}", f"n{k}", f"n{k - 1}" if k else None, None, None, None, None) for k in range(200)]
+    r.shuffle(rows)
+    kinds = "conv string, turn long, role string, text string, id string, after string, call_id string, result_of string, tool string, arguments string"
+    got = chat.placed(chat.link_calls(spark.createDataFrame(rows, kinds).repartition(4), {"t": {}})).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.conv, []).append(x)
+    assert {c: sorted(x.position for x in xs) for c, xs in by.items()} == {c: list(range(len(xs))) for c, xs in by.items()}
+    ordered = {c: sorted(xs, key=lambda x: x.position) for c, xs in by.items()}
+    assert [x.turn for x in ordered["a"]] == [2, 2, 2, 5, None, 1] and [x.turn for x in ordered[None]] == [0, 1, 2]
+    assert [x.id for x in ordered["b"]] == ["z", "p", "q"] and [x.turn for x in ordered["long"]] == list(range(200))
+    for xs in ordered.values():
+        place = {x.id: x.position for x in xs if x.depth is not None}
+        assert all(place[x.after] < x.position for x in xs if x.after in place and x.depth is not None)
+
+
 def test_hot_and_null_keys_are_spread_and_kept(spark, tmp_path):
     rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i}", "x" * (i % 500 == 2) + "y") for i in range(9000)]
     spark.createDataFrame(rows, "n bigint, key string, text string").write.parquet(str(tmp_path / "t"))

@@ -3,10 +3,10 @@
 Calls and results are linked by an equi-join on the call's identifier.  Every message has at most one message it must
 follow (a result its call, a call the result before it), so the dependencies are a forest, and a message's place in
 the topological order is its depth: found by pointer doubling, each round an equi-join that doubles the steps known,
-so a conversation of n messages takes log2(n) rounds.  Messages on a cycle get no depth.  Arguments are validated
+so a conversation of n messages takes log2(n) rounds.  From depths come positions.  Messages on a cycle get no depth.  Arguments are validated
 against the schema of the called tool with variant functions, and each message becomes one line of canonical JSON
 (sorted keys, no spaces).  Lines, not conversations, are the rows: one huge conversation never has to fit in a task;
-sort by (conversation, depth, turn) where a written order is needed.
+`position` is a line's place in its conversation.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
 from .kit import drop_scratch, hot_values, lookup, scratch, spread
 
 #: tool -> argument -> type, as schema_of_variant names it; a trailing ? marks an optional argument.
@@ -108,6 +109,15 @@ def in_order(linked: DataFrame) -> DataFrame:
     return linked.select("conv", "depth", "turn", "line").repartitionByRange(*order).sortWithinPartitions(*order).select("conv", F.monotonically_increasing_id().alias("position"), "line")
 
 
+def placed(linked: DataFrame) -> DataFrame:
+    """linked with position, from 0 within its conversation and without gaps, in topological order: by depth (a row without an
+    id waits for nothing; rows on cycles come last), turn and line.  Equal rows take neighbouring positions; a null
+    conversation is one.  Positions come from ranges of that order, so one huge conversation is spread over tasks too."""
+    at = F.when(F.col("id").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("depth"))
+    order = [F.col("_at").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("line")]
+    return ranked(linked.drop("position").withColumn("_at", at), order, "position", ["conv"]).drop("_at")
+
+
 def from_turns(conversations: DataFrame) -> DataFrame:
     """Plain turns as tool traffic: a user's turn calls `reply` with its text, the assistant's next turn is the result.
 
@@ -131,7 +141,8 @@ def op9_chat(spark, sf_dir: str) -> DataFrame:
     """Every turn as a line of canonical JSON, linked and placed; nulls, empty and long texts, repeats and empty tables as in
     link_calls.  The conversations hold no tool calls of their own; see from_turns."""
     found = link_calls(from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), REPLY)
-    return found.select("conv_id", "turn", "role", F.coalesce("call_id", "result_of").alias("call_id"), "status", "valid", "depth", "line")
+    found = placed(found.withColumnRenamed("conv_id", "conv"))
+    return found.select(F.col("conv").alias("conv_id"), "turn", "role", F.coalesce("call_id", "result_of").alias("call_id"), "status", "valid", "depth", "position", "line")
 
 
 ORACLE_SQL = {
@@ -144,6 +155,7 @@ p AS (SELECT c.*, EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = c.conv
 g AS (SELECT *, sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM p),
 d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) - 1 AS depth FROM g),
 i AS (SELECT *, CASE role WHEN 'user' THEN concat_ws(':', conv_id, turn) WHEN 'assistant' THEN concat_ws(':', conv_id, turn - 1) END AS call_id FROM d)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN call_id IS NULL THEN 0 ELSE depth END NULLS LAST, turn NULLS LAST, line) - 1 AS position FROM (
 SELECT conv_id, turn, role, call_id,
   CASE role WHEN 'user' THEN CASE WHEN answered THEN 'linked' ELSE 'unanswered' END
     WHEN 'assistant' THEN CASE WHEN called THEN 'linked' ELSE 'orphan' END ELSE 'plain' END AS status,
@@ -152,6 +164,6 @@ SELECT conv_id, turn, role, call_id,
   CASE role WHEN 'user' THEN '{"role":"user","tool_call":{"arguments":{"prompt":' || to_json(text) || '},"id":"' || call_id || '","name":"reply"}}'
     WHEN 'assistant' THEN '{"content":' || to_json(text) || ',"role":"assistant","tool_call_id":"' || call_id || '"}'
     ELSE '{"content":' || to_json(text) || ',"role":"' || role || '"}' END AS line
-FROM i
+FROM i)
 """,
 }
