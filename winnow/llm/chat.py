@@ -114,8 +114,8 @@ def placed(linked: DataFrame) -> DataFrame:
     id waits for nothing; rows on cycles come last), turn and line.  Equal rows take neighbouring positions; a null
     conversation is one.  Positions come from ranges of that order, so one huge conversation is spread over tasks too."""
     at = F.when(F.col("id").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("depth"))
-    order = [F.col("_at").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("line")]
-    return ranked(linked.drop("position").withColumn("_at", at), order, "position", ["conv"]).drop("_at")
+    order = [F.col("_depth").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("line")]
+    return ranked(linked.drop("position").withColumn("_depth", at), order, "position", ["conv"]).drop("_depth")
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
