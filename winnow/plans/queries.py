@@ -16,6 +16,7 @@ from ..operators import decide, fusion, report, select, sequence, shoot, similar
 from ..operators.graph import components
 from ..operators.medians import medians
 from ..sources import files
+from ..streaming import overrides
 from .assets import EVENT_STAGE, events, events_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -851,3 +852,21 @@ def override_stream_counts(spark, sf_dir):
     spark.catalog.dropTempView(name)
     drop_folder(spark, folder)
     return found
+
+
+# A model with three weights and an intercept; every event is an entry with two scores, a tenth of them without the second.
+_MODEL = {"": 0.25, "a": -0.5, "b": 0.75, "c": 9.0}
+_SCORES = "user_id % 3 = 0 AS keeper, value / 500 AS a, CASE WHEN event_id % 10 = 0 THEN NULL ELSE (event_id * 37 % 997) / 997.0 END AS b"
+
+
+@query("taste_gradient", f"""
+WITH e AS (SELECT {_SCORES} FROM events),
+o AS (SELECT *, 1 / (1 + exp(-(0.25 - 0.5 * coalesce(a, 0) + 0.75 * coalesce(b, 0)))) - keeper::INT AS off FROM e)
+SELECT '' AS feature, round(sum(off), 6) AS gradient FROM o UNION ALL SELECT 'a', round(sum(off * a), 6) FROM o UNION ALL SELECT 'b', round(sum(off * b), 6) FROM o""")
+def taste_gradient(spark, sf_dir):
+    """What one batch of the log adds to a model that is learned from a stream: sums over all entries, by feature."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[x.strip() for x in _SCORES.split(", ")])
+    scores = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("a").cast("double"), F.col("b").cast("double")))
+    entries = rows.select(F.when(F.col("keeper"), "keeper").otherwise("rejected").alias("user_decision"), scores.alias("stage1_scores"))
+    sums = overrides.gradient(entries, _MODEL)
+    return spark.createDataFrame([(k, round(g, 6)) for k, g in sums.items()], "feature string, gradient double")
