@@ -856,12 +856,12 @@ def override_stream_counts(spark, sf_dir):
 
 # A model with three weights and an intercept; every event is an entry with two scores, a tenth of them without the second.
 _MODEL = {"": 0.25, "a": -0.5, "b": 0.75, "c": 9.0}
-_SCORES = "user_id % 3 = 0 AS keeper, value / 500 AS a, CASE WHEN event_id % 10 = 0 THEN NULL ELSE (event_id * 37 % 997) / 997.0 END AS b"
+_SCORES = "user_id % 3 = 0 AS keeper, value / 500 AS a, CASE WHEN event_id % 10 = 0 THEN NULL ELSE cast(event_id * 37 % 997 as double) / 997 END AS b"
 
 
 @query("taste_gradient", f"""
 WITH e AS (SELECT {_SCORES} FROM events),
-o AS (SELECT *, 1 / (1 + exp(-(0.25 - 0.5 * coalesce(a, 0) + 0.75 * coalesce(b, 0)))) - keeper::INT AS off FROM e)
+o AS (SELECT *, 1 / (1 + exp(-(0.25::DOUBLE - 0.5::DOUBLE * coalesce(a, 0) + 0.75::DOUBLE * coalesce(b, 0)))) - keeper::INT AS off FROM e)
 SELECT '' AS feature, round(sum(off), 6) AS gradient FROM o UNION ALL SELECT 'a', round(sum(off * a), 6) FROM o UNION ALL SELECT 'b', round(sum(off * b), 6) FROM o""")
 def taste_gradient(spark, sf_dir):
     """What one batch of the log adds to a model that is learned from a stream: sums over all entries, by feature."""
