@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from winnow.llm import chat, decontaminate, html, lm, mixing, quality, sharding, simhash, tokenids, urls
+from winnow.llm import chat, decontaminate, html, kit, lm, mixing, quality, sharding, simhash, tokenids, urls
 from winnow.llm.kit import Spans, words_of
 
 SPACE = "[^\x20\x09-\x0D]+"
@@ -244,6 +244,79 @@ def test_near_duplicates_find_every_pair_down_to_the_threshold(spark):
     assert near_groups(spark, data) == brute_groups(data)
 
 
+def test_texts_of_one_short_hash_are_told_apart_by_another(spark):
+    r = random.Random(13)
+    base = [" ".join(f"w{r.randrange(5000)}" for _ in range(40)) for _ in range(60)]
+    data = base + base[:20] + [edited(r, x, 1) for x in base[20:40]]
+    assert near_groups(spark, data, key_bits=4) == brute_groups(data)
+
+
+def test_texts_of_nothing_but_common_shingles(spark, monkeypatch):
+    dealt = simhash.dealt_prefixes
+    monkeypatch.setattr(simhash, "dealt_prefixes", lambda texts, common: dealt(texts, common, most=20))
+    r = random.Random(14)
+    data = sorted({" ".join(r.choice("abc") for _ in range(r.randrange(8, 40))) for _ in range(700)})
+    assert near_groups(spark, data) == brute_groups(data)
+
+
+def test_a_shingle_of_twenty_thousand_texts_is_dealt_over_tasks(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("near_key"), F.col("id").alias("root"), F.lit(1).alias("n"), F.lit(np.uint64(77).tobytes()).alias("prefix"))
+    dealt = simhash.dealt_prefixes(rows, np.array([5, 77], dtype=np.uint64))
+    assert dealt.groupBy("hash", "salt").count().agg(F.max("count")).first()[0] < 200
+    edges = kit.map_batches(dealt, simhash.prefix_edges(0.8), "a bigint, b bigint, family boolean")
+    assert sorted(map(tuple, edges.collect())) == [(0, k, True) for k in range(1, 20_000)]
+    linked = rows.withColumn("root", F.lit(3).cast("bigint"))
+    assert simhash.dealt_prefixes(linked, np.array([77], dtype=np.uint64)).isEmpty()
+    plain = simhash.dealt_prefixes(rows.limit(1000), np.array([77], dtype=np.uint64))
+    assert {x.salt for x in plain.collect()} == {-1}
+
+
+def test_common_hashes_are_counted_row_by_row():
+    r = np.random.default_rng(5)
+    sets = [[np.unique(r.integers(0, 60, r.integers(0, 40)).astype(np.uint64)) for _ in range(300)] for _ in range(2)]
+    got = simhash.common_counts(*(pa.array([x.tobytes() for x in side], pa.binary()) for side in sets))
+    assert got.tolist() == [len(set(x.tolist()) & set(y.tolist())) for x, y in zip(*sets)]
+    assert simhash.common_counts(pa.array([], pa.binary()), pa.array([], pa.binary())).tolist() == []
+
+
+@pytest.mark.parametrize("step", (1, 3, 7, 1000))
+def test_sorted_groups_survive_any_cut_into_batches(step):
+    r = np.random.default_rng(step)
+    keys = np.repeat(np.arange(40), r.integers(1, 12, 40))
+    batches = [pa.record_batch([pa.array(keys[k : k + step]), pa.array(np.arange(len(keys))[k : k + step])], names=["k", "v"]) for k in range(0, len(keys), step)]
+    got = []
+    for (k, v), size in simhash._groups(iter([batches[0].slice(0, 0), *batches]), 1):
+        for at, n in zip(np.cumsum(size) - size, size):
+            assert len(set(k[at : at + n].tolist())) == 1
+            got.append((int(k[at]), v[at : at + n].tolist()))
+    assert [k for k, _ in got] == list(range(40)) and [x for _, v in got for x in v] == list(range(len(keys)))
+
+
+@pytest.mark.parametrize("block_bytes", (400, 2000, 1 << 20))
+def test_lengths_too_far_apart_do_not_meet_and_no_link_is_lost(spark, block_bytes):
+    r = random.Random(15)
+    template = [f"w{r.randrange(5000)}" for _ in range(400)]
+    data = [" ".join(template[: int(8 * 1.17**k) + k % 3]) for k in range(24)] + [" ".join(template[100:k]) for k in (110, 112, 140, 150, 250, 290, 330)]
+    hashes = [sorted({xxhash.xxh64_intdigest(" ".join(w[k : k + 5]), 42) for k in range(len(w) - 4)}) for w in (x.split() for x in data)]
+    sets = spark.createDataFrame([(i, np.array(h, dtype=np.uint64).tobytes()) for i, h in enumerate(hashes)], "key bigint, hashes binary")
+    members = spark.createDataFrame([(i, 0, i) for i in range(len(data))], "key bigint, family bigint, root bigint")
+    root = list(range(len(data)))
+    found = simhash.family_links(members, sets, 0.8, block_bytes).collect()
+    for _ in data:
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for k, x in enumerate(root):
+        groups.setdefault(x, []).append(k)
+    assert sorted(groups.values()) == brute_groups(data) and len(groups) > 2
+
+
+def test_a_hot_fingerprint_keeps_its_component(spark):
+    texts = [(k, "same words all over again") for k in range(3000)] + [(k, f"other {k} text of words {k * k}") for k in range(3000, 3020)]
+    got = {r.id: r.component for r in simhash.classes(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert len(got) == 3020 and {got[k] for k in range(3000)} == {0}
+
+
 def test_families_are_compared_whole_in_blocks(spark):
     r = random.Random(10)
     template = " ".join(f"w{r.randrange(5000)}" for _ in range(80))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .kit import drop_scratch, map_batches, scramble, scratch, slices, text_bytes, words_of
+from .kit import drop_scratch, lookup, map_batches, scramble, scratch, slices, spread, text_bytes, words_of
 
 BITS = 64
 FULL = (1 << BITS) - 1
@@ -51,8 +51,8 @@ def shingle_hashes(b: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     length = ends - starts
     new_start = np.cumsum(length + 1) - length - 1
     flat = np.full(int(length.sum() + len(length)), 0x20, dtype=np.uint8)
-    at = np.repeat(new_start - starts, length) + (spread := np.repeat(starts - np.cumsum(length) + length, length) + np.arange(int(length.sum())))
-    flat[at] = lower[b[spread]]
+    at = np.repeat(new_start - starts, length) + (inside := np.repeat(starts - np.cumsum(length) + length, length) + np.arange(int(length.sum())))
+    flat[at] = lower[b[inside]]
     counts = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
     begin = np.repeat(first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
     last = begin + np.repeat(np.minimum(n_words, size), counts) - 1
@@ -264,21 +264,28 @@ def _star(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """(columns, sizes of the groups in them) of rows sorted by their first `by` columns, groups never cut."""
-    rest = None
+    rest: list[list[np.ndarray]] = []  # pieces of the last group, joined once it ends
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            cols = [np.concatenate(z) for z in zip(rest, cols)]
         if not len(cols[0]):
             continue
         cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:by]])) + 1
-        bounds = np.concatenate(([0], cut))
-        whole = bounds[-1]
-        rest = [c[whole:] for c in cols]
-        if whole:
-            yield [c[:whole] for c in cols], np.diff(bounds)
-    if rest is not None and len(rest[0]):
-        yield rest, np.array([len(rest[0])])
+        if rest and any(c[0] != z[-1] for c, z in zip(cols[:by], rest[-1])):
+            yield _joined(rest), np.array([sum(len(z[0]) for z in rest)])
+            rest = []
+        if len(cut):
+            before = sum(len(z[0]) for z in rest)
+            whole = int(cut[-1])
+            yield _joined([*rest, [c[:whole] for c in cols]]), np.diff(np.concatenate(([0], cut + before)))
+            rest = [[c[whole:] for c in cols]]
+        else:
+            rest.append(cols)
+    if rest:
+        yield _joined(rest), np.array([sum(len(z[0]) for z in rest)])
+
+
+def _joined(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(z) for z in zip(*pieces)] if len(pieces) > 1 else pieces[0]
 
 
 def bucket_edges(max_bits: int, small: int = 64, dense: int = 4):
@@ -393,11 +400,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     An empty table gives an empty result; blank texts share fingerprint 0 and so a component.
     """
     marked = scratch(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ("id",), "text", shingle).select("id", F.col("fps")[0].alias("fp")), "fingerprints")
-    distinct = scratch(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    distinct = scratch(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct")
     roots = components(link_fingerprints(distinct.select("fp"), max_bits), "a", "b")
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("low").alias("component"))
-    return marked.join(of.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    total = marked.count()
+    hot = [r.fp for r in distinct.where((F.col("n") > 1000) & (F.col("n") * 1000 > total)).select("fp").collect()]  # a thousand at most
+    return lookup(spread(marked, "spread"), "fp", of.join(least, "root").select("fp", "component"), hot, "spread").select("id", "fp", "component")
 
 
 # ---------------------------------------------------------------- exact candidates by prefixes
@@ -423,8 +432,9 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int =
     return hashes[order], rows["n"].to_numpy()[order]
 
 
-def prefix_rows(texts: DataFrame) -> DataFrame:
-    """(hash, key, root, n, left) for each hash in a text's prefix; left: how many of its n hashes stand from there on."""
+def prefix_rows(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(hash, key, root, n, left) for each hash in a text's prefix; left: how many of its n hashes stand from there on.
+    only: sorted hashes, for rows of these alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -434,18 +444,43 @@ def prefix_rows(texts: DataFrame) -> DataFrame:
                 size = np.diff(off) // 8
                 key, root, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), size) for c in (0, 1, 2))
                 place = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.record_batch([pa.array(np.frombuffer(b.tobytes(), np.int64)), pa.array(key), pa.array(root), pa.array(n), pa.array((n - place).astype(np.int32))], names=["hash", "key", "root", "n", "left"])
+                cols = [np.frombuffer(b.tobytes(), np.int64), key, root, n, (n - place).astype(np.int32)]
+                if only is not None:
+                    x = cols[0].view(np.uint64)
+                    stay = only[np.minimum(np.searchsorted(only, x), len(only) - 1)] == x
+                    cols = [c[stay] for c in cols]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["hash", "key", "root", "n", "left"])
 
     return map_batches(texts.select("near_key", "root", "n", "prefix"), run, "hash bigint, key bigint, root bigint, n int, left int")
 
 
+def dealt_prefixes(texts: DataFrame, common: np.ndarray, most: int = 1024, salts: int = 256) -> DataFrame:
+    """The rows of prefix_rows for prefix_edges: (hash, salt, key, root, n, left, low), one hash and salt in one task, in order.
+
+    The hashes in `common` that over `most` prefixes hold are counted before anything is shuffled.  Their rows get a salt
+    and `low`, the smallest key with that hash, to which each is a spoke on its own; if all texts with the hash have
+    one root, they go.  Other rows have salt -1.  There are as many such hashes as `common` has entries at most.
+    """
+    rows = prefix_rows(texts)
+    if len(common):
+        held = prefix_rows(texts, common).groupBy("hash").agg(F.count("*").alias("c"), F.min("key").alias("low"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+        crowded = held.where(F.col("c") > most).select("hash", "low", (F.col("r1") == F.col("r2")).alias("one"))
+        rows = rows.join(F.broadcast(crowded), "hash", "left").where("one is null or not one")
+    else:
+        rows = rows.withColumn("low", F.lit(None).cast("bigint"))
+    salt = F.when(F.col("low").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(salts))).cast("int")
+    rows = rows.select("hash", salt.alias("salt"), "key", "root", "n", "left", F.coalesce("low", "key").alias("low"))
+    return rows.repartition("hash", "salt").sortWithinPartitions("hash", "salt")
+
+
 def prefix_edges(similarity: float, small: int = 64, most: int = 1024, dense: int = 2):
-    """A mapInArrow function over rows of prefix_rows sorted by hash, hashes not cut between tasks: (a, b, family).
+    """A mapInArrow function over rows of dealt_prefixes: (a, b, family).
 
     Texts of different roots that share a hash are a pair, unless so few hashes stand from it on in one of them that
     their similarity can't be reached if it is the first they share.  A bucket of one hash with over `dense` pairs a row
     gives a star per component of its pairs instead, with family set (over `most` rows: one star): its texts are to
-    be compared among each other.  So what leaves a bucket grows with its rows, and no pair is lost.
+    be compared among each other.  So what leaves a bucket grows with its rows, and no pair is lost.  Rows with a salt are
+    spokes of one such star.
     """
 
     def can(root1, n1, left1, root2, n2, left2):
@@ -485,8 +520,13 @@ def prefix_edges(similarity: float, small: int = 64, most: int = 1024, dense: in
             yield star(a, c, i, j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, *cols), size in _groups(batches, 1):
-            found = list(edges(*cols, size))
+        for (_, salt, key, *cols, low), size in _groups(batches, 2):
+            spoke, found = salt >= 0, []
+            if spoke.any():
+                far = spoke & (key != low)
+                found.append((key[far], low[far], True))
+                size = size[~spoke[np.cumsum(size) - size]]
+            found += edges(*(c[~spoke] for c in (key, *cols)), size)
             if found:
                 a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
                 family = np.concatenate([np.full(len(x[0]), x[2]) for x in found])
@@ -549,25 +589,35 @@ def family_edges(similarity: float):
 def family_links(members: DataFrame, sets: DataFrame, similarity: float, block_bytes: int = 1 << 20, block_rows: int = 512) -> DataFrame:
     """A forest (a, b) of all links within each family between texts of different roots, from members (key, family, root).
 
-    A root over a block's size (`block_bytes` of hashes, `block_rows` rows) is cut into blocks of its own; the others of
-    a family share blocks.  Each pair of blocks is a task, but for two of one root: so a large group whose texts are
-    linked already meets the few other texts of its family, not itself.
+    A family over a block's size (`block_bytes` of hashes, `block_rows` rows) is cut into bands by the number of hashes, so
+    wide that texts two bands apart cannot reach the similarity: blocks of one band or of neighbouring ones meet.  A
+    root over a block's size within a band is cut into blocks of its own; the others of a band share blocks.  Each pair
+    of blocks that meet is a task, but for two of one root: so a large group whose texts are linked already meets the
+    few other texts of its family, not itself.
     """
-    held = members.join(sets, "key")
+    width = max(-math.log(similarity), 1e-3) * (1 + 1e-6)
+    band = F.floor(F.log(F.greatest(F.length("hashes") / 8, F.lit(1.0))) / F.lit(width))
+    held = members.join(sets, "key").withColumn("band", band)
     size = F.greatest(F.sum(F.length("hashes")) / F.lit(float(block_bytes)), F.count("*") / F.lit(float(block_rows)))
-    own = scratch(held.groupBy("family", "root").agg(size.alias("size")), "roots")
-    shared = own.where("size <= 1").groupBy("family").agg(F.ceil(F.sum("size")).alias("n"))
-    large = own.where("size > 1").select("family", "root", F.ceil("size").alias("n"))
-    number = lambda root, k: F.xxhash64("family", root, k)
+    sizes = scratch(held.groupBy("family", "root", "band").agg(size.alias("size")), "roots")
+    whole = sizes.groupBy("family").agg(F.sum("size").alias("whole"))
+    own = sizes.join(whole, "family").withColumn("place", F.when(F.col("whole") > 1, F.col("band")).otherwise(F.lit(0)))
+    shared = own.where("size <= 1").groupBy("family", "band", "place").agg(F.ceil(F.sum("size")).alias("m"))
+    large = own.where("size > 1").select("family", "root", "band", "place", F.ceil("size").alias("n"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("k")
+    number = lambda root, k: F.xxhash64("family", root, "place", k)
     blocks = scratch(
-        large.select("family", F.col("root").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select("family", "of", number("of", "k").alias("block"))
-        .unionByName(shared.select("family", F.lit(None).cast("bigint").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select("family", "of", number("of", "k").alias("block"))),
+        large.select("family", F.col("root").alias("of"), "place", each("n"))
+        .unionByName(shared.select("family", F.lit(None).cast("bigint").alias("of"), "place", each("m")).distinct())
+        .select("family", "of", "place", number("of", "k").alias("block")),
         "blocks",
     )
-    other = blocks.select("family", F.col("of").alias("of2"), F.col("block").alias("block2"))
-    tasks = blocks.join(other, "family").where("block <= block2 and coalesce(of != of2, true)").select(F.xxhash64("block", "block2").alias("task"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    near = F.explode(F.array(F.col("place") - 1, F.col("place"), F.col("place") + 1)).alias("place")
+    other = blocks.select("family", near, F.col("of").alias("of2"), F.col("block").alias("block2"))
+    tasks = blocks.join(other, ["family", "place"]).where("block <= block2 and coalesce(of != of2, true)").select(F.xxhash64("block", "block2").alias("task"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
     placed = (
-        held.join(large, ["family", "root"], "left").join(shared.withColumnRenamed("n", "m"), "family", "left")
+        held.join(large.withColumnRenamed("place", "place1"), ["family", "root", "band"], "left").join(shared.withColumnRenamed("place", "place2"), ["family", "band"], "left")
+        .withColumn("place", F.coalesce("place1", "place2"))
         .withColumn("of", F.when(F.col("n").isNotNull(), F.col("root")))
         .withColumn("k", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("key"), "n")).otherwise(F.pmod(F.xxhash64("root"), "m")))
         .select(number("of", "k").alias("block"), "key", "root", "hashes")
@@ -576,6 +626,25 @@ def family_links(members: DataFrame, sets: DataFrame, similarity: float, block_b
     return map_batches(rows.repartition("task").sortWithinPartitions("task"), family_edges(similarity), "a bigint, b bigint")
 
 
+def common_counts(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """How many hashes the two packed sets of each row have in common."""
+    sides = [text_bytes(left), text_bytes(right)]
+    out = np.zeros(len(left), dtype=np.int64)
+    for i, j in slices(sides[0][1] + sides[1][1]):
+        hashes = np.concatenate([np.frombuffer(b[off[i] : off[j]].tobytes(), dtype=np.uint64) for b, off in sides])
+        row = np.concatenate([np.repeat(np.arange(j - i, dtype=np.uint16), np.diff(off[i : j + 1]) // 8) for _, off in sides])
+        order = np.argsort(hashes)
+        order = order[np.argsort(row[order], kind="stable")]
+        hashes, row = hashes[order], row[order]
+        both = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
+        out[i:j] = np.bincount(row[1:][both], minlength=j - i)
+    return out
+
+
+def set_sizes(col: pa.Array) -> np.ndarray:
+    return np.diff(text_bytes(col)[1]) // 8
+
+
 def promising(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose prefixes do not rule out the similarity.
 
@@ -585,12 +654,10 @@ def promising(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stay = []
-            for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                x, y = (np.frombuffer(z, dtype=np.uint64) for z in (x, y))
-                most = len(np.intersect1d(x, y, assume_unique=True)) + max(n - len(x), m - len(y))
-                stay.append(most * (1 + similarity) >= similarity * (n + m) - 1e-6)
-            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+            x, y = batch.column(2), batch.column(3)
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
+            most = common_counts(x, y) + np.maximum(n - set_sizes(x), m - set_sizes(y))
+            yield batch.select(["a", "b"]).filter(pa.array(most * (1 + similarity) >= similarity * (n + m) - 1e-6))
 
     left, right = (texts.select(F.col("near_key").alias(k), F.col("prefix").alias(f"p{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb"), run, "a bigint, b bigint")
@@ -601,12 +668,10 @@ def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both / max(1, len(x) + len(y) - both) if len(x) or len(y) else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+            x, y = batch.column(2), batch.column(3)
+            both, total = common_counts(x, y), set_sizes(x) + set_sizes(y)
+            found = np.where(total > 0, both / np.maximum(1, total - both), 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["a", "b", "similarity"])
 
     left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"h{k}")) for k in "ab")
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb"), run, "a bigint, b bigint, similarity double")
@@ -618,14 +683,30 @@ _NONE = (1 << 63) - 1
 class _Near:
     """The texts of a table and the links between them.  Tables it pauses at are removed when the groups are written."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: float, broadcast_keys: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: float, broadcast_keys: int, key_bits: int = 64):
         self.tables: list[DataFrame] = []
         self.text_col, self.shingle, self.max_bits, self.similarity, self.broadcast_keys = text_col, shingle, max_bits, similarity, broadcast_keys
+        self.common = common_shingles(docs, text_col, shingle)
         text = F.col(text_col).cast("string")
-        self.keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("bigint"))
-        slim = self.keyed.select("near_key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NONE)).alias("id"), text.alias("text"))
-        marked = fingerprints(slim, ("near_key", "id"), "text", shingle, True, 1, Prefix(similarity, *common_shingles(self.keyed, text_col, shingle)))
-        self.texts = self.held(marked.groupBy("near_key").agg(F.min("fps")[0].alias("fp"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+        check = F.xxhash64(F.lit(1), text)
+        clashing: list[int] = []
+        for k in range(4):
+            key = F.shiftrightunsigned(F.xxhash64(text), 64 - key_bits) if key_bits < 64 else F.xxhash64(text)
+            if clashing:
+                key = F.when(key.isin(clashing), F.xxhash64(F.lit(k), F.xxhash64(text), check)).otherwise(key)
+            self.keyed = docs.withColumn("near_key", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(key).cast("bigint"))
+            slim = self.keyed.select("near_key", check.alias("check"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NONE)).alias("id"), text.alias("text"))
+            marked = fingerprints(slim, ("near_key", "check", "id"), "text", shingle, True, 1, Prefix(similarity, *self.common))
+            texts = self.held(marked.groupBy("near_key").agg(F.min("fps")[0].alias("fp"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("check").alias("check"), F.max("check").alias("check2")), "texts")
+            self.texts = texts.drop("check", "check2")
+            # different texts with one 64-bit hash: about n * n / 2**65 of n texts, so a few of 10**10; a second hash tells them apart
+            found = [r.near_key for r in texts.where("check != check2").select("near_key").collect()]
+            if not found:
+                break
+            clashing += found
+            drop_scratch(self.tables.pop())
+        else:
+            raise RuntimeError("texts of one hash could not be told apart")
 
     def held(self, df: DataFrame, name: str) -> DataFrame:
         self.tables.append(scratch(df, name))
@@ -671,7 +752,7 @@ class _Near:
         """(near_key, root) of the texts with a link; root: one text of the group."""
         roots = self.rooted(self.close())
         marked = self.texts.join(roots, "near_key", "left").withColumn("root", F.coalesce("root", "near_key"))
-        shared = self.held(map_batches(prefix_rows(marked).repartition("hash").sortWithinPartitions("hash"), prefix_edges(self.similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
+        shared = self.held(map_batches(dealt_prefixes(marked, self.common[0]), prefix_edges(self.similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
         known = roots.where("near_key != root").select(F.col("near_key").alias("a"), F.col("root").alias("b"))
         links = known.unionByName(self.verified(shared.where("not family").select("a", "b")))
         roots = self.rooted(links)
@@ -699,17 +780,18 @@ class _Near:
         return grouped, grouped.groupBy("near_group").agg(F.min(F.struct("low", "near_key")).alias("at")).select("at.near_key", "at.low")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, similarity: float = 0.8, broadcast_keys: int = 1_000_000, salts: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3, similarity: float = 0.8, broadcast_keys: int = 1_000_000, salts: int = 64, key_bits: int = 64) -> DataFrame:
     """docs with `near_group` and `near_first`: groups of near-copies, whose row with the smallest id has near_first.
 
     A link is two texts with a Jaccard similarity of at least `similarity` over their sets of word shingles (a text of
-    fewer words is one shingle), and groups are the components of all links.  Equal texts are one text from the start.
+    fewer words is one shingle), and groups are the components of all links.  Texts equal in 128 bits of hash are one text from
+    the start (key_bits: the bits they are told apart by at first).
     Ids are integers; of equal smallest ids in a group the text with the smaller hash stands for it, and repeated rows
     of it all have near_first.  Null ids come last.  Null texts are a group of their own, as are blank ones.  Texts of any
     length take part whole.  Columns named near_... as here are replaced.  An empty table gives an empty result.
     """
     docs = docs.drop("near_key", "near_group", "near_first", "near_salt", "near_low")
-    near = _Near(docs, id_col, text_col, shingle, max_bits, similarity, broadcast_keys)
+    near = _Near(docs, id_col, text_col, shingle, max_bits, similarity, broadcast_keys, key_bits)
     grouped, best = near.grouped()
     chosen = grouped.join(best.select("near_key", F.col("low").alias("near_low")), "near_key", "left").select("near_key", "near_group", "copies", "near_low")
     # a text with over a thousandth of all rows is salted; there can be a thousand of them at most
