@@ -79,7 +79,11 @@ for _name in c.PRESETS:
 _FAST = c.fast_weights("general")
 
 
-@query("fusion_fast", f"WITH {ASSETS}, s AS (SELECT id, {_clamp_sql(f'round(topiq * {_FAST['topiq']!r} + laion * {_FAST['laion']!r} + coalesce(exposure, 0.0) * {_FAST['exposure']!r} - coalesce({TILT_SQL}, 0.0) * {_FAST['tilt']} + CASE WHEN is_bokeh THEN {_FAST['bokeh']} ELSE 0.0 END, 9)')} AS s FROM a) SELECT id, round(s, 6) AS composite, CASE WHEN s >= 0.72 THEN 'KEEPER' WHEN s >= 0.48 THEN 'AMBIGUOUS' ELSE 'REJECT' END AS routing FROM s")
+@query(
+    "fusion_fast",
+    f"WITH {ASSETS}, s AS (SELECT id, {_clamp_sql(f'round(topiq * {_FAST['topiq']!r} + laion * {_FAST['laion']!r} + coalesce(exposure, 0.0) * {_FAST['exposure']!r} - coalesce({TILT_SQL}, 0.0) * {_FAST['tilt']} + CASE WHEN is_bokeh THEN {_FAST['bokeh']} ELSE 0.0 END, 9)')} AS s "
+    f"FROM a) SELECT id, round(s, 6) AS composite, CASE WHEN s >= 0.72 THEN 'KEEPER' WHEN s >= 0.48 THEN 'AMBIGUOUS' ELSE 'REJECT' END AS routing FROM s",
+)
 def fusion_fast(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("tilt_penalty", m.tilt_penalty(F.col("tilt"), F.col("keystone")))
     return fusion.fuse_fast(df).select("id", _r("composite").alias("composite"), "routing")
@@ -120,27 +124,46 @@ def tilt_penalty(spark, sf_dir):
     return events(spark, sf_dir).select("id", _r(m.tilt_penalty(F.col("tilt"), F.col("keystone"))).alias("penalty"))
 
 
-@query("exposure_flags", f"WITH {ASSETS} SELECT id, clip_high > 0.03 AS highlight_clip, clip_low > 0.2 AS shadow_clip, abs(cast_a) > 8 OR abs(cast_b) > 12 OR sqrt(cast_a * cast_a + cast_b * cast_b) > 18 AS color_cast, exposure < 0.45 AS low_range FROM a")
+@query(
+    "exposure_flags",
+    f"WITH {ASSETS} SELECT id, clip_high > 0.03 AS highlight_clip, clip_low > 0.2 AS shadow_clip, "
+    f"abs(cast_a) > 8 OR abs(cast_b) > 12 OR sqrt(cast_a * cast_a + cast_b * cast_b) > 18 AS color_cast, exposure < 0.45 AS low_range FROM a",
+)
 def exposure_flags(spark, sf_dir):
     flags = m.exposure_flags(F.col("clip_high"), F.col("clip_low"), F.col("cast_a"), F.col("cast_b"), F.hypot("cast_a", "cast_b"), F.col("exposure"))
     return events(spark, sf_dir).select("id", flags.alias("f")).select("id", "f.*")
 
 
-@query("blur_tier", f"WITH {ASSETS}, b AS (SELECT id, NOT is_bokeh AND tenengrad < 100 AND fft_ratio < 0.05 AS is_blurry, motion FROM a) SELECT id, CASE WHEN is_blurry THEN CASE WHEN motion > 3 THEN 3 ELSE 1 END ELSE 2 END AS tier, is_blurry FROM b")
+@query(
+    "blur_tier",
+    f"WITH {ASSETS}, b AS (SELECT id, NOT is_bokeh AND tenengrad < 100 AND fft_ratio < 0.05 AS is_blurry, motion FROM a) SELECT id, "
+    f"CASE WHEN is_blurry THEN CASE WHEN motion > 3 THEN 3 ELSE 1 END ELSE 2 END AS tier, is_blurry FROM b",
+)
 def blur_tier(spark, sf_dir):
     return events(spark, sf_dir).select("id", m.blur_tier(F.col("tenengrad"), F.col("fft_ratio"), F.col("is_bokeh"), F.col("motion") > c.MOTION_RATIO).alias("b")).select("id", "b.*")
 
 
-@query("first_stage", f"WITH {ASSETS}, b AS (SELECT id, CASE WHEN NOT is_bokeh AND tenengrad < 100 AND fft_ratio < 0.05 THEN 'blur' WHEN noise >= 0.7 THEN 'noise' END AS reject_reason FROM a) SELECT id, reject_reason, reject_reason IS NULL AS passed FROM b")
+@query(
+    "first_stage",
+    f"WITH {ASSETS}, b AS (SELECT id, CASE WHEN NOT is_bokeh AND tenengrad < 100 AND fft_ratio < 0.05 THEN 'blur' "
+    f"WHEN noise >= 0.7 THEN 'noise' END AS reject_reason FROM a) SELECT id, reject_reason, reject_reason IS NULL AS passed FROM b",
+)
 def first_stage(spark, sf_dir):
     tier = m.blur_tier(F.col("tenengrad"), F.col("fft_ratio"), F.col("is_bokeh"), F.col("motion") > c.MOTION_RATIO)
     reason = F.when(tier["is_blurry"], "blur").when(F.col("noise") >= c.NOISE_MAX, "noise")
     return events(spark, sf_dir).select("id", reason.alias("reject_reason")).withColumn("passed", F.col("reject_reason").isNull())
 
 
-_HEAT_SQL = "h AS (SELECT vec_id AS id, list_transform(n, lambda x: (x - list_min(n)) / (list_max(n) - list_min(n) + 1e-8)) AS h FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS n FROM embeddings))"
+_HEAT_SQL = (
+    "h AS (SELECT vec_id AS id, list_transform(n, lambda x: (x - list_min(n)) / (list_max(n) - list_min(n) + 1e-8)) AS h FROM (SELECT vec_id, "
+    "list_transform(embedding, lambda x: abs(x::DOUBLE)) AS n FROM embeddings))"
+)
 _CELLS = "list_filter(range(0, 64), lambda i: h[i + 1] >= 0.5)"
-_BOX = f"b AS (SELECT id, h, p, (p % 8) / 8.0 AS x, (p // 8) / 8.0 AS y, list_min(list_transform({_CELLS}, lambda i: i % 8)) / 8.0 AS x0, list_min(list_transform({_CELLS}, lambda i: i // 8)) / 8.0 AS y0, list_max(list_transform({_CELLS}, lambda i: i % 8)) / 8.0 AS x1, list_max(list_transform({_CELLS}, lambda i: i // 8)) / 8.0 AS y1 FROM (SELECT *, list_position(h, list_max(h)) - 1 AS p FROM h))"
+_BOX = (
+    f"b AS (SELECT id, h, p, (p % 8) / 8.0 AS x, (p // 8) / 8.0 AS y, list_min(list_transform({_CELLS}, lambda i: i % 8)) / 8.0 AS x0, "
+    f"list_min(list_transform({_CELLS}, lambda i: i // 8)) / 8.0 AS y0, list_max(list_transform({_CELLS}, lambda i: i % 8)) / 8.0 AS x1, "
+    f"list_max(list_transform({_CELLS}, lambda i: i // 8)) / 8.0 AS y1 FROM (SELECT *, list_position(h, list_max(h)) - 1 AS p FROM h))"
+)
 
 
 def _sum_sql(cond: str) -> str:
@@ -170,13 +193,25 @@ def composition_score(spark, sf_dir):
     return df.select("id", _r("thirds", 5).alias("thirds"), _r("edge", 5).alias("edge"), _r("balance", 5).alias("balance"), _r(m.composition(F.col("thirds"), F.col("edge"), F.col("balance")), 6).alias("composition"))
 
 
-@query("line_geometry", f"WITH {ASSETS}, l AS (SELECT id, ((id * 37) % 720) / 2.0 - 180 AS raw FROM a), f AS (SELECT id, ((raw + 90) % 180 + 180) % 180 - 90 AS angle FROM l), v AS (SELECT *, CASE WHEN angle >= 0 THEN angle - 90 ELSE angle + 90 END AS off FROM f) SELECT id, round(angle, 6) AS angle, CASE WHEN abs(angle) <= 30 THEN 'horizontal' WHEN abs(off) <= 30 THEN 'vertical' END AS kind, round(CASE WHEN abs(angle) <= 30 THEN angle WHEN abs(off) <= 30 THEN off END, 6) AS deviation FROM v")
+@query(
+    "line_geometry",
+    f"WITH {ASSETS}, l AS (SELECT id, ((id * 37) % 720) / 2.0 - 180 AS raw FROM a), "
+    f"f AS (SELECT id, ((raw + 90) % 180 + 180) % 180 - 90 AS angle FROM l), v AS (SELECT *, CASE WHEN angle >= 0 THEN angle - 90 "
+    f"ELSE angle + 90 END AS off FROM f) SELECT id, round(angle, 6) AS angle, CASE WHEN abs(angle) <= 30 THEN 'horizontal' "
+    f"WHEN abs(off) <= 30 THEN 'vertical' END AS kind, round(CASE WHEN abs(angle) <= 30 THEN angle WHEN abs(off) <= 30 THEN off END, 6) AS deviation "
+    f"FROM v",
+)
 def line_geometry(spark, sf_dir):
     angle = m.fold_angle(((F.col("id") * 37) % 720) / 2.0 - 180)
     return events(spark, sf_dir).select("id", angle.alias("angle")).withColumn("l", m.line_kind(F.col("angle"))).select("id", _r("angle").alias("angle"), F.col("l.kind").alias("kind"), _r("l.deviation").alias("deviation"))
 
 
-@query("score_rescale", f"WITH {ASSETS} SELECT id, round((least(10.0, greatest(1.0, laion * 14 - 1)) - 1) / 9, 6) AS aesthetic, round({_clamp_sql('topiq * 120 / 100')}, 6) AS technical, round({_clamp_sql('(clipiqa * 12 - 1) / 9')}, 6) AS musiq, round(CASE WHEN exposure < 0.1 THEN 0.0 ELSE (laion + clipiqa) / (2 * exposure) END, 6) AS eye_aspect FROM a")
+@query(
+    "score_rescale",
+    f"WITH {ASSETS} SELECT id, round((least(10.0, greatest(1.0, laion * 14 - 1)) - 1) / 9, 6) AS aesthetic, "
+    f"round({_clamp_sql('topiq * 120 / 100')}, 6) AS technical, round({_clamp_sql('(clipiqa * 12 - 1) / 9')}, 6) AS musiq, round(CASE "
+    f"WHEN exposure < 0.1 THEN 0.0 ELSE (laion + clipiqa) / (2 * exposure) END, 6) AS eye_aspect FROM a",
+)
 def score_rescale(spark, sf_dir):
     q = m.musiq(F.col("topiq") * 120, F.col("clipiqa") * 12)
     eye = F.when(F.col("exposure") < 0.1, 0.0).otherwise(m.eye_aspect(F.col("laion"), F.col("clipiqa"), F.col("exposure")))
@@ -215,7 +250,12 @@ def dense_day(spark, sf_dir):
     return sequence.bursts(rows, ["shoot"], "ts", "id", 0.5).select("id", "burst", "burst_size")
 
 
-@query("burst_winners", f"WITH {ASSETS}, {_BURST_SQL} SELECT id, shoot, burst, row_number() OVER (PARTITION BY shoot, burst ORDER BY coalesce(tenengrad, 0) DESC, ts, id) AS burst_rank, row_number() OVER (PARTITION BY shoot, burst ORDER BY coalesce(tenengrad, 0) DESC, ts, id) = 1 AS is_burst_winner FROM k WHERE burst_size > 1")
+@query(
+    "burst_winners",
+    f"WITH {ASSETS}, {_BURST_SQL} SELECT id, shoot, burst, row_number() OVER (PARTITION BY shoot, burst "
+    f"ORDER BY coalesce(tenengrad, 0) DESC, ts, id) AS burst_rank, row_number() OVER (PARTITION BY shoot, burst ORDER BY coalesce(tenengrad, 0) DESC, ts, "
+    f"id) = 1 AS is_burst_winner FROM k WHERE burst_size > 1",
+)
 def burst_winners(spark, sf_dir):
     return sequence.rank_bursts(_bursts(spark, sf_dir), ["shoot"], "ts", "id", "tenengrad").select("id", "shoot", "burst", "burst_rank", "is_burst_winner")
 
@@ -234,12 +274,21 @@ def leader_subgroups(spark, sf_dir):
     return sequence.leader_groups(grouped, ["shoot"], "ts", "id", "bits", 4).select("id", "shoot", "burst", "subgroup")
 
 
-@query("scene_boundaries", f"WITH {ASSETS}, o AS (SELECT *, {_SEC} AS s, lag({_SEC}) OVER (PARTITION BY shoot ORDER BY {_SEC}, id) AS p, row_number() OVER (PARTITION BY shoot ORDER BY {_SEC}, id) AS n FROM a), g AS (SELECT *, CASE WHEN s - p > {SCENE} THEN 1 ELSE 0 END AS b FROM o) SELECT id, shoot, sum(b) OVER (PARTITION BY shoot ORDER BY s, id) AS scene, b = 1 OR n = 1 AS is_scene_start, b::DOUBLE AS scene_bonus FROM g")
+@query(
+    "scene_boundaries",
+    f"WITH {ASSETS}, o AS (SELECT *, {_SEC} AS s, lag({_SEC}) OVER (PARTITION BY shoot ORDER BY {_SEC}, id) AS p, row_number() "
+    f"OVER (PARTITION BY shoot ORDER BY {_SEC}, id) AS n FROM a), g AS (SELECT *, CASE WHEN s - p > {SCENE} THEN 1 ELSE 0 END AS b FROM o) SELECT id, "
+    f"shoot, sum(b) OVER (PARTITION BY shoot ORDER BY s, id) AS scene, b = 1 OR n = 1 AS is_scene_start, b::DOUBLE AS scene_bonus FROM g",
+)
 def scene_boundaries(spark, sf_dir):
     return sequence.scenes(events(spark, sf_dir), ["shoot"], "ts", "id", SCENE).select("id", "shoot", "scene", "is_scene_start", "scene_bonus")
 
 
-@query("scene_turns", "WITH o AS (SELECT conv_id, turn, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT conv_id, turn, n - p AS change FROM o")
+@query(
+    "scene_turns",
+    "WITH o AS (SELECT conv_id, turn, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p "
+    "FROM conversations) SELECT conv_id, turn, n - p AS change FROM o",
+)
 def scene_turns(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -247,10 +296,18 @@ def scene_turns(spark, sf_dir):
     return df.select("conv_id", "turn", (F.col("n") - F.lag("n").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("change"))
 
 
-_PAIRS_SQL = f"q AS (SELECT shoot || '/' || burst AS g, row_number() OVER (PARTITION BY shoot, burst ORDER BY ts, id) - 1 AS pos, motion, burst_size FROM k WHERE burst_size > 2), u AS (SELECT * FROM q WHERE pos < burst_size - 1), n AS (SELECT g, count(*) AS n FROM u GROUP BY g)"
+_PAIRS_SQL = (
+    f"q AS (SELECT shoot || '/' || burst AS g, row_number() OVER (PARTITION BY shoot, burst ORDER BY ts, id) - 1 AS pos, motion, burst_size "
+    f"FROM k WHERE burst_size > 2), u AS (SELECT * FROM q WHERE pos < burst_size - 1), n AS (SELECT g, count(*) AS n FROM u GROUP BY g)"
+)
 
 
-@query("motion_peak", f"WITH {ASSETS}, {_BURST_SQL}, {_PAIRS_SQL}, r AS (SELECT u.g, pos, motion, row_number() OVER (PARTITION BY u.g ORDER BY motion DESC, pos) AS r FROM u JOIN n USING (g) WHERE pos >= n // 2 - 2 AND pos < n // 2 + 3) SELECT g, pos AS peak_pos, round(motion, 6) AS peak FROM r WHERE r = 1")
+@query(
+    "motion_peak",
+    f"WITH {ASSETS}, {_BURST_SQL}, {_PAIRS_SQL}, r AS (SELECT u.g, pos, motion, row_number() OVER (PARTITION BY u.g "
+    f"ORDER BY motion DESC, pos) AS r FROM u JOIN n USING (g) WHERE pos >= n // 2 - 2 AND pos < n // 2 + 3) SELECT g, pos AS peak_pos, round(motion, "
+    f"6) AS peak FROM r WHERE r = 1",
+)
 def motion_peak(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -262,7 +319,10 @@ def motion_peak(spark, sf_dir):
 
 # ---------------------------------------------------------------- shoot statistics
 
-_ORDER_SQL = "p AS (SELECT l_orderkey AS id, avg(l_quantity) AS l, avg(l_discount) * 1000 AS ca, avg(l_tax) * 1000 AS cb, sum(l_extendedprice) / 1e6 AS e FROM lineitem GROUP BY l_orderkey), s AS (SELECT p.*, o_custkey % 50 AS shoot FROM p JOIN orders ON id = o_orderkey)"
+_ORDER_SQL = (
+    "p AS (SELECT l_orderkey AS id, avg(l_quantity) AS l, avg(l_discount) * 1000 AS ca, avg(l_tax) * 1000 AS cb, "
+    "sum(l_extendedprice) / 1e6 AS e FROM lineitem GROUP BY l_orderkey), s AS (SELECT p.*, o_custkey % 50 AS shoot FROM p JOIN orders ON id = o_orderkey)"
+)
 
 
 @query(
@@ -279,7 +339,11 @@ def shoot_outliers(spark, sf_dir):
 
 
 _EXIF = ["status", "priority", "segment"]
-_EXIF_SQL = "e AS (SELECT o_orderkey AS id, o_custkey % 40 AS shoot, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS status, o_orderpriority AS priority, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM orders JOIN customer ON o_custkey = c_custkey)"
+_EXIF_SQL = (
+    "e AS (SELECT o_orderkey AS id, o_custkey % 40 AS shoot, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS status, "
+    "o_orderpriority AS priority, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM orders "
+    "JOIN customer ON o_custkey = c_custkey)"
+)
 _MODE_SQL = "".join(f", m_{k} AS (SELECT shoot, v FROM (SELECT shoot, {k} AS v, row_number() OVER (PARTITION BY shoot ORDER BY count(*) DESC, min(id)) AS r FROM e WHERE {k} IS NOT NULL GROUP BY shoot, {k}) WHERE r = 1)" for k in _EXIF)
 
 
@@ -288,7 +352,12 @@ def _exif(spark, sf_dir) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("shoot"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 11 != 0, F.col("c_mktsegment")).alias("segment"))
 
 
-@query("exif_mode", f"WITH {_EXIF_SQL}{_MODE_SQL} SELECT s.shoot, m_status.v AS mode_status, m_priority.v AS mode_priority, m_segment.v AS mode_segment FROM (SELECT DISTINCT shoot FROM e) s LEFT JOIN m_status USING (shoot) LEFT JOIN m_priority USING (shoot) LEFT JOIN m_segment USING (shoot)")
+@query(
+    "exif_mode",
+    f"WITH {_EXIF_SQL}{_MODE_SQL} SELECT s.shoot, m_status.v AS mode_status, m_priority.v AS mode_priority, "
+    f"m_segment.v AS mode_segment FROM (SELECT DISTINCT shoot FROM e) s LEFT JOIN m_status USING (shoot) LEFT JOIN m_priority USING (shoot) LEFT "
+    f"JOIN m_segment USING (shoot)",
+)
 def exif_mode(spark, sf_dir):
     return shoot.modes(_exif(spark, sf_dir), ["shoot"], _EXIF, "id")
 
@@ -296,7 +365,11 @@ def exif_mode(spark, sf_dir):
 _MISSED = " + ".join(f"({k} IS DISTINCT FROM m_{k}.v)::INT" for k in _EXIF)
 
 
-@query("exif_anomaly", f"WITH {_EXIF_SQL}{_MODE_SQL} SELECT id, shoot, round(least(1, ({_MISSED}) / 3.0 * 3.0 / 3.0), 6) AS exif_anomaly FROM e JOIN m_status USING (shoot) JOIN m_priority USING (shoot) JOIN m_segment USING (shoot)")
+@query(
+    "exif_anomaly",
+    f"WITH {_EXIF_SQL}{_MODE_SQL} SELECT id, shoot, round(least(1, ({_MISSED}) / 3.0 * 3.0 / 3.0), 6) AS exif_anomaly FROM e "
+    f"JOIN m_status USING (shoot) JOIN m_priority USING (shoot) JOIN m_segment USING (shoot)",
+)
 def exif_anomaly(spark, sf_dir):
     return shoot.anomalies(_exif(spark, sf_dir), ["shoot"], _EXIF, "id").select("id", "shoot", _r("exif_anomaly").alias("exif_anomaly"))
 
@@ -311,13 +384,21 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-@query("search_topk", f"WITH {_VEC}, s AS (SELECT id, list_dot_product(v, list_transform(range(0, 64), lambda i: ((i % 7) - 3) / 10.0)) AS s FROM e), r AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS r FROM s) SELECT id, round(s, 6) AS similarity, r AS rank FROM r WHERE r <= 20")
+@query(
+    "search_topk",
+    f"WITH {_VEC}, s AS (SELECT id, list_dot_product(v, list_transform(range(0, 64), lambda i: ((i % 7) - 3) / 10.0)) AS s FROM e), "
+    f"r AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS r FROM s) SELECT id, round(s, 6) AS similarity, r AS rank FROM r WHERE r <= 20",
+)
 def search_topk(spark, sf_dir):
     found = similarity.search(_vectors(spark, sf_dir), [((i % 7) - 3) / 10.0 for i in range(64)], "id", "embedding")
     return found.select("id", _r("similarity").alias("similarity"), "rank")
 
 
-@query("similar_topk", f"WITH {_VEC}, s AS (SELECT id, list_dot_product(v, (SELECT v FROM e WHERE id = 7)) AS s FROM e), r AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS r FROM s) SELECT id, round(s, 6) AS similarity, r AS rank FROM r WHERE r <= 10")
+@query(
+    "similar_topk",
+    f"WITH {_VEC}, s AS (SELECT id, list_dot_product(v, (SELECT v FROM e WHERE id = 7)) AS s FROM e), r AS (SELECT *, row_number() "
+    f"OVER (ORDER BY s DESC, id) AS r FROM s) SELECT id, round(s, 6) AS similarity, r AS rank FROM r WHERE r <= 10",
+)
 def similar_topk(spark, sf_dir):
     found = similarity.similar_to(_vectors(spark, sf_dir), 7, "id", "embedding", 10)
     return found.select("id", _r("similarity").alias("similarity"), "rank")
@@ -340,7 +421,12 @@ def dup_groups(spark, sf_dir):
     return similarity.duplicate_groups(similarity.near_pairs(_vectors(spark, sf_dir), "id", "embedding", NEAR))
 
 
-@query("sign_hash_pairs", "WITH h AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x > 0)::INT) AS s FROM embeddings), x AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(range(1, 65), lambda i: (a.s[i] <> b.s[i])::INT)) AS bits FROM h a JOIN h b ON a.id < b.id) SELECT a, b, bits FROM x WHERE bits <= 16")
+@query(
+    "sign_hash_pairs",
+    "WITH h AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x > 0)::INT) AS s FROM embeddings), "
+    "x AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(range(1, 65), lambda i: (a.s[i] <> b.s[i])::INT)) AS bits FROM h a "
+    "JOIN h b ON a.id < b.id) SELECT a, b, bits FROM x WHERE bits <= 16",
+)
 def sign_hash_pairs(spark, sf_dir):
     """Pairs within 16 of 64 sign bits: two of 17 blocks' values must agree, so blocks are the join key."""
     df = _vectors(spark, sf_dir).select("id", v.sign_bits(F.col("embedding")).alias("h"))
@@ -352,7 +438,11 @@ def sign_hash_pairs(spark, sf_dir):
     return pairs.where(bits <= 16).select("a", "b", bits.alias("bits")).distinct()
 
 
-@query("single_linkage_components", f"WITH RECURSIVE {_VEC}, {_PAIR_SQL}, d AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), r AS (SELECT u, u AS m FROM d UNION SELECT r.u, d.v FROM r JOIN d ON r.m = d.u) SELECT u AS node, min(m) AS root FROM r GROUP BY u")
+@query(
+    "single_linkage_components",
+    f"WITH RECURSIVE {_VEC}, {_PAIR_SQL}, d AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), "
+    f"r AS (SELECT u, u AS m FROM d UNION SELECT r.u, d.v FROM r JOIN d ON r.m = d.u) SELECT u AS node, min(m) AS root FROM r GROUP BY u",
+)
 def single_linkage_components(spark, sf_dir):
     return components(similarity.near_pairs(_vectors(spark, sf_dir), "id", "embedding", NEAR), "a", "b")
 
@@ -402,24 +492,42 @@ def decision_assembly(spark, sf_dir):
     return _decisions(spark, sf_dir).select("id", "decision", "stage_reached")
 
 
-@query("selected_semijoin", f"WITH {_DECIDE_SQL}, k2 AS (SELECT id FROM d WHERE decision = 'keeper' ORDER BY score DESC, id LIMIT 30) SELECT id, CASE WHEN id IN (SELECT id FROM k2) THEN 'select' ELSE decision END AS decision FROM d")
+@query(
+    "selected_semijoin",
+    f"WITH {_DECIDE_SQL}, k2 AS (SELECT id FROM d WHERE decision = 'keeper' ORDER BY score DESC, id LIMIT 30) SELECT id, CASE "
+    f"WHEN id IN (SELECT id FROM k2) THEN 'select' ELSE decision END AS decision FROM d",
+)
 def selected_semijoin(spark, sf_dir):
     d = _decisions(spark, sf_dir)
     chosen = select.trim(d.where("decision = 'keeper'"), "composite", "id", c.CURATE_TARGET)
     return decide.mark_selected(d, chosen, "id").select("id", "decision")
 
 
-@query("summary_counts", f"WITH {_DECIDE_SQL} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (decision = '{x}') AS {x if x != 'select' else chr(34) + 'select' + chr(34)}" for x in report.LABELS) + " FROM d")
+@query(
+    "summary_counts",
+    f"WITH {_DECIDE_SQL} "
+    f"SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (decision = '{x}') AS {x if x != 'select' else chr(34) + 'select' + chr(34)}" for x in report.LABELS) + " "
+    "FROM d",
+)
 def summary_counts(spark, sf_dir):
     return report.summary(_decisions(spark, sf_dir))
 
 
-@query("keep_rate", f"WITH {_DECIDE_SQL}, n AS (SELECT count(*) FILTER (decision IN ('keeper', 'select')) AS kept, count(*) FILTER (decision IN ('rejected', 'duplicate')) AS rejected FROM d) SELECT kept, rejected, round(kept / (kept + rejected), 6) AS keep_rate FROM n")
+@query(
+    "keep_rate",
+    f"WITH {_DECIDE_SQL}, n AS (SELECT count(*) FILTER (decision IN ('keeper', 'select')) AS kept, "
+    f"count(*) FILTER (decision IN ('rejected', 'duplicate')) AS rejected FROM d) SELECT kept, rejected, round(kept / (kept + rejected), 6) AS keep_rate "
+    f"FROM n",
+)
 def keep_rate(spark, sf_dir):
     return report.keep_rate(_decisions(spark, sf_dir)).select("kept", "rejected", _r("keep_rate").alias("keep_rate"))
 
 
-_WHY = "CASE WHEN decision = 'duplicate' THEN 'duplicate' WHEN reject_reason = 'blur' THEN 'blur' WHEN reject_reason = 'noise' THEN 'noise' WHEN burst IS NOT NULL AND passed IS NOT NULL THEN 'burst' WHEN NOT passed AND clip_high > 0.03 THEN 'exposure' WHEN NOT kept THEN 'vlm' ELSE 'blur' END"
+_WHY = (
+    "CASE WHEN decision = 'duplicate' THEN 'duplicate' WHEN reject_reason = 'blur' THEN 'blur' WHEN reject_reason = 'noise' THEN 'noise' "
+    "WHEN burst IS NOT NULL AND passed IS NOT NULL THEN 'burst' WHEN NOT passed AND clip_high > 0.03 THEN 'exposure' WHEN NOT kept THEN 'vlm' "
+    "ELSE 'blur' END"
+)
 _SHARES = ", ".join(f"round(count(*) FILTER (why = '{x}') / count(*), 6) AS {x}_share" for x in report.REASONS)
 
 
@@ -434,7 +542,10 @@ def reject_breakdown(spark, sf_dir):
     return found.select(*[_r(f"{x}_share").alias(f"{x}_share") for x in report.REASONS])
 
 
-_SECONDS = "CASE WHEN shutter LIKE '%/%' THEN try_cast(split_part(rtrim(shutter, 's'), '/', 1) AS DOUBLE) / try_cast(split_part(rtrim(shutter, 's'), '/', 2) AS DOUBLE) ELSE try_cast(rtrim(shutter, 's') AS DOUBLE) END"
+_SECONDS = (
+    "CASE WHEN shutter LIKE '%/%' THEN try_cast(split_part(rtrim(shutter, 's'), '/', "
+    "1) AS DOUBLE) / try_cast(split_part(rtrim(shutter, 's'), '/', 2) AS DOUBLE) ELSE try_cast(rtrim(shutter, 's') AS DOUBLE) END"
+)
 
 
 @query("shutter_seconds", f"WITH {STAGES} SELECT id, shutter, round({_SECONDS}, 9) AS seconds FROM a")
@@ -448,13 +559,24 @@ def motion_risk(spark, sf_dir):
     return report.motion_risk(rejects, "seconds").select("samples", _r("motion_risk").alias("motion_risk"))
 
 
-@query("portrait_stats", f"WITH {_DECIDE_SQL}, s AS (SELECT CASE WHEN eye_left IS NULL AND eye_right IS NULL THEN NULL ELSE (coalesce(eye_left, 0.0) + coalesce(eye_right, 0.0)) / ((eye_left IS NOT NULL)::INT + (eye_right IS NOT NULL)::INT) END AS sharp, eyes_closed FROM d WHERE decision IN ('keeper', 'select')) SELECT count(*) AS unique_subjects, round(median(sharp), 6) AS eye_sharpness_median, round(count(*) FILTER (eyes_closed) / count(*), 6) AS eyes_closed_rate FROM s")
+@query(
+    "portrait_stats",
+    f"WITH {_DECIDE_SQL}, s AS (SELECT CASE WHEN eye_left IS NULL AND eye_right IS NULL THEN NULL ELSE (coalesce(eye_left, "
+    f"0.0) + coalesce(eye_right, 0.0)) / ((eye_left IS NOT NULL)::INT + (eye_right IS NOT NULL)::INT) END AS sharp, eyes_closed FROM d "
+    f"WHERE decision IN ('keeper', 'select')) SELECT count(*) AS unique_subjects, round(median(sharp), 6) AS eye_sharpness_median, "
+    f"round(count(*) FILTER (eyes_closed) / count(*), 6) AS eyes_closed_rate FROM s",
+)
 def portrait_stats(spark, sf_dir):
     found = report.portrait_stats(_decisions(spark, sf_dir), "eye_left", "eye_right", "eyes_closed")
     return found.select("unique_subjects", _r("eye_sharpness_median").alias("eye_sharpness_median"), _r("eyes_closed_rate").alias("eyes_closed_rate"))
 
 
-@query("timing", "WITH n AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS z, count(*) AS n FROM orders), s AS (SELECT *, (epoch_us(z) - epoch_us(a)) / 1e6 AS d FROM n) SELECT n AS photos, d AS duration_seconds, round(n / d * 60, 9) AS photos_per_minute FROM s")
+@query(
+    "timing",
+    "WITH n AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS z, count(*) AS n FROM orders), "
+    "s AS (SELECT *, (epoch_us(z) - epoch_us(a)) / 1e6 AS d FROM n) SELECT n AS photos, d AS duration_seconds, round(n / d * 60, 9) AS photos_per_minute "
+    "FROM s",
+)
 def timing(spark, sf_dir):
     found = report.timing(_table(spark, sf_dir, "orders"), F.col("o_orderdate"))
     return found.select("photos", "duration_seconds", F.round("photos_per_minute", 9).alias("photos_per_minute"))
@@ -471,25 +593,46 @@ def advice(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select(n.alias("id"), F.array_join(report.advice(n * 7 % 25 / 25.0, n * 3 % 25 / 25.0, n * 11 % 25 / 25.0), "\n").alias("advice"))
 
 
-@query("exif_pattern", "WITH n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS r FROM n) SELECT r.o_orderstatus, r.o_orderpriority, m.price::BIGINT AS price FROM r JOIN (SELECT o_orderstatus, floor(median(o_totalprice)) AS price FROM orders GROUP BY 1) m USING (o_orderstatus) WHERE r = 1")
+@query(
+    "exif_pattern",
+    "WITH n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() "
+    "OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS r FROM n) SELECT r.o_orderstatus, r.o_orderpriority, m.price::BIGINT AS price "
+    "FROM r JOIN (SELECT o_orderstatus, floor(median(o_totalprice)) AS price FROM orders GROUP BY 1) m USING (o_orderstatus) WHERE r = 1",
+)
 def exif_pattern(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
     return report.modal(o, ["o_orderstatus"], "o_orderpriority").join(o.groupBy("o_orderstatus").agg(F.floor(F.median("o_totalprice")).cast("bigint").alias("price")), "o_orderstatus")
 
 
-@query("stage_tallies", f"WITH {STAGES}, s AS (SELECT is_bokeh, passed, clip_high > 0.03 AS clip, abs(cast_a) > 8 AS tint, duplicate FROM a) SELECT count(*) FILTER (is_bokeh) AS bokeh, count(*) FILTER (NOT is_bokeh AND passed) AS sharp, count(*) FILTER (NOT is_bokeh AND NOT passed) AS soft, count(*) FILTER (clip) AS clip, count(*) FILTER (NOT clip AND tint) AS \"cast\", count(*) FILTER (NOT clip AND NOT tint) AS good, count(*) FILTER (is_bokeh) + count(*) FILTER (NOT is_bokeh AND passed) - count(*) FILTER (duplicate) AS passed FROM s")
+@query(
+    "stage_tallies",
+    f"WITH {STAGES}, s AS (SELECT is_bokeh, passed, clip_high > 0.03 AS clip, abs(cast_a) > 8 AS tint, duplicate FROM a) "
+    f"SELECT count(*) FILTER (is_bokeh) AS bokeh, count(*) FILTER (NOT is_bokeh AND passed) AS sharp, count(*) FILTER (NOT is_bokeh "
+    f"AND NOT passed) AS soft, count(*) FILTER (clip) AS clip, count(*) FILTER (NOT clip AND tint) AS \"cast\", count(*) FILTER (NOT clip "
+    f"AND NOT tint) AS good, count(*) FILTER (is_bokeh) + count(*) FILTER (NOT is_bokeh AND passed) - count(*) FILTER (duplicate) AS passed FROM s",
+)
 def stage_tallies(spark, sf_dir):
     a = events(spark, sf_dir, EVENT_STAGE)
     return report.stage1_tallies(a.select("is_bokeh", "passed", (F.col("clip_high") > c.CLIP_HIGH_MAX).alias("has_clip"), (F.abs("cast_a") > c.CAST_A).alias("has_cast"), F.col("duplicate").alias("is_duplicate")))
 
 
-@query("reducer_tallies", f"WITH {ASSETS}, f AS (SELECT route, {_RED_COLUMNS} FROM ({_fuse_sql(_W, 'a')})) SELECT count(*) FILTER (route = 'KEEPER') AS keeper, count(*) FILTER (route = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (route = 'REJECT') AS reject, count(*) FILTER (palette_outlier >= 0.5) AS palette, count(*) FILTER (exposure_drift >= 0.5) AS drift, count(*) FILTER (exif_anomaly >= 0.5) AS exif, count(*) FILTER (scene_bonus >= 0.5) AS scene FROM f")
+@query(
+    "reducer_tallies",
+    f"WITH {ASSETS}, f AS (SELECT route, {_RED_COLUMNS} FROM ({_fuse_sql(_W, 'a')})) "
+    f"SELECT count(*) FILTER (route = 'KEEPER') AS keeper, count(*) FILTER (route = 'AMBIGUOUS') AS ambiguous, "
+    f"count(*) FILTER (route = 'REJECT') AS reject, count(*) FILTER (palette_outlier >= 0.5) AS palette, count(*) FILTER (exposure_drift >= 0.5) AS drift, "
+    f"count(*) FILTER (exif_anomaly >= 0.5) AS exif, count(*) FILTER (scene_bonus >= 0.5) AS scene FROM f",
+)
 def reducer_tallies(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("tilt_penalty", m.tilt_penalty(F.col("tilt"), F.col("keystone")))
     return report.stage2_tallies(fusion.fuse(df).withColumns({k: F.expr(x) for k, x in REDUCERS.items()}))
 
 
-@query("sparkline", f"WITH {ASSETS}, r AS (SELECT exposure, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM a) SELECT bin, round(avg(exposure), 6) AS mean FROM (SELECT exposure, p // greatest(n // 40, 1) AS bin FROM r) WHERE bin < 40 GROUP BY bin")
+@query(
+    "sparkline",
+    f"WITH {ASSETS}, r AS (SELECT exposure, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM a) SELECT bin, "
+    f"round(avg(exposure), 6) AS mean FROM (SELECT exposure, p // greatest(n // 40, 1) AS bin FROM r) WHERE bin < 40 GROUP BY bin",
+)
 def sparkline(spark, sf_dir):
     return report.sparkline(events(spark, sf_dir), "exposure", "id").select("bin", _r("mean").alias("mean"))
 
@@ -513,7 +656,12 @@ def hot_medians(spark, sf_dir):
 
 _SHAPES = {"eyeBlinkLeft": "cast((id * 3) % 101 as double) / 101", "eyeBlinkRight": "cast((id * 5) % 103 as double) / 103", "mouthSmileLeft": "cast((id * 7) % 107 as double) / 107", "mouthSmileRight": "cast((id * 11) % 109 as double) / 109", "eyeLookOutLeft": "cast((id * 13) % 113 as double) / 113", "eyeLookOutRight": "cast((id * 17) % 127 as double) / 127"}
 _MOMENT_SQL = ", ".join(f"{x} AS {k}" for k, x in _SHAPES.items())
-_MOMENT = f"m AS (SELECT id, label, greatest(0, 1 - (coalesce(eyeBlinkLeft, 1) + eyeBlinkRight) / 2) AS eyes, (coalesce(mouthSmileLeft, 0) + mouthSmileRight) / 2 AS smile, greatest(0, 1 - (eyeLookOutLeft + eyeLookOutRight) / 2) AS gaze FROM (SELECT id, label, {_MOMENT_SQL} FROM (SELECT vec_id AS id, label FROM embeddings))), s AS (SELECT *, 0.5 * eyes + 0.3 * smile + 0.2 * gaze + CASE WHEN eyes >= 0.25 THEN 0.05 ELSE 0 END + CASE WHEN smile >= 0.4 THEN 0.05 ELSE 0 END AS score FROM m)"
+_MOMENT = (
+    f"m AS (SELECT id, label, greatest(0, 1 - (coalesce(eyeBlinkLeft, 1) + eyeBlinkRight) / 2) AS eyes, (coalesce(mouthSmileLeft, "
+    f"0) + mouthSmileRight) / 2 AS smile, greatest(0, 1 - (eyeLookOutLeft + eyeLookOutRight) / 2) AS gaze FROM (SELECT id, label, {_MOMENT_SQL} "
+    f"FROM (SELECT vec_id AS id, label FROM embeddings))), s AS (SELECT *, 0.5 * eyes + 0.3 * smile + 0.2 * gaze + CASE WHEN eyes >= 0.25 THEN 0.05 "
+    f"ELSE 0 END + CASE WHEN smile >= 0.4 THEN 0.05 ELSE 0 END AS score FROM m)"
+)
 
 
 def _shaped(spark, sf_dir) -> DataFrame:
@@ -541,12 +689,20 @@ def cluster_peak_type(spark, sf_dir):
     return select.peak_types(_members(spark, sf_dir), "label", "has_face", "is_motion")
 
 
-@query("cluster_winners", f"WITH {_MOMENT}, t AS (SELECT label, {_TYPE} AS kind FROM s GROUP BY label), v AS (SELECT s.label, s.id, kind, CASE kind WHEN 'portrait' THEN score WHEN 'action' THEN (id * 59) % 1000 / 100 ELSE (id * 37) % 997 / 997 END AS x FROM s JOIN t USING (label)) SELECT label, id, kind AS reason FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY x DESC, id) AS r FROM v) WHERE r = 1")
+@query(
+    "cluster_winners",
+    f"WITH {_MOMENT}, t AS (SELECT label, {_TYPE} AS kind FROM s GROUP BY label), v AS (SELECT s.label, s.id, kind, CASE kind "
+    f"WHEN 'portrait' THEN score WHEN 'action' THEN (id * 59) % 1000 / 100 ELSE (id * 37) % 997 / 997 END AS x FROM s JOIN t USING (label)) SELECT label, "
+    f"id, kind AS reason FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY x DESC, id) AS r FROM v) WHERE r = 1",
+)
 def cluster_winners(spark, sf_dir):
     return select.cluster_winners(_members(spark, sf_dir), "label", "id", "score", "has_face", "is_motion", "shapes", "motion")
 
 
-_POOL_SQL = f"{_VEC}, q AS (SELECT id, v, cast((id * 37) % 997 as double) / 997 AS s FROM e ORDER BY s DESC, id LIMIT {2 * c.CURATE_TARGET}), z AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS i FROM q)"
+_POOL_SQL = (
+    f"{_VEC}, q AS (SELECT id, v, cast((id * 37) % 997 as double) / 997 AS s FROM e ORDER BY s DESC, id LIMIT {2 * c.CURATE_TARGET}), "
+    f"z AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS i FROM q)"
+)
 
 
 @query(
@@ -560,12 +716,21 @@ def mmr_select(spark, sf_dir):
     return select.mmr(pool, "id", "embedding", "score", c.CURATE_TARGET)
 
 
-@query("tournament_order", "WITH RECURSIVE s AS (SELECT vec_id AS id, row_number() OVER (ORDER BY (vec_id * 37) % 997 DESC, vec_id) - 1 AS pos FROM embeddings), r AS (SELECT 0::BIGINT AS round, id, pos, (SELECT count(*) FROM s) AS n, false AS lost FROM s UNION ALL SELECT round + 1, id, pos // 2, (n + 1) // 2, pos % 2 = 1 FROM r WHERE NOT lost AND n > 1), l AS (SELECT round, id, pos FROM r WHERE lost), a AS (SELECT 0 AS round, id, 0 AS pos FROM s WHERE pos = 0 UNION ALL SELECT * FROM l) SELECT id, row_number() OVER (ORDER BY round, pos) AS place FROM a")
+@query(
+    "tournament_order",
+    "WITH RECURSIVE s AS (SELECT vec_id AS id, row_number() OVER (ORDER BY (vec_id * 37) % 997 DESC, vec_id) - 1 AS pos "
+    "FROM embeddings), r AS (SELECT 0::BIGINT AS round, id, pos, (SELECT count(*) FROM s) AS n, false AS lost FROM s UNION ALL SELECT round + 1, id, "
+    "pos // 2, (n + 1) // 2, pos % 2 = 1 FROM r WHERE NOT lost AND n > 1), l AS (SELECT round, id, pos FROM r WHERE lost), a AS (SELECT 0 AS round, id, "
+    "0 AS pos FROM s WHERE pos = 0 UNION ALL SELECT * FROM l) SELECT id, row_number() OVER (ORDER BY round, pos) AS place FROM a",
+)
 def tournament_order(spark, sf_dir):
     return select.tournament(_vectors(spark, sf_dir).withColumn("score", ((F.col("id") * 37) % 997).cast("double")), "id", "score")
 
 
-_SHOT = "CASE WHEN {i} % 3 = 0 THEN CASE WHEN {i} * 7 % 100 / 200.0 >= 0.15 THEN 'close' WHEN {i} * 7 % 100 / 200.0 >= 0.03 THEN 'medium' ELSE 'wide' END ELSE CASE WHEN {i} * 11 % 100 / 100.0 >= 0.5 THEN 'wide' ELSE 'close' END END"
+_SHOT = (
+    "CASE WHEN {i} % 3 = 0 THEN CASE WHEN {i} * 7 % 100 / 200.0 >= 0.15 THEN 'close' WHEN {i} * 7 % 100 / 200.0 >= 0.03 THEN 'medium' "
+    "ELSE 'wide' END ELSE CASE WHEN {i} * 11 % 100 / 100.0 >= 0.5 THEN 'wide' ELSE 'close' END END"
+)
 
 
 def _shots(spark, sf_dir) -> DataFrame:
@@ -578,12 +743,23 @@ def shot_types(spark, sf_dir):
     return _shots(spark, sf_dir).select("id", "shot")
 
 
-@query("variety_score", f"WITH s AS (SELECT {_SHOT.format(i='vec_id')} AS shot FROM embeddings), n AS (SELECT count(*) AS total, count(*) FILTER (shot = 'close') AS n_close, count(*) FILTER (shot = 'medium') AS n_medium, count(*) FILTER (shot = 'wide') AS n_wide FROM s) SELECT *, round((((n_close > 0)::INT + (n_medium > 0)::INT + (n_wide > 0)::INT) / 3.0 + (1 - greatest(n_close, n_medium, n_wide) / total)) / 2, 6) AS variety FROM n")
+@query(
+    "variety_score",
+    f"WITH s AS (SELECT {_SHOT.format(i='vec_id')} AS shot FROM embeddings), n AS (SELECT count(*) AS total, "
+    f"count(*) FILTER (shot = 'close') AS n_close, count(*) FILTER (shot = 'medium') AS n_medium, count(*) FILTER (shot = 'wide') AS n_wide FROM s) "
+    f"SELECT *, round((((n_close > 0)::INT + (n_medium > 0)::INT + (n_wide > 0)::INT) / 3.0 + (1 - greatest(n_close, n_medium, n_wide) / total)) / 2, "
+    f"6) AS variety FROM n",
+)
 def variety_score(spark, sf_dir):
     return select.variety(_shots(spark, sf_dir), "shot").withColumn("variety", _r("variety"))
 
 
-@query("variety_swap", f"WITH s AS (SELECT vec_id AS id, {_SHOT.format(i='vec_id')} AS shot FROM embeddings), c AS (SELECT *, row_number() OVER (ORDER BY id) AS pos FROM s WHERE shot = 'close' ORDER BY id LIMIT 8), f AS (SELECT min(id) AS id FROM s WHERE shot = 'medium') SELECT c.id, pos, shot, false AS is_swapped FROM c WHERE pos < 8 UNION ALL SELECT f.id, 8, 'medium', true FROM f")
+@query(
+    "variety_swap",
+    f"WITH s AS (SELECT vec_id AS id, {_SHOT.format(i='vec_id')} AS shot FROM embeddings), c AS (SELECT *, row_number() "
+    f"OVER (ORDER BY id) AS pos FROM s WHERE shot = 'close' ORDER BY id LIMIT 8), f AS (SELECT min(id) AS id FROM s WHERE shot = 'medium') SELECT c.id, "
+    f"pos, shot, false AS is_swapped FROM c WHERE pos < 8 UNION ALL SELECT f.id, 8, 'medium', true FROM f",
+)
 def variety_swap(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -600,7 +776,10 @@ def curation(spark, sf_dir):
 
 # ---------------------------------------------------------------- destinations, overrides, review
 
-_DEST = "CASE decision WHEN 'select' THEN 'root/_curated/_selects/' WHEN 'rejected' THEN 'root/_review/_rejected/' WHEN 'duplicate' THEN 'root/_review/_duplicates/' WHEN 'uncertain' THEN 'root/_review/_uncertain/' ELSE 'root/' END || name"
+_DEST = (
+    "CASE decision WHEN 'select' THEN 'root/_curated/_selects/' WHEN 'rejected' THEN 'root/_review/_rejected/' "
+    "WHEN 'duplicate' THEN 'root/_review/_duplicates/' WHEN 'uncertain' THEN 'root/_review/_uncertain/' ELSE 'root/' END || name"
+)
 
 
 @query("route_destination", f"WITH {_DECIDE_SQL} SELECT id, decision, {_DEST} AS destination FROM d")
@@ -608,21 +787,35 @@ def route_destination(spark, sf_dir):
     return _decisions(spark, sf_dir).select("id", "decision", decide.destination(F.col("decision"), F.lit("root"), F.col("name")).alias("destination"))
 
 
-@query("move_plan", f"WITH {_DECIDE_SQL}, g2 AS (SELECT id, decision, CASE WHEN id % 4 = 0 THEN 'root/_review/_rejected/' || name ELSE 'root/' || name END AS source, {_DEST} AS destination FROM d) SELECT *, CASE WHEN decision = 'keeper' THEN 'stay' WHEN source = destination THEN 'skip' ELSE 'move' END AS action FROM g2")
+@query(
+    "move_plan",
+    f"WITH {_DECIDE_SQL}, g2 AS (SELECT id, decision, CASE WHEN id % 4 = 0 THEN 'root/_review/_rejected/' || name "
+    f"ELSE 'root/' || name END AS source, {_DEST} AS destination FROM d) SELECT *, CASE WHEN decision = 'keeper' THEN 'stay' "
+    f"WHEN source = destination THEN 'skip' ELSE 'move' END AS action FROM g2",
+)
 def move_plan(spark, sf_dir):
     d = _decisions(spark, sf_dir).withColumn("root", F.lit("root"))
     existing = d.where("id % 4 = 0").select("id", F.concat(F.lit("root/_review/_rejected/"), F.col("name")).alias("current"))
     return decide.move_plan(d, existing, "id")
 
 
-@query("sidecar_rating", f"WITH {_DECIDE_SQL} SELECT id, CASE decision WHEN 'keeper' THEN 5 WHEN 'select' THEN 4 WHEN 'rejected' THEN 1 WHEN 'duplicate' THEN 1 ELSE 3 END AS rating, tilt IS NOT NULL AS has_angle FROM d")
+@query(
+    "sidecar_rating",
+    f"WITH {_DECIDE_SQL} SELECT id, CASE decision WHEN 'keeper' THEN 5 WHEN 'select' THEN 4 WHEN 'rejected' THEN 1 "
+    f"WHEN 'duplicate' THEN 1 ELSE 3 END AS rating, tilt IS NOT NULL AS has_angle FROM d",
+)
 def sidecar_rating(spark, sf_dir):
     crop = F.lit(None).cast("struct<top:double,left:double,bottom:double,right:double>")
     xml = _decisions(spark, sf_dir).select("id", files.sidecar(F.col("decision"), F.col("tilt"), F.col("keystone"), crop).alias("xml"))
     return xml.select("id", F.regexp_extract("xml", r'crs:Rating="(\d)"', 1).cast("int").alias("rating"), F.contains("xml", F.lit("crs:StraightenAngle=")).alias("has_angle"))
 
 
-@query("auto_accept", f"WITH {_DECIDE_SQL}, o2 AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'uncertain' ELSE decision END AS decision, s3_known, confidence, kept FROM d) SELECT id, CASE WHEN decision = 'uncertain' AND confidence > 0.6 THEN CASE WHEN kept THEN 'keeper' ELSE 'rejected' END ELSE decision END AS decision FROM o2")
+@query(
+    "auto_accept",
+    f"WITH {_DECIDE_SQL}, o2 AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'uncertain' ELSE decision END AS decision, s3_known, "
+    f"confidence, kept FROM d) SELECT id, CASE WHEN decision = 'uncertain' AND confidence > 0.6 THEN CASE WHEN kept THEN 'keeper' ELSE 'rejected' END "
+    f"ELSE decision END AS decision FROM o2",
+)
 def auto_accept(spark, sf_dir):
     opened = _decisions(spark, sf_dir).withColumn("decision", F.when(F.col("id") % 5 == 0, "uncertain").otherwise(F.col("decision")))
     return decide.auto_accept(opened).select("id", "decision")
@@ -636,7 +829,12 @@ def _log(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "events").select(e.alias("seq"), ((e * 7919) % 500).alias("id"), F.when(e % 4 == 0, "keeper").when(e % 4 == 1, "rejected").when(e % 4 == 2, "select").otherwise("uncertain").alias("label"))
 
 
-@query("override_latest", f"WITH {_DECIDE_SQL}, l AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM ({_LOG})) WHERE r = 1) SELECT d.id, coalesce(label, decision) AS decision, CASE WHEN label IS NOT NULL THEN decision END AS override_from, label IS NOT NULL AS is_override FROM d LEFT JOIN l USING (id)")
+@query(
+    "override_latest",
+    f"WITH {_DECIDE_SQL}, l AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r "
+    f"FROM ({_LOG})) WHERE r = 1) SELECT d.id, coalesce(label, decision) AS decision, CASE WHEN label IS NOT NULL THEN decision END AS override_from, "
+    f"label IS NOT NULL AS is_override FROM d LEFT JOIN l USING (id)",
+)
 def override_latest(spark, sf_dir):
     return decide.override(_decisions(spark, sf_dir), _log(spark, sf_dir), "id").select("id", "decision", "override_from", "is_override")
 
@@ -646,12 +844,22 @@ def override_undo(spark, sf_dir):
     return decide.undo(_log(spark, sf_dir), "id").select("id", "seq", "label")
 
 
-@query("override_restore", f"WITH {_DECIDE_SQL}, l AS ({_LOG}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r, lead(label) OVER (PARTITION BY id ORDER BY seq DESC) AS b FROM l) SELECT r.id, coalesce(b, decision) AS label, (SELECT max(seq) + 1 FROM l) AS seq FROM r JOIN d ON r.id = d.id WHERE r = 1")
+@query(
+    "override_restore",
+    f"WITH {_DECIDE_SQL}, l AS ({_LOG}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r, "
+    f"lead(label) OVER (PARTITION BY id ORDER BY seq DESC) AS b FROM l) SELECT r.id, coalesce(b, decision) AS label, (SELECT max(seq) + 1 FROM l) AS seq "
+    f"FROM r JOIN d ON r.id = d.id WHERE r = 1",
+)
 def override_restore(spark, sf_dir):
     return decide.restore(_decisions(spark, sf_dir), _log(spark, sf_dir), "id").select("id", "label", "seq")
 
 
-@query("override_group", f"WITH {STAGES}, {_LOSERS_SQL}, b AS (SELECT a.id, shoot || '/' || burst AS g FROM a LEFT JOIN w USING (id)), h AS (SELECT * FROM b WHERE id % 97 = 0) SELECT id, 'rejected' AS label FROM b WHERE g IN (SELECT g FROM h WHERE g IS NOT NULL) OR id IN (SELECT id FROM h WHERE g IS NULL)")
+@query(
+    "override_group",
+    f"WITH {STAGES}, {_LOSERS_SQL}, b AS (SELECT a.id, shoot || '/' || burst AS g FROM a LEFT JOIN w USING (id)), h AS (SELECT * "
+    f"FROM b WHERE id % 97 = 0) SELECT id, 'rejected' AS label FROM b WHERE g IN (SELECT g FROM h WHERE g IS NOT NULL) OR id IN (SELECT id FROM h "
+    f"WHERE g IS NULL)",
+)
 def override_group(spark, sf_dir):
     a = events(spark, sf_dir, EVENT_STAGE)
     grouped = a.select("id").join(_bursts(spark, sf_dir).select("id", F.concat_ws("/", F.col("shoot").cast("string"), F.col("burst").cast("string")).alias("g")), "id", "left")
@@ -674,7 +882,11 @@ def log_tail(spark, sf_dir):
     return decide.latest(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts"), "ts")
 
 
-@query("class_sample", f"WITH {_DECIDE_SQL}, r AS (SELECT id, decision, row_number() OVER (PARTITION BY decision ORDER BY md5('7:' || id), id) AS r FROM d) SELECT id, decision FROM r WHERE r <= {c.EXIF_SAMPLE}")
+@query(
+    "class_sample",
+    f"WITH {_DECIDE_SQL}, r AS (SELECT id, decision, row_number() OVER (PARTITION BY decision ORDER BY md5('7:' || id), id) AS r "
+    f"FROM d) SELECT id, decision FROM r WHERE r <= {c.EXIF_SAMPLE}",
+)
 def class_sample(spark, sf_dir):
     return decide.sample(_decisions(spark, sf_dir), "decision", "id").select("id", "decision")
 
@@ -685,7 +897,12 @@ _ANSWER = "CASE event_id % 6 WHEN 0 THEN 'Sure! {{\"sharpness\": ' || s || ', \"
 _SCORE = "(CASE WHEN event_id % 9 = 8 THEN '1.25' ELSE '0.' || (event_id % 10) END)"
 
 
-@query("vlm_parse", f"SELECT event_id AS id, NOT ok AS is_parse_error, CASE WHEN ok THEN event_id % 6 <> 1 END AS is_keeper, CASE WHEN ok THEN {_SCORE}::DOUBLE END AS sharpness, CASE WHEN ok THEN CASE event_id % 6 WHEN 0 THEN {_SCORE}::DOUBLE WHEN 1 THEN 0.75 ELSE 0.5 END END AS confidence FROM (SELECT *, event_id % 6 IN (0, 1, 5) AND {_SCORE}::DOUBLE <= 1 AS ok FROM events)")
+@query(
+    "vlm_parse",
+    f"SELECT event_id AS id, NOT ok AS is_parse_error, CASE WHEN ok THEN event_id % 6 <> 1 END AS is_keeper, CASE "
+    f"WHEN ok THEN {_SCORE}::DOUBLE END AS sharpness, CASE WHEN ok THEN CASE event_id % 6 WHEN 0 THEN {_SCORE}::DOUBLE WHEN 1 THEN 0.75 "
+    f"ELSE 0.5 END END AS confidence FROM (SELECT *, event_id % 6 IN (0, 1, 5) AND {_SCORE}::DOUBLE <= 1 AS ok FROM events)",
+)
 def vlm_parse(spark, sf_dir):
     e = F.col("event_id")
     s = F.when(e % 9 == 8, "1.25").otherwise(F.concat(F.lit("0."), (e % 10).cast("string")))
@@ -707,7 +924,11 @@ def slug(spark, sf_dir):
 _HINTS = ["CASE WHEN composition IS NOT NULL THEN 'Note: Stage 2 composite score was ' || printf('%.2f', topiq) || '.' END", "CASE WHEN composition IS NOT NULL THEN 'Note: prior composition analysis scored ' || printf('%.2f', composition) || '.' END", "CASE WHEN motion > 3 THEN 'Note: directional frequency analysis suggests possible motion blur.' END", "CASE WHEN is_bokeh THEN 'Note: shallow depth of field may be intentional; judge subject sharpness without rewarding a weak frame overall.' END", "CASE WHEN has_portrait THEN 'Note: a face was detected in the frame.' END", "CASE WHEN id % 7 = 1 THEN 'Note: expression classifier detected ''happy''.' END", "CASE WHEN eyes_closed THEN 'Note: eye closure was detected — verify if subject''s eyes are open.' END", "CASE WHEN occluded THEN 'Note: face occlusion was detected — verify if the subject is obstructed.' END", "CASE WHEN clip_high > 0.03 THEN 'Note: highlight clipping detected in prior exposure analysis.' END", "CASE WHEN clip_low > 0.2 THEN 'Note: shadow clipping detected in prior exposure analysis.' END", "CASE WHEN abs(cast_a) > 8 THEN 'Note: color cast detected in prior exposure analysis.' END"]
 
 
-@query("prompt_hints", f"WITH {ASSETS}, l AS (SELECT id, list_filter([{', '.join(_HINTS)}], lambda x: x IS NOT NULL) AS l FROM a) SELECT id, CASE WHEN len(l) = 0 THEN 'No prior flags.' ELSE array_to_string(l, chr(10)) END AS hints FROM l")
+@query(
+    "prompt_hints",
+    f"WITH {ASSETS}, l AS (SELECT id, list_filter([{', '.join(_HINTS)}], lambda x: x IS NOT NULL) AS l FROM a) SELECT id, CASE "
+    f"WHEN len(l) = 0 THEN 'No prior flags.' ELSE array_to_string(l, chr(10)) END AS hints FROM l",
+)
 def prompt_hints(spark, sf_dir):
     k = F.col
     hints = t.prompt_hints(F.when(k("composition").isNotNull(), k("topiq")), k("composition"), k("motion") > 3, k("is_bokeh"), k("has_portrait"), F.when(k("id") % 7 == 1, "happy"), k("eyes_closed"), k("occluded"), k("clip_high") > c.CLIP_HIGH_MAX, k("clip_low") > c.CLIP_LOW_MAX, F.abs("cast_a") > c.CAST_A)
@@ -728,7 +949,13 @@ def _frames(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "events").select(id_.alias("id"), F.expr(_FRAME_W).cast("int").alias("w"), F.expr(_FRAME_H).cast("int").alias("h"), F.when(id_ % 7 != 0, box).alias("salient"), (id_ % 5 == 0).alias("has_face"), face.alias("face"), F.when(id_ % 4 == 0, crop).alias("crop"))
 
 
-@query("subject_region", f"WITH {_FRAME_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'face' WHEN id % 7 <> 0 THEN 'saliency_peak' ELSE 'global' END AS source, id % 5 = 0 OR id % 7 <> 0 AS has_subject, CASE WHEN id % 5 = 0 THEN 10 WHEN id % 7 <> 0 THEN floor(x0 * w) ELSE 0 END::INT AS x0, CASE WHEN id % 5 = 0 THEN id % 200 + 40 WHEN id % 7 <> 0 THEN greatest(floor(y1 * h), floor(y0 * h) + 1) ELSE h END::INT AS y1 FROM f")
+@query(
+    "subject_region",
+    f"WITH {_FRAME_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'face' WHEN id % 7 <> 0 THEN 'saliency_peak' "
+    f"ELSE 'global' END AS source, id % 5 = 0 OR id % 7 <> 0 AS has_subject, CASE WHEN id % 5 = 0 THEN 10 WHEN id % 7 <> 0 THEN floor(x0 * w) "
+    f"ELSE 0 END::INT AS x0, CASE WHEN id % 5 = 0 THEN id % 200 + 40 WHEN id % 7 <> 0 THEN greatest(floor(y1 * h), floor(y0 * h) + 1) ELSE h END::INT AS y1 "
+    f"FROM f",
+)
 def subject_region(spark, sf_dir):
     k = F.col
     found = _frames(spark, sf_dir).select("id", regions.subject_region(k("has_face"), k("face"), k("salient"), k("w"), k("h")).alias("r"))
@@ -739,7 +966,12 @@ _FIT = "greatest(0, least({m}, round_even({x} * greatest(greatest(w, h) / 512.0,
 _EDGES = {"top": ("id % 90", "h", "y0"), "left": ("id % 100", "w", "x0"), "bottom": ("(id % 90 + 200)", "h", "y1"), "right": ("(id % 100 + 300)", "w", "x1")}
 
 
-@query("crop_proposal", f"WITH {_FRAME_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'smartcrop' ELSE 'saliency_thirds' END AS source, {', '.join(f'CASE WHEN id % 4 = 0 THEN {_FIT.format(m=m_, x=x)} ELSE CASE WHEN id % 7 <> 0 THEN floor({s} * {m_})::INT END END AS {e}' for e, (x, m_, s) in _EDGES.items())} FROM f")
+@query(
+    "crop_proposal",
+    f"WITH {_FRAME_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'smartcrop' "
+    f"ELSE 'saliency_thirds' END AS source, {', '.join(f'CASE WHEN id % 4 = 0 THEN {_FIT.format(m=m_, x=x)} ELSE CASE WHEN id % 7 <> 0 THEN floor({s} * {m_})::INT END END AS {e}' for e, (x, m_, s) in _EDGES.items())} "
+    f"FROM f",
+)
 def crop_proposal(spark, sf_dir):
     k = F.col
     found = _frames(spark, sf_dir).select("id", regions.crop_proposal(k("crop"), k("salient"), k("w"), k("h")).alias("c"))
@@ -762,7 +994,11 @@ def linear_head(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _r(m.linear_head(F.col("embedding"), _HEAD)).alias("score"))
 
 
-@query("film_strip", f"WITH {_DECIDE_SQL} SELECT id % 100 AS strip, string_agg(CASE decision WHEN 'keeper' THEN '●' WHEN 'rejected' THEN '○' WHEN 'duplicate' THEN '◌' WHEN 'select' THEN '★' ELSE '◐' END, '' ORDER BY id) AS marks FROM d GROUP BY 1")
+@query(
+    "film_strip",
+    f"WITH {_DECIDE_SQL} SELECT id % 100 AS strip, string_agg(CASE decision WHEN 'keeper' THEN '●' WHEN 'rejected' THEN '○' "
+    f"WHEN 'duplicate' THEN '◌' WHEN 'select' THEN '★' ELSE '◐' END, '' ORDER BY id) AS marks FROM d GROUP BY 1",
+)
 def film_strip(spark, sf_dir):
     rolls = _decisions(spark, sf_dir).groupBy((F.col("id") % 100).alias("strip")).agg(F.array_sort(F.collect_list(F.struct("id", "decision"))).alias("d"))
     return rolls.select("strip", t.film_strip(F.transform("d", lambda x: x["decision"])).alias("marks"))
@@ -776,13 +1012,22 @@ def scoring_prompt(spark, sf_dir):
     return asked.select("id", F.regexp_extract("p", "Intent:\n([^\n]*)\n", 1).alias("intent"), F.regexp_extract("p", "Known so far:\n([^\n]*)\n", 1).alias("hints"), named.alias("flags"))
 
 
-@query("outlier_flags", f"WITH {ASSETS}, r AS (SELECT id, {_RED_COLUMNS} FROM a), l AS (SELECT id, list_filter([CASE WHEN palette_outlier > 0.5 THEN 'palette' END, CASE WHEN exposure_drift > 0.5 THEN 'exposure' END, CASE WHEN exif_anomaly > 0.5 THEN 'exif' END], lambda x: x IS NOT NULL) AS l FROM r) SELECT id, CASE WHEN len(l) = 0 THEN 'none' ELSE array_to_string(l, ', ') END AS flags FROM l")
+@query(
+    "outlier_flags",
+    f"WITH {ASSETS}, r AS (SELECT id, {_RED_COLUMNS} FROM a), l AS (SELECT id, list_filter([CASE "
+    f"WHEN palette_outlier > 0.5 THEN 'palette' END, CASE WHEN exposure_drift > 0.5 THEN 'exposure' END, CASE WHEN exif_anomaly > 0.5 THEN 'exif' END], "
+    f"lambda x: x IS NOT NULL) AS l FROM r) SELECT id, CASE WHEN len(l) = 0 THEN 'none' ELSE array_to_string(l, ', ') END AS flags FROM l",
+)
 def outlier_flags(spark, sf_dir):
     df = events(spark, sf_dir).withColumns({k: F.expr(x) for k, x in REDUCERS.items()})
     return df.select("id", t.outlier_flags(F.col("palette_outlier"), F.col("exposure_drift"), F.col("exif_anomaly")).alias("flags"))
 
 
-@query("size_text", "SELECT doc_id AS id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.0f KB', n_chars / 1024.0) END AS size, CASE WHEN n_chars < 60 THEN n_chars || 's' ELSE (n_chars // 60) || 'm' || lpad((n_chars % 60)::VARCHAR, 2, '0') || 's' END AS duration FROM documents")
+@query(
+    "size_text",
+    "SELECT doc_id AS id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.0f KB', n_chars / 1024.0) END AS size, CASE "
+    "WHEN n_chars < 60 THEN n_chars || 's' ELSE (n_chars // 60) || 'm' || lpad((n_chars % 60)::VARCHAR, 2, '0') || 's' END AS duration FROM documents",
+)
 def size_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.byte_text(F.col("n_chars")).alias("size"), t.duration_text(F.col("n_chars")).alias("duration"))
 
@@ -812,13 +1057,24 @@ def fingerprint(spark, sf_dir):
     return report.corpus_fingerprint(f, "name", "sha256")
 
 
-@query("fingerprint_parts", "WITH l AS (SELECT 'doc_' || doc_id || chr(9) || sha256(text) AS l, substr(sha256(text), 1, 4) AS b FROM documents), p AS (SELECT b, sha256(string_agg(l, chr(10) ORDER BY l)) AS p FROM l GROUP BY b) SELECT sha256(string_agg(p, chr(10) ORDER BY b)) AS fingerprint FROM p")
+@query(
+    "fingerprint_parts",
+    "WITH l AS (SELECT 'doc_' || doc_id || chr(9) || sha256(text) AS l, substr(sha256(text), 1, 4) AS b FROM documents), "
+    "p AS (SELECT b, sha256(string_agg(l, chr(10) ORDER BY l)) AS p FROM l GROUP BY b) SELECT sha256(string_agg(p, chr(10) ORDER BY b)) AS fingerprint "
+    "FROM p",
+)
 def fingerprint_parts(spark, sf_dir):
     f = file_digests(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("id").cast("string")).alias("name"), "sha256")
     return report.fingerprint(f, "name", "sha256")
 
 
-@query("baseline_divergence", f"WITH {ASSETS}, x AS (SELECT id, event_type AS k, topiq AS v FROM a JOIN events ON id = event_id WHERE id % 31 <> 0), y AS (SELECT id, event_type AS k, CASE WHEN id % 10 = 0 THEN topiq + 0.001 * (id % 7) ELSE topiq END AS v FROM a JOIN events ON id = event_id WHERE id % 37 <> 0), j AS (SELECT coalesce(x.k, y.k) AS category, abs(x.v - y.v) AS g FROM x FULL JOIN y ON x.id = y.id) SELECT category, count(*) AS diverged, round(max(g), 9) AS worst FROM j WHERE g IS NULL OR g > 1e-5 GROUP BY category")
+@query(
+    "baseline_divergence",
+    f"WITH {ASSETS}, x AS (SELECT id, event_type AS k, topiq AS v FROM a JOIN events ON id = event_id WHERE id % 31 <> 0), "
+    f"y AS (SELECT id, event_type AS k, CASE WHEN id % 10 = 0 THEN topiq + 0.001 * (id % 7) ELSE topiq END AS v FROM a JOIN events ON id = event_id "
+    f"WHERE id % 37 <> 0), j AS (SELECT coalesce(x.k, y.k) AS category, abs(x.v - y.v) AS g FROM x FULL JOIN y ON x.id = y.id) SELECT category, "
+    f"count(*) AS diverged, round(max(g), 9) AS worst FROM j WHERE g IS NULL OR g > 1e-5 GROUP BY category",
+)
 def baseline_divergence(spark, sf_dir):
     kinds = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("category"))
     a = events(spark, sf_dir).select("id", "topiq").join(kinds, "id")
