@@ -323,3 +323,40 @@ def test_streamed_tallies_and_gated_retraining(spark, tmp_path):
     for _ in range(2):
         stream.retrain(stream.read(spark, log), log, str(tmp_path / "ck"), str(tmp_path / "state"), models.append).awaitTermination()
     assert len(models) == 1
+
+
+def test_tables_of_a_query_go_once_its_result_is_read(spark):
+    import os
+
+    from winnow.tables import scratch, shared_dir, tables_removed
+
+    named = lambda: {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("winnow-")}
+    before = named()
+    kept = scratch(spark.range(3), "kept")
+    with tables_removed():
+        outer = scratch(spark.range(5), "outer")
+        with tables_removed():
+            assert scratch(spark.range(4), "inner").count() == 4
+        assert outer.count() == 5 and len(named() - before) == 2
+    assert len(named() - before) == 1 and kept.count() == 3
+    with pytest.raises(ZeroDivisionError), tables_removed():
+        scratch(spark.range(2), "lost")
+        raise ZeroDivisionError
+    assert len(named() - before) == 1
+
+
+def test_decisions_come_from_whatever_is_known_of_an_id(spark):
+    from winnow.operators import decide
+
+    scan = spark.createDataFrame([(k, f"f{k}") for k in range(8)] + [(None, "none")], "id bigint, name string")
+    s1 = spark.createDataFrame([(0, True, None), (1, False, "blur"), (3, None, None), (99, True, None)], "id bigint, passed boolean, reject_reason string")
+    s2 = spark.createDataFrame([(0, "KEEPER", 0.8), (4, "AMBIGUOUS", 0.5), (5, "AMBIGUOUS", 0.5), (2, None, None)], "id bigint, routing string, composite double")
+    s3 = spark.createDataFrame([(4, True, 0.9), (5, None, 0.1)], "id bigint, kept boolean, confidence double")
+    ids = lambda *x: spark.createDataFrame([(k,) for k in x], "id bigint")
+    out = decide.assemble(scan, s1, s2, s3, ids(6, 6, None), ids(7, None), "id")
+    assert out.columns == ["id", "name", "passed", "reject_reason", "routing", "composite", "kept", "confidence", "is_loser", "is_duplicate", "decision", "stage_reached"]
+    got = {r.id: (r.decision, r.stage_reached, r.is_loser, r.is_duplicate) for r in out.collect()}
+    assert out.count() == 9 and got == {
+        0: ("keeper", 2, False, False), 1: ("rejected", 1, False, False), 2: ("uncertain", 1, False, False), 3: ("uncertain", 1, False, False),
+        4: ("keeper", 3, False, False), 5: ("uncertain", 3, False, False), 6: ("rejected", 1, True, False), 7: ("duplicate", 1, False, True), None: ("uncertain", 1, False, False),
+    }

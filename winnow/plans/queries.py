@@ -17,6 +17,7 @@ from ..operators.graph import components
 from ..operators.medians import medians
 from ..sources import files
 from ..streaming import overrides
+from ..tables import drop_folder, scratch, shared_dir
 from .assets import EVENT_STAGE, events, events_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,11 +471,12 @@ d AS (SELECT * REPLACE (CASE WHEN decision IN ('duplicate', 'rejected') AND rout
 def _decisions(spark, sf_dir) -> DataFrame:
     """Decisions over events: bursts, duplicates, a fused second stage, second opinions on AMBIGUOUS rows."""
     a = events(spark, sf_dir, EVENT_STAGE)
-    ranked = sequence.rank_bursts(sequence.bursts(a, ["shoot"], "ts", "id", GAP), ["shoot"], "ts", "id", "tenengrad").select("id", "burst", "burst_rank", "is_burst_winner")
+    ranked = sequence.rank_bursts(sequence.bursts(a.select("id", "shoot", "ts", "tenengrad"), ["shoot"], "ts", "id", GAP), ["shoot"], "ts", "id", "tenengrad")
+    ranked = scratch(ranked.select("id", "burst", "burst_rank", "is_burst_winner"), "bursts")  # five readers
     losers, duplicates = ranked.where("not is_burst_winner"), a.where("duplicate").select("id")
     first = a.where("s1_known").select("id", "passed", "reject_reason")
     alive = decide.survivors(a.where("s1_known and passed").withColumn("tilt_penalty", m.tilt_penalty(F.col("tilt"), F.col("keystone"))), losers, duplicates, "id")
-    fused = fusion.fuse(alive).select("id", "routing", "composite", "s3_known", "kept", "confidence")
+    fused = scratch(fusion.fuse(alive).select("id", "routing", "composite", "s3_known", "kept", "confidence"), "fused")
     third = fused.where("routing = 'AMBIGUOUS' and s3_known").select("id", "kept", "confidence")
     scan = a.drop("passed", "reject_reason", "kept", "confidence", "s1_known", "s3_known")
     return decide.assemble(scan, first, fused.select("id", "routing", "composite"), third, losers, duplicates, "id").join(ranked.select("id", "burst", "burst_rank"), "id", "left")
@@ -1096,7 +1098,6 @@ def override_stream_counts(spark, sf_dir):
     import uuid
 
     from ..streaming.overrides import label_counts, read
-    from ..tables import drop_folder, scratch, shared_dir
 
     folder = f"{shared_dir(spark)}/winnow-log-{uuid.uuid4().hex}"
     entries = _log(spark, sf_dir).select(F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), F.col("label").alias("user_decision"))

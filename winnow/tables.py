@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+_made: ContextVar[list | None] = ContextVar("made", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,6 +44,9 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     that every executor sees, so a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow-{name}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append((spark, path))  # before it is written: a write that fails leaves files too
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,3 +62,19 @@ def drop_scratch(df: DataFrame) -> None:
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if os.path.basename(f).startswith("winnow-"):
             drop_folder(spark, f)
+
+
+@contextmanager
+def tables_removed() -> Iterator[None]:
+    """Removes the tables that scratch() wrote within, at the end, whether or not an error ends it.
+
+    A query's result reads such tables, so write or collect it within.  Of nested ones each removes its own.
+    """
+    made: list[tuple[SparkSession, str]] = []
+    before = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for spark, path in made:
+            drop_folder(spark, path)
