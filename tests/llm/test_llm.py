@@ -24,7 +24,7 @@ def texts(n=60, seed=1):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 5)))
     out = [" ".join(word() for _ in range(r.randint(1, 60))) for _ in range(n)]
-    out += [out[0], out[0], out[1] + " extra", None, "", "  \n\t", "one", "ONE", "tab\tand\nline\nline\n \nline", "long " * 3000]
+    out += [out[0], out[0], out[1] + " extra", None, "", "  \n\t", "one", "ONE", "tab\tand\nline\nline\n \nline", "long " * 3000 + " ".join(f"w{k % 997}" for k in range(6000))]
     return out
 
 
