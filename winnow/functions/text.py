@@ -167,10 +167,17 @@ def film_strip(labels: Column) -> Column:
     return F.array_join(F.transform(labels, lambda x: F.coalesce(marks[x], F.lit(MARKS["uncertain"]))), "")
 
 
-def byte_text(n: Column) -> Column:
+def byte_text(n: Column, largest: str = "GB") -> Column:
+    """A number of bytes in the unit that suits it, but none above `largest` (KB, MB or GB); halves go to the even digit, a
+    null stays null."""
     kb, mb, gb = float(1 << 10), float(1 << 20), float(1 << 30)
-    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.0f KB", n / kb)).when(n < gb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.2f GB", n / gb))
+    units = {"KB": F.format_string("%.0f KB", F.rint(n / kb)), "MB": F.format_string("%.1f MB", F.bround(n / mb, 1)), "GB": F.format_string("%.2f GB", F.bround(n / gb, 2))}
+    text = F.when(n < kb, F.format_string("%d B", n))
+    for unit, most in (("KB", mb), ("MB", gb))[: list(units).index(largest)]:
+        text = text.when(n < most, units[unit])
+    return text.when(n.isNotNull(), units[largest])
 
 
 def duration_text(seconds: Column) -> Column:
-    return F.when(seconds < 60, F.format_string("%.0fs", seconds.cast("double"))).otherwise(F.format_string("%dm%02ds", F.floor(seconds / 60), F.floor(seconds % 60)))
+    short = F.when(seconds < 60, F.format_string("%.0fs", F.rint(seconds.cast("double"))))
+    return short.when(seconds >= 60, F.format_string("%dm%02ds", F.floor(seconds / 60), F.floor(seconds % 60)))
