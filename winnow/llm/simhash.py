@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .kit import drop_scratch, lookup, map_batches, scramble, scratch, slices, spread, text_bytes, words_of
+from .kit import drop_scratch, lookup, map_batches, release, scramble, scratch, slices, spread, squeeze, text_bytes, unsqueeze, words_of
 
 BITS = 64
 FULL = (1 << BITS) - 1
@@ -93,18 +93,21 @@ class Prefix:
     """Of a set of n shingle hashes, the first n - ceil(similarity n) + 1 in an order that all sets share.
 
     Two sets whose Jaccard similarity is at least `similarity` have a hash in common among these, whatever the order.
-    The order puts hashes in `common` (sorted; `counts` says how common) last, so that they seldom are in a prefix.
+    The order puts hashes in `common` (sorted; `counts` says how common) last, and before them by level those whose slot in
+    `levels` (a power of two of them, or none) says that they repeat: so these seldom are in a prefix.
     """
 
-    def __init__(self, similarity: float, common: np.ndarray, counts: np.ndarray):
-        self.similarity, self.common, self.counts = similarity, common, counts
+    def __init__(self, similarity: float, common: np.ndarray, counts: np.ndarray, levels: np.ndarray):
+        self.similarity, self.common, self.counts, self.levels = similarity, common, counts, levels
 
     def of(self, x: np.ndarray) -> np.ndarray:
         size = len(x) - math.ceil(self.similarity * len(x) - 1e-9) + 1 if len(x) else 0
-        if not len(self.common):
+        if not len(self.levels) and not len(self.common):
             return x[:size]
-        at = np.minimum(np.searchsorted(self.common, x), len(self.common) - 1)
-        count = np.where(self.common[at] == x, self.counts[at], 0)
+        count = self.levels[x & np.uint64(len(self.levels) - 1)].astype(np.int64) if len(self.levels) else np.zeros(len(x), dtype=np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, x), len(self.common) - 1)
+            count = np.where(self.common[at] == x, 256 + self.counts[at], count)
         return x[np.argsort(count, kind="stable")[:size]]
 
 
@@ -412,9 +415,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 # ---------------------------------------------------------------- exact candidates by prefixes
 
 
-def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 20_000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of the shingles that at least `least` of about `sample` texts hold: they only order
-    prefixes, so which texts are looked at changes the cost, never the result."""
+#: Slots of the table of levels, and of each part of it that a task packs.
+SLOTS, PART = 1 << 23, 1 << 15
+
+
+def shingle_levels(repeated: DataFrame) -> np.ndarray:
+    """For each slot (a hash's low bits) a level that grows with the count of its most frequent hash in repeated (hash, n); 0 if
+    none.  The rarest counts are left out where they would fill over half of the slots.  Parts of the table are packed in tasks:
+    8 MB reach the driver at most, however many hashes there are."""
+    least, held = 0, 0
+    for n, rows in sorted(map(tuple, repeated.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*")).collect()), reverse=True):
+        held += rows
+        if held > SLOTS // 2:
+            break
+        least = n
+    if not least:
+        return np.zeros(0, dtype=np.uint8)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, slot, level), size in _groups(batches, 1):
+            for a, c in zip((np.cumsum(size) - size).tolist(), size.tolist()):
+                own = np.zeros(PART, dtype=np.uint8)
+                np.maximum.at(own, slot[a : a + c] % PART, level[a : a + c].astype(np.uint8))
+                yield pa.record_batch([pa.array(part[a : a + 1]), pa.array([squeeze(own)], pa.binary())], names=["part", "levels"])
+
+    slot = F.col("hash").bitwiseAND(F.lit(SLOTS - 1))
+    level = F.least(F.lit(255.0), F.floor(8 * F.log2("n"))).cast("bigint")
+    dealt = repeated.where(F.col("n") >= least).select(F.floor(slot / PART).alias("part"), slot.alias("slot"), level.alias("level"))
+    levels = np.zeros(SLOTS, dtype=np.uint8)
+    for r in map_batches(dealt.repartition("part").sortWithinPartitions("part"), pack, "part bigint, levels binary").collect():
+        levels[r.part * PART : (r.part + 1) * PART] = unsqueeze(r.levels)
+    return levels
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 20_000, share: int = 8, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, counts, levels): the shingles that at least `least` in `sample` texts hold, and shingle_levels of those
+    that two texts hold, of about `sample` texts or one in `share`, whichever is more.  They only order prefixes, so which
+    texts are looked at changes the cost, never the result.  What is not seen twice is held by some 2 * share texts, so
+    buckets of such shingles stay as small when the table grows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,12 +462,17 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int =
                 yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    parts = max(1, texts.count() // sample)
+    total = texts.count()
+    parts = max(1, min(share, total // sample))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
-    rows = map_batches(some, run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "hash").limit(most).toArrow()
+    repeated = scratch(map_batches(some, run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+    enough = max(least, least * (total // parts) // sample)
+    rows = repeated.where(F.col("n") >= enough).orderBy(F.desc("n"), "hash").limit(most).toArrow()
     hashes = rows["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], rows["n"].to_numpy()[order]
+    levels = shingle_levels(repeated)
+    drop_scratch(repeated)
+    return hashes[order], rows["n"].to_numpy()[order], levels
 
 
 def prefix_rows(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
@@ -707,6 +750,13 @@ class _Near:
             drop_scratch(self.tables.pop())
         else:
             raise RuntimeError("texts of one hash could not be told apart")
+        self.is_large = self.texts.count() >= 50_000
+        self.freed()
+
+    def freed(self) -> None:
+        """After a step with large shuffles: their files go now, not when the driver next happens to collect garbage."""
+        if self.is_large:
+            release(self.texts.sparkSession)
 
     def held(self, df: DataFrame, name: str) -> DataFrame:
         self.tables.append(scratch(df, name))
@@ -726,14 +776,18 @@ class _Near:
         wanted = self.held(keys.distinct(), "wanted")
         few = wanted.count() <= self.broadcast_keys
         held = self.keyed.select("near_key", F.col(self.text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "near_key", "left_semi")
-        return scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+        sets = scratch(map_batches(held, run, "key bigint, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+        self.freed()
+        return sets
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose similarity is high enough, by their whole sets."""
         pairs = self.held(promising(pairs.distinct(), self.texts, self.similarity), "pairs")
+        self.freed()
         sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("near_key")))
         links = self.held(jaccard(pairs, sets).where(F.col("similarity") >= self.similarity).select("a", "b"), "links")
         drop_scratch(sets)  # the largest of the tables
+        self.freed()
         return links
 
     def close(self) -> DataFrame:
@@ -753,6 +807,7 @@ class _Near:
         roots = self.rooted(self.close())
         marked = self.texts.join(roots, "near_key", "left").withColumn("root", F.coalesce("root", "near_key"))
         shared = self.held(map_batches(dealt_prefixes(marked, self.common[0]), prefix_edges(self.similarity), "a bigint, b bigint, family boolean").distinct(), "shared")
+        self.freed()
         known = roots.where("near_key != root").select(F.col("near_key").alias("a"), F.col("root").alias("b"))
         links = known.unionByName(self.verified(shared.where("not family").select("a", "b")))
         roots = self.rooted(links)
