@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,19 +101,20 @@ def duplicate_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.join(heads, nodes.node == heads.u, "left").select(F.col("node").alias("id"), "is_source", F.when(F.col("is_source"), F.col("node")).otherwise(F.col("head")).alias("source"))
 
 
-def average_linkage(m: np.ndarray, most: float) -> np.ndarray:
-    """Flat labels (by first member) of average-linkage clusters of rows, cut at cosine distance `most`.
+def average_linkage(m: np.ndarray, most: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Flat labels (by first member) of average-linkage clusters of rows, cut at cosine distance `most`.  With sizes, rows are
+    clusters of so many unit vectors already, and m has their sums.
 
     Chains of nearest neighbours end in pairs that are each other's nearest; those merge.  Of equally near pairs the one with
     the earlier rows comes first.  A pair further apart than `most` is final, as no later merge brings anything
     nearer.  Quadratic in the rows.
     """
     n = len(m)
-    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    unit = m / (np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if sizes is None else sizes[:, None])
     d = 1 - unit @ unit.T
     d = (d + d.T) / 2
     np.fill_diagonal(d, np.inf)
-    size, label, todo, chain = np.ones(n), np.arange(n), np.ones(n, dtype=bool), []
+    size, label, todo, chain = np.ones(n) if sizes is None else sizes.astype(np.float64), np.arange(n), np.ones(n, dtype=bool), []
     while todo.any() or chain:
         if not chain:
             chain = [int(todo.argmax())]
@@ -140,63 +139,93 @@ def average_linkage(m: np.ndarray, most: float) -> np.ndarray:
     return label
 
 
-def _nearness(edges: DataFrame, kind: str) -> DataFrame:
-    """edges (lo, hi, and n and total, the size and vector sum, of each side) with near: the mean cosine of two members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(batch.schema.get_field_index(f"total_{k}")) for k in ("lo", "hi"))
-            sizes = x.value_lengths().to_numpy()
-            dots = np.multiply(x.flatten().to_numpy(), y.flatten().to_numpy())
-            sums = np.add.reduceat(dots, np.cumsum(sizes) - sizes) if len(dots) else np.zeros(len(sizes))
-            n = [batch.column(batch.schema.get_field_index(f"n_{k}")).to_numpy() for k in ("lo", "hi")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums / (n[0] * n[1]))], names=[*batch.schema.names, "near"])
-
-    ship(edges.sparkSession)
-    return edges.mapInArrow(run, f"lo {kind}, hi {kind}, n_lo bigint, total_lo array<double>, n_hi bigint, total_hi array<double>, near double")
+def nearest_clusters(sums: DataFrame, todo: DataFrame, most: float, block: int = 8192) -> DataFrame:
+    """(lo, hi, near, id): of each cluster in todo (id) the nearest one of sums (id, n, total: size and vector sum), if its mean
+    cosine near is at least 1 - most.  Equally near: the smaller id.
 
+    Clusters are dealt into blocks of about `block` rows; each pair of blocks is a matrix product, of which one row a
+    cluster leaves.  So a round needs no table of pairs, however dense they are.
+    """
+    kind = sums.schema["id"].dataType.simpleString()
+    asked = sums.join(todo, "id", "left_semi")
+    x, y = (max(1, math.ceil(df.count() / block)) for df in (todo, sums))
+    at = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = asked.select("id", "n", "total", at(x).alias("i"), each(y).alias("j"), F.lit(True).alias("asks"))
+    right = sums.select("id", "n", "total", each(x).alias("i"), at(y).alias("j"), F.lit(False).alias("asks"))
+    ship(sums.sparkSession)
 
-def merged_neighbours(points: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
-    """(id, head) of the points (id, e: unit vectors) of average-linkage clusters cut at cosine distance `most`; head is the
-    cluster's smallest id.  pairs (a, b): all pairs of points within `most`.
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        m, asks, ids, found = np.stack(pdf["total"].to_numpy()) / pdf["n"].to_numpy()[:, None], pdf["asks"].to_numpy(), pdf["id"].to_numpy(), []
+        good = np.isfinite(m).all(axis=1)
+        rows, others = np.flatnonzero(asks & good), np.flatnonzero(~asks & good)
+        place = {k: p for p, k in enumerate(ids[others].tolist())}
+        for k in range(0, len(rows) if len(others) else 0, 512):
+            some = rows[k : k + 512]
+            s = m[some] @ m[others].T
+            own = np.array([place.get(v, -1) for v in ids[some].tolist()])
+            s[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
+            top = s.max(axis=1)
+            best = (s >= top[:, None] - 1e-12).argmax(axis=1)  # of equal ones the first
+            near = top >= 1 - most - 1e-12
+            a, b = ids[some][near], ids[others[best]][near]
+            found.append(pd.DataFrame({"id": a, "lo": np.minimum(a, b), "hi": np.maximum(a, b), "near": np.round(top[near], 12)}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "lo": [], "hi": [], "near": []})
+
+    dealt = left.unionByName(right).repartition(min(x * y, 64), "i", "j")
+    found = dealt.groupBy("i", "j").applyInPandas(compare, f"id {kind}, lo {kind}, hi {kind}, near double")
+    best = found.groupBy("id").agg(F.min(F.struct((-F.col("near")).alias("far"), "lo", "hi")).alias("best"))
+    return best.select("best.lo", "best.hi", (-F.col("best.far")).alias("near"), "id")
+
+
+def merged_neighbours(points: DataFrame, most: float, task_rows: int) -> DataFrame:
+    """(id, head) of the points (id, e: unit vectors) that average linkage, cut at cosine distance `most`, puts under another
+    one; head is the cluster's smallest id.
 
     Each round merges all pairs of clusters that are each other's nearest and within `most`; average linkage allows that in any
     order, and of equally near pairs the one with the smaller ids counts as nearer, so the nearest pair of all always
-    merges.  The mean cosine of two clusters is the product of their vector sums over the product of their sizes: a
-    round joins edges with sums, and no members meet in a task.  Clusters without a neighbour within `most` are final (no
-    merge of others brings one nearer) and leave with their edges.
+    merges.  The mean cosine of two clusters is the product of their vector sums over the product of their sizes, so no
+    members meet in a task.  A merge of others never brings a cluster nearer: one without a neighbour within `most` is final and
+    leaves, and only clusters that merged, or whose nearest did, look for their nearest again.  Once at most
+    `task_rows` clusters are left, one task merges them.
     """
     kind = points.schema["id"].dataType.simpleString()
-    edges = scratch(pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo != hi").distinct(), "edges")
-    ends = edges.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-    sums = scratch(points.join(ends, "id", "left_semi").select("id", F.lit(1).cast("bigint").alias("n"), F.col("e").cast("array<double>").alias("total")), "sums")
-    moves = []
-    while True:
-        side = lambda k: sums.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("total").alias(f"total_{k}"))
-        weighed = edges.join(side("lo"), "lo").join(side("hi"), "hi").select("lo", "hi", "n_lo", "total_lo", "n_hi", "total_hi")
-        weighed = scratch(_nearness(weighed, kind), "weighed")
-        close = weighed.where(F.col("near") >= 1 - most - 1e-12)
-        rank = F.struct((-F.col("near")).alias("far"), "lo", "hi")
-        nearest = close.select(F.explode(F.array("lo", "hi")).alias("id"), rank.alias("best")).groupBy("id").agg(F.min("best").alias("best"))
-        nearest = scratch(nearest.select("id", F.col("best.lo").alias("lo"), F.col("best.hi").alias("hi")), "nearest")
-        pairs_ = nearest.groupBy("lo", "hi").agg(F.count("*").alias("k")).where("k = 2").drop("k")
-        merged = scratch(weighed.join(pairs_, ["lo", "hi"]).select("lo", "hi", (F.col("n_lo") + F.col("n_hi")).alias("n"), F.zip_with("total_lo", "total_hi", lambda x, y: x + y).alias("total")), "merged")
+    sums = scratch(points.select("id", F.lit(1).cast("bigint").alias("n"), F.col("e").cast("array<double>").alias("total")), "sums")
+    todo, known, moves = sums.select("id"), None, []
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[[np.isfinite(x).all() for x in pdf["total"]]].sort_values("id")
+        if not len(pdf):
+            return pd.DataFrame({"hi": [], "lo": []})
+        ids = pdf["id"].to_numpy()
+        head = ids[average_linkage(np.stack(pdf["total"].to_numpy()), most, pdf["n"].to_numpy())]
+        return pd.DataFrame({"hi": ids, "lo": head})[ids != head]
+
+    ship(points.sparkSession)
+    while (n := sums.count()) > max(1, task_rows):
+        found = nearest_clusters(sums, todo, most)
+        wanted = scratch(found.unionByName(known) if known is not None else found, "wanted")
+        best = wanted.select(F.explode(F.array("lo", "hi")).alias("end"), F.struct((-F.col("near")).alias("far"), "lo", "hi").alias("best")).groupBy("end").agg(F.min("best").alias("best"))
+        merged = scratch(best.groupBy("best.lo", "best.hi").agg(F.count("*").alias("k")).where("k = 2").select("lo", "hi"), "merged")
         if merged.isEmpty():
+            n = 0
             break
-        moves.append(merged.select("hi", "lo"))
-        alive = nearest.select("id")
-        to = merged.select(F.col("hi").alias("was"), F.col("lo").alias("now"))
-        # only edges between clusters that have a near neighbour stay, under their clusters' new names
-        left = weighed.select("lo", "hi").join(alive.withColumnRenamed("id", "lo"), "lo", "left_semi").join(alive.withColumnRenamed("id", "hi"), "hi", "left_semi")
-        for k in ("lo", "hi"):
-            left = left.join(to.withColumnRenamed("was", k), k, "left").withColumn(k, F.coalesce("now", F.col(k))).drop("now")
-        new_edges = scratch(left.where("lo != hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "edges")
+        moves.append(merged)
         gone = merged.select(F.explode(F.array("lo", "hi")).alias("id"))
-        kept = sums.join(alive, "id", "left_semi").join(gone, "id", "left_anti")
-        new_sums = scratch(kept.unionByName(merged.select(F.col("lo").alias("id"), "n", "total")), "sums")
-        for done in (edges, sums, weighed, nearest):
+        kept = sums.join(wanted.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), "id", "left_semi").join(gone, "id", "left_anti")
+        pair = merged.join(sums.select(F.col("id").alias("lo"), F.col("n").alias("n1"), F.col("total").alias("t1")), "lo").join(sums.select(F.col("id").alias("hi"), F.col("n").alias("n2"), F.col("total").alias("t2")), "hi")
+        new = scratch(kept.unionByName(pair.select(F.col("lo").alias("id"), (F.col("n1") + F.col("n2")).alias("n"), F.zip_with("t1", "t2", lambda x, y: x + y).alias("total"))), "sums")
+        stays = wanted
+        for k in ("lo", "hi"):
+            stays = stays.join(gone.withColumnRenamed("id", k), k, "left_anti")
+        still = scratch(stays.select("lo", "hi", "near", "id"), "known")
+        for done in (sums, wanted, *([known] if known is not None else [])):
             drop_scratch(done)
-        edges, sums = new_edges, new_sums
+        sums, known = new, still
+        todo = sums.select("id").join(known.select("id"), "id", "left_anti")
+    if n > 1:
+        moves.append(scratch(sums.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(link, f"hi {kind}, lo {kind}").select("lo", "hi"), "last"))
     if not moves:
         return points.select("id", F.col("id").alias("head")).limit(0)
     every = moves[0]
@@ -205,35 +234,16 @@ def merged_neighbours(points: DataFrame, pairs: DataFrame, most: float) -> DataF
     return components(every, "hi", "lo").select(F.col("node").alias("id"), F.col("root").alias("head"))
 
 
-def clusters(df: DataFrame, id_col: str, embedding: str, most: float, method: str = "auto", task_rows: int = 4096) -> DataFrame:
+def clusters(df: DataFrame, id_col: str, embedding: str, most: float, task_rows: int = 4096) -> DataFrame:
     """(id, cluster, cluster_size): average linkage over cosine distance, cut at `most`; clusters are numbered by
     their smallest id.  Rows without an embedding are dropped.
 
-    No merge at a height up to `most` leaves a connected component of the pairs within `most`.  Components of at most
-    `task_rows` rows are linked in a task each; larger ones by rounds of joins (`merged_neighbours`).  Both
-    merge the same pairs.
+    Over `task_rows` rows are linked by rounds of nearest neighbours (`merged_neighbours`), what is left then in one task.
     """
     slim = scratch(df.select(F.col(id_col).alias("id"), v.unit(F.col(embedding)).alias("e")).where("e is not null"), "unit")
-    kind = slim.schema["id"].dataType.simpleString()
-    pairs = scratch(near_pairs(slim, "id", "e", 1 - most, method).select("a", "b"), "pairs")
-    roots = scratch(components(pairs, "a", "b"), "roots")
-    large = scratch(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select("root"), "large")
-    ship(df.sparkSession)
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "head": ids[average_linkage(np.stack(pdf["e"].to_numpy()), most)]})
-
-    small = slim.join(roots.join(large, "root", "left_anti"), F.col("id") == F.col("node")).select("id", "e", "root")
-    linked = small.groupBy("root").applyInPandas(link, f"id {kind}, head {kind}")
-    if not large.isEmpty():
-        wide = roots.join(large, "root").select(F.col("node").alias("id"))
-        own = pairs.join(wide.withColumnRenamed("id", "a"), "a", "left_semi")
-        linked = linked.unionByName(merged_neighbours(slim.join(wide, "id", "left_semi"), own, most))
+    linked = merged_neighbours(slim, most, task_rows)
     heads = scratch(slim.select("id").join(linked, "id", "left").select("id", F.coalesce("head", "id").alias("head")), "heads")
-    for done in (pairs, roots, large, slim):
-        drop_scratch(done)
+    drop_scratch(slim)
     sizes = heads.groupBy("head").agg(F.count("*").alias("cluster_size"))
     numbered = ranked(sizes, ["head"], "cluster")
     return heads.join(numbered, "head").select("id", "cluster", "cluster_size")
