@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from winnow.operators import similarity
+from winnow.operators import select, similarity
 
 
 @pytest.mark.parametrize("block", [8192, 7])
@@ -20,3 +21,12 @@ def test_a_dense_table_is_linked_without_its_pairs(spark, monkeypatch, block):
     label = np.append(similarity.average_linkage(x[:-1], 0.3), len(x) - 1)
     head = {c: min(i for i in got if got[i] == c) for c in set(got.values())}
     assert [head[got[i]] for i in range(len(x))] == label.tolist() and 10 < len(head) < 60
+
+
+def test_curation_makes_no_table_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "near_pairs", None)
+    x = np.repeat(np.eye(3), 10, axis=0) + 0.01 * np.random.default_rng(2).normal(size=(30, 3))
+    df = spark.createDataFrame([(k, float(k % 10), e.tolist()) for k, e in enumerate(x)], "id long, score double, e array<double>")
+    df = df.withColumns({"has_face": F.lit(False), "is_motion": F.lit(False), "shapes": F.lit(None).cast("map<string,double>"), "motion": F.lit(0.0)})
+    rows = select.curate(df, "id", "score", "e", 5, 0.5).orderBy("place").collect()
+    assert [(r.id, r.cluster, r.cluster_size) for r in rows] == [(9, 0, 10), (19, 1, 10), (29, 2, 10)]
