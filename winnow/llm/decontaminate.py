@@ -41,9 +41,13 @@ INDEX = "seg bigint, texts binary, first binary, terms binary, counts binary, po
 
 def term_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each document)."""
-    b = LOWER[b]
-    starts, ends, first = words_of(b, off, GAPS)
-    return Spans(b).hashes(starts, ends), first
+    found, first = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    for i, j in slices(off):  # a word's hash does not depend on its place
+        x = LOWER[b[off[i] : off[j]]]
+        starts, ends, begin = words_of(x, off[i : j + 1] - off[i], GAPS)
+        found.append(Spans(x).hashes(starts, ends))
+        first.append(begin[1:] + first[-1][-1])
+    return np.concatenate(found), np.concatenate(first)
 
 
 def text_key(text: F.Column) -> F.Column:

@@ -1,8 +1,8 @@
 """Helpers shared by the operators of this subpackage: scratch tables, batch plumbing, byte-level text kernels.
 
-The kernels work on the UTF-8 bytes of a whole Arrow batch at once.  A batch is cut into slices of a
-few MB of text (a longer document is a slice of its own), so a worker's memory stays bounded however
-many documents a partition holds.
+The kernels work on the UTF-8 bytes of an Arrow batch, cut into slices of half a MB of text (a longer document
+is a slice of its own).  So a worker's memory stays bounded however many documents a partition holds: arrays over the bytes
+of a slice take 4 to 8 MB, and several of them live at once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..tables import drop_scratch, scratch, shared_dir, ship
 
 __all__ = ["SPACES", "Spans", "chain", "drop_scratch", "exact_sums", "hot_values", "lookup", "map_batches", "masked", "per_doc_sum", "release", "scramble", "scratch", "shared_dir", "ship", "slices", "spread", "squeeze", "table", "text_bytes", "unsqueeze", "words_of"]
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

@@ -50,8 +50,8 @@ def gram_buckets(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _twice(keys: np.ndarray) -> np.ndarray:
     """A mask of the keys that occur at least twice."""
-    cell = (keys >> np.uint64(43)).astype(np.int64)
-    may = np.flatnonzero(np.bincount(cell, minlength=1 << 21)[cell] > 1)
+    cell = (keys >> np.uint64(45)).astype(np.int64)
+    may = np.flatnonzero(np.bincount(cell, minlength=1 << 19)[cell] > 1)
     out = np.zeros(len(keys), dtype=bool)
     if len(may):
         _, back, n = np.unique(keys[may], return_inverse=True, return_counts=True)
