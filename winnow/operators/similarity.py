@@ -139,12 +139,86 @@ def average_linkage(m: np.ndarray, most: float, sizes: np.ndarray | None = None)
     return label
 
 
+def sparse_linkage(total: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Flat labels (by first member) of average-linkage clusters, cut at cosine distance `most`, of rows that are clusters of so
+    many unit vectors with these sums.  a, b: pairs of rows that hold every pair within `most`.
+
+    By rounds, as in `merged_neighbours`.  A merge of others brings no cluster nearer, so what is within `most` of a
+    merged cluster was so of one of its two: no other pairs ever come in.
+    """
+    total, sizes, label = total.astype(np.float64), sizes.astype(np.float64), np.arange(len(total))
+
+    def measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        parts = [np.einsum("ij,ij->i", total[a[k : k + 65536]], total[b[k : k + 65536]]) for k in range(0, len(a), 65536)]
+        return np.round(np.concatenate([np.zeros(0), *parts]) / (sizes[a] * sizes[b]), 12)
+
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    near = measured(a, b)
+    while len(a := a[keep := near >= 1 - most - 1e-12]):
+        b, near = b[keep], near[keep]
+        order = np.lexsort((b, a, -near))
+        a, b, near = a[order], b[order], near[order]
+        first, place = np.full(len(total), len(a)), np.arange(len(a))
+        np.minimum.at(first, a, place)
+        np.minimum.at(first, b, place)
+        both = (first[a] == place) & (first[b] == place)
+        x, y = a[both], b[both]
+        total[x] += total[y]
+        sizes[x] += sizes[y]
+        label[y] = x
+        head, moved = np.arange(len(total)), np.zeros(len(total), dtype=bool)
+        head[y], moved[x] = x, True
+        a, b = head[a], head[b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        _, one = np.unique(a * len(total) + b, return_index=True)
+        one = one[a[one] != b[one]]
+        a, b, near = a[one], b[one], near[one]
+        new = moved[a] | moved[b]
+        near[new] = measured(a[new], b[new])
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+def _centres(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean vectors, the same in single precision, how far a cosine of the latter may be off); means are no longer than 1."""
+    m = np.stack(pdf["total"].to_numpy()) / pdf["n"].to_numpy()[:, None]
+    return m, m.astype(np.float32), (m.shape[1] + 4) * 2.0**-23
+
+
+def near_clusters(sums: DataFrame, most: float, block: int = 8192) -> DataFrame:
+    """(a, b) of all clusters of sums (id, n, total) with a mean cosine of at least 1 - most, a < b; some a rounding error below
+    it are among them."""
+    kind = sums.schema["id"].dataType.simpleString()
+    blocks = max(1, math.ceil(sums.count() / block))
+    placed = sums.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "n", "total", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    ship(sums.sparkSession)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, m32, slack = _centres(pdf)
+        ids, i, j = pdf["id"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        good = np.isfinite(m).all(axis=1)
+        left, right = (np.flatnonzero((pdf["k"] == k).to_numpy() & good) for k in (i, j))
+        found = [pd.DataFrame({"a": ids[:0], "b": ids[:0]})]
+        for k in range(0, len(left), 512):
+            rows = left[k : k + 512]
+            x, y = np.nonzero(m32[rows] @ m32[right].T >= 1 - most - slack)
+            a, b = ids[rows[x]], ids[right[y]]
+            keep = a < b if i == j else a != b
+            found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}))
+        return pd.concat(found)
+
+    return dealt.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def nearest_clusters(sums: DataFrame, todo: DataFrame, most: float, block: int = 8192) -> DataFrame:
-    """(lo, hi, near, id): of each cluster in todo (id) the nearest one of sums (id, n, total: size and vector sum), if its mean
-    cosine near is at least 1 - most.  Equally near: the smaller id.
+    """(lo, hi, near, id, others): of each cluster in todo (id) the nearest one of sums (id, n, total: size and vector sum), if its
+    mean cosine near is at least 1 - most, and how many are that near, at most.  Equally near: the smaller id.
 
     Clusters are dealt into blocks of about `block` rows; each pair of blocks is a matrix product, of which one row a
-    cluster leaves.  So a round needs no table of pairs, however dense they are.
+    cluster leaves.  So a round needs no table of pairs, however dense they are.  The product is in single precision; what its
+    error leaves open is measured in double.
     """
     kind = sums.schema["id"].dataType.simpleString()
     asked = sums.join(todo, "id", "left_semi")
@@ -157,29 +231,45 @@ def nearest_clusters(sums: DataFrame, todo: DataFrame, most: float, block: int =
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        m, asks, ids, found = np.stack(pdf["total"].to_numpy()) / pdf["n"].to_numpy()[:, None], pdf["asks"].to_numpy(), pdf["id"].to_numpy(), []
+        (m, m32, slack), asks, ids, found = _centres(pdf), pdf["asks"].to_numpy(), pdf["id"].to_numpy(), []
         good = np.isfinite(m).all(axis=1)
         rows, others = np.flatnonzero(asks & good), np.flatnonzero(~asks & good)
         place = {k: p for p, k in enumerate(ids[others].tolist())}
         for k in range(0, len(rows) if len(others) else 0, 512):
             some = rows[k : k + 512]
-            s = m[some] @ m[others].T
+            s = m32[some] @ m32[others].T
             own = np.array([place.get(v, -1) for v in ids[some].tolist()])
             s[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
-            top = s.max(axis=1)
-            best = (s >= top[:, None] - 1e-12).argmax(axis=1)  # of equal ones the first
+            count = (s >= 1 - most - slack).sum(axis=1)
+            may = s >= np.maximum(s.max(axis=1) - 3 * slack, 1 - most - slack)[:, None]
+            width = may.sum(axis=1)
+            top, best = np.full(len(some), -np.inf), np.zeros(len(some), dtype=np.int64)
+            many = np.flatnonzero(width > 64)  # copies of one vector: their whole rows again
+            if len(many):
+                t = m[some[many]] @ m[others].T
+                back = own[many]
+                t[np.flatnonzero(back >= 0), back[back >= 0]] = -np.inf
+                top[many] = t.max(axis=1)
+                best[many] = (t >= top[many][:, None] - 1e-12).argmax(axis=1)  # of equal ones the first
+                may[many] = False
+            x, y = np.nonzero(may)
+            if len(x):
+                exact = np.einsum("ij,ij->i", m[some[x]], m[others[y]])
+                np.maximum.at(top, x, exact)
+                good = np.flatnonzero(exact >= top[x] - 1e-12)[::-1]
+                best[x[good]] = y[good]  # the first is written last
             near = top >= 1 - most - 1e-12
             a, b = ids[some][near], ids[others[best]][near]
-            found.append(pd.DataFrame({"id": a, "lo": np.minimum(a, b), "hi": np.maximum(a, b), "near": np.round(top[near], 12)}))
-        return pd.concat(found) if found else pd.DataFrame({"id": [], "lo": [], "hi": [], "near": []})
+            found.append(pd.DataFrame({"id": a, "lo": np.minimum(a, b), "hi": np.maximum(a, b), "near": np.round(top[near], 12), "others": count[near]}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "lo": [], "hi": [], "near": [], "others": []})
 
     dealt = left.unionByName(right).repartition(min(x * y, 64), "i", "j")
-    found = dealt.groupBy("i", "j").applyInPandas(compare, f"id {kind}, lo {kind}, hi {kind}, near double")
-    best = found.groupBy("id").agg(F.min(F.struct((-F.col("near")).alias("far"), "lo", "hi")).alias("best"))
-    return best.select("best.lo", "best.hi", (-F.col("best.far")).alias("near"), "id")
+    found = dealt.groupBy("i", "j").applyInPandas(compare, f"id {kind}, lo {kind}, hi {kind}, near double, others bigint")
+    best = found.groupBy("id").agg(F.min(F.struct((-F.col("near")).alias("far"), "lo", "hi")).alias("best"), F.sum("others").alias("others"))
+    return best.select("best.lo", "best.hi", (-F.col("best.far")).alias("near"), "id", "others")
 
 
-def merged_neighbours(points: DataFrame, most: float, task_rows: int) -> DataFrame:
+def merged_neighbours(points: DataFrame, most: float, task_rows: int, task_pairs: int = 1_000_000, task_values: int = 1 << 22) -> DataFrame:
     """(id, head) of the points (id, e: unit vectors) that average linkage, cut at cosine distance `most`, puts under another
     one; head is the cluster's smallest id.
 
@@ -188,11 +278,18 @@ def merged_neighbours(points: DataFrame, most: float, task_rows: int) -> DataFra
     merges.  The mean cosine of two clusters is the product of their vector sums over the product of their sizes, so no
     members meet in a task.  A merge of others never brings a cluster nearer: one without a neighbour within `most` is final and
     leaves, and only clusters that merged, or whose nearest did, look for their nearest again.  Once at most
-    `task_rows` clusters are left, one task merges them.
+    `task_rows` clusters are left, one task merges them; so it does once at most `task_pairs` pairs are within `most` and the
+    vector sums have at most `task_values` numbers, which is long before, as most clusters then have a few near ones.
     """
     kind = points.schema["id"].dataType.simpleString()
-    sums = scratch(points.select("id", F.lit(1).cast("bigint").alias("n"), F.col("e").cast("array<double>").alias("total")), "sums")
-    todo, known, moves = sums.select("id"), None, []
+    # copies of a vector are one cluster from the start: as all of them are nearest to the first, rounds would merge one at a time
+    wide = points.select("id", F.col("e").cast("array<double>").alias("e"))
+    alone = F.when(~F.coalesce(v.dot(F.col("e"), F.col("e")).between(0.5, 2.0), F.lit(False)) | F.lit(most < 0), F.col("id"))
+    groups = scratch(wide.groupBy("e", alone.alias("alone")).agg(F.min("id").alias("id"), F.count("*").alias("n")), "groups")
+    sums = scratch(groups.select("id", "n", F.transform("e", lambda x: x * F.col("n")).alias("total")), "sums")
+    copies = wide.join(groups.where("n > 1 and alone is null").select("e", F.col("id").alias("lo")), "e").where("id != lo").select(F.col("id").alias("hi"), "lo")
+    todo, known, moves = sums.select("id"), None, [scratch(copies, "copies")]
+    drop_scratch(groups)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[[np.isfinite(x).all() for x in pdf["total"]]].sort_values("id")
@@ -202,7 +299,16 @@ def merged_neighbours(points: DataFrame, most: float, task_rows: int) -> DataFra
         head = ids[average_linkage(np.stack(pdf["total"].to_numpy()), most, pdf["n"].to_numpy())]
         return pd.DataFrame({"hi": ids, "lo": head})[ids != head]
 
+    def link_pairs(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        a, b = (np.searchsorted(ids, pairs[k].to_numpy()) for k in "ab")
+        head = ids[sparse_linkage(np.stack(pdf["total"].to_numpy()), pdf["n"].to_numpy(), a, b, most)] if len(ids) else ids
+        return pd.DataFrame({"hi": ids, "lo": head})[ids != head]
+
     ship(points.sparkSession)
+    size = points.select(F.max(F.size("e"))).first()[0] or 1
+    few = False
     while (n := sums.count()) > max(1, task_rows):
         found = nearest_clusters(sums, todo, most)
         wanted = scratch(found.unionByName(known) if known is not None else found, "wanted")
@@ -219,15 +325,24 @@ def merged_neighbours(points: DataFrame, most: float, task_rows: int) -> DataFra
         stays = wanted
         for k in ("lo", "hi"):
             stays = stays.join(gone.withColumnRenamed("id", k), k, "left_anti")
-        still = scratch(stays.select("lo", "hi", "near", "id"), "known")
+        still = scratch(stays.select("lo", "hi", "near", "id", "others"), "known")
+        # a merge makes no pair that was not within `most` before, so there are at most so many now
+        few = wanted.agg(F.coalesce(F.sum("others"), F.lit(0))).first()[0] <= 2 * task_pairs and new.count() * size <= task_values
         for done in (sums, wanted, *([known] if known is not None else [])):
             drop_scratch(done)
         sums, known = new, still
         todo = sums.select("id").join(known.select("id"), "id", "left_anti")
-    if n > 1:
+        if few:
+            break
+    if few:
+        one = F.lit(0).alias("g")
+        alike = scratch(near_clusters(sums, most), "alike")
+        ends = alike.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        left, right = sums.join(ends, "id", "left_semi").select("*", one).groupBy("g"), alike.select("*", one).groupBy("g")
+        moves.append(scratch(left.cogroup(right).applyInPandas(link_pairs, f"hi {kind}, lo {kind}").select("lo", "hi"), "last"))
+        drop_scratch(alike)
+    elif n > 1:
         moves.append(scratch(sums.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(link, f"hi {kind}, lo {kind}").select("lo", "hi"), "last"))
-    if not moves:
-        return points.select("id", F.col("id").alias("head")).limit(0)
     every = moves[0]
     for one in moves[1:]:
         every = every.unionByName(one)
